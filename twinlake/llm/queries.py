@@ -45,3 +45,50 @@ def op2_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None)
     from twinlake.llm.token_counts import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"), path or tokenizer_file("word_bpe_49k.json"))
+
+
+@query
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from twinlake.llm.chat import format_chats
+
+    hard = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    chats = format_chats(rows.unionByName(hard))
+    turns = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    return chats.select("conv_id", F.size("turns").cast("long").alias("n_turns"), turns.alias("turns"), loss.alias("loss"), "formatted").select(
+        "conv_id",
+        "n_turns",
+        F.sha2(F.array_join("turns", ""), 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+@query
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from twinlake.llm.exact_dedup import exact_dedup
+
+    return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from twinlake.checkpoints import cut, shared_folder
+    from twinlake.llm import warc
+
+    folder = shared_folder(spark, "warc")
+    warc.write_records(warc.page_payloads(table(spark, sf_dir, "pages"))).write.option("compression", "zstd").parquet(folder)
+    return warc.with_revisits(cut(warc.read_records(spark.read.parquet(folder))))
+
+
+def _oracles() -> None:
+    from twinlake.llm import chat, exact_dedup, warc
+
+    ORACLES["op4_chat_format"] = chat.ORACLE
+    ORACLES["op7_exact_dedup"] = exact_dedup.ORACLE
+    ORACLES["op10_warc"] = warc.ORACLE
+
+
+_oracles()
