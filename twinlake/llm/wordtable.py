@@ -212,6 +212,7 @@ def join_by_word(
         return finish(texts, block, block.hashes[order], values)
 
     payload = "block int, bucket int, payload binary"
-    sent = dealt.sortWithinPartitions("block").select("block", "text").mapInArrow(words_out, payload)
+    # both readings take the same columns, so they share one exchange of the texts
+    sent = dealt.sortWithinPartitions("block").mapInArrow(words_out, payload)
     back = sent.repartition(min(buckets // 4, MOST_TASKS), "bucket").mapInArrow(values_back, payload)
     return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(join, schema)
