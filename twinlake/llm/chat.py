@@ -43,7 +43,8 @@ def parse(formatted: Column) -> Column:
     Deterministic: a turn runs from an opening to the next opening, its role to the first line end, its
     text to the closing at its end; a control string anywhere else makes the whole no conversation.
     """
-    parts = F.slice(F.split(formatted, r"<\|im_start\|>"), 2, 2**31 - 1)
+    pieces = F.split(formatted, r"<\|im_start\|>")
+    parts = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
     turns = F.transform(
         parts,
         lambda p: F.struct(
