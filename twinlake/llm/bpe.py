@@ -35,12 +35,15 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     an empty table gives an empty one. Texts of any length are encoded whole.
     """
 
+    narrow = len(pieces(path)) <= 1 << 16
+    kind_of_id = np.uint16 if narrow else np.uint32
+
     def to_bytes(ids: list[list[int]]) -> list[bytes]:
-        return [np.array(x, np.uint32).tobytes() for x in ids]
+        return [np.array(x, kind_of_id).tobytes() for x in ids]
 
     def finish(rows: pa.Table, block: Block, hashes: np.ndarray, values: list[bytes]) -> pa.Table:
-        lengths = np.array([len(x) >> 2 for x in values], np.int64)
-        flat = np.frombuffer(b"".join(values), np.int32)
+        lengths = np.array([len(x) for x in values], np.int64) >> (1 if narrow else 2)
+        flat = np.frombuffer(b"".join(values), kind_of_id).astype(np.int32)
         starts = np.cumsum(lengths) - lengths
         rank = np.argsort(hashes)
         ordered = hashes[rank]

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: list[np.ndarray] = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
@@ -23,7 +23,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of an odd base and of its inverse, modulo 2^64."""
     if len(_powers[0]) < n:
         for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(max(1 << n.bit_length(), 2 * CHUNK), base, np.uint64)
+            steps = np.full(max(1 << n.bit_length(), CHUNK + CHUNK // 2), base, np.uint64)
             steps[0] = 1
             _powers[k] = np.multiply.accumulate(steps)
     return _powers[0][:n], _powers[1][:n]

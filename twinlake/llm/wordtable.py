@@ -1,7 +1,7 @@
 """Distinct pre-token tables: each distinct pre-token is encoded once and joined back by position.
 
-Rows are dealt into blocks of about ``BLOCK`` bytes by a hash of their content. Per block, the distinct
-pre-tokens go out as one packed payload per bucket of the pre-token hash; a bucket's task sees a
+Rows are dealt into blocks of about ``BLOCK`` bytes by a hash of their content; they travel as compressed
+packets of the rows that a task has for a block. Per block, the distinct pre-tokens go out as one packed payload per bucket of the pre-token hash; a bucket's task sees a
 pre-token from all blocks and encodes it once; the results travel back to the blocks and are joined
 with the texts there, by pre-token. What is shuffled is the texts once and each block's distinct
 pre-tokens twice. Memory is bounded by a block, and by ``CACHE`` pre-tokens in a bucket's task.
@@ -133,6 +133,43 @@ def unpack(payload: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip([4 + 4 * n, *ends], ends)]
 
 
+def packets(batches: Iterator[pa.RecordBatch], flush: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows with a block, as ``(block, payload)``: the compressed rows of one block among a few MB."""
+
+    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        blocks = table.column("block").to_numpy()
+        order = np.argsort(blocks, kind="stable")
+        blocks = blocks[order]
+        table = table.drop_columns(["block"]).take(pa.array(order))
+        cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
+        names, payloads = [], []
+        for a, b in zip(cuts, cuts[1:]):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as writer:
+                writer.write_table(table.slice(a, b - a).combine_chunks())
+            names.append(int(blocks[a]))
+            payloads.append(zstandard.ZstdCompressor(level=3).compress(sink.getvalue()))
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(payloads, pa.binary())], names=["block", "payload"])
+
+    held, size = [], 0
+    for batch in batches:
+        step = max(1, batch.num_rows * flush // max(1, batch.nbytes))
+        for a in range(0, batch.num_rows, step):
+            part = batch.slice(a, step)
+            held.append(part)
+            size += part.nbytes
+            if size >= flush:
+                yield packed(held)
+                held, size = [], 0
+    if held:
+        yield packed(held)
+
+
+def opened(payload: bytes) -> pa.Table:
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(payload)).read_all()
+
+
 def _segments(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, pa.RecordBatch, bool]]:
     """Pieces of batches sorted by ``key`` that hold one key; True with the first piece of a key."""
     last = None
@@ -158,7 +195,8 @@ def join_by_word(
     blocks = max(1, math.ceil(total / block_bytes))
     tasks = min(blocks, MOST_TASKS)
     buckets = 4 * min(max(blocks, 12), 2048)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(tasks, "block")
+    named = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
+    dealt = named.mapInArrow(packets, "block int, payload binary").repartition(tasks, "block")
 
     def words_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, name = None, 0
@@ -177,7 +215,8 @@ def join_by_word(
                 if block is not None:
                     yield flush()
                 block, name = Block(vocabulary), key
-            block.add(piece.column("text").to_pylist(), False)
+            for payload in piece.column("payload").to_pylist():
+                block.add(opened(payload).column("text").to_pylist(), False)
         if block is not None:
             yield flush()
 
@@ -196,11 +235,11 @@ def join_by_word(
                 out.append(pack([cache[w] for w in words]))
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(out, pa.binary())], names=["block", "bucket", "payload"])
 
-    def join(texts: pa.Table, payloads: pa.Table) -> pa.Table:
-        block = Block(vocabulary)
-        column = texts.column("text")
-        for chunk in column.chunks:
-            block.add(chunk.to_pylist(), True)
+    def join(sent: pa.Table, payloads: pa.Table) -> pa.Table:
+        block, texts = Block(vocabulary), []
+        for payload in sent.column("payload"):
+            texts.append(opened(payload.as_py()))
+            block.add(texts[-1].column("text").to_pylist(), True)
         order, bucket = by_bucket(block.distinct(), buckets)
         at = np.argsort(payloads.column("bucket").to_numpy(), kind="stable").tolist()
         packed = payloads.column("payload")
@@ -209,7 +248,7 @@ def join_by_word(
             values += unpack(packed[k].as_py())
         if len(values) != len(order):
             raise RuntimeError("the distinct pre-tokens of a block differ between its two readings")
-        return finish(texts, block, block.hashes[order], values)
+        return finish(pa.concat_tables(texts), block, block.hashes[order], values)
 
     payload = "block int, bucket int, payload binary"
     # both readings take the same columns, so they share one exchange of the texts
