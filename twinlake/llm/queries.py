@@ -92,3 +92,10 @@ def _oracles() -> None:
 
 
 _oracles()
+
+
+@query
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from twinlake.llm.near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
