@@ -99,3 +99,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from twinlake.llm.near_dup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from twinlake.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
