@@ -106,3 +106,11 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from twinlake.llm.licenses import scan_licenses
 
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from twinlake.llm import quality
+
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
