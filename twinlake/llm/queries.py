@@ -114,3 +114,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return quality.score_quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from twinlake.llm import html_extract
+
+    return html_extract.extract(table(spark, sf_dir, "pages"), html_extract.default_model())
