@@ -26,13 +26,11 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
-@query
-def op1_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+def bpe_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     from twinlake.llm import bpe
 
     path = path or tokenizer_file("byte_bpe_50k.json")
-    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
-    return coded.select(
+    return bpe.decode(bpe.encode(docs, path), path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
@@ -40,6 +38,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
     )
 
 
+@query
+def op1_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"), path)
+
+
 @query
 def op2_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     from twinlake.llm.token_counts import count_tokens
@@ -121,3 +124,10 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from twinlake.llm import html_extract
 
     return html_extract.extract(table(spark, sf_dir, "pages"), html_extract.default_model())
+
+
+@query
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from twinlake.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
