@@ -10,8 +10,11 @@ import os
 import stat
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import BinaryType
 
 SCHEMA = "path string, root string, size long, mode int, dev long, ino long, root_dev long, mtime_unix long, mtime_nsec long"
 #: As many folders are listed before the walk is dealt out.
@@ -102,10 +105,6 @@ def scan(spark: SparkSession, paths: list[str], max_depth: int = -1, hidden: boo
 def with_content(files, most: int | None = None):
     """``content``: the bytes of each file, of its first ``most`` bytes if given; null where it cannot be read
     or a link stands in its place."""
-    import pandas as pd
-    from pyspark.sql import functions as F
-    from pyspark.sql.types import BinaryType
-
     @F.pandas_udf(BinaryType())
     def content(paths: pd.Series) -> pd.Series:
         def one(path: str) -> bytes | None:
