@@ -26,7 +26,7 @@ END_P = "address article aside blockquote details div dl fieldset figcaption fig
 _VOID, _RAW, _INLINE, _END_P = set(VOID), set(RAW), set(INLINE), set(END_P)
 _ENDS = {tag: set(group) for group in ENDS for tag in group}
 _SCOPE = {"table", "ul", "ol", "dl", "div", "article", "section", "main", "body", "nav", "aside", "footer", "header", "form", "select", "blockquote"}
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|[^<]+|<""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|<(/?)([A-Za-z][^\s/<>]*+)((?:"[^"]*+"|'[^']*+'|[^<>"']++)*+)>|[^<]+|<""", re.S)
 _RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
