@@ -25,7 +25,7 @@ BLOCK = 16
 #: Hash buckets of words, columns of the random matrix, singular vectors that are kept.
 BUCKETS, COLUMNS, RANK = 1 << 12, 96, 80
 #: Candidates have at least this cosine.
-COSINE = 0.36
+COSINE = 0.3
 #: A leak has this share of a passage in order, or the lesser share and as much of its answer.
 SHARE, PART, ANSWER = 0.75, 0.5, 0.75
 #: Benchmark passages with fewer words are only leaks when whole.
