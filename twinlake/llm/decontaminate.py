@@ -24,6 +24,8 @@ PASSAGE = 64
 BLOCK = 16
 #: Hash buckets of words, columns of the random matrix, singular vectors that are kept.
 BUCKETS, COLUMNS, RANK = 1 << 12, 96, 80
+#: Passages whose TF-IDF rows are held as a dense matrix at once.
+DENSE = 512
 #: Candidates have at least this cosine.
 COSINE = 0.3
 #: A leak has this share of a passage in order, or the lesser share and as much of its answer.
@@ -108,11 +110,12 @@ def fit(docs: DataFrame, text_col: str = "text", seed: int = 0) -> Latent:
                 weight = idf[bucket]
                 owner = np.repeat(np.arange(len(cells) - 1), np.diff(cells))
                 norm = np.sqrt(np.bincount(owner, weight * weight, minlength=len(cells) - 1)).astype(np.float32)
-                rows = _sums(omega[bucket] * weight[:, None], cells) / (norm * norm)[:, None]
-                order = np.argsort(bucket, kind="stable")
-                ordered = bucket[order]
-                heads = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-                y[ordered[heads]] += np.add.reduceat(rows[owner[order]] * weight[order][:, None], heads, axis=0)
+                for i in range(0, len(cells) - 1, DENSE):
+                    j = min(len(cells) - 1, i + DENSE)
+                    mine = slice(cells[i], cells[j])
+                    rows = np.bincount((owner[mine] - i) * BUCKETS + bucket[mine], weight[mine] / norm[owner[mine]], minlength=(j - i) * BUCKETS)
+                    rows = rows.astype(np.float32).reshape(j - i, BUCKETS)
+                    y += rows.T @ (rows @ omega)
         some = np.flatnonzero(y.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(y[some, k]) for k in range(COLUMNS))], names=["bucket", *(f"y{k}" for k in range(COLUMNS))])
 
