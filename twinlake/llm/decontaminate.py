@@ -213,6 +213,8 @@ class Matcher:
         bit = u64(1) << place.astype(u64)
         self.keys = key[order][heads]
         self.masks = np.bitwise_or.reduceat(bit[order], heads)
+        self.held = np.zeros((len(sizes), BUCKETS), bool)
+        self.held[owner, _buckets(block.hashes)] = True
         self.answers = np.bitwise_or.reduceat(np.where(block.answer, bit, u64(0)), block.at[:-1])
         self.need = np.where(sizes < SHORT, sizes, np.ceil(SHARE * sizes)).astype(np.int64)
         self.part = np.where(sizes < SHORT, sizes, np.ceil(PART * sizes)).astype(np.int64)
@@ -227,7 +229,7 @@ class Matcher:
         end = np.searchsorted(cells, at[row + 1])
         sums = np.zeros((n + 1, self.vectors.shape[1]))
         np.cumsum(self.latent.cells(hashes, cells), axis=0, out=sums[1:])
-        found = []
+        bucket, found = _buckets(hashes), []
         for m in np.unique(self.blocks):
             mine = np.flatnonzero(self.blocks == m)
             for a in range(0, n, 1 << 14):
@@ -237,13 +239,20 @@ class Matcher:
                 score = window @ self.vectors[mine].T
                 p, q = np.nonzero(score >= self.cosine)
                 for k in range(0, len(p), 1 << 14):
-                    found.append(self.check(hashes, cells, at, row, i[p[k : k + (1 << 14)]], mine[q[k : k + (1 << 14)]], score[p[k : k + (1 << 14)], q[k : k + (1 << 14)]]))
+                    found.append(self.check(hashes, bucket, cells, at, row, i[p[k : k + (1 << 14)]], mine[q[k : k + (1 << 14)]], score[p[k : k + (1 << 14)], q[k : k + (1 << 14)]]))
         return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
 
-    def check(self, hashes: np.ndarray, cells: np.ndarray, at: np.ndarray, row: np.ndarray, cell: np.ndarray, passage: np.ndarray, score: np.ndarray) -> tuple:
+    def check(self, hashes: np.ndarray, bucket: np.ndarray, cells: np.ndarray, at: np.ndarray, row: np.ndarray, cell: np.ndarray, passage: np.ndarray, score: np.ndarray) -> tuple:
         """Of candidates, those that are leaks; a window is seen with one more block on either side."""
         begin = np.maximum(cells[cell] - BLOCK, at[row[cell]])
         stop = np.minimum(cells[cell] + (self.blocks[passage] + 1) * BLOCK, at[row[cell] + 1])
+        # first by buckets: no subsequence is longer than the number of words that fall in one of the passage's
+        place = begin[:, None] + np.arange(int((stop - begin).max()))
+        inside = self.held[passage[:, None], bucket[np.minimum(place, len(hashes) - 1)]] & (place < stop[:, None])
+        some = np.count_nonzero(inside, axis=1) >= self.part[passage]
+        if not some.any():
+            return (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
+        cell, passage, score, begin, stop = cell[some], passage[some], score[some], begin[some], stop[some]
         width = int((stop - begin).max())
         place = begin[:, None] + np.arange(width)
         words = hashes[np.minimum(place, len(hashes) - 1)]
