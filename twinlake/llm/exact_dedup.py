@@ -46,7 +46,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     best = F.struct((-F.col("n_chars")).alias("order"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("keep_id"))
     runs = merge(rows.select(F.spark_partition_id().alias("run"), *KEY, best.alias("best"), F.lit(1).cast("long").alias("group_size")), 0)
-    count = max(1, rows.rdd.getNumPartitions())
+    count = 1 + (rows.select(F.spark_partition_id().alias("run")).agg(F.max("run")).first()[0] or 0)
     while count > 1:
         runs = merge(runs, ROUNDS)
         count = (count + (1 << ROUNDS) - 1) >> ROUNDS
