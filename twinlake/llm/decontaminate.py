@@ -32,8 +32,8 @@ COSINE = 0.3
 SHARE, PART, ANSWER = 0.75, 0.5, 0.75
 #: Benchmark passages with fewer words are only leaks when whole.
 SHORT = 8
-#: Benchmark passages that go over the documents at once.
-AT_ONCE = 4096
+#: Benchmark passages that go over the documents at once, and that are compared with a piece of them at once.
+AT_ONCE, GROUP = 4096, 256
 
 
 def _scan(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -61,9 +61,12 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
         counts = np.zeros(BUCKETS + 1, np.int64)
         for batch in batches:
             for _, _, hashes, at in _scan(batch.column("text")):
-                cells = _cells(at, PASSAGE)
-                owner = np.repeat(np.arange(len(cells) - 1), np.diff(cells))
-                counts[:BUCKETS] += np.bincount(np.unique(owner * BUCKETS + _buckets(hashes)) % BUCKETS, minlength=BUCKETS)
+                cells, bucket = _cells(at, PASSAGE), _buckets(hashes)
+                for i in range(0, len(cells) - 1, DENSE):
+                    ends = cells[i : i + DENSE + 1]
+                    held = np.zeros((len(ends) - 1, BUCKETS), bool)
+                    held[np.repeat(np.arange(len(ends) - 1), np.diff(ends)), bucket[ends[0] : ends[-1]]] = True
+                    counts[:BUCKETS] += np.count_nonzero(held, axis=0)
                 counts[BUCKETS] += len(cells) - 1
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["bucket", "n"])
@@ -75,8 +78,20 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     return out[:BUCKETS], int(out[BUCKETS])
 
 
-def _sums(rows: np.ndarray, cells: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(rows, cells[:-1], axis=0) if len(cells) > 1 else np.zeros((0, rows.shape[1]), rows.dtype)
+def _padded(table: np.ndarray) -> np.ndarray:
+    return np.concatenate([table, np.zeros((1, table.shape[1]), table.dtype)])
+
+
+def _sums(table: np.ndarray, words: np.ndarray, cells: np.ndarray, piece: int = 1 << 12) -> np.ndarray:
+    """The sums of the rows that the words between ``cells`` have in a table, whose last row is zero."""
+    out = np.zeros((len(cells) - 1, table.shape[1]), table.dtype)
+    for a in range(0, len(out), piece):
+        mine, begin, end = out[a : a + piece], cells[a : a + piece + 1][:-1], cells[a + 1 : a + piece + 1]
+        rows = np.empty_like(mine)
+        for j in range(int((end - begin).max())):
+            at = np.where(begin + j < end, words[np.minimum(begin + j, len(words) - 1)], len(table) - 1)
+            mine += table.take(at, axis=0, out=rows, mode="clip")
+    return out
 
 
 @dataclass
@@ -88,8 +103,7 @@ class Latent:
 
     def cells(self, hashes: np.ndarray, cells: np.ndarray) -> np.ndarray:
         """Latent vectors of the bags of words between ``cells``."""
-        bucket = _buckets(hashes)
-        return _sums(self.basis[bucket] * self.idf[bucket][:, None], cells)
+        return _sums(_padded(self.basis * self.idf[:, None]), _buckets(hashes), cells)
 
 
 def fit(docs: DataFrame, text_col: str = "text", seed: int = 0) -> Latent:
@@ -99,6 +113,7 @@ def fit(docs: DataFrame, text_col: str = "text", seed: int = 0) -> Latent:
     found, total = document_frequencies(texts)
     idf = np.log((1 + total) / (1 + found)).astype(np.float32) + np.float32(0.1)
     omega = np.linalg.qr(np.random.default_rng(seed).normal(size=(BUCKETS, COLUMNS)))[0].astype(np.float32)
+    weighted = _padded(omega * idf[:, None])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         y = np.zeros((BUCKETS, COLUMNS), np.float32)
@@ -110,12 +125,13 @@ def fit(docs: DataFrame, text_col: str = "text", seed: int = 0) -> Latent:
                 weight = idf[bucket]
                 owner = np.repeat(np.arange(len(cells) - 1), np.diff(cells))
                 norm = np.sqrt(np.bincount(owner, weight * weight, minlength=len(cells) - 1)).astype(np.float32)
+                image = _sums(weighted, bucket, cells) / norm[:, None]
                 for i in range(0, len(cells) - 1, DENSE):
                     j = min(len(cells) - 1, i + DENSE)
                     mine = slice(cells[i], cells[j])
-                    rows = np.bincount((owner[mine] - i) * BUCKETS + bucket[mine], weight[mine] / norm[owner[mine]], minlength=(j - i) * BUCKETS)
-                    rows = rows.astype(np.float32).reshape(j - i, BUCKETS)
-                    y += rows.T @ (rows @ omega)
+                    rows = np.zeros((j - i) * BUCKETS, np.float32)
+                    np.add.at(rows, (owner[mine] - i) * BUCKETS + bucket[mine], weight[mine] / norm[owner[mine]])
+                    y += rows.reshape(j - i, BUCKETS).T @ image[i:j]
         some = np.flatnonzero(y.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(y[some, k]) for k in range(COLUMNS))], names=["bucket", *(f"y{k}" for k in range(COLUMNS))])
 
@@ -193,82 +209,103 @@ def common_length(masks: np.ndarray) -> np.ndarray:
     return np.bitwise_count(~v).astype(np.int64)
 
 
-class Matcher:
-    """Finds the passages of one block of the benchmark in pieces of the documents."""
+class Group:
+    """Some passages of the benchmark, with what finding them in pieces of the documents needs."""
 
-    def __init__(self, latent: Latent, block: Passages, cosine: float = COSINE):
-        self.latent, self.cosine = latent, cosine
-        sizes = np.diff(block.at)
-        self.size = sizes
-        vectors = latent.cells(block.hashes, block.at)
+    def __init__(self, vectors: np.ndarray, hashes: np.ndarray, at: np.ndarray, answer: np.ndarray):
+        sizes = np.diff(at)
         self.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)[:, None]
         #: a window of so many blocks holds a passage wherever it begins
         self.blocks = -(-(sizes + BLOCK - 1) // BLOCK)
         owner = np.repeat(np.arange(len(sizes)), sizes)
-        place = np.arange(len(owner)) - block.at[owner]
-        self.words, word = np.unique(block.hashes, return_inverse=True)
+        place = np.arange(len(owner)) - at[owner]
+        self.words, word = np.unique(hashes, return_inverse=True)
         key = owner * len(self.words) + word
         order = np.argsort(key, kind="stable")
         heads = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
         bit = u64(1) << place.astype(u64)
-        self.keys = key[order][heads]
-        self.masks = np.bitwise_or.reduceat(bit[order], heads)
-        self.held = np.zeros((len(sizes), BUCKETS), bool)
-        self.held[owner, _buckets(block.hashes)] = True
-        self.answers = np.bitwise_or.reduceat(np.where(block.answer, bit, u64(0)), block.at[:-1])
+        #: the places of a word in a passage, by the number of the two; 0 where the passage lacks it, and words
+        #: that no passage holds have the last row
+        self.masks = np.append(u64(0), np.bitwise_or.reduceat(bit[order], heads))
+        self.number = np.zeros((len(self.words) + 1, len(sizes)), np.int32)
+        self.number[word[order][heads], owner[order][heads]] = np.arange(1, len(self.masks))
+        self.answers = np.bitwise_or.reduceat(np.where(answer, bit, u64(0)), at[:-1])
         self.need = np.where(sizes < SHORT, sizes, np.ceil(SHARE * sizes)).astype(np.int64)
         self.part = np.where(sizes < SHORT, sizes, np.ceil(PART * sizes)).astype(np.int64)
+        self.told = np.ceil(ANSWER * np.bitwise_count(self.answers)).astype(np.int64)
+        #: 1 for the words of a passage, and 256 more for those of its answer
+        own = self.masks[self.number]
+        self.held = (own > 0).astype(np.uint16) + np.uint16(256) * ((own & self.answers) > 0)
+
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        place = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return np.where(self.words[place] == hashes, place, len(self.words))
+
+    def leaks(self, word: np.ndarray, begin: np.ndarray, stop: np.ndarray, passage: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which candidates, passages and spans of words, are leaks, and their words in common."""
+        place = begin[:, None] + np.arange(int((stop - begin).max()))
+        own = np.where(place < stop[:, None], word[np.minimum(place, len(word) - 1)], len(self.words))
+        masks = self.masks[self.number[own, passage[:, None]]]
+        # no subsequence is longer than the number of places whose words occur
+        some = np.flatnonzero(np.bitwise_count(np.bitwise_or.reduce(masks, axis=1)) >= self.part[passage])
+        masks, passage = masks[some], passage[some]
+        length, answer = common_length(masks), self.answers[passage]
+        told = common_length(masks & answer[:, None]) >= self.told[passage]
+        leak = (length >= self.need[passage]) | ((length >= self.part[passage]) & told)
+        return some[leak], length[leak]
+
+
+class Matcher:
+    """Finds the passages of one block of the benchmark in pieces of the documents."""
+
+    def __init__(self, latent: Latent, block: Passages, cosine: float = COSINE):
+        self.latent, self.cosine = latent, cosine
+        self.size = np.diff(block.at)
+        vectors = latent.cells(block.hashes, block.at)
+        self.groups = []
+        for a in range(0, len(self.size), GROUP):
+            at = block.at[a : a + GROUP + 1]
+            own = slice(at[0], at[-1])
+            self.groups.append((a, Group(vectors[a : a + GROUP], block.hashes[own], at - at[0], block.answer[own])))
 
     def find(self, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """``(row, passage, words in common, cosine)`` of the leaks in rows of words."""
         cells = _cells(at, BLOCK)
         n = len(cells) - 1
+        found = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0),)]
         if not n:
-            return (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
+            return found[0]
         row = np.searchsorted(at, cells[:-1], "right") - 1
-        end = np.searchsorted(cells, at[row + 1])
-        sums = np.zeros((n + 1, self.vectors.shape[1]))
+        first, end = np.searchsorted(cells, at[row]), np.searchsorted(cells, at[row + 1])
+        sums = np.zeros((n + 1, self.latent.basis.shape[1]))
         np.cumsum(self.latent.cells(hashes, cells), axis=0, out=sums[1:])
-        bucket, found = _buckets(hashes), []
-        for m in np.unique(self.blocks):
-            mine = np.flatnonzero(self.blocks == m)
-            for a in range(0, n, 1 << 14):
-                i = np.arange(a, min(n, a + (1 << 14)))
-                window = (sums[np.minimum(i + m, end[i])] - sums[i]).astype(np.float32)
-                window /= np.maximum(np.linalg.norm(window, axis=1), 1e-12)[:, None]
-                score = window @ self.vectors[mine].T
-                p, q = np.nonzero(score >= self.cosine)
-                for k in range(0, len(p), 1 << 14):
-                    found.append(self.check(hashes, bucket, cells, at, row, i[p[k : k + (1 << 14)]], mine[q[k : k + (1 << 14)]], score[p[k : k + (1 << 14)], q[k : k + (1 << 14)]]))
-        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
-
-    def check(self, hashes: np.ndarray, bucket: np.ndarray, cells: np.ndarray, at: np.ndarray, row: np.ndarray, cell: np.ndarray, passage: np.ndarray, score: np.ndarray) -> tuple:
-        """Of candidates, those that are leaks; a window is seen with one more block on either side."""
-        begin = np.maximum(cells[cell] - BLOCK, at[row[cell]])
-        stop = np.minimum(cells[cell] + (self.blocks[passage] + 1) * BLOCK, at[row[cell] + 1])
-        # first by buckets: no subsequence is longer than the number of words that fall in one of the passage's
-        place = begin[:, None] + np.arange(int((stop - begin).max()))
-        inside = self.held[passage[:, None], bucket[np.minimum(place, len(hashes) - 1)]] & (place < stop[:, None])
-        some = np.count_nonzero(inside, axis=1) >= self.part[passage]
-        if not some.any():
-            return (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
-        cell, passage, score, begin, stop = cell[some], passage[some], score[some], begin[some], stop[some]
-        width = int((stop - begin).max())
-        place = begin[:, None] + np.arange(width)
-        words = hashes[np.minimum(place, len(hashes) - 1)]
-        known = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        key = passage[:, None] * len(self.words) + known
-        k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        ok = (self.keys[k] == key) & (self.words[known] == words) & (place < stop[:, None])
-        masks = np.where(ok, self.masks[k], u64(0))
-        # no subsequence is longer than the number of places whose words occur
-        likely = np.bitwise_count(np.bitwise_or.reduce(masks, axis=1)) >= self.part[passage]
-        masks, cell, passage, score = masks[likely], cell[likely], passage[likely], score[likely]
-        length = common_length(masks)
-        answer = self.answers[passage]
-        told = common_length(masks & answer[:, None]) >= ANSWER * np.bitwise_count(answer)
-        leak = (length >= self.need[passage]) | ((length >= self.part[passage]) & told)
-        return row[cell[leak]], passage[leak], length[leak], score[leak]
+        for offset, group in self.groups:
+            word = group.known(hashes)
+            for m in np.unique(group.blocks):
+                mine = np.flatnonzero(group.blocks == m)
+                table = np.ascontiguousarray(group.held[:, mine])
+                need, part, told = (x[mine].astype(np.uint8) for x in (group.need, group.part, group.told))
+                for a in range(0, n, 1 << 13):
+                    i = np.arange(a, min(n, a + (1 << 13)))
+                    start = max(0, a - 1)
+                    held = _sums(table, word, cells[start : i[-1] + m + 2])
+                    window = (sums[np.minimum(i + m, end[i])] - sums[i]).astype(np.float32)
+                    window /= np.maximum(np.linalg.norm(window, axis=1), 1e-12)[:, None]
+                    score = window @ group.vectors[mine].T
+                    # a window is read with one more block on either side, and no subsequence is longer
+                    # than the number of its words that the passage holds
+                    low, high = np.maximum(i - 1, first[i]), np.minimum(i + m + 1, end[i])  # so at most 7 * 16 words
+                    common = np.zeros(score.shape, np.uint16)
+                    for k in range(int(m) + 2):
+                        common += held[np.minimum(low + k, high - 1) - start] * (low + k < high).astype(np.uint16)[:, None]
+                    known = common.astype(np.uint8)
+                    likely = (known >= need) | (known >= part) & ((common >> 8).astype(np.uint8) >= told)
+                    p, q = np.nonzero(likely & (score >= self.cosine))
+                    for k in range(0, len(p), 1 << 14):
+                        x, y = p[k : k + (1 << 14)], q[k : k + (1 << 14)]
+                        some, length = group.leaks(word, cells[low[x]], cells[high[x]], mine[y])
+                        found.append((row[i[x[some]]], offset + mine[y[some]], length, score[x[some], y[some]]))
+        return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, latent: Latent | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", cosine: float = COSINE) -> DataFrame:
