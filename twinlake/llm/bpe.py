@@ -88,7 +88,7 @@ def piece_arrays(items: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return np.frombuffer(b"".join(items), np.uint8), np.cumsum(lengths) - lengths, lengths
 
 
-def id_slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def id_slices(column: pa.Array, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """``(ids, row offsets)`` of whole rows of a list column, about ``most`` ids at a time."""
     offsets = column.offsets.to_numpy()
     flat = column.values.to_numpy(zero_copy_only=False)
@@ -108,12 +108,14 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = piece_arrays(items)
         for batch in batches:
-            texts = []
+            row = 0
             for ids, offsets in id_slices(batch.column("ids")):
                 data = decoded_bytes(ids, table).tobytes()
                 ends = np.append(0, np.cumsum(table[2][ids]))[offsets].tolist()
-                texts += [data[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+                texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
+                part = batch.slice(row, len(texts))
+                row += len(texts)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
     from pyspark.sql import functions as F

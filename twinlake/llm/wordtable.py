@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from twinlake.llm import textscan
 
-BLOCK = 16 << 20
+BLOCK = 8 << 20
 CACHE = 2_000_000
 MOST_TASKS = 20_000
 
@@ -248,7 +248,9 @@ def join_by_word(
             values += unpack(packed[k].as_py())
         if len(values) != len(order):
             raise RuntimeError("the distinct pre-tokens of a block differ between its two readings")
-        return finish(pa.concat_tables(texts), block, block.hashes[order], values)
+        out = finish(pa.concat_tables(texts), block, block.hashes[order], values)
+        pa.default_memory_pool().release_unused()
+        return out
 
     payload = "block int, bucket int, payload binary"
     # both readings take the same columns, so they share one exchange of the texts
