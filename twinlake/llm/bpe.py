@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from twinlake.llm.wordtable import BLOCK, Block, Vocabulary, join_by_word
+from twinlake.llm.wordtable import BLOCK, Block, Vocabulary, give_back, join_by_word
 
 
 def byte_level(path: str) -> Vocabulary:
@@ -116,6 +116,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
                 part = batch.slice(row, len(texts))
                 row += len(texts)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+            give_back()
 
     kind = encoded.schema[id_col].dataType.simpleString()
     from pyspark.sql import functions as F

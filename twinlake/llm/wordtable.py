@@ -9,6 +9,7 @@ pre-tokens twice. Memory is bounded by a block, and by ``CACHE`` pre-tokens in a
 
 from __future__ import annotations
 
+import ctypes
 import math
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -25,6 +26,16 @@ from twinlake.llm import textscan
 BLOCK = 8 << 20
 CACHE = 2_000_000
 MOST_TASKS = 20_000
+#: Characters that are cut into pre-tokens at once.
+PIECE = textscan.CHUNK // 2
+
+
+def give_back() -> None:
+    """Return free memory to the system: Python workers outlive their tasks, and what they hold adds up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU library has it
+    if trim is not None:
+        trim(0)
 
 
 @dataclass(frozen=True)
@@ -84,7 +95,7 @@ class Block:
         start, size = 0, 0
         for k, text in enumerate(texts):
             size += len(text)
-            if size > textscan.CHUNK or k + 1 == len(texts):
+            if size > PIECE or k + 1 == len(texts):
                 self._chunk(texts[start : k + 1], keep_places)
                 start, size = k + 1, 0
 
@@ -164,6 +175,8 @@ def packets(batches: Iterator[pa.RecordBatch], flush: int = 8 << 20) -> Iterator
                 held, size = [], 0
     if held:
         yield packed(held)
+        held = []
+    give_back()
 
 
 def opened(payload: bytes) -> pa.Table:
@@ -215,10 +228,13 @@ def join_by_word(
                 if block is not None:
                     yield flush()
                 block, name = Block(vocabulary), key
+                give_back()
             for payload in piece.column("payload").to_pylist():
                 block.add(opened(payload).column("text").to_pylist(), False)
         if block is not None:
             yield flush()
+        block = None
+        give_back()
 
     def values_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenize, cache = vocabulary.encoder(), {}
@@ -234,6 +250,9 @@ def join_by_word(
                     cache.update(zip(part, encode(tokenize([w.decode() for w in part]))))
                 out.append(pack([cache[w] for w in words]))
             yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(out, pa.binary())], names=["block", "bucket", "payload"])
+        cache.clear()
+        tokenize = None
+        give_back()
 
     def join(sent: pa.Table, payloads: pa.Table) -> pa.Table:
         block, texts = Block(vocabulary), []
@@ -249,7 +268,8 @@ def join_by_word(
         if len(values) != len(order):
             raise RuntimeError("the distinct pre-tokens of a block differ between its two readings")
         out = finish(pa.concat_tables(texts), block, block.hashes[order], values)
-        pa.default_memory_pool().release_unused()
+        del texts, values, block, sent, payloads, packed
+        give_back()
         return out
 
     payload = "block int, bucket int, payload binary"
