@@ -207,6 +207,34 @@ def test_common_length_is_that_of_the_table():
         assert decontaminate.common_length(masks)[0] == lcs(a, b)
 
 
+def test_windows_are_those_of_all_spans(monkeypatch):
+    """Without a cosine, every window of every row against every passage, in groups of a few passages."""
+    rng = np.random.default_rng(6)
+    sizes = np.array([3, 9, 20, 33, 50, 64, 5, 40, 12, 30])
+    words = rng.integers(1, 2**63, 40).astype(np.uint64)
+    passages = [words[rng.integers(0, 40, n)] for n in sizes]
+    rows = [words[rng.integers(0, 40, n)] for n in (0, 1, 15, 16, 17, 90, 200)]
+    rows += [np.concatenate([rows[5], p[: max(1, len(p) * 9 // 10)], rows[4]]) for p in passages]
+    answer = np.concatenate([np.arange(n) >= n * 3 // 4 for n in sizes])
+    block = decontaminate.Passages(list(range(len(sizes))), np.concatenate(passages), np.append(0, np.cumsum(sizes)), answer)
+    latent = decontaminate.Latent(np.ones(decontaminate.BUCKETS, np.float32), rng.normal(size=(decontaminate.BUCKETS, 8)).astype(np.float32))
+    want = set()
+    for r, row in enumerate(rows):
+        cells = range(0, len(row), decontaminate.BLOCK)
+        for p, passage in enumerate(passages):
+            n, m = len(passage), -(-(len(passage) + decontaminate.BLOCK - 1) // decontaminate.BLOCK)
+            need, part = (n, n) if n < decontaminate.SHORT else (-(-3 * n // 4), -(-n // 2))
+            tail = passage[n * 3 // 4 :].tolist()
+            for c in cells:
+                span = row[max(0, c - decontaminate.BLOCK) : c + (m + 1) * decontaminate.BLOCK].tolist()
+                length = lcs(passage.tolist(), span)
+                if length >= need or length >= part and lcs(tail, span) >= 0.75 * len(tail):
+                    want.add((r, p, length))
+    monkeypatch.setattr(decontaminate, "GROUP", 3)
+    got = decontaminate.Matcher(latent, block, -2.0).find(np.concatenate(rows), np.append(0, np.cumsum([len(x) for x in rows])))
+    assert set(zip(*(x.tolist() for x in got[:3]))) == want and want
+
+
 def test_planted_leaks_are_found_and_clean_documents_left(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
     items = {r.item_id: r.text for r in spark.read.parquet(f"{DATA}/sf0.01/benchmark.parquet").collect()}
