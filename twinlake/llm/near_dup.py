@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -142,9 +143,17 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["src", "dst"]).filter(pa.array(ok))
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _nearest(p: np.ndarray, q: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Of pairs, those that are the best of one of their ends."""
+    end = np.concatenate([p, q])
+    order = np.lexsort((-np.concatenate([share, share]), end))
+    first = np.append(True, end[order][1:] != end[order][:-1])
+    return np.unique(order[first] % len(p))
+
+
+def _meet(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.RecordBatch]:
     """Rows sorted by piece of work: the pairs of a piece that come from different components, are likely
-    by their signatures, and whose first common band is this one."""
+    by their signatures, and whose first common band is this one; all of them or each member's nearest."""
     held: pa.Table | None = None
     keys = ["band", "word", "i", "j"]
 
@@ -155,7 +164,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = np.cumsum(fresh)
         words = np.frombuffer(b"".join(table.column("words").to_pylist()), u64).reshape(len(key), BANDS)
         side, member, comp, size = (table.column(c).to_numpy() for c in ("side", "class", "component", "n_shingles"))
-        src, dst = [], []
+        left, right, close = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
         rows, d = np.arange(len(key)), 1
         while len(rows := rows[rows + d < len(key)]) and len(rows := rows[piece[rows] == piece[rows + d]]):
             other = rows + d
@@ -165,11 +174,17 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(p):
                 first = (words[p] == words[q]).argmax(axis=1) == key[p, 0]
                 p, q = p[first], q[first]
-                good = shares(words[p], words[q]) >= LEAST_SHARE
-                src.append(member[p[good]])
-                dst.append(member[q[good]])
+                share = shares(words[p], words[q])
+                good = share >= LEAST_SHARE
+                left.append(p[good])
+                right.append(q[good])
+                close.append(share[good])
             d += 1
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (src, dst)], names=["src", "dst"])
+        p, q, share = (np.concatenate(x) for x in (left, right, close))
+        if nearest and len(p):
+            some = _nearest(p, q, share)
+            p, q = p[some], q[some]
+        return pa.RecordBatch.from_arrays([pa.array(member[x], pa.int64()) for x in (p, q)], names=["src", "dst"])
 
     for batch in batches:
         table = pa.Table.from_batches([batch])
@@ -195,7 +210,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows with equal sets (128 bits of hashes) are one class from the start. Classes that share a band of
     their SuperMinHash signatures are candidates: first each with the smallest of its bucket; then, in
     buckets that still hold several components, members of different components meet in pieces of bounded
-    size, and only likely pairs go on. All candidates are confirmed on full sets. So a bucket of any size
+    size, and only likely pairs go on: in one round each member's nearest, and once those are linked, all
+    that are left between components. All candidates are confirmed on full sets. So a bucket of any size
     neither lands in one task nor gives all its pairs, and no link between components is passed over.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -225,20 +241,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return classes.select("class").join(found, "class", "left").select("class", F.coalesce("component", "class").alias("component"))
 
     parts = component_of(links)
-    placed = members.join(parts, "class").select("band", "word", "class", "component", "members")
-    mixed = placed.groupBy("band", "word").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "word")
-    pieces = F.ceil(F.col("members") / PIECE).cast("int")
-    mine = F.pmod(F.xxhash64("class"), pieces).cast("int")
-    rest = placed.join(mixed, ["band", "word"]).withColumns({"pieces": pieces, "mine": mine}).join(classes.select("class", "n_shingles", "words"), "class")
-    spread = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    work = spread.select(
-        "band", "word", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("side"), "class", "component", "n_shingles", "words"
-    )
-    dealt = work.repartition("band", "word", "i", "j").sortWithinPartitions("band", "word", "i", "j")
-    more = confirmed(dealt.mapInArrow(_meet, "src long, dst long").distinct())
-    whole = component_of(links.unionByName(more)) if not more.isEmpty() else parts
-
-    named = classes.join(whole, "class").select("class", "component", "first_id")
+    for nearest in (True, False):
+        placed = members.join(parts, "class").select("band", "word", "class", "component", "members")
+        mixed = placed.groupBy("band", "word").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "word")
+        pieces = F.ceil(F.col("members") / PIECE).cast("int")
+        mine = F.pmod(F.xxhash64("class"), pieces).cast("int")
+        rest = placed.join(mixed, ["band", "word"]).withColumns({"pieces": pieces, "mine": mine}).join(classes.select("class", "n_shingles", "words"), "class")
+        spread = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+        work = spread.select(
+            "band", "word", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("side"), "class", "component", "n_shingles", "words"
+        )
+        dealt = work.repartition("band", "word", "i", "j").sortWithinPartitions("band", "word", "i", "j")
+        more = confirmed(dealt.mapInArrow(functools.partial(_meet, nearest=nearest), "src long, dst long").distinct())
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            parts = component_of(links)
+
+    named = classes.join(parts, "class").select("class", "component", "first_id")
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     names = named.join(least, "component").select("class", "component_id")
     alone = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
