@@ -266,6 +266,34 @@ def test_planted_leaks_are_found_and_clean_documents_left(spark):
     assert decontaminate.find_leaks(frame, benchmark.limit(0), latent).count() == 0
 
 
+def test_leaks_in_repeated_words_and_reworded_leaks_are_all_found(spark):
+    """Whole items amid runs of repeated words, and items of which half of the words and the answer are left."""
+    rng = random.Random(8)
+    texts = [r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{DATA}/sf0.01/benchmark.parquet").collect()}
+    benchmark = spark.createDataFrame([*items.items()], "item_id long, text string")
+    (block,) = decontaminate.benchmark_passages(benchmark)
+    long = [t.split() for t in texts if len(t.split()) > 150 and not any(x in t for x in items.values())]
+    rows, kinds = [], {"repeated": set(), "reworded": set()}
+    for k, item in enumerate(block.items):
+        words = re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+", items[item])
+        answer = block.answer[block.at[k] : block.at[k + 1]]
+        assert len(words) == len(answer)
+        few = [w for w in rng.sample(long[k % len(long)], 4) for _ in range(40)]
+        rows.append((k, " ".join(few[:90] + words + few[90:])))
+        kinds["repeated"].add((k, item))
+        other, gone = long[(k + 1) % len(long)], np.flatnonzero(~answer).tolist()
+        for i in rng.sample(gone, min(len(gone), len(words) // 2)):
+            words[i] = rng.choice(other)
+        rows.append((1000 + k, " ".join(other[:60] + words + other[60:120])))
+        kinds["reworded"].add((1000 + k, item))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    latent = decontaminate.fit(spark.read.parquet(f"{SMALL}/documents.parquet"))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame, benchmark, latent).collect()}
+    assert {k: len(x & got) for k, x in kinds.items()} == {k: len(x) for k, x in kinds.items()}
+    assert decontaminate.drop_leaks(frame, benchmark, latent).count() == 0
+
+
 def test_pipeline_is_its_stages(spark):
     import corpus_pipeline
 

@@ -1,14 +1,16 @@
-"""Benchmark decontamination: latent semantic retrieval of passages, then longest common subsequences.
+"""Benchmark decontamination: longest common subsequences of windows with passages, and their latent cosines.
 
-Hashed TF-IDF of all passages is reduced by a distributed randomised SVD. Windows of every text whose
-latent cosine with a benchmark passage is high are candidates; a candidate is a leak by its longest
-common subsequence with the passage and, if reworded, by the passage's answer.
+Windows of every text that hold enough of a benchmark passage's words, by exact bounds, are candidates; a
+candidate is a leak by its longest common subsequence with the passage and, if reworded, by the passage's
+answer. Hashed TF-IDF of all passages is reduced by a distributed randomised SVD; leaks are told with their
+cosine in that latent space, which passes nothing over unless a caller gives a least cosine.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +28,6 @@ BLOCK = 16
 BUCKETS, COLUMNS, RANK = 1 << 12, 96, 80
 #: Passages whose TF-IDF rows are held as a dense matrix at once.
 DENSE = 512
-#: Candidates have at least this cosine.
-COSINE = 0.3
 #: A leak has this share of a passage in order, or the lesser share and as much of its answer.
 SHARE, PART, ANSWER = 0.75, 0.5, 0.75
 #: Benchmark passages with fewer words are only leaks when whole.
@@ -82,14 +82,14 @@ def _padded(table: np.ndarray) -> np.ndarray:
     return np.concatenate([table, np.zeros((1, table.shape[1]), table.dtype)])
 
 
-def _sums(table: np.ndarray, words: np.ndarray, cells: np.ndarray, piece: int = 1 << 12) -> np.ndarray:
-    """The sums of the rows that the words between ``cells`` have in a table, whose last row is zero."""
-    out = np.zeros((len(cells) - 1, table.shape[1]), table.dtype)
+def _sums(table: np.ndarray, words: np.ndarray, begin: np.ndarray, end: np.ndarray, piece: int = 1 << 12) -> np.ndarray:
+    """The sums of the rows that the words of spans have in a table, whose last row is zero."""
+    out = np.zeros((len(begin), table.shape[1]), table.dtype)
     for a in range(0, len(out), piece):
-        mine, begin, end = out[a : a + piece], cells[a : a + piece + 1][:-1], cells[a + 1 : a + piece + 1]
+        mine, low, high = out[a : a + piece], begin[a : a + piece], end[a : a + piece]
         rows = np.empty_like(mine)
-        for j in range(int((end - begin).max())):
-            at = np.where(begin + j < end, words[np.minimum(begin + j, len(words) - 1)], len(table) - 1)
+        for j in range(int((high - low).max())):
+            at = np.where(low + j < high, words[np.minimum(low + j, len(words) - 1)], len(table) - 1)
             mine += table.take(at, axis=0, out=rows, mode="clip")
     return out
 
@@ -101,9 +101,14 @@ class Latent:
     idf: np.ndarray
     basis: np.ndarray
 
-    def cells(self, hashes: np.ndarray, cells: np.ndarray) -> np.ndarray:
-        """Latent vectors of the bags of words between ``cells``."""
-        return _sums(_padded(self.basis * self.idf[:, None]), _buckets(hashes), cells)
+    @cached_property
+    def weighted(self) -> np.ndarray:
+        return _padded(self.basis * self.idf[:, None])
+
+    def spans(self, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Latent vectors, of length one, of the bags of words of spans."""
+        out = _sums(self.weighted, _buckets(hashes), begin, end)
+        return out / np.maximum(np.linalg.norm(out, axis=1), 1e-12)[:, None]
 
 
 def fit(docs: DataFrame, text_col: str = "text", seed: int = 0) -> Latent:
@@ -125,7 +130,7 @@ def fit(docs: DataFrame, text_col: str = "text", seed: int = 0) -> Latent:
                 weight = idf[bucket]
                 owner = np.repeat(np.arange(len(cells) - 1), np.diff(cells))
                 norm = np.sqrt(np.bincount(owner, weight * weight, minlength=len(cells) - 1)).astype(np.float32)
-                image = _sums(weighted, bucket, cells) / norm[:, None]
+                image = _sums(weighted, bucket, cells[:-1], cells[1:]) / norm[:, None]
                 for i in range(0, len(cells) - 1, DENSE):
                     j = min(len(cells) - 1, i + DENSE)
                     mine = slice(cells[i], cells[j])
@@ -214,7 +219,7 @@ class Group:
 
     def __init__(self, vectors: np.ndarray, hashes: np.ndarray, at: np.ndarray, answer: np.ndarray):
         sizes = np.diff(at)
-        self.vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)[:, None]
+        self.vectors = vectors
         #: a window of so many blocks holds a passage wherever it begins
         self.blocks = -(-(sizes + BLOCK - 1) // BLOCK)
         owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -237,6 +242,14 @@ class Group:
         own = self.masks[self.number]
         self.held = (own > 0).astype(np.uint16) + np.uint16(256) * ((own & self.answers) > 0)
 
+    def places(self, word: np.ndarray, begin: np.ndarray, stop: np.ndarray, passage: np.ndarray) -> np.ndarray:
+        """The places of passages whose words occur in spans of words."""
+        out = np.zeros(len(begin), u64)
+        for j in range(int((stop - begin).max(initial=0))):
+            own = np.where(begin + j < stop, word[np.minimum(begin + j, len(word) - 1)], len(self.words))
+            out |= self.masks[self.number[own, passage]]
+        return out
+
     def known(self, hashes: np.ndarray) -> np.ndarray:
         place = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
         return np.where(self.words[place] == hashes, place, len(self.words))
@@ -246,22 +259,19 @@ class Group:
         place = begin[:, None] + np.arange(int((stop - begin).max()))
         own = np.where(place < stop[:, None], word[np.minimum(place, len(word) - 1)], len(self.words))
         masks = self.masks[self.number[own, passage[:, None]]]
-        # no subsequence is longer than the number of places whose words occur
-        some = np.flatnonzero(np.bitwise_count(np.bitwise_or.reduce(masks, axis=1)) >= self.part[passage])
-        masks, passage = masks[some], passage[some]
         length, answer = common_length(masks), self.answers[passage]
         told = common_length(masks & answer[:, None]) >= self.told[passage]
         leak = (length >= self.need[passage]) | ((length >= self.part[passage]) & told)
-        return some[leak], length[leak]
+        return np.flatnonzero(leak), length[leak]
 
 
 class Matcher:
     """Finds the passages of one block of the benchmark in pieces of the documents."""
 
-    def __init__(self, latent: Latent, block: Passages, cosine: float = COSINE):
+    def __init__(self, latent: Latent, block: Passages, cosine: float | None = None):
         self.latent, self.cosine = latent, cosine
         self.size = np.diff(block.at)
-        vectors = latent.cells(block.hashes, block.at)
+        vectors = latent.spans(block.hashes, block.at[:-1], block.at[1:])
         self.groups = []
         for a in range(0, len(self.size), GROUP):
             at = block.at[a : a + GROUP + 1]
@@ -277,8 +287,6 @@ class Matcher:
             return found[0]
         row = np.searchsorted(at, cells[:-1], "right") - 1
         first, end = np.searchsorted(cells, at[row]), np.searchsorted(cells, at[row + 1])
-        sums = np.zeros((n + 1, self.latent.basis.shape[1]))
-        np.cumsum(self.latent.cells(hashes, cells), axis=0, out=sums[1:])
         for offset, group in self.groups:
             word = group.known(hashes)
             for m in np.unique(group.blocks):
@@ -288,33 +296,48 @@ class Matcher:
                 for a in range(0, n, 1 << 13):
                     i = np.arange(a, min(n, a + (1 << 13)))
                     start = max(0, a - 1)
-                    held = _sums(table, word, cells[start : i[-1] + m + 2])
-                    window = (sums[np.minimum(i + m, end[i])] - sums[i]).astype(np.float32)
-                    window /= np.maximum(np.linalg.norm(window, axis=1), 1e-12)[:, None]
-                    score = window @ group.vectors[mine].T
+                    near = cells[start : i[-1] + m + 2]
+                    held = _sums(table, word, near[:-1], near[1:])
                     # a window is read with one more block on either side, and no subsequence is longer
                     # than the number of its words that the passage holds
                     low, high = np.maximum(i - 1, first[i]), np.minimum(i + m + 1, end[i])  # so at most 7 * 16 words
-                    common = np.zeros(score.shape, np.uint16)
+                    common = np.zeros((len(i), len(mine)), np.uint16)
                     for k in range(int(m) + 2):
                         common += held[np.minimum(low + k, high - 1) - start] * (low + k < high).astype(np.uint16)[:, None]
                     known = common.astype(np.uint8)
                     likely = (known >= need) | (known >= part) & ((common >> 8).astype(np.uint8) >= told)
-                    p, q = np.nonzero(likely & (score >= self.cosine))
+                    p, q = np.nonzero(likely)
+                    # nor is one longer than the number of the passage's places whose words occur
+                    spans = [np.minimum(low[p] + k, high[p] - 1) - start for k in range(int(m) + 2)]
+                    wanted, seen = np.zeros(held.shape, bool), np.zeros(held.shape, u64)
+                    for x in spans:
+                        wanted[x, q] = True
+                    x, y = np.nonzero(wanted)
+                    seen[x, y] = group.places(word, near[x], near[x + 1], mine[y])
+                    places = np.zeros(len(p), u64)
+                    for x in spans:
+                        places |= seen[x, q]
+                    known, answered = np.bitwise_count(places), np.bitwise_count(places & group.answers[mine[q]])
+                    likely = (known >= need[q]) | (known >= part[q]) & (answered >= told[q])
+                    p, q = p[likely], q[likely]
                     for k in range(0, len(p), 1 << 14):
                         x, y = p[k : k + (1 << 14)], q[k : k + (1 << 14)]
                         some, length = group.leaks(word, cells[low[x]], cells[high[x]], mine[y])
-                        found.append((row[i[x[some]]], offset + mine[y[some]], length, score[x[some], y[some]]))
+                        x, y = i[x[some]], mine[y[some]]
+                        window = self.latent.spans(hashes, cells[x], cells[np.minimum(x + m, end[x])])
+                        score = (window * group.vectors[y]).sum(axis=1)
+                        ok = slice(None) if self.cosine is None else score >= self.cosine
+                        found.append((row[x[ok]], offset + y[ok], length[ok], score[ok]))
         return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, latent: Latent | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", cosine: float = COSINE) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, latent: Latent | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", cosine: float | None = None) -> DataFrame:
     """``(doc_id, item_id, words_in_common, share, cosine)``: the benchmark items that a document holds.
 
     Words are runs of letters, digits and characters beyond ASCII, A-Z lower-cased. A document holds an
     item if a window of it has 3/4 of the words of one of the item's passages (64 words at most) in order,
     or half of them and 3/4 of the passage's answer; passages under 8 words must be whole. The best window
-    counts. Null texts are empty and hold nothing; empty tables give no rows; rows that repeat an id are
+    counts. No window is passed over, unless ``cosine`` is given, which leaks then have at least. Null texts are empty and hold nothing; empty tables give no rows; rows that repeat an id are
     one document; a null id is an id. Other columns are not read.
     """
     latent = latent or fit(docs, text_col)
