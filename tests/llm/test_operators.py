@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -294,6 +295,23 @@ def test_leaks_in_repeated_words_and_reworded_leaks_are_all_found(spark):
     assert decontaminate.drop_leaks(frame, benchmark, latent).count() == 0
 
 
+def test_items_over_a_passage_leave_no_short_passage(spark):
+    """The last words of long items stand in many clean documents; whole items, or their last 64 words, are leaks."""
+    clean = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect() if r.text]
+    common = [w for w, _ in Counter(w for _, t in clean for w in re.findall("[a-z]+", t)).most_common(3)]
+    items = {n: [f"w{n}x{k}" for k in range(n - n % 64)] + common[: n % 64] for n in (64, 65, 66, 130)}
+    benchmark = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    (block,) = decontaminate.benchmark_passages(benchmark)
+    sizes = sorted(zip(block.items, np.diff(block.at).tolist()))
+    assert sizes == [(64, 64), (65, 64), (65, 64), (66, 64), (66, 64), (130, 64), (130, 64), (130, 64)]
+    rows = clean + [(-n, f"{clean[n][1]} {' '.join(w)}") for n, w in items.items()] + [(-1000 - n, " ".join(w[-64:])) for n, w in items.items()]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    latent = decontaminate.fit(frame)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(frame, benchmark, latent).collect()}
+    assert got == {(-n, n) for n in items} | {(-1000 - n, n) for n in items}
+    assert {r.doc_id for r in decontaminate.drop_leaks(frame, benchmark, latent).collect()} == {k for k, _ in clean}
+
+
 def test_pipeline_is_its_stages(spark):
     import corpus_pipeline
 

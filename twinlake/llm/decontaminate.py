@@ -164,7 +164,8 @@ class Passages:
 
 
 def benchmark_passages(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Passages]:
-    """The benchmark in blocks of ``AT_ONCE`` passages of up to ``PASSAGE`` words; a longer item is several.
+    """The benchmark in blocks of ``AT_ONCE`` passages of up to ``PASSAGE`` words; a longer item is several,
+    of which the last is its last ``PASSAGE`` words where fewer than ``SHORT`` would be left for it.
     The answer of a passage is its last sentence, or its last quarter where that is one sentence.
     Null and empty texts have no passages."""
 
@@ -176,13 +177,15 @@ def benchmark_passages(benchmark: DataFrame, id_col: str = "item_id", text_col:
                 stops = np.append(0, np.cumsum(np.isin(values, np.frombuffer(b".!?\n", np.uint8))))
                 sentence = stops[starts]
                 rows = np.searchsorted(at, cells[:-1], "right") - 1
+                begin, end = cells[:-1], cells[1:]
+                begin = np.where((end - begin < SHORT) & (begin > at[rows]), end - PASSAGE, begin)
                 tails = []
-                for i, j in zip(cells[:-1], cells[1:]):
+                for i, j in zip(begin, end):
                     own = np.flatnonzero(sentence[i:j] == sentence[j - 1])
                     first = int(own[0]) if len(own) else 0
                     tails.append(first if 0 < first <= (j - i) - min(3, j - i) else int((j - i) * 3 // 4))
                 ids = batch.column("item_id").slice(a, b - a).take(pa.array(rows))
-                words = pa.array([hashes[i:j].tobytes() for i, j in zip(cells[:-1], cells[1:])], pa.binary())
+                words = pa.array([hashes[i:j].tobytes() for i, j in zip(begin, end)], pa.binary())
                 yield pa.RecordBatch.from_arrays([ids, words, pa.array(tails, pa.int32())], names=["item_id", "words", "tail"])
 
     kind = benchmark.schema[id_col].dataType.simpleString()
