@@ -245,12 +245,12 @@ class Group:
         own = self.masks[self.number]
         self.held = (own > 0).astype(np.uint16) + np.uint16(256) * ((own & self.answers) > 0)
 
-    def places(self, word: np.ndarray, begin: np.ndarray, stop: np.ndarray, passage: np.ndarray) -> np.ndarray:
-        """The places of passages whose words occur in spans of words."""
-        out = np.zeros(len(begin), u64)
+    def places(self, word: np.ndarray, begin: np.ndarray, stop: np.ndarray, span: np.ndarray, passage: np.ndarray) -> np.ndarray:
+        """The places of passages whose words occur in spans of words, of pairs of a span and a passage."""
+        out = np.zeros(len(span), u64)
         for j in range(int((stop - begin).max(initial=0))):
-            own = np.where(begin + j < stop, word[np.minimum(begin + j, len(word) - 1)], len(self.words))
-            out |= self.masks[self.number[own, passage]]
+            own = np.where(begin + j < stop, word[np.minimum(begin + j, len(word) - 1)], len(self.words)) * self.number.shape[1]
+            out |= self.masks.take(self.number.take(own.take(span) + passage, mode="clip"), mode="clip")
         return out
 
     def known(self, hashes: np.ndarray) -> np.ndarray:
@@ -315,8 +315,8 @@ class Matcher:
                     wanted, seen = np.zeros(held.shape, bool), np.zeros(held.shape, u64)
                     for x in spans:
                         wanted[x, q] = True
-                    x, y = np.nonzero(wanted)
-                    seen[x, y] = group.places(word, near[x], near[x + 1], mine[y])
+                    x, y = np.nonzero(wanted & (held > 0))
+                    seen[x, y] = group.places(word, near[:-1], near[1:], x, mine[y])
                     places = np.zeros(len(p), u64)
                     for x in spans:
                         places |= seen[x, q]
