@@ -158,6 +158,40 @@ def test_licenses_base_places(hard):
     assert licenses.scan_licenses(hard.limit(0)).count() == 0
 
 
+NOTICES = {
+    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n \n2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.",
+    "apache": "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, software\ndistributed under the License is distributed on an \"AS IS\" BASIS,\nWITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\nSee the License for the specific language governing permissions and\nlimitations under the License.",
+    "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details.",
+}
+
+
+def test_licenses_are_those_of_all_runs_of_paragraphs(spark):
+    rng = random.Random(9)
+    words = lambda t: re.findall("[a-z0-9]+", t.lower())
+    prose = lambda n: " ".join(rng.choice(["the", "of", "license", "copy", "conditions", "and", "to", "word", "notice", "any"]) for _ in range(n))
+    texts = [f"{prose(30)}\n\nCopyright 2020 A. Name\n\n{t}\n\n\n{prose(30)}" for t in NOTICES.values()]
+    for _ in range(300):
+        whole = (rng.choice(licenses.TEMPLATES)[1] if rng.random() < 0.7 else prose(60)).split()
+        kept = [w for w in whole if rng.random() < rng.choice([0.8, 0.9, 1.0])] + prose(rng.randrange(20)).split()
+        for _ in range(rng.randrange(6)):
+            kept.insert(rng.randrange(len(kept) + 1), rng.choice(["\n\n", "\n \t\n", "\n\n\n", f"\n\n{prose(rng.choice([5, 90]))}\n\n"]))
+        texts.append(" ".join(kept))
+    texts += [None, "", "\n\n", "\n\n a \n\n"]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, text in enumerate(texts):
+        blocks = [x for x in map(words, re.split(r"\n[ \t]*(?=\n)", text or "")) if x]
+        labels, best = set(got[k].base_labels.split(",")) - {""}, float(got[k].n_base > 0)
+        for label, template in licenses.TEMPLATES:
+            own = set(words(template))
+            for i in range(len(blocks)):
+                for j in range(i, len(blocks)):
+                    share = len(own & set().union(*blocks[i : j + 1])) / len(own)
+                    if sum(map(len, blocks[i + 1 : j])) <= len(words(template)) and share >= 0.8:
+                        labels, best = labels | {label}, max(best, share)
+        assert (got[k].labels, round(got[k].score, 9)) == (",".join(sorted(labels)), round(best, 9)), text
+    assert [label in got[k].labels.split(",") for k, label in enumerate(NOTICES)] == [True] * 3
+
+
 def test_quality_on_held_out_labels(spark):
     folder = f"{DATA}/sf0.01"
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}

@@ -48,18 +48,30 @@ def _blocks(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _scan(column: pa.Array, tokens: np.ndarray):
-    """Per chunk: first row, end row, words' hashes and bounds, and the distinct (block, token) pairs with
-    the row and the number of words of each block."""
+    """Per chunk: first row, end row, words' hashes and bounds, the distinct (block, token) pairs, and the
+    row and the number of words of each block. Only blocks with words are numbered."""
     for a, b, values, offsets in textscan.byte_chunks(column):
         starts, ends, at = textscan.words(values, offsets, "alnum")
         hashes = textscan.lower_hashes(values, starts, ends)
         begins = _blocks(values, offsets)
         block = np.searchsorted(begins, starts, "right") - 1
+        some, block = np.unique(block, return_inverse=True)
         place = np.minimum(np.searchsorted(tokens, hashes), len(tokens) - 1)
         hit = tokens[place] == hashes
         pairs = np.unique(block[hit] * len(tokens) + place[hit])
-        rows = np.searchsorted(offsets, begins, "right") - 1
-        yield a, b, hashes, at, pairs // len(tokens), pairs % len(tokens), rows
+        rows = np.searchsorted(offsets, begins[some], "right") - 1
+        yield a, b, hashes, at, pairs // len(tokens), pairs % len(tokens), rows, np.bincount(block, minlength=len(some))
+
+
+def _runs(rows: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """First blocks and ends of the longest runs of neighbouring blocks of a row that have at most ``width``
+    words between their first and their last block; every other such run is part of one of these."""
+    n = len(rows)
+    before = np.append(0, np.cumsum(sizes))
+    last = np.searchsorted(before[:-1], before[1:] + width, "right")
+    ends = np.minimum(last, np.searchsorted(rows, rows, "right"))
+    longest = np.append(True, (ends[1:] > ends[:-1]))[:n]
+    return np.flatnonzero(longest), ends[longest]
 
 
 def token_frequencies(docs: DataFrame, text_col: str, tokens: np.ndarray) -> np.ndarray:
@@ -68,7 +80,7 @@ def token_frequencies(docs: DataFrame, text_col: str, tokens: np.ndarray) -> np.
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(tokens), np.int64)
         for batch in batches:
-            for *_, token, _ in _scan(batch.column("text"), tokens):
+            for *_, token, _, _ in _scan(batch.column("text"), tokens):
                 total += np.bincount(token, minlength=len(tokens))
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["token", "n"])
@@ -84,10 +96,13 @@ def scan_licenses(
 ) -> DataFrame:
     """``(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score)``, one row per row.
 
-    Base places are the word positions where the words of a phrase stand consecutively. A text block
-    (lines up to a blank line) has a template's label when it holds at least ``containment`` of the
-    template's distinct words. All such blocks are found: template tokens are ordered by their frequency
-    over all blocks, and a block is compared with a template only if it holds a token of the template's prefix, is long enough, and can still reach the overlap from the place of the first common token.
+    Base places are the word positions where the words of a phrase stand consecutively. Text blocks are lines
+    up to a blank line, and runs of neighbouring such blocks that have no more words between the first and the
+    last of them than the template, as notices have blank lines within. A block has a template's label when it
+    holds at least ``containment`` of the template's distinct words. All such blocks are found: template tokens
+    are ordered by their frequency over all single blocks, and a block is compared with a template only if it
+    holds a token of the template's prefix, is long enough, and can still reach the overlap from the place of
+    the first common token. Of runs, only those that are part of no other are looked at, as these hold most.
     ``score`` is 1 for a base place, else the best containment that reached the threshold, else 0.
 
     Null and empty texts have no words, empty labels and score 0. Null and repeated ids and repeated
@@ -100,31 +115,30 @@ def scan_licenses(
     rank[order] = np.arange(len(tokens))
     ordered = [np.sort(rank[s]) for s in sets]
     needs = [max(1, math.ceil(containment * len(s) - 1e-9)) for s in sets]
-    prefixes = np.zeros((len(templates), len(tokens)), bool)
+    prefixes, members = np.zeros((2, len(templates), len(tokens)), bool)
     for k, (s, need) in enumerate(zip(ordered, needs)):
         prefixes[k, s[: len(s) - need + 1]] = True
+        members[k, s] = True
+    widths = [len(textscan.hash_words(text, "alnum")) for _, text in templates]
     labels = [label for label, _ in templates]
     phrases = [(textscan.hash_words(p, "alnum"), label) for p, label in PHRASES.items()]
 
-    def matches(held: np.ndarray) -> list[tuple[int, float]]:
-        """The templates that a block's sorted ranks contain."""
-        out = []
-        for k in np.flatnonzero(prefixes[:, held].any(axis=1)):
-            template, need = ordered[k], needs[k]
-            if len(held) < need:
-                continue
-            place = np.searchsorted(template, held)
-            common = template[np.minimum(place, len(template) - 1)] == held
-            first = int(common.argmax())
-            if min(len(held) - first, len(template) - int(place[first])) < need:
-                continue
-            if (n := int(common.sum())) >= need:
-                out.append((k, n / len(template)))
-        return out
+    def share_of(held: np.ndarray, k: int) -> float:
+        """The share of template ``k`` in a block's distinct ranks, sorted; 0 where that is too little."""
+        template, need = ordered[k], needs[k]
+        if len(held) < need:
+            return 0.0
+        place = np.searchsorted(template, held)
+        common = template[np.minimum(place, len(template) - 1)] == held
+        first = int(common.argmax())
+        if min(len(held) - first, len(template) - int(place[first])) < need:
+            return 0.0
+        n = int(common.sum())
+        return n / len(template) if n >= need else 0.0
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, hashes, at, block, token, rows in _scan(batch.column("text"), tokens):
+            for a, b, hashes, at, block, token, rows, sizes in _scan(batch.column("text"), tokens):
                 n = b - a
                 found: list[set[str]] = [set() for _ in range(n)]
                 base: list[set[str]] = [set() for _ in range(n)]
@@ -144,16 +158,16 @@ def scan_licenses(
                     for r in np.unique(owner).tolist():
                         base[r].add(label)
                 ranks = rank[token]
-                cuts = np.append(np.flatnonzero(np.append(True, block[1:] != block[:-1])), len(block)) if len(block) else np.zeros(1, np.int64)
-                likely = prefixes.any(axis=0)[ranks]
-                sums = np.append(0, np.cumsum(likely))
-                least = min(needs)
-                some = (sums[cuts[1:]] > sums[cuts[:-1]]) & (cuts[1:] - cuts[:-1] >= least)
-                for x, y in zip(cuts[:-1][some].tolist(), cuts[1:][some].tolist()):
-                    r = int(rows[block[x]])
-                    for k, share in matches(np.sort(ranks[x:y])):
-                        found[r].add(labels[k])
-                        score[r] = max(score[r], share)
+                bounds = np.searchsorted(block, np.arange(len(rows) + 1))
+                for k, width in enumerate(widths):
+                    begin, end = _runs(rows, sizes, width)
+                    x, y = bounds[begin], bounds[end]
+                    likely, own = (np.append(0, np.cumsum(of[k][ranks])) for of in (prefixes, members))
+                    some = (likely[y] > likely[x]) & (own[y] - own[x] >= needs[k])
+                    for r, i, j in zip(rows[begin[some]].tolist(), x[some].tolist(), y[some].tolist()):
+                        if share := share_of(np.unique(ranks[i:j]), k):
+                            found[r].add(labels[k])
+                            score[r] = max(score[r], share)
                 none = n_base == 0
                 score[~none] = 1.0
                 columns = [
