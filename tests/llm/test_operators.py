@@ -225,6 +225,15 @@ def test_html_on_a_page_and_hard_rows(spark):
     assert all(r.n_chars == len(r.text) for r in got) and [r.text for r in got if r.page_id in (2, None)] == ["", ""]
 
 
+def test_html_after_elements_that_close_themselves(spark):
+    article = "<h1>A headline of this page</h1><p>The first paragraph, long enough to be{} prose.</p><p>A second paragraph follows, with more sentences. It ends here.</p>"
+    icons = ["", "<svg/>", '<svg class="icon" />', "<math/>", "<SVG viewBox='0 0 1 1'/>", "<svg><path/>x</svg>", '<svg/><svg><g>x</g></svg><math />']
+    pages = [f"<html><body><nav><a href=1>{icon}Home</a></nav><article>{icon}{article.format(icon)}</article></body></html>" for icon in icons]
+    frame = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").withColumn("url", F.lit("u"))
+    got = {r.page_id: r.text for r in html_extract.extract(frame, html_extract.default_model()).collect()}
+    assert "The first paragraph, long enough to be prose.\nA second paragraph follows" in got[0] and set(got.values()) == {got[0]}
+
+
 def lcs(a, b):
     row = [0] * (len(b) + 1)
     for x in a:

@@ -90,6 +90,8 @@ def leaf_blocks(page: str) -> list[Leaf]:
                 if name in _INLINE and stack[k][0] not in _INLINE:
                     break
             continue
+        if name in ("svg", "math") and token[3].rstrip().endswith("/"):
+            continue
         if name in _RAW:
             end = _RAW_END[name].search(page, at)
             at = end.end() if end else n
