@@ -141,6 +141,19 @@ def test_near_duplicates_on_documents(spark):
     assert got == brute_components({r.doc_id: r.text for r in docs.select("doc_id", "text").collect()})
 
 
+def test_rows_that_share_an_id_go_by_their_texts(spark):
+    """A repeated and a null id, each with a text of its own and a copy of document 3."""
+    text = lambda k: " ".join(f"{k}w{i}" for i in range(60))
+    rows = [(3, text(3) + " "), (7, text(7)), (7, text(3)), (None, text(8)), (None, text(3)), (9, None), (9, text(9))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = exact_dedup.drop_duplicates(frame)
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([rows[0], rows[1], rows[3], rows[5], rows[6]])
+    near = text(3).replace("3w59", "other")
+    rows = [(3, text(3)), (7, text(7)), (7, near), (7, near), (None, text(8)), (None, near), (9, None), (9, text(9))]
+    kept = near_dup.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([rows[0], rows[1], *rows[4:]])
+
+
 def test_licenses_base_places(hard):
     got = {r.doc_id: r for r in licenses.scan_licenses(hard).collect()}
     assert len(got) == len(HARD)

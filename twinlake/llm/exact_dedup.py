@@ -57,9 +57,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    gone = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["gone_id"]), "left_anti")
+    """The rows of ``docs`` that stay, with all their columns. Of rows that share an id, null too, those go
+    whose texts go."""
+    gone = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_text")).distinct()
+    digest = F.sha2(F.translate(F.coalesce(docs[text_col], F.lit("")), BLANKS, ""), 256)
+    return docs.join(gone, docs[id_col].eqNullSafe(gone["gone_id"]) & (digest == gone["gone_text"]), "left_anti")
 
 
 ORACLE = r"""

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinlake.checkpoints import cut
@@ -109,8 +109,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = np.array([textscan.mix(s).sum(dtype=u64) + u64(len(s)) for s in sets], u64)
             check = np.array([textscan.mix(s ^ u64(0xA5A5A5A5A5A5A5A5)).sum(dtype=u64) for s in sets], u64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), _signed(textscan.mix(key ^ check)), pa.array([w.tobytes() for w in words], pa.binary())],
-                names=["doc_id", "n_shingles", "class", "words"],
+                [batch.column("doc_id").slice(a, b - a), batch.column("mark").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), _signed(textscan.mix(key ^ check)), pa.array([w.tobytes() for w in words], pa.binary())],
+                names=["doc_id", "mark", "n_shingles", "class", "words"],
             )
 
 
@@ -214,9 +214,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that are left between components. All candidates are confirmed on full sets. So a bucket of any size
     neither lands in one task nor gives all its pairs, and no link between components is passed over.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return _grouped(docs, id_col, text_col, F.lit("")).drop("mark")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, mark: Column) -> DataFrame:
+    """``near_duplicates`` with a further text column, that of each row."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), mark.alias("mark"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    described = cut(rows.mapInArrow(_describe, f"doc_id {kind}, n_shingles long, class long, words binary"))
+    described = cut(rows.mapInArrow(_describe, f"doc_id {kind}, mark string, n_shingles long, class long, words binary"))
     filled = described.where("n_shingles > 0 and doc_id is not null")
     classes = cut(filled.groupBy("class", "n_shingles").agg(F.min("doc_id").alias("first_id"), F.min("words").alias("words")))
     banded = classes.select("class", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.substring("words", k * 8 + 1, F.lit(8)))).alias("band", "word"))
@@ -261,12 +266,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     names = named.join(least, "component").select("class", "component_id")
     alone = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    out = described.select("doc_id", "n_shingles", F.when(alone, F.col("class")).alias("class")).join(names, "class", "left")
+    out = described.select("doc_id", "mark", "n_shingles", F.when(alone, F.col("class")).alias("class")).join(names, "class", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "mark", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each group, with all their columns."""
-    gone = near_duplicates(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
+    """The rows of ``docs`` that stay, one document of each group, with all their columns. Of rows that share
+    an id, those go whose texts go."""
+    digest = F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
+    gone = _grouped(docs, id_col, text_col, digest).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_text")).distinct()
+    return docs.join(gone, (docs[id_col] == gone["gone_id"]) & (digest == gone["gone_text"]), "left_anti")
