@@ -80,6 +80,16 @@ def test_chat_round_trip_and_nulls(spark):
     assert chat.format_chats(frame.limit(0)).count() == 0
 
 
+def test_loss_of_chats_is_what_the_mask_covers(spark, monkeypatch):
+    right = {r.conv_id: r.loss_sha256 for r in queries.op4_chat_format(spark, SMALL).collect()}
+    assert right[-7] == sha("</s>[INST] ok [/INST]")
+    put = chat.format_chats
+    moved = F.transform("loss_spans", lambda s: F.struct((s["start"] - 1).alias("start"), s["length"].alias("length")))
+    monkeypatch.setattr(chat, "format_chats", lambda rows: put(rows).withColumn("loss_spans", moved))
+    wrong = {r.conv_id: r.loss_sha256 for r in queries.op4_chat_format(spark, SMALL).collect()}
+    assert all(wrong[k] != v for k, v in right.items() if v != sha(""))
+
+
 def test_exact_dedup_on_hard_rows(hard):
     got = exact_dedup.exact_dedup(hard).collect()
     assert len(got) == len(HARD)
