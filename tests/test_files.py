@@ -103,6 +103,17 @@ def test_merge_keeps_what_exists(spark):
     assert {(r.restore_path, r.hash) for r in manifests.merge_manifests(old, new).collect()} == {("/p", "aa"), ("/q", "bb")}
 
 
+def test_fuzzy_queries_sign_whole_texts(spark, monkeypatch):
+    from twinlake import queries
+    from twinlake.functions.simhash import signature
+
+    head, tails = "a" * 300_000, ["xyzw" * 300_000, "mnop" * 300_000]
+    files = files_of(spark, [(f"/{k}", (head + t).encode()) for k, t in enumerate(tails)])
+    monkeypatch.setattr(queries, "files_of", lambda spark, sf_dir: files)
+    assert {r.sig for r in queries.fuzzy_signature(spark, "").collect()} == {signature((head + t).encode()) for t in tails}
+    assert queries.fuzzy_groups(spark, "").count() == 0 and FuzzyConfig(read_limit=-1).read_limit == -1 and FuzzyConfig(read_limit=0).read_limit == 256 * 1024
+
+
 def test_fuzzy_groups_match_all_pairs(spark):
     import random
 

@@ -49,7 +49,8 @@ class ScanConfig:
 
 @dataclass(frozen=True)
 class FuzzyConfig:
-    """Near-content settings; a threshold of 0 means the default, ``max_candidates`` -1 no cap."""
+    """Near-content settings; a threshold or ``read_limit`` of 0 means the default, ``max_candidates`` -1
+    no cap, ``read_limit`` -1 the whole content."""
 
     threshold: int = 75
     same_extension: bool = False
@@ -65,7 +66,7 @@ class FuzzyConfig:
         put("min_group", max(2, self.min_group))
         put("max_candidates", self.max_candidates or 10_000)
         put("max_ratio", 2.0 if self.max_ratio < 1 else self.max_ratio)
-        put("read_limit", self.read_limit if self.read_limit > 0 else 256 * 1024)
+        put("read_limit", self.read_limit or 256 * 1024)
 
 
 @dataclass(frozen=True)

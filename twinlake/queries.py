@@ -223,12 +223,12 @@ def near_a_signature(spark, sf_dir):
 
 @query()
 def fuzzy_signature(spark, sf_dir):
-    return files_of(spark, sf_dir).select("path", simhash(F.col("content")).alias("sig"))
+    return files_of(spark, sf_dir).select("path", simhash(F.col("content"), -1).alias("sig"))
 
 
 @query()
 def fuzzy_groups(spark, sf_dir):
-    return fuzzy.fuzzy_groups(files_of(spark, sf_dir), FuzzyConfig(threshold=95, max_candidates=-1, min_size=0))
+    return fuzzy.fuzzy_groups(files_of(spark, sf_dir), FuzzyConfig(threshold=95, max_candidates=-1, min_size=0, read_limit=-1))
 
 
 @query("SELECT DISTINCT string_split(rtrim(url, '/'), '/')[-1] AS name, sha256('twinlake:name:' || string_split(rtrim(url, '/'), '/')[-1]) AS hash FROM pages")
