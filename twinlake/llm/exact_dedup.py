@@ -1,4 +1,4 @@
-"""Exact duplicates by a tree of merges of sorted digest runs, in DataFrame operations only."""
+"""Exact duplicates by a tree of merges of digest runs, each merge an aggregation, in DataFrame operations only."""
 
 from __future__ import annotations
 
@@ -32,8 +32,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     null id comes last. Rows that repeat the staying id are all kept, as the id is all that tells rows
     apart. Other columns are not read; an empty table gives an empty result.
 
-    Every partition starts a run: its digests with their best row and count, sorted and merged by the
-    partition's number. Rounds then merge 8 runs into one until one run, spread over all tasks by digest,
+    Every partition starts a run: its digests with their best row and count, grouped by the partition's
+    number. Rounds then merge 8 runs into one until one run, spread over all tasks by digest,
     is left. A digest has at most one entry per run, so a group of copies of any size is a handful of rows
     in any task; only the final join meets all rows of a group, and that join can be split.
     """
