@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -9,10 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the session's ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """Use the session's ``spark.checkpoint.dir``; a folder of our own only where that is unset and all tasks
+    run on this machine. On a cluster a folder of the driver's disk would not be that of the executors."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="twinlake-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not re.match(r"local(\[|$)", context.master):
+                raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="twinlake-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:
