@@ -7,6 +7,7 @@ on the number of rows; a single text longer than a chunk makes a chunk of its ow
 from __future__ import annotations
 
 import functools
+import hashlib
 import unicodedata
 from collections.abc import Iterator
 
@@ -14,21 +15,6 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_powers: list[np.ndarray] = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first ``n`` powers of an odd base and of its inverse, modulo 2^64."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(max(1 << n.bit_length(), CHUNK + CHUNK // 2), base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit words (the finaliser of SplitMix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -36,14 +22,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of ``symbols[start:end]`` for each span: equal spans have equal hashes wherever they stand."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = powers(len(symbols) + 1)
-    sums = np.zeros(len(symbols) + 1, np.uint64)
-    np.cumsum(symbols * up[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+#: Longer spans are hashed one by one.
+LONG_SPAN = 512
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes ``data[start:end]`` of each span: equal spans have equal hashes wherever they
+    stand. Eight bytes a step go through a bijective scrambling, so no pattern of letters cancels out."""
+    sizes = ends - starts
+    out = mix((sizes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    lanes = np.ndarray((len(data) + 1,), np.uint64, padded, 0, (1,))
+    long = sizes > LONG_SPAN
+    for k in np.flatnonzero(long).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(padded[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    some = np.flatnonzero((sizes > 0) & ~long)
+    at, left = starts[some], sizes[some]
+    while len(some):
+        out[some] = mix(out[some] ^ (lanes[at] & _LOW_BYTES[np.minimum(left, 8)])) + np.uint64(0x632BE59BD9B4E019)
+        more = left > 8
+        some, at, left = some[more], at[more] + 8, left[more] - 8
+    return out
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -67,14 +68,8 @@ def byte_chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int
         row = end
 
 
-def _random_symbols() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-
-
-_SYMBOLS = _random_symbols()
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-LOWER_SYMBOLS = _SYMBOLS[_LOWER]
 
 
 def word_class(kind: str) -> np.ndarray:
@@ -104,7 +99,7 @@ def words(values: np.ndarray, offsets: np.ndarray, kind: str) -> tuple[np.ndarra
 
 def lower_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hashes of spans with A-Z taken as a-z."""
-    return span_hashes(LOWER_SYMBOLS[values], starts, ends)
+    return span_hashes(_LOWER[values], starts, ends)
 
 
 def hash_words(text: str, kind: str) -> np.ndarray:
@@ -189,5 +184,5 @@ def pretokens(sections: list[str], whole: np.ndarray, attach_space: bool) -> tup
     if not attach_space:
         keep = kinds[starts] != SPACE
         starts, ends = starts[keep], ends[keep]
-    hashes = span_hashes(points + np.uint64(1), starts, ends)
+    hashes = span_hashes(points.view(np.uint8), 4 * starts, 4 * ends)
     return starts, ends, np.searchsorted(starts, bounds), hashes, joined
