@@ -8,8 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from twinlake.llm.wordtable import BLOCK, Block, Vocabulary, give_back, join_by_word
+from twinlake.llm.wordtable import BLOCK, Block, Values, Vocabulary, give_back, join_by_word
+from twinlake.session import bound_batches
 
 
 def byte_level(path: str) -> Vocabulary:
@@ -26,8 +28,9 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     return values[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK) -> DataFrame:
-    """``(doc_id, ids array<int>)``, one row per row of ``docs`` in no given order.
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK, decoded: bool = False) -> DataFrame:
+    """``(doc_id, ids array<int>)``, one row per row of ``docs`` in no given order; with ``decoded`` also
+    ``text``, what ``decode`` makes of the ids, in the same task.
 
     Ids are those of the whole text under the tokenizer file at ``path`` without added special tokens;
     special strings inside a text are encoded as the library does by default. A null text is empty and
@@ -35,32 +38,35 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     an empty table gives an empty one. Texts of any length are encoded whole.
     """
 
-    narrow = len(pieces(path)) <= 1 << 16
-    kind_of_id = np.uint16 if narrow else np.uint32
+    items = pieces(path)
+    narrow = len(items) <= 1 << 16
+    kind_of_id, shift = (np.uint16, 1) if narrow else (np.uint32, 2)
 
     def to_bytes(ids: list[list[int]]) -> list[bytes]:
         return [np.array(x, kind_of_id).tobytes() for x in ids]
 
-    def finish(rows: pa.Table, block: Block, hashes: np.ndarray, values: list[bytes]) -> pa.Table:
-        lengths = np.array([len(x) for x in values], np.int64) >> (1 if narrow else 2)
-        flat = np.frombuffer(b"".join(values), kind_of_id).astype(np.int32)
-        starts = np.cumsum(lengths) - lengths
-        rank = np.argsort(hashes)
-        ordered = hashes[rank]
-        ids, counts = [], []
+    def finish(rows: pa.Table, block: Block, values: Values) -> list[pa.RecordBatch]:
+        table = piece_arrays(items) if decoded else None
+        lengths, starts, flat = values.lengths >> shift, values.starts >> shift, values.flat.view(kind_of_id)
+        names, out, row = rows.column("doc_id").combine_chunks(), [], 0
         for distinct, places, bounds in block.chunks:
-            at = rank[np.searchsorted(ordered, distinct)][places]
+            at = values.of(distinct)[places]
             size = lengths[at]
-            ids.append(gather(flat, starts[at], size))
-            ends = np.append(0, np.cumsum(size))
-            counts.append(np.diff(ends[bounds]))
-        sizes = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-        offsets = np.append(0, np.cumsum(sizes))
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-        return pa.table({"doc_id": rows.column("doc_id"), "ids": lists})
+            ids = gather(flat, starts[at], size).astype(np.int32)
+            offsets = np.append(0, np.cumsum(size))[bounds]
+            columns = [names.slice(row, len(bounds) - 1), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids))]
+            out.append(pa.RecordBatch.from_arrays([*columns, decoded_texts(ids, offsets, table)] if decoded else columns, names=["doc_id", "ids", "text"][: 2 + decoded]))
+            row += len(bounds) - 1
+        return out or rows.select(["doc_id"]).append_column("ids", pa.array([], pa.list_(pa.int32()))).to_batches()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return join_by_word(docs, id_col, text_col, byte_level(path), to_bytes, finish, f"doc_id {kind}, ids array<int>", block_bytes)
+    schema = f"doc_id {kind}, ids array<int>" + ", text string" * decoded
+    return join_by_word(docs, id_col, text_col, byte_level(path), to_bytes, finish, schema, block_bytes)
+
+
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK) -> DataFrame:
+    """``(doc_id, ids, text)``: ``encode``, and ``decode`` of its ids in the tasks that joined them."""
+    return encode(docs, path, id_col, text_col, block_bytes, decoded=True)
 
 
 def pieces(path: str) -> list[bytes]:
@@ -78,9 +84,17 @@ def pieces(path: str) -> list[bytes]:
     return out
 
 
-def decoded_bytes(ids: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+def decoded_texts(ids: np.ndarray, offsets: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.Array:
+    """The texts of rows of ids; bytes that are not UTF-8 become replacement characters."""
     flat, starts, lengths = table
-    return gather(flat, starts[ids], lengths[ids])
+    size = lengths[ids]
+    data = gather(flat, starts[ids], size)
+    ends = np.append(0, np.cumsum(size))[offsets]
+    texts = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data)])
+    try:
+        return texts.cast(pa.large_string()).cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([x.as_py().decode("utf-8", "replace") for x in texts], pa.string())
 
 
 def piece_arrays(items: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,16 +124,12 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
         for batch in batches:
             row = 0
             for ids, offsets in id_slices(batch.column("ids")):
-                data = decoded_bytes(ids, table).tobytes()
-                ends = np.append(0, np.cumsum(table[2][ids]))[offsets].tolist()
-                texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
-                part = batch.slice(row, len(texts))
-                row += len(texts)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(texts, pa.string())], names=["doc_id", "ids", "text"])
+                part = batch.slice(row, len(offsets) - 1)
+                row += len(offsets) - 1
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), decoded_texts(ids, offsets, table)], names=["doc_id", "ids", "text"])
             give_back()
 
+    bound_batches(encoded.sparkSession)
     kind = encoded.schema[id_col].dataType.simpleString()
-    from pyspark.sql import functions as F
-
     some = encoded.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("ids"))
     return some.mapInArrow(run, f"doc_id {kind}, ids array<int>, text string")

@@ -30,7 +30,7 @@ def bpe_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     from twinlake.llm import bpe
 
     path = path or tokenizer_file("byte_bpe_50k.json")
-    return bpe.decode(bpe.encode(docs, path), path).select(
+    return bpe.round_trip(docs, path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),

@@ -1,15 +1,20 @@
 """Distinct pre-token tables: each distinct pre-token is encoded once and joined back by position.
 
-Rows are dealt into blocks of about ``BLOCK`` bytes by a hash of their content; they travel as compressed
-packets of the rows that a task has for a block. Per block, the distinct pre-tokens go out as one packed payload per bucket of the pre-token hash; a bucket's task sees a
-pre-token from all blocks and encodes it once; the results travel back to the blocks and are joined
-with the texts there, by pre-token. What is shuffled is the texts once and each block's distinct
-pre-tokens twice. Memory is bounded by a block, and by ``CACHE`` pre-tokens in a bucket's task.
+Rows are dealt into blocks of about ``BLOCK`` bytes by a hash of their content, copies of a row to different
+blocks; they travel as compressed packets of the rows that a task has for a block. Per block, the distinct
+pre-tokens go out as one packed payload per bucket of the pre-token hash; a bucket's task sees a pre-token from
+all blocks and encodes it once; the results travel back to the blocks and are joined with the texts there, by
+pre-token. What is shuffled is the texts once and each block's distinct pre-tokens twice. A task holds a block's
+packets and pre-tokens, one packet's texts at a time, and ``CACHE`` pre-tokens in a bucket's task; a single text
+that is longer than a block is a block of its own.
+
+Within a block pre-tokens are told apart by 64-bit hashes, across blocks by their bytes.
 """
 
 from __future__ import annotations
 
 import ctypes
+import functools
 import math
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -17,15 +22,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinlake.llm import textscan
+from twinlake.session import bound_batches
 
 BLOCK = 8 << 20
-CACHE = 2_000_000
+CACHE = 500_000
 MOST_TASKS = 20_000
+#: Bytes of a packet before it is compressed, at most, but for a longer text.
+PACKET = 1 << 20
 #: Characters that are cut into pre-tokens at once.
 PIECE = textscan.CHUNK // 2
 
@@ -144,24 +153,42 @@ def unpack(payload: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip([4 + 4 * n, *ends], ends)]
 
 
-def packets(batches: Iterator[pa.RecordBatch], flush: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Rows with a block, as ``(block, payload)``: the compressed rows of one block among a few MB."""
+def unpack_arrays(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The lengths of packed items, and their bytes one after another."""
+    data = zstandard.ZstdDecompressor().decompress(payload)
+    n = int(np.frombuffer(data, np.uint32, 1)[0])
+    return np.frombuffer(data, np.uint32, n, 4).astype(np.int64), np.frombuffer(data, np.uint8, -1, 4 + 4 * n)
+
+
+def dealt_blocks(keys: np.ndarray, blocks: int) -> np.ndarray:
+    """A block for each key; repeated keys go to neighbouring blocks, so no number of copies fills one."""
+    order = np.argsort(keys, kind="stable")
+    ordered = keys[order]
+    heads = np.append(True, ordered[1:] != ordered[:-1])[: len(keys)]
+    place = np.arange(len(keys))
+    out = np.empty(len(keys), np.int32)
+    out[order] = (ordered.view(np.uint64) + (place - np.maximum.accumulate(np.where(heads, place, 0))).astype(np.uint64)) % np.uint64(blocks)
+    return out
+
 
-    def packed(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+def packets(batches: Iterator[pa.RecordBatch], blocks: int, flush: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """``(key, doc_id, text)`` rows as ``(block, payload)``: the compressed rows of one block among a few MB."""
+
+    def packed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held).combine_chunks()
-        blocks = table.column("block").to_numpy()
-        order = np.argsort(blocks, kind="stable")
-        blocks = blocks[order]
-        table = table.drop_columns(["block"]).take(pa.array(order))
-        cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
-        names, payloads = [], []
+        block = dealt_blocks(table.column("key").to_numpy(), blocks)
+        order = np.argsort(block, kind="stable")
+        block = block[order]
+        table = table.select(["doc_id", "text"]).take(pa.array(order)).combine_chunks()
+        size = np.append(0, np.cumsum(pc.binary_length(table.column("text")).to_numpy()))
+        piece = size[:-1] // PACKET
+        cuts = [0, *(np.flatnonzero((block[1:] != block[:-1]) | (piece[1:] != piece[:-1])) + 1).tolist(), len(block)]
         for a, b in zip(cuts, cuts[1:]):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, table.schema) as writer:
                 writer.write_table(table.slice(a, b - a).combine_chunks())
-            names.append(int(blocks[a]))
-            payloads.append(zstandard.ZstdCompressor(level=3).compress(sink.getvalue()))
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(payloads, pa.binary())], names=["block", "payload"])
+            payload = zstandard.ZstdCompressor(level=3).compress(sink.getvalue())
+            yield pa.RecordBatch.from_arrays([pa.array([int(block[a])], pa.int32()), pa.array([payload], pa.binary())], names=["block", "payload"])
 
     held, size = [], 0
     for batch in batches:
@@ -171,10 +198,10 @@ def packets(batches: Iterator[pa.RecordBatch], flush: int = 8 << 20) -> Iterator
             held.append(part)
             size += part.nbytes
             if size >= flush:
-                yield packed(held)
+                yield from packed(held)
                 held, size = [], 0
     if held:
-        yield packed(held)
+        yield from packed(held)
         held = []
     give_back()
 
@@ -195,80 +222,98 @@ def _segments(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int
                 last = keys[a]
 
 
+@dataclass
+class Values:
+    """A value for each distinct pre-token of a block, as bytes one after another."""
+
+    hashes: np.ndarray
+    starts: np.ndarray
+    lengths: np.ndarray
+    flat: np.ndarray
+
+    def of(self, distinct: np.ndarray) -> np.ndarray:
+        """The places of sorted hashes in the values."""
+        return np.searchsorted(self.hashes, distinct)
+
+
 def join_by_word(
     docs: DataFrame, id_col: str, text_col: str, vocabulary: Vocabulary, encode: Callable[[list[list[int]]], list[bytes]],
-    finish: Callable[[pa.Table, Block, np.ndarray, list[bytes]], pa.Table], schema: str, block_bytes: int = BLOCK,
+    finish: Callable[[pa.Table, Block, Values], list[pa.RecordBatch]], schema: str, block_bytes: int = BLOCK,
 ) -> DataFrame:
-    """``finish(rows, block, hashes, values)`` for each block, with a value for each distinct pre-token.
+    """``finish(rows, block, values)`` for each block, whose rows are ``(doc_id, n_bytes)``.
 
     ``encode`` turns the ids of distinct pre-tokens into the values to send back. Null texts are empty.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
     tasks = min(blocks, MOST_TASKS)
     buckets = 4 * min(max(blocks, 12), 2048)
-    named = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    dealt = named.mapInArrow(packets, "block int, payload binary").repartition(tasks, "block")
+    keyed = rows.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
+    dealt = keyed.mapInArrow(functools.partial(packets, blocks=blocks), "block int, payload binary").repartition(tasks, "block")
 
     def words_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, name = None, 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             order, bucket = by_bucket(block.distinct(), buckets)
             hashes = block.hashes[order].tolist()
             edges = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)] if len(bucket) else [0]
-            parts = [(int(bucket[a]), pack([block.known[h].encode() for h in hashes[a:b]])) for a, b in zip(edges, edges[1:])]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(parts), pa.int32()), pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], names=["block", "bucket", "payload"]
-            )
+            spans = list(zip(edges, edges[1:]))
+            for k in range(0, len(spans), 64):
+                parts = [(int(bucket[a]), pack([block.known[h].encode() for h in hashes[a:b]])) for a, b in spans[k : k + 64]]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(parts), pa.int32()), pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], names=["block", "bucket", "payload"]
+                )
 
         for key, piece, first in _segments(batches, "block"):
             if first:
                 if block is not None:
-                    yield flush()
+                    yield from flush()
                 block, name = Block(vocabulary), key
                 give_back()
-            for payload in piece.column("payload").to_pylist():
-                block.add(opened(payload).column("text").to_pylist(), False)
+            for payload in piece.column("payload"):
+                block.add(opened(payload.as_buffer()).column("text").to_pylist(), False)
         if block is not None:
-            yield flush()
+            yield from flush()
         block = None
         give_back()
 
     def values_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenize, cache = vocabulary.encoder(), {}
         for batch in batches:
-            out = []
-            for payload in batch.column("payload").to_pylist():
-                words = unpack(payload)
+            for k, payload in enumerate(batch.column("payload")):
+                words = unpack(payload.as_buffer())
                 if len(cache) > CACHE:
                     cache.clear()
                 new = [w for w in words if w not in cache]
                 for a in range(0, len(new), 10_000):
                     part = new[a : a + 10_000]
                     cache.update(zip(part, encode(tokenize([w.decode() for w in part]))))
-                out.append(pack([cache[w] for w in words]))
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(out, pa.binary())], names=["block", "bucket", "payload"])
+                one = batch.slice(k, 1)
+                yield pa.RecordBatch.from_arrays([one.column("block"), one.column("bucket"), pa.array([pack([cache[w] for w in words])], pa.binary())], names=["block", "bucket", "payload"])
         cache.clear()
         tokenize = None
         give_back()
 
     def join(sent: pa.Table, payloads: pa.Table) -> pa.Table:
-        block, texts = Block(vocabulary), []
+        block, held = Block(vocabulary), []
         for payload in sent.column("payload"):
-            texts.append(opened(payload.as_py()))
-            block.add(texts[-1].column("text").to_pylist(), True)
-        order, bucket = by_bucket(block.distinct(), buckets)
-        at = np.argsort(payloads.column("bucket").to_numpy(), kind="stable").tolist()
-        packed = payloads.column("payload")
-        values: list[bytes] = []
-        for k in at:
-            values += unpack(packed[k].as_py())
-        if len(values) != len(order):
+            part = opened(payload.as_buffer())
+            block.add(part.column("text").to_pylist(), True)
+            held.append(part.select(["doc_id"]).append_column("n_bytes", pc.binary_length(part.column("text")).cast(pa.int64())))
+        order, _ = by_bucket(block.distinct(), buckets)
+        column = payloads.column("payload")
+        parts = [unpack_arrays(column[k].as_buffer()) for k in np.argsort(payloads.column("bucket").to_numpy(), kind="stable").tolist()]
+        lengths = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
+        flat = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.uint8)
+        if len(lengths) != len(order):
             raise RuntimeError("the distinct pre-tokens of a block differ between its two readings")
-        out = finish(pa.concat_tables(texts), block, block.hashes[order], values)
-        del texts, values, block, sent, payloads, packed
+        starts = np.cumsum(lengths) - lengths
+        by_hash = np.argsort(order)
+        out = pa.Table.from_batches(finish(pa.concat_tables(held), block, Values(block.hashes, starts[by_hash], lengths[by_hash], flat)))
+        del block, held, parts, lengths, flat, sent, payloads, column
         give_back()
         return out
 
