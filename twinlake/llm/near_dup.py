@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinlake.checkpoints import cut
 from twinlake.llm import textscan
+from twinlake.llm.wordtable import give_back
 from twinlake.operators.components import connected_components
+from twinlake.session import bound_batches
 
 WORDS = 5
 PERCENT = 85
@@ -49,17 +52,34 @@ def shingle_sets(values: np.ndarray, offsets: np.ndarray, width: int = WORDS) ->
     return out
 
 
-def superminhash(sets: list[np.ndarray], slots: int) -> np.ndarray:
+def superminhash(sets: list[np.ndarray], slots: int, most: int = 1 << 17) -> np.ndarray:
     """The SuperMinHash (Ertl, 2017) signature of each set, a row of ``slots`` 64-bit values.
 
     Every element has a random permutation of the slots; its value at the slot of rank j is j plus a random
     fraction, and a slot keeps the smallest value. All elements go rank by rank; as values of rank j
-    exceed those of smaller ranks, a set whose slots are all filled stops there.
+    exceed those of smaller ranks, a set whose slots are all filled stops there. About ``most`` elements
+    go at once; a larger set is the slotwise minimum of its parts.
     """
+    out = np.full((len(sets), slots), np.iinfo(u64).max, u64)
+    owners, parts, held = [], [], 0
+    for k, s in enumerate(sets):
+        for a in range(0, len(s), most):
+            owners.append(k)
+            parts.append(s[a : a + most])
+            held += len(parts[-1])
+            if held >= most:
+                np.minimum.at(out, owners, _signatures(parts, slots))
+                owners, parts, held = [], [], 0
+    if parts:
+        np.minimum.at(out, owners, _signatures(parts, slots))
+    return out
+
+
+def _signatures(sets: list[np.ndarray], slots: int) -> np.ndarray:
     n = len(sets)
     best = np.full(n * slots, np.iinfo(u64).max, u64)
     sizes = np.array([len(s) for s in sets], np.int64)
-    items = np.concatenate(sets) if n else np.zeros(0, u64)
+    items = np.concatenate(sets)
     owner = np.repeat(np.arange(n), sizes)
     ranks = np.tile(np.arange(slots, dtype=np.uint8 if slots <= 256 else np.uint16), (len(items), 1))
     rows = np.arange(len(items))
@@ -97,8 +117,10 @@ def _words_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), u64).reshape(len(column), BANDS)
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64), pa.int64())
+def set_keys(sets: list[np.ndarray]) -> pa.Array:
+    """128 bits for each set: two sums of differently scrambled elements, whatever their order."""
+    sums = [(textscan.mix(s).sum(dtype=u64) + u64(len(s)), textscan.mix(s ^ u64(0xA5A5A5A5A5A5A5A5)).sum(dtype=u64)) for s in sets]
+    return pa.array([np.array(x, u64).tobytes() for x in sums], pa.binary())
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,96 +128,131 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, values, offsets in textscan.byte_chunks(batch.column("text")):
             sets = shingle_sets(values, offsets)
             words = band_words(superminhash(sets, SLOTS * BANDS))
-            key = np.array([textscan.mix(s).sum(dtype=u64) + u64(len(s)) for s in sets], u64)
-            check = np.array([textscan.mix(s ^ u64(0xA5A5A5A5A5A5A5A5)).sum(dtype=u64) for s in sets], u64)
+            same = [batch.column(c).slice(a, b - a) for c in ("doc_id", "mark", "print")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(a, b - a), batch.column("mark").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), _signed(textscan.mix(key ^ check)), pa.array([w.tobytes() for w in words], pa.binary())],
-                names=["doc_id", "mark", "n_shingles", "class", "words"],
+                [*same, pa.array([len(s) for s in sets], pa.int64()), set_keys(sets), pa.array([w.tobytes() for w in words], pa.binary())],
+                names=["doc_id", "mark", "print", "n_shingles", "class", "words"],
             )
+    give_back()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, values, offsets in textscan.byte_chunks(batch.column("text")):
             sets = shingle_sets(values, offsets)
-            key = np.array([textscan.mix(s).sum(dtype=u64) + u64(len(s)) for s in sets], u64)
-            check = np.array([textscan.mix(s ^ u64(0xA5A5A5A5A5A5A5A5)).sum(dtype=u64) for s in sets], u64)
-            mine = textscan.mix(key ^ check).view(np.int64)
-            ok = mine == batch.column("class").slice(a, b - a).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(mine[ok]), pa.array([s.tobytes() for s, k in zip(sets, ok) if k], pa.binary())], names=["class", "items"])
+            keys = set_keys(sets)
+            ok = pc.equal(keys, batch.column("class").slice(a, b - a))
+            yield pa.RecordBatch.from_arrays([keys, pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "items"]).filter(ok)
+    give_back()
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("a_items"), batch.column("b_items")):
-            x, y = np.frombuffer(x.as_buffer(), u64), np.frombuffer(y.as_buffer(), u64)
-            small, large = (x, y) if len(x) < len(y) else (y, x)
-            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-            both = int((large[at] == small).sum())
-            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-        yield batch.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets have 100 * intersection >= ``PERCENT`` * union."""
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    if 100 * len(small) < PERCENT * len(large):
+        return False
+    at = np.minimum(np.searchsorted(large, small), len(large) - 1)
+    both = int((large[at] == small).sum())
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
-def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ok = shares(_words_of(batch.column("a_words")), _words_of(batch.column("b_words"))) >= LEAST_SHARE
-        yield batch.select(["src", "dst"]).filter(pa.array(ok))
+        keep = [similar(np.frombuffer(x.as_buffer(), u64), np.frombuffer(y.as_buffer(), u64)) for x, y in zip(batch.column("a_items"), batch.column("b_items"))]
+        yield batch.select(["src", "dst"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _nearest(p: np.ndarray, q: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """Of pairs, those that are the best of one of their ends."""
-    end = np.concatenate([p, q])
-    order = np.lexsort((-np.concatenate([share, share]), end))
-    first = np.append(True, end[order][1:] != end[order][:-1])
-    return np.unique(order[first] % len(p))
+UNIT = ["band", "word", "kind", "i", "j"]
 
 
-def _meet(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by piece of work: the pairs of a piece that come from different components, are likely
-    by their signatures, and whose first common band is this one; all of them or each member's nearest."""
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole units of work from rows sorted by unit, and the unit's number of each row."""
     held: pa.Table | None = None
-    keys = ["band", "word", "i", "j"]
-
-    def pairs(table: pa.Table) -> pa.RecordBatch:
-        key = np.stack([table.column(c).to_numpy().astype(np.int64) for c in keys], axis=1)
-        fresh = np.ones(len(key), bool)
-        fresh[1:] = (key[1:] != key[:-1]).any(axis=1)
-        piece = np.cumsum(fresh)
-        words = np.frombuffer(b"".join(table.column("words").to_pylist()), u64).reshape(len(key), BANDS)
-        side, member, comp, size = (table.column(c).to_numpy() for c in ("side", "class", "component", "n_shingles"))
-        left, right, close = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        rows, d = np.arange(len(key)), 1
-        while len(rows := rows[rows + d < len(key)]) and len(rows := rows[piece[rows] == piece[rows + d]]):
-            other = rows + d
-            a, b = np.minimum(size[rows], size[other]), np.maximum(size[rows], size[other])
-            ok = (comp[rows] != comp[other]) & ((key[rows, 2] == key[rows, 3]) | (side[rows] != side[other])) & (100 * a >= PERCENT * b)
-            p, q = rows[ok], other[ok]
-            if len(p):
-                first = (words[p] == words[q]).argmax(axis=1) == key[p, 0]
-                p, q = p[first], q[first]
-                share = shares(words[p], words[q])
-                good = share >= LEAST_SHARE
-                left.append(p[good])
-                right.append(q[good])
-                close.append(share[good])
-            d += 1
-        p, q, share = (np.concatenate(x) for x in (left, right, close))
-        if nearest and len(p):
-            some = _nearest(p, q, share)
-            p, q = p[some], q[some]
-        return pa.RecordBatch.from_arrays([pa.array(member[x], pa.int64()) for x in (p, q)], names=["src", "dst"])
-
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        held = table if held is None else pa.concat_tables([held, table])
-        key = np.stack([held.column(c).to_numpy().astype(np.int64) for c in keys], axis=1)
-        whole = np.flatnonzero((key[1:] != key[:-1]).any(axis=1))
-        if len(whole):
-            yield pairs(held.slice(0, whole[-1] + 1))
-            held = held.slice(whole[-1] + 1).combine_chunks()
-    if held is not None and held.num_rows:
-        yield pairs(held)
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            more = pa.Table.from_batches([batch])
+            held = more if held is None else pa.concat_tables([held, more])
+        if held is None or not held.num_rows:
+            continue
+        key = np.stack([held.column(c).to_numpy().astype(np.int64) for c in UNIT], axis=1)
+        fresh = (key[1:] != key[:-1]).any(axis=1)
+        heads = np.flatnonzero(fresh) + 1
+        end = held.num_rows if batch is None else int(heads[-1]) if len(heads) else 0
+        if end:
+            yield held.slice(0, end).combine_chunks(), np.append(0, np.cumsum(fresh))[:end]
+            held = held.slice(end).combine_chunks()
+    give_back()
+
+
+def _likely_pairs(table: pa.Table, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of a unit, and their share of equal slots: those from different components and, but for
+    a piece's own members, from different sides, that are likely by their signatures and whose first common band
+    is that of the unit."""
+    words = _words_of(table.column("words").combine_chunks())
+    comp = table.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
+    side, size, band = (table.column(c).to_numpy() for c in ("side", "n_shingles", "band"))
+    own = (table.column("kind").to_numpy() == 1) & (table.column("i").to_numpy() == table.column("j").to_numpy())
+    left, right, close = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    rows, d = np.arange(len(unit)), 1
+    while len(rows := rows[rows + d < len(unit)]) and len(rows := rows[unit[rows] == unit[rows + d]]):
+        other = rows + d
+        low, high = np.minimum(size[rows], size[other]), np.maximum(size[rows], size[other])
+        ok = (comp[rows] != comp[other]) & (own[rows] | (side[rows] != side[other])) & (100 * low >= PERCENT * high)
+        p, q = rows[ok], other[ok]
+        if len(p):
+            first = (words[p] == words[q]).argmax(axis=1) == band[p]
+            p, q = p[first], q[first]
+            share = shares(words[p], words[q])
+            good = share >= LEAST_SHARE
+            left.append(p[good])
+            right.append(q[good])
+            close.append(share[good])
+        d += 1
+    return np.concatenate(left), np.concatenate(right), np.concatenate(close)
+
+
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each row that is not of its bucket's largest component, its most similar partner in the unit."""
+    for table, unit in _units(batches):
+        p, q, share = _likely_pairs(table, unit)
+        major = (table.column("kind").to_numpy() == 0) & table.column("side").to_numpy()
+        ends, others, share = np.concatenate([p, q]), np.concatenate([q, p]), np.concatenate([share, share])
+        some = np.flatnonzero(~major[ends])
+        order = some[np.lexsort((others[some], -share[some], ends[some]))]
+        order = order[np.append(True, ends[order][1:] != ends[order][:-1])[: len(order)]]
+        member = table.column("class")
+        yield pa.RecordBatch.from_arrays([member.take(pa.array(ends[order])).combine_chunks(), member.take(pa.array(others[order])).combine_chunks(), pa.array(share[order])], names=["src", "dst", "share"])
+
+
+def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows that have a likely partner in their unit."""
+    for table, unit in _units(batches):
+        p, q, _ = _likely_pairs(table, unit)
+        yield from table.take(pa.array(np.unique(np.concatenate([p, q])))).to_batches()
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of full sets between components, the most likely pairs first, until none is left to be found: a
+    forest of the components of each table."""
+    for table, unit in _units(batches):
+        p, q, share = _likely_pairs(table, unit)
+        comp = table.column("component").combine_chunks().dictionary_encode().indices.to_pylist()
+        items, parent, found = table.column("items"), {}, []
+
+        def find(k: int) -> int:
+            while (up := parent.get(k, k)) != k:
+                parent[k] = parent.get(up, up)
+                k = up
+            return k
+
+        for k in np.argsort(-share, kind="stable").tolist():
+            x, y = int(p[k]), int(q[k])
+            a, b = find(comp[x]), find(comp[y])
+            if a != b and similar(np.frombuffer(items[x].as_buffer(), u64), np.frombuffer(items[y].as_buffer(), u64)):
+                parent[a] = b
+                found.append(k)
+        member = table.column("class")
+        yield pa.RecordBatch.from_arrays([member.take(pa.array(x[found])).combine_chunks() for x in (p, q)], names=["src", "dst"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,68 +264,91 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked with nothing. A row without an id is linked with nothing and stays, with a null component.
     Rows that repeat an id are separate rows. Other columns are not read; no rows give no rows.
 
-    Rows with equal sets (128 bits of hashes) are one class from the start. Classes that share a band of
-    their SuperMinHash signatures are candidates: first each with the smallest of its bucket; then, in
-    buckets that still hold several components, members of different components meet in pieces of bounded
-    size, and only likely pairs go on: in one round each member's nearest, and once those are linked, all
-    that are left between components. All candidates are confirmed on full sets. So a bucket of any size
-    neither lands in one task nor gives all its pairs, and no link between components is passed over.
+    Rows with equal sets (by 128 bits of their shingles' hashes, and their size) are one class from the start.
+    Classes that share a band of their SuperMinHash signatures are candidates. In three rounds, each followed
+    by the components of all links so far: each class and the one that is first in most of its buckets; each
+    class outside the largest component of a bucket and its most similar partner there; then, in buckets that
+    still hold several components, all likely pairs between them. Pairs of the first two rounds, one a class,
+    are joined with both full sets; in the last round the sets of members that have a likely pair come to the
+    bucket, and pairs are confirmed there until what is left is one component. Members of the largest
+    component meet the others but not each other, in pieces of bounded size, so a bucket of any size neither
+    lands in one task nor gives out its pairs, and no link between components is passed over.
     """
     return _grouped(docs, id_col, text_col, F.lit("")).drop("mark")
 
 
+def _units_of(members: DataFrame, parts: DataFrame, classes: DataFrame) -> DataFrame:
+    """The members of buckets with several components, dealt and sorted by units of work: pieces of the largest
+    component with pieces of the others (kind 0), and pairs of pieces of the others (kind 1)."""
+    placed = members.join(parts, "class")
+    counts = placed.groupBy("band", "word", "component").agg(F.count("*").alias("n"))
+    info = counts.groupBy("band", "word").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"), F.count("*").alias("c")).where("c > 1")
+    pieces = lambda n: F.ceil(n / PIECE).cast("int")
+    info = info.select("band", "word", F.col("top.component").alias("major"), pieces(F.col("top.n")).alias("majors"), pieces(F.col("all") - F.col("top.n")).alias("minors"))
+    is_major = F.col("component") == F.col("major")
+    rest = placed.join(info, ["band", "word"]).join(classes.select("class", "n_shingles", "words"), "class")
+    rest = rest.withColumn("mine", F.pmod(F.xxhash64("class"), F.when(is_major, F.col("majors")).otherwise(F.col("minors"))).cast("int"))
+    mine, zero = F.col("mine"), F.lit(0)
+    unit = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.alias("side"))
+    minors, majors = (F.sequence(zero, F.col(c) - 1) for c in ("minors", "majors"))
+    with_others = F.transform(minors, lambda x: unit(0, x, mine, F.lit(True)))
+    with_major = F.transform(majors, lambda x: unit(0, mine, x, F.lit(False)))
+    among = F.transform(minors, lambda x: unit(1, F.least(mine, x), F.greatest(mine, x), mine <= x))
+    spread = rest.withColumn("unit", F.explode(F.when(is_major, with_others).otherwise(F.concat(with_major, among))))
+    work = spread.select("band", "word", "unit.*", "class", "component", "n_shingles", "words")
+    return work.repartition(*UNIT).sortWithinPartitions(*UNIT)
+
+
 def _grouped(docs: DataFrame, id_col: str, text_col: str, mark: Column) -> DataFrame:
     """``near_duplicates`` with a further text column, that of each row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), mark.alias("mark"))
+    bound_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), mark.alias("mark")).withColumn("print", F.xxhash64("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    described = cut(rows.mapInArrow(_describe, f"doc_id {kind}, mark string, n_shingles long, class long, words binary"))
+    described = cut(rows.mapInArrow(_describe, f"doc_id {kind}, mark string, print long, n_shingles long, class binary, words binary"))
     filled = described.where("n_shingles > 0 and doc_id is not null")
-    classes = cut(filled.groupBy("class", "n_shingles").agg(F.min("doc_id").alias("first_id"), F.min("words").alias("words")))
+    classes = cut(filled.groupBy("class", "n_shingles").agg(F.min(F.struct("doc_id", "print")).alias("first"), F.min("words").alias("words")))
     banded = classes.select("class", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.substring("words", k * 8 + 1, F.lit(8)))).alias("band", "word"))
     banded = banded.select("class", "band", F.xxhash64("word").alias("word"))
-    buckets = banded.groupBy("band", "word").agg(F.min("class").alias("first"), F.count("*").alias("members")).where("members > 1")
-    members = cut(banded.join(buckets, ["band", "word"]))
+    buckets = banded.groupBy("band", "word").agg(F.min("class").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
+    found = cut(banded.join(buckets, ["band", "word"]))
+    members, nodes = found.drop("head"), found.select("class").distinct()
+
+    wanted = nodes.join(classes, "class").select("class", "first.doc_id", "first.print")
+    texts = rows.select("doc_id", "print", "text").join(wanted, ["doc_id", "print"])
+    sets = cut(texts.select("text", "class").mapInArrow(_sets, "class binary, items binary").dropDuplicates(["class"]))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = cut(pairs)
-        ends = pairs.select(F.col("src").alias("class")).union(pairs.select(F.col("dst").alias("class"))).distinct()
-        wanted = classes.join(ends, "class", "left_semi").select(F.col("first_id").alias("doc_id"), "class")
-        sets = cut(rows.join(wanted, "doc_id").select("text", "class").mapInArrow(_sets, "class long, items binary"))
         a, b = (sets.select(F.col("class").alias(k), F.col("items").alias(f"{n}_items")) for k, n in (("src", "a"), ("dst", "b")))
-        return cut(pairs.join(a, "src").join(b, "dst").select("src", "dst", "a_items", "b_items").mapInArrow(_confirm, "src long, dst long").distinct())
-
-    stars = members.where("class <> first").select(F.col("class").alias("src"), F.col("first").alias("dst")).distinct()
-    a, b = (classes.select(F.col("class").alias(k), F.col("words").alias(f"{n}_words")) for k, n in (("src", "a"), ("dst", "b")))
-    links = confirmed(stars.join(a, "src").join(b, "dst").select("src", "dst", "a_words", "b_words").mapInArrow(_likely, "src long, dst long"))
-
-    def component_of(edges: DataFrame) -> DataFrame:
-        found = connected_components(edges).select(F.col("node").alias("class"), "component")
-        return classes.select("class").join(found, "class", "left").select("class", F.coalesce("component", "class").alias("component"))
-
-    parts = component_of(links)
-    for nearest in (True, False):
-        placed = members.join(parts, "class").select("band", "word", "class", "component", "members")
-        mixed = placed.groupBy("band", "word").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "word")
-        pieces = F.ceil(F.col("members") / PIECE).cast("int")
-        mine = F.pmod(F.xxhash64("class"), pieces).cast("int")
-        rest = placed.join(mixed, ["band", "word"]).withColumns({"pieces": pieces, "mine": mine}).join(classes.select("class", "n_shingles", "words"), "class")
-        spread = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-        work = spread.select(
-            "band", "word", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("side"), "class", "component", "n_shingles", "words"
-        )
-        dealt = work.repartition("band", "word", "i", "j").sortWithinPartitions("band", "word", "i", "j")
-        more = confirmed(dealt.mapInArrow(functools.partial(_meet, nearest=nearest), "src long, dst long").distinct())
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            parts = component_of(links)
-
-    named = classes.join(parts, "class").select("class", "component", "first_id")
-    least = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    names = named.join(least, "component").select("class", "component_id")
-    alone = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    out = described.select("doc_id", "mark", "n_shingles", F.when(alone, F.col("class")).alias("class")).join(names, "class", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "mark", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+        return cut(pairs.join(a, "src").join(b, "dst").select("src", "dst", "a_items", "b_items").mapInArrow(_confirm, "src binary, dst binary"))
+
+    def merged(parts: DataFrame, links: DataFrame) -> DataFrame:
+        a, b = (parts.select(F.col("class").alias(k), F.col("component").alias(n)) for k, n in (("src", "a"), ("dst", "b")))
+        joined = connected_components(links.join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst")))
+        joined = joined.select(F.col("node").alias("component"), F.col("component").alias("lower"))
+        return cut(parts.join(joined, "component", "left").select("class", F.coalesce("lower", "component").alias("component")))
+
+    parts = nodes.select("class", F.col("class").alias("component"))
+    heads = found.where("class <> head").groupBy("class", "head").agg(F.count("*").alias("n"))
+    stars = heads.groupBy("class").agg(F.max(F.struct("n", "head")).alias("top")).select(F.col("class").alias("src"), F.col("top.head").alias("dst"))
+    parts = merged(parts, confirmed(stars))
+    nearest = _units_of(members, parts, classes).mapInArrow(_nearest, "src binary, dst binary, share double")
+    nearest = nearest.groupBy("src").agg(F.max(F.struct("share", "dst")).alias("top")).select("src", F.col("top.dst").alias("dst"))
+    parts = merged(parts, confirmed(nearest))
+    work = _units_of(members, parts, classes)
+    left = cut(work.mapInArrow(_needed, work.schema))
+    if not left.isEmpty():
+        dealt = left.join(sets, "class").repartition(*UNIT).sortWithinPartitions(*UNIT)
+        parts = merged(parts, cut(dealt.mapInArrow(_verified, "src binary, dst binary")))
+
+    ids = classes.select("class", F.col("first.doc_id").alias("first_id"))
+    placed = ids.join(parts, "class", "left")
+    least = placed.where("component is not null").groupBy("component").agg(F.min("first_id").alias("least_id"))
+    names = placed.join(least, "component", "left").select("class", F.coalesce("least_id", "first_id").alias("component_id"))
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    out = described.select("doc_id", "mark", "n_shingles", "class")
+    some = out.where(linked).join(names, "class").select("doc_id", "mark", "n_shingles", "component_id")
+    alone = out.where(~linked).select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("component_id"))
+    return some.unionByName(alone).withColumn("kept", F.col("component_id").eqNullSafe(F.col("doc_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
