@@ -284,7 +284,7 @@ def test_windows_are_those_of_all_spans(monkeypatch):
     rows += [np.concatenate([rows[5], p[: max(1, len(p) * 9 // 10)], rows[4]]) for p in passages]
     answer = np.concatenate([np.arange(n) >= n * 3 // 4 for n in sizes])
     block = decontaminate.Passages(list(range(len(sizes))), np.concatenate(passages), np.append(0, np.cumsum(sizes)), answer)
-    latent = decontaminate.Latent(np.ones(decontaminate.BUCKETS, np.float32), rng.normal(size=(decontaminate.BUCKETS, 8)).astype(np.float32))
+    latent = decontaminate.Latent(rng.uniform(0.11, 3, decontaminate.BUCKETS).astype(np.float32), rng.normal(size=(decontaminate.BUCKETS, 8)).astype(np.float32))
     want = set()
     for r, row in enumerate(rows):
         cells = range(0, len(row), decontaminate.BLOCK)

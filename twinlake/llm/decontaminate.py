@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinlake.llm import textscan
+from twinlake.llm.wordtable import give_back
+from twinlake.session import bound_batches
 
 u64 = np.uint64
 #: Words of a passage: at most the bits of a machine word, for the longest common subsequence.
@@ -25,13 +27,16 @@ PASSAGE = 64
 #: Windows begin at every BLOCK-th word of a text.
 BLOCK = 16
 #: Hash buckets of words, columns of the random matrix, singular vectors that are kept.
-BUCKETS, COLUMNS, RANK = 1 << 12, 96, 80
+BUCKETS, COLUMNS, RANK = 1 << 12, 64, 48
 #: Passages whose TF-IDF rows are held as a dense matrix at once.
 DENSE = 512
 #: A leak has this share of a passage in order, or the lesser share and as much of its answer.
 SHARE, PART, ANSWER = 0.75, 0.5, 0.75
 #: Benchmark passages with fewer words are only leaks when whole.
 SHORT = 8
+#: How much more often than in the corpus a common word stands in texts of its language. It decides which words
+#: are left out of a first bound, and with that the time a search takes, but not what it finds.
+LOCAL = 4
 #: Benchmark passages that go over the documents at once, and that are compared with a piece of them at once.
 AT_ONCE, GROUP = 4096, 256
 
@@ -54,30 +59,6 @@ def _cells(at: np.ndarray, width: int) -> np.ndarray:
     return np.append(first + width * np.arange(len(first)), at[-1])
 
 
-def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
-    """In how many passages of all texts each bucket occurs, and the number of passages."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS + 1, np.int64)
-        for batch in batches:
-            for _, _, hashes, at in _scan(batch.column("text")):
-                cells, bucket = _cells(at, PASSAGE), _buckets(hashes)
-                for i in range(0, len(cells) - 1, DENSE):
-                    ends = cells[i : i + DENSE + 1]
-                    held = np.zeros((len(ends) - 1, BUCKETS), bool)
-                    held[np.repeat(np.arange(len(ends) - 1), np.diff(ends)), bucket[ends[0] : ends[-1]]] = True
-                    counts[:BUCKETS] += np.count_nonzero(held, axis=0)
-                counts[BUCKETS] += len(cells) - 1
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["bucket", "n"])
-
-    out = np.zeros(BUCKETS + 1, np.int64)
-    # as many rows as there are buckets
-    for r in texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        out[r.bucket] = r.n
-    return out[:BUCKETS], int(out[BUCKETS])
-
-
 def _padded(table: np.ndarray) -> np.ndarray:
     return np.concatenate([table, np.zeros((1, table.shape[1]), table.dtype)])
 
@@ -105,6 +86,11 @@ class Latent:
     def weighted(self) -> np.ndarray:
         return _padded(self.basis * self.idf[:, None])
 
+    def rates(self, hashes: np.ndarray) -> np.ndarray:
+        """About how often words stand in the corpus, a word: from the share of passages that hold their buckets."""
+        share = np.minimum(np.exp(0.1 - self.idf[_buckets(hashes)].astype(np.float64)), 0.999)
+        return -np.log1p(-share) / PASSAGE
+
     def spans(self, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Latent vectors, of length one, of the bags of words of spans."""
         out = _sums(self.weighted, _buckets(hashes), begin, end)
@@ -113,44 +99,48 @@ class Latent:
 
 def fit(docs: DataFrame, text_col: str = "text", seed: int = 0) -> Latent:
     """Randomised SVD (one pass, Nystroem form; Halko et al., 2011) of the TF-IDF matrix of all passages of
-    all texts. Tasks send a matrix of ``BUCKETS`` by ``COLUMNS`` sums each, and the driver gets one such matrix."""
+    all texts: counts, each passage's scaled to length one, times the IDF. As the IDF scales whole columns, it
+    is applied to the sums afterwards and the texts are read once. Tasks send a matrix of ``BUCKETS`` by
+    ``COLUMNS`` sums each, and the driver gets one such matrix. Null and empty texts have no passages."""
+    bound_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found, total = document_frequencies(texts)
-    idf = np.log((1 + total) / (1 + found)).astype(np.float32) + np.float32(0.1)
-    omega = np.linalg.qr(np.random.default_rng(seed).normal(size=(BUCKETS, COLUMNS)))[0].astype(np.float32)
-    weighted = _padded(omega * idf[:, None])
+    random = np.linalg.qr(np.random.default_rng(seed).normal(size=(BUCKETS, COLUMNS)))[0]
+    padded = _padded(random.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        y = np.zeros((BUCKETS, COLUMNS), np.float32)
+        y = np.zeros((BUCKETS + 1, COLUMNS), np.float32)
+        found = np.zeros(BUCKETS + 1, np.int64)
         for batch in batches:
             for _, _, hashes, at in _scan(batch.column("text")):
-                if not len(hashes):
-                    continue
                 cells, bucket = _cells(at, PASSAGE), _buckets(hashes)
-                weight = idf[bucket]
-                owner = np.repeat(np.arange(len(cells) - 1), np.diff(cells))
-                norm = np.sqrt(np.bincount(owner, weight * weight, minlength=len(cells) - 1)).astype(np.float32)
-                image = _sums(weighted, bucket, cells[:-1], cells[1:]) / norm[:, None]
+                found[BUCKETS] += len(cells) - 1
                 for i in range(0, len(cells) - 1, DENSE):
-                    j = min(len(cells) - 1, i + DENSE)
-                    mine = slice(cells[i], cells[j])
-                    rows = np.zeros((j - i) * BUCKETS, np.float32)
-                    np.add.at(rows, (owner[mine] - i) * BUCKETS + bucket[mine], weight[mine] / norm[owner[mine]])
-                    y += rows.reshape(j - i, BUCKETS).T @ image[i:j]
-        some = np.flatnonzero(y.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some), *(pa.array(y[some, k]) for k in range(COLUMNS))], names=["bucket", *(f"y{k}" for k in range(COLUMNS))])
+                    ends = cells[i : i + DENSE + 1]
+                    n, own = len(ends) - 1, bucket[ends[0] : ends[-1]]
+                    owner = np.repeat(np.arange(n), np.diff(ends))
+                    rows = np.bincount(owner * BUCKETS + own, minlength=n * BUCKETS).astype(np.float32).reshape(n, BUCKETS)
+                    found[:BUCKETS] += np.count_nonzero(rows, axis=0)
+                    scale = 1 / np.einsum("ij,ij->i", rows, rows)[:, None]
+                    y[:BUCKETS] += rows.T @ (_sums(padded, own, ends[:-1] - ends[0], ends[1:] - ends[0]) * scale)
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[some]), *(pa.array(y[some, k]) for k in range(COLUMNS))], names=["bucket", "n", *names])
+        give_back()
 
     names = [f"y{k}" for k in range(COLUMNS)]
-    parts = texts.mapInArrow(run, "bucket long, " + ", ".join(f"{n} float" for n in names))
-    summed = parts.groupBy("bucket").agg(*(F.sum(n).alias(n) for n in names)).toPandas()
-    y = np.zeros((BUCKETS, COLUMNS))
-    y[summed["bucket"].to_numpy(np.int64)] = summed[names].to_numpy(np.float64)
+    parts = texts.mapInArrow(run, "bucket long, n long, " + ", ".join(f"{n} float" for n in names))
+    summed = parts.groupBy("bucket").agg(F.sum("n").alias("n"), *(F.sum(n).alias(n) for n in names)).toPandas()
+    place = summed["bucket"].to_numpy(np.int64)
+    found, y = np.zeros(BUCKETS + 1, np.int64), np.zeros((BUCKETS + 1, COLUMNS))
+    found[place], y[place] = summed["n"].to_numpy(np.int64), summed[names].to_numpy(np.float64)
+    idf = np.log((1 + found[BUCKETS]) / (1 + found[:BUCKETS])) + 0.1
+    omega, lower = np.linalg.qr(random / idf[:, None])
+    y = np.linalg.solve(lower.T, (y[:BUCKETS] * idf[:, None]).T).T
     shift = 1e-6 * max(1e-6, np.linalg.norm(y))
     y += shift * omega
     small = omega.T @ y
     lower = np.linalg.cholesky((small + small.T) / 2 + shift * np.eye(COLUMNS))
     left, size, _ = np.linalg.svd(np.linalg.solve(lower, y.T).T, full_matrices=False)
-    return Latent(idf, (left[:, :RANK] / np.maximum(size[:RANK], size[0] * 1e-4)).astype(np.float32))
+    return Latent(idf.astype(np.float32), (left[:, :RANK] / np.maximum(size[:RANK], size[0] * 1e-4)).astype(np.float32))
 
 
 @dataclass
@@ -220,7 +210,7 @@ def common_length(masks: np.ndarray) -> np.ndarray:
 class Group:
     """Some passages of the benchmark, with what finding them in pieces of the documents needs."""
 
-    def __init__(self, vectors: np.ndarray, hashes: np.ndarray, at: np.ndarray, answer: np.ndarray):
+    def __init__(self, latent: Latent, vectors: np.ndarray, hashes: np.ndarray, at: np.ndarray, answer: np.ndarray):
         sizes = np.diff(at)
         self.vectors = vectors
         #: a window of so many blocks holds a passage wherever it begins
@@ -241,9 +231,15 @@ class Group:
         self.need = np.where(sizes < SHORT, sizes, np.ceil(SHARE * sizes)).astype(np.int64)
         self.part = np.where(sizes < SHORT, sizes, np.ceil(PART * sizes)).astype(np.int64)
         self.told = np.ceil(ANSWER * np.bitwise_count(self.answers)).astype(np.int64)
-        #: 1 for the words of a passage, and 256 more for those of its answer
-        own = self.masks[self.number]
-        self.held = (own > 0).astype(np.uint16) + np.uint16(256) * ((own & self.answers) > 0)
+        #: Any words of a passage may be left out of a count of those that a window has, if the passage's places
+        #: of them are taken off what the count must reach. Those are left out that windows are likely to have
+        #: more often than the passage.
+        window = BLOCK * (self.blocks + 2)
+        count = np.bitwise_count(self.masks[self.number])
+        often = LOCAL * np.append(latent.rates(self.words), 0)[:, None] * window > count
+        #: 1 for the words of a passage that are counted
+        self.held = ((self.number > 0) & ~often).astype(np.uint8)
+        self.least = np.maximum(0, np.minimum(self.need, self.part) - (count * often).sum(axis=0, dtype=np.int64))
 
     def places(self, word: np.ndarray, begin: np.ndarray, stop: np.ndarray, span: np.ndarray, passage: np.ndarray) -> np.ndarray:
         """The places of passages whose words occur in spans of words, of pairs of a span and a passage."""
@@ -279,7 +275,7 @@ class Matcher:
         for a in range(0, len(self.size), GROUP):
             at = block.at[a : a + GROUP + 1]
             own = slice(at[0], at[-1])
-            self.groups.append((a, Group(vectors[a : a + GROUP], block.hashes[own], at - at[0], block.answer[own])))
+            self.groups.append((a, Group(latent, vectors[a : a + GROUP], block.hashes[own], at - at[0], block.answer[own])))
 
     def find(self, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """``(row, passage, words in common, cosine)`` of the leaks in rows of words."""
@@ -296,6 +292,7 @@ class Matcher:
                 mine = np.flatnonzero(group.blocks == m)
                 table = np.ascontiguousarray(group.held[:, mine])
                 need, part, told = (x[mine].astype(np.uint8) for x in (group.need, group.part, group.told))
+                least = group.least[mine].astype(np.uint16)
                 for a in range(0, n, 1 << 13):
                     i = np.arange(a, min(n, a + (1 << 13)))
                     start = max(0, a - 1)
@@ -304,18 +301,16 @@ class Matcher:
                     # a window is read with one more block on either side, and no subsequence is longer
                     # than the number of its words that the passage holds
                     low, high = np.maximum(i - 1, first[i]), np.minimum(i + m + 1, end[i])  # so at most 7 * 16 words
-                    common = np.zeros((len(i), len(mine)), np.uint16)
-                    for k in range(int(m) + 2):
-                        common += held[np.minimum(low + k, high - 1) - start] * (low + k < high).astype(np.uint16)[:, None]
-                    known = common.astype(np.uint8)
-                    likely = (known >= need) | (known >= part) & ((common >> 8).astype(np.uint8) >= told)
-                    p, q = np.nonzero(likely)
+                    before = np.zeros((len(held) + 1, len(mine)), np.uint16)  # modulo 2^16, over any span's count
+                    np.cumsum(held, axis=0, out=before[1:])
+                    common = before[high - start] - before[low - start]
+                    p, q = np.nonzero(common >= least)
                     # nor is one longer than the number of the passage's places whose words occur
                     spans = [np.minimum(low[p] + k, high[p] - 1) - start for k in range(int(m) + 2)]
                     wanted, seen = np.zeros(held.shape, bool), np.zeros(held.shape, u64)
                     for x in spans:
                         wanted[x, q] = True
-                    x, y = np.nonzero(wanted & (held > 0))
+                    x, y = np.nonzero(wanted)
                     seen[x, y] = group.places(word, near[:-1], near[1:], x, mine[y])
                     places = np.zeros(len(p), u64)
                     for x in spans:
