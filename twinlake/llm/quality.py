@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinlake.llm import textscan
+from twinlake.llm.wordtable import give_back
+from twinlake.session import bound_batches
 
 PASSAGE = 64
 #: The classifier is fitted on at most this many labelled documents, those with the smallest hashes.
 TRAIN_DOCS = 3000
-#: Longer documents are not among those it is fitted on.
-TRAIN_CHARS = 200_000
+#: A longer document teaches by this many of its passages, spread evenly over the whole text.
+TRAIN_PASSAGES = 512
 FOLDS = 5
 LEAST_SCORE = 0.3
 HIDDEN, GATE, STEPS, RATE = 16, 8, 300, 0.02
@@ -131,27 +133,34 @@ def is_held_out(id_col: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fit on at most ``TRAIN_DOCS`` labelled documents outside the held-out fifth.
+    """Fit on at most ``TRAIN_DOCS`` labelled documents outside the held-out fifth, ``TRAIN_PASSAGES`` of each.
 
-    Rows without an id, a label of 0 or 1, or with an id that is labelled both ways teach nothing. With
-    no labelled rows at all every text scores one half.
+    Rows without an id, a label of 0 or 1, or with an id that is labelled both ways teach nothing. Of rows that
+    repeat an id, the one with the smallest hash of its text teaches. With no labelled rows at all, empty tables
+    among them, every text scores one half.
     """
+    bound_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("label_id"), F.col(label_col).cast("int").alias("y")).where("label_id is not null and y in (0, 1)")
     one = known.groupBy("label_id").agg(F.min("y").alias("y"), F.max("y").alias("top")).where("y = top")
     chosen = one.where(~is_held_out("label_id")).orderBy(F.xxhash64("label_id"), "label_id").limit(TRAIN_DOCS).select("label_id", "y")
-    texts = docs.select(F.col(id_col).alias("label_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.char_length("text") <= TRAIN_CHARS)
+    texts = docs.select(F.col(id_col).alias("label_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, values, offsets in textscan.byte_chunks(batch.column("text")):
                 x, bounds = passages(values, offsets)
-                rows = [x[i:j].astype(np.float32).tobytes() for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([batch.column("label_id").slice(a, b - a), batch.column("y").slice(a, b - a), pa.array(rows, pa.binary())], names=["label_id", "y", "x"])
+                rows = []
+                for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                    some = np.linspace(i, j - 1, min(j - i, TRAIN_PASSAGES)).astype(np.int64)
+                    rows.append(x[some].astype(np.float32).tobytes())
+                same = [batch.column(c).slice(a, b - a) for c in ("label_id", "y", "print")]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(rows, pa.binary())], names=["label_id", "y", "print", "x"])
+        give_back()
 
     kind = texts.schema["label_id"].dataType.simpleString()
     # at most TRAIN_DOCS ids are broadcast
-    rows = texts.join(F.broadcast(chosen), "label_id").select("label_id", "y", "text").mapInArrow(describe, f"label_id {kind}, y int, x binary")
-    rows = sorted(rows.dropDuplicates(["label_id"]).collect(), key=lambda r: r.label_id)
+    rows = texts.join(F.broadcast(chosen), "label_id").select("label_id", "y", F.xxhash64("text").alias("print"), "text").mapInArrow(describe, f"label_id {kind}, y int, print long, x binary")
+    rows = sorted(rows.groupBy("label_id").agg(F.min(F.struct("print", "y", "x")).alias("r")).select("label_id", "r.y", "r.x").collect(), key=lambda r: r.label_id)
     if len({r.y for r in rows}) < 2:
         zero = {"W": np.zeros((FEATURES, 1)), "b": np.zeros(1), "V": np.zeros((1, 1)), "U": np.zeros((1, 1)), "w": np.zeros(1), "c": np.zeros(1)}
         constant = np.zeros(1) if not rows else np.array([4.0 if rows[0].y else -4.0])
@@ -163,7 +172,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, held_out, score, predicted)``, one row per row of ``docs``: every passage of every whole
     text is encoded, and the attention-weighted passage scored. Null texts are empty; empty texts have a
-    score too. Null and repeated ids and repeated rows are kept; other columns are not read."""
+    score too. Null and repeated ids and repeated rows are kept; other columns are not read; an empty table
+    gives an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +181,9 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
                 x, bounds = passages(values, offsets)
                 score = model.forward(x, bounds)["score"]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("held_out").slice(a, b - a), pa.array(score)], names=["doc_id", "held_out", "score"])
+        give_back()
 
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), is_held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     scored = rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double")
@@ -186,5 +198,7 @@ def keep_good(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
             for a, b, values, offsets in textscan.byte_chunks(batch.column(text_col)):
                 x, bounds = passages(values, offsets)
                 yield batch.slice(a, b - a).filter(pa.array(model.forward(x, bounds)["score"] >= LEAST_SCORE))
+        give_back()
 
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
