@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import html
 import random
 import re
@@ -14,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from twinlake.session import bound_batches
+
 #: Fixed values of the HTML standard: elements without content, elements whose content is not markup,
 #: elements that do not break a line of text, and elements that an opening tag of the same group ends.
 VOID = "area base br col embed hr img input link meta source track wbr".split()
@@ -32,39 +35,64 @@ _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 BUCKETS = 1 << 12
-#: Of a deeper path, a block's features see the outermost and innermost elements.
-DEPTH = 64
-
 
 @dataclass
 class Leaf:
-    """A run of text between block boundaries, the elements it stands in, and the share of it in links."""
+    """A run of text between block boundaries, the features of the elements it stands in, and the share of it in
+    links."""
 
     text: str
-    path: tuple[tuple[str, tuple[str, ...]], ...]
+    context: list[int]
     linked: float
 
 
+def _bucket(feature: str) -> int:
+    return zlib.crc32(feature.encode()) % BUCKETS
+
+
+@functools.lru_cache(1 << 16)
+def _element(tag: str, names: tuple[str, ...]) -> tuple[int, ...]:
+    return tuple({_bucket(f"in:{tag}"), *(_bucket(f"name:{w}") for w in names)})
+
+
+@functools.lru_cache(1 << 12)
+def _place(two: tuple[str, ...]) -> list[int]:
+    return [_bucket(f"tag:{two[-1] if two else ''}"), _bucket(f"two:{'>'.join(two)}"), _bucket("bias")]
+
+
 def leaf_blocks(page: str) -> list[Leaf]:
     """The DOM leaf blocks of a page in order. Broken markup is read leniently: unknown end tags are
     passed over, an end tag closes what is open inside it, the page's end closes everything."""
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[int, ...]]] = []
+    blocks: list[str] = []
     out: list[Leaf] = []
     parts: list[str] = []
     links = 0
     opened: dict[str, int] = {}
+    #: how many open elements have a feature; at most ``BUCKETS`` entries, however deep the page
+    held: dict[int, int] = {}
+    context: list[int] | None = None
 
     def close(k: int) -> None:
-        for tag, _ in stack[k:]:
+        nonlocal context
+        for tag, own in stack[k:]:
             opened[tag] -= 1
+            for x in own:
+                held[x] -= 1
+                if not held[x]:
+                    del held[x]
+            if tag not in _INLINE:
+                blocks.pop()
         del stack[k:]
+        context = None
 
     def flush() -> None:
-        nonlocal links
+        nonlocal links, context
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         if text:
-            path = stack if len(stack) <= 2 * DEPTH else stack[:DEPTH] + stack[-DEPTH:]
-            out.append(Leaf(text, tuple(path), min(1.0, links / len(text))))
+            if context is None:
+                context = [*held, *_place(tuple(blocks[-2:]))]
+            out.append(Leaf(text, context, min(1.0, links / len(text))))
         parts.clear()
         links = 0
 
@@ -112,26 +140,22 @@ def leaf_blocks(page: str) -> list[Leaf]:
             parts.append(" ")
         if name not in _VOID and not token[3].rstrip().endswith("/"):
             names = tuple(w for m in _NAMES.finditer(token[3]) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())) if token[3] else ()
-            stack.append((name, names))
+            own = _element(name, names)
+            stack.append((name, own))
             opened[name] = opened.get(name, 0) + 1
+            for x in own:
+                held[x] = held.get(x, 0) + 1
+            if name not in _INLINE:
+                blocks.append(name)
+            context = None
     flush()
     return out
 
 
-def _bucket(feature: str) -> int:
-    return zlib.crc32(feature.encode()) % BUCKETS
-
-
-def features(leaf: Leaf, cache: dict) -> list[int]:
+def features(leaf: Leaf) -> list[int]:
     """Hashed features of a block: its ancestors' tags and names, and what its text looks like."""
-    known = cache.get(leaf.path)
-    if known is None:
-        tags = {f"in:{tag}" for tag, _ in leaf.path} | {f"name:{w}" for _, names in leaf.path for w in names}
-        blocks = [tag for tag, _ in leaf.path if tag not in _INLINE]
-        tags |= {f"tag:{blocks[-1] if blocks else ''}", f"two:{'>'.join(blocks[-2:])}", "bias"}
-        known = cache[leaf.path] = sorted(_bucket(x) for x in tags)
     text, n = leaf.text, len(leaf.text)
-    return known + [
+    return leaf.context + [
         _bucket(f"length:{min(8, n.bit_length())}"), _bucket(f"linked:{int(leaf.linked * 4)}"), _bucket(f"ends:{text[-1] in '.!?:;'}"),
         _bucket(f"commas:{min(3, text.count(','))}"), _bucket(f"sign:{text[0] in '©&|#'}"),
     ]
@@ -348,45 +372,43 @@ def labelled_page(rng: random.Random) -> list[tuple[str, int]]:
     return out
 
 
-def labelled_blocks(pieces: list[tuple[str, int]], cache: dict) -> tuple[list[list[int]], list[int]]:
+def labelled_blocks(pieces: list[tuple[str, int]]) -> tuple[list[list[int]], list[int]]:
     """The blocks' features and labels. Text pieces carry private-use marks through the parser."""
     page = "".join(text if label < 0 else text + chr(0xE000 + label) for text, label in pieces)
     rows, labels = [], []
     for leaf in leaf_blocks(page):
         labels.append(int(chr(0xE001) in leaf.text))
         leaf.text = leaf.text.translate({0xE000: None, 0xE001: None}).strip() or "."
-        rows.append(features(leaf, cache))
+        rows.append(features(leaf))
     return rows, labels
 
 
+@functools.cache
 def default_model(pages: int = 500, seed: int = 7) -> Crf:
-    """The field trained on invented labelled pages of many layouts."""
-    rng, cache = random.Random(seed), {}
-    return train([labelled_blocks(labelled_page(rng), cache) for _ in range(pages)])
+    """The field trained on invented labelled pages of many layouts, once a process."""
+    rng = random.Random(seed)
+    return train([labelled_blocks(labelled_page(rng)) for _ in range(pages)])
 
 
-def main_blocks(page: str, model: Crf, cache: dict) -> list[str]:
+def main_blocks(page: str, model: Crf) -> list[str]:
     leaves = leaf_blocks(page)
     if not leaves:
         return []
-    return [x.text for x, y in zip(leaves, model.viterbi([features(x, cache) for x in leaves])) if y]
+    return [x.text for x, y in zip(leaves, model.viterbi([features(x) for x in leaves])) if y]
 
 
 def extract(pages: DataFrame, model: Crf, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(page_id, url, text, n_chars)``, one row per row of ``pages``: the blocks labelled main text,
     joined by line ends in page order. Null and empty pages, and pages without such blocks, have the empty
-    text. Null and repeated ids and repeated rows are kept; other columns are not read."""
+    text. Null and repeated ids and repeated rows are kept; pages of any length and depth are read whole; other
+    columns are not read; an empty table gives an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict = {}
         for batch in batches:
-            texts = []
-            for page in batch.column("html"):
-                texts.append("\n".join(main_blocks(page.as_py() or "", model, cache)))
-                if len(cache) > 100_000:
-                    cache.clear()
+            texts = ["\n".join(main_blocks(page.as_py() or "", model)) for page in batch.column("html")]
             sizes = pa.array([len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), sizes], names=["page_id", "url", "text", "n_chars"])
 
+    bound_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
     return rows.mapInArrow(run, f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
