@@ -146,3 +146,30 @@ def test_components(spark):
     edges = spark.createDataFrame([(5, 4), (4, 3), (9, 8), (1, 1), (None, 2), (3, 5)], "src long, dst long")
     assert {(r.node, r.component) for r in connected_components(edges).collect()} == {(5, 3), (4, 3), (3, 3), (9, 8), (8, 8)}
     assert connected_components(edges.limit(0)).count() == 0
+
+
+def test_components_over_many_tasks(spark, monkeypatch):
+    """Chains, stars and cycles that no single task sees whole."""
+    import random
+
+    from twinlake.operators import components
+
+    monkeypatch.setattr(components, "EDGES", 40)
+    rng = random.Random(3)
+    pairs = [(k, k + 1) for k in range(100, 160)] + [(200, 200 + k) for k in range(1, 60)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(70)]
+    rng.shuffle(pairs)
+    parent = {x: x for p in pairs if p[0] != p[1] for x in p}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in pairs:
+        if x != y:
+            low, high = sorted((find(x), find(y)))
+            parent[high] = low
+    for kind in ("string", "long"):
+        name = (lambda x: f"{x:05}") if kind == "string" else int
+        frame = spark.createDataFrame([(name(x), name(y)) for x, y in pairs], f"src {kind}, dst {kind}").repartition(7)
+        assert {(r.node, r.component) for r in connected_components(frame).collect()} == {(name(x), name(find(x))) for x in parent}

@@ -2,24 +2,60 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinlake.checkpoints import cut
 
+#: Edges that a task contracts by itself, about.
+EDGES = 50_000
+
+
+def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over a task's edges ``(u, v)``: an edge from every node to the smallest one that it reaches."""
+    parent: dict = {}
+    kind = None
+
+    def find(x):
+        root = x
+        while (up := parent.setdefault(root, root)) != root:
+            root = up
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    for batch in batches:
+        kind = batch.column("u").type
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
+            a, b = find(u), find(v)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    nodes = [x for x in parent if find(x) != x]
+    for k in range(0, len(nodes), 10_000):
+        some = nodes[k : k + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(some, kind), pa.array([find(x) for x in some], kind)], names=["u", "v"])
+
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(node, component)`` for every node of ``edges``; ``component`` is the smallest node reachable.
 
-    Alternating large-star and small-star rounds (Kiveris et al., 2014): every round is two
-    aggregations with map-side combine and two joins that AQE may split, so no neighbour list is ever
+    Tasks of about ``EDGES`` edges first contract theirs by union-find to a forest of stars. Where there are
+    several tasks, alternating large-star and small-star rounds (Kiveris et al., 2014) join the stars: every round
+    is two aggregations with map-side combine and two joins that AQE may split, so no neighbour list is ever
     gathered in one place. Null ends and self-loops add no edge (a self-loop alone adds no node).
     An empty edge table gives an empty result.
     """
     a, b = F.col(src), F.col(dst)
-    pairs = cut(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    rows = cut(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")))
+    kind = rows.schema["u"].dataType.simpleString()
+    tasks = max(1, math.ceil(rows.count() / EDGES))
+    pairs = cut(rows.coalesce(tasks).mapInArrow(contracted, f"u {kind}, v {kind}"))
     before = None
-    while True:
+    while tasks > 1:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
