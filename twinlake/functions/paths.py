@@ -23,6 +23,11 @@ def parts_below(path: Column, root: Column) -> Column:
     return F.split(rest, "/")
 
 
+def is_symlink(mode: Column) -> Column:
+    """Whether the mode of a scanned entry is that of a symbolic link."""
+    return mode.bitwiseAND(F.lit(0o170000)) == 0o120000
+
+
 def is_at_or_below(path: Column, folder: str) -> Column:
     """Equal to ``folder`` or inside it, by whole components."""
     folder = folder.rstrip("/")

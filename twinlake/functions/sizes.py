@@ -8,10 +8,11 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Unit letters in order of magnitude and their long names.
+#: Unit letters in order of magnitude and their long names, those of the standard and others in use.
 LETTERS = "kmgtpe"
 DECIMAL = ["kilo", "mega", "giga", "tera", "peta", "exa"]
-BINARY = ["kibi", "mibi", "gibi", "tebi", "pebi", "exbi"]
+BINARY = ["kibi", "mebi", "gibi", "tebi", "pebi", "exbi"]
+OTHER_BINARY = ["kibi", "mibi", "gibi", "tibi", "pibi", "eibi"]
 UNITS = ["B", "KiB", "MiB", "GiB", "TiB", "PiB", "EiB"]
 ENDINGS = ["", "s", "byte", "bytes", "b"]
 
@@ -19,7 +20,7 @@ ENDINGS = ["", "s", "byte", "bytes", "b"]
 def _multipliers() -> dict[str, int]:
     out = {"": 1}
     for k, letter in enumerate(LETTERS):
-        out |= {letter: 1000 ** (k + 1), DECIMAL[k]: 1000 ** (k + 1), letter + "i": 1024 ** (k + 1), BINARY[k]: 1024 ** (k + 1)}
+        out |= {letter: 1000 ** (k + 1), DECIMAL[k]: 1000 ** (k + 1), letter + "i": 1024 ** (k + 1), BINARY[k]: 1024 ** (k + 1), OTHER_BINARY[k]: 1024 ** (k + 1)}
     return out
 
 

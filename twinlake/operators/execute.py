@@ -7,6 +7,11 @@ import shutil
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from twinlake.checkpoints import cut
+from twinlake.plans.config import RestoreConfig
+from twinlake.sources import sinks
 
 #: Fixed value: the Linux request number that clones a file's extents.
 FICLONE = 0x40049409
@@ -52,19 +57,53 @@ def apply_plan(plan: DataFrame, confirm: bool = False) -> list[tuple[str, str, s
     return out
 
 
-def restore(entries: DataFrame, decisions: DataFrame, confirm: bool = False) -> list[tuple[str, str, str]]:
+#: What was done and in what form it failed, by action.
+DONE = {"delete": ("deleted", "Deleted {0} file(s)", "delete {1} file(s)"), "link": ("converted", "Converted {0} file(s) to symlinks", "convert {1} file(s) to symlinks")}
+DONE["reflink"] = ("converted", "Converted {0} file(s) to reflinks", "convert {1} file(s) to reflinks")
+
+
+def sentence(action: str, outcomes: list[tuple[str, str, str]]) -> str:
+    """One line that says how many files were changed and how many could not be."""
+    done, failed = (sum(x[2].startswith(w) for x in outcomes) for w in ("done", "error"))
+    participle, success, failure = DONE[action]
+    if not done and not failed:
+        return f"No files were {participle}."
+    if not failed:
+        return success.format(done, failed) + "."
+    if not done:
+        return "Failed to " + failure.format(done, failed) + "."
+    return f"{success.format(done).split(' to ')[0]}; {failed} error(s) occurred."
+
+
+def apply_with_backup(plan: DataFrame, folder: str, confirm: bool = False) -> list[tuple[str, str, str]]:
+    """Carries out a ``backup_plan`` after its entries are in the manifest in ``folder``, so all of it can be taken
+    back. An error in any row, or a manifest that cannot be written, raises before any file is changed."""
+    plan = cut(plan)
+    bad = plan.where("error is not null").orderBy("hash", "restore_path").first()
+    if bad:
+        raise ValueError(f"nothing was done: {bad.error}: {bad.restore_path}")
+    if confirm:
+        sinks.append_manifest(plan.drop("action", "error"), folder)
+    return apply_plan(plan.select("hash", F.col("restore_path").alias("path"), "action", F.col("canonical").alias("target")), confirm)
+
+
+def restore(entries: DataFrame, decisions: DataFrame, confirm: bool = False, config: RestoreConfig = RestoreConfig()) -> list[tuple[str, str, str]]:
     """``(path, decision, outcome)``: copies canonical files to where the decisions say."""
     out = []
     for r in entries.join(decisions, "restore_path").orderBy("restore_path").toLocalIterator():
         outcome = r.reason if r.decision in ("error", "skip") else "planned"
-        if confirm and outcome == "planned":
+        if confirm and not config.dry_run and outcome == "planned":
             try:
                 os.makedirs(os.path.dirname(r.restore_path), 0o750, exist_ok=True)
 
                 def make(spare: str, r=r) -> None:
-                    shutil.copyfile(r.canonical, spare)
-                    os.chmod(spare, (r.mode or os.stat(r.canonical).st_mode) & 0o777)
-                    if r.mtime_unix:
+                    with open(r.canonical, "rb") as a, open(spare, "xb") as b:
+                        shutil.copyfileobj(a, b)
+                        b.flush()
+                        os.fsync(b.fileno())
+                    own = r.mode if config.restore_mode else None
+                    os.chmod(spare, (own or os.stat(r.canonical).st_mode) & 0o777)
+                    if r.mtime_unix and config.restore_mtime:
                         t = r.mtime_unix * 10**9 + (r.mtime_nsec or 0)
                         os.utime(spare, ns=(t, t))
 

@@ -17,6 +17,7 @@ from twinlake.plans.config import FuzzyConfig
 
 #: Distinct signatures that meet in one piece of work, a side.
 PIECE = 1024
+LEAST_BITS = 8
 
 
 def signatures(files: DataFrame, config: FuzzyConfig = FuzzyConfig()) -> DataFrame:
@@ -28,6 +29,19 @@ def signatures(files: DataFrame, config: FuzzyConfig = FuzzyConfig()) -> DataFra
     return out if config.max_candidates < 0 else out.orderBy("path").limit(config.max_candidates)
 
 
+def fuzzy_metrics(files: DataFrame, config: FuzzyConfig = FuzzyConfig()) -> DataFrame:
+    """One row: files scanned, too small, skipped (no path, a negative size, no content), processed, and truncated
+    by the cap."""
+    bad = F.col("path").isNull() | (F.col("path") == "") | (F.col("size") < 0) | F.col("content").isNull() | (F.octet_length(F.col("content")) == 0)
+    small = ~bad & (F.col("size") < config.min_size)
+    able = F.count_if(~bad & ~small)
+    cap = F.lit(config.max_candidates if config.max_candidates >= 0 else 2**62)
+    return files.agg(
+        F.count("*").alias("scanned"), F.count_if(small).alias("too_small"), F.count_if(F.coalesce(bad, F.lit(True))).alias("skipped"),
+        F.least(able, cap).alias("processed"), F.greatest(able - cap, F.lit(0)).cast("long").alias("truncated"),
+    )
+
+
 def _labels(near: np.ndarray) -> np.ndarray:
     """The smallest index reachable from each in a graph given as a dense matrix."""
     label = np.arange(len(near))
@@ -43,26 +57,32 @@ def links(sigs: DataFrame, config: FuzzyConfig = FuzzyConfig()) -> DataFrame:
     """``(src, dst)``: edges whose components are those of all pairs within the distance and size ratio.
 
     Files of one signature, size and extension are one node from the start. Only files of neighbouring
-    powers of the ratio can be linked; of each such bucket, pieces of bounded size meet, and a meeting
-    sends out a forest of its links, never the pairs."""
+    powers of the ratio can be linked, and only files that agree in a band of their signatures, where the distance
+    leaves bands of ``LEAST_BITS``; of each such bucket, pieces of bounded size meet, and a meeting sends out a
+    forest of its links, never the pairs."""
     distance, ratio = max_distance(config.threshold), config.max_ratio
     nodes = cut(sigs.groupBy("sig", "size", "ext").agg(F.min("path").alias("node")))
     bucket = F.floor(F.log2(F.greatest(F.col("size"), F.lit(1)) + 0.0) / F.lit(float(np.log2(max(ratio, 1.01))))).cast("int")
-    placed = nodes.withColumn("bucket", bucket)
-    counts = placed.groupBy("ext", "bucket").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"))
-    above = counts.select("ext", (F.col("bucket") - 1).alias("bucket"), F.col("pieces").alias("pieces_above"))
-    below = counts.select("ext", (F.col("bucket") + 1).alias("bucket"), F.col("pieces").alias("pieces_below"))
-    rows = placed.join(counts, ["ext", "bucket"]).join(above, ["ext", "bucket"], "left").join(below, ["ext", "bucket"], "left")
+    # signatures that differ in d bits agree in one of d + 1 bands; bands of few bits would tell little apart
+    bits = 64 // (distance + 1)
+    bands = [(k, F.shiftrightunsigned("sig", k * bits).bitwiseAND(F.lit((1 << bits) - 1))) for k in range(distance + 1)] if LEAST_BITS <= bits < 64 else [(0, F.lit(0) if bits < 64 else F.col("sig"))]
+    spot = F.explode(F.array(*(F.struct(F.lit(k).alias("band"), v.cast("long").alias("value")) for k, v in bands)))
+    placed = nodes.withColumn("bucket", bucket).withColumn("spot", spot).select("node", "sig", "size", "ext", "bucket", "spot.band", "spot.value")
+    keys = ["ext", "band", "value", "bucket"]
+    counts = placed.groupBy(*keys).agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces"), (F.count("*") > 1).alias("several"))
+    above = counts.select("ext", "band", "value", (F.col("bucket") - 1).alias("bucket"), F.col("pieces").alias("pieces_above"))
+    below = counts.select("ext", "band", "value", (F.col("bucket") + 1).alias("bucket"), F.col("pieces").alias("pieces_below"))
+    rows = placed.join(counts, keys).join(above, keys, "left").join(below, keys, "left")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
 
     def work(start: str, kind: int, n: str, side: int) -> DataFrame:
-        spread = rows.where(F.col(n).isNotNull()).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
+        spread = rows.where(F.col(n).isNotNull() & (F.col("several") | F.lit(kind == 1))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
         a, b = ("mine", "other") if side == 0 else ("other", "mine")
         if kind == 0:
             spread = spread.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
         else:
             spread = spread.withColumns({"i": F.col(a), "j": F.col(b)})
-        return spread.select("ext", F.expr(start).alias("low"), F.lit(kind).alias("kind"), "i", "j", "node", "size", "sig")
+        return spread.select("ext", "band", "value", F.expr(start).alias("low"), F.lit(kind).alias("kind"), "i", "j", "node", "size", "sig")
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         sig, size, node = pdf["sig"].to_numpy(np.int64).view(np.uint64), pdf["size"].to_numpy(np.float64), pdf["node"].to_numpy()
@@ -73,7 +93,7 @@ def links(sigs: DataFrame, config: FuzzyConfig = FuzzyConfig()) -> DataFrame:
         return pd.DataFrame({"src": node[own], "dst": node[label[own]]})
 
     units = work("bucket", 0, "pieces", 0).unionByName(work("bucket", 1, "pieces_above", 0)).unionByName(work("bucket - 1", 1, "pieces_below", 1))
-    found = units.groupBy("ext", "low", "kind", "i", "j").applyInPandas(meet, "src string, dst string")
+    found = units.groupBy("ext", "band", "value", "low", "kind", "i", "j").applyInPandas(meet, "src string, dst string")
     same = sigs.join(nodes, ["sig", "size", "ext"]).where("path <> node").select(F.col("path").alias("src"), F.col("node").alias("dst"))
     return found.unionByName(same)
 
@@ -97,3 +117,13 @@ def fuzzy_groups(files: DataFrame, config: FuzzyConfig = FuzzyConfig()) -> DataF
     return found.select(
         F.lit("fuzzy").alias("match_type"), "match_key", synthetic_digest("fuzzy", F.col("match_key")).alias("hash"), "duplicate_count", "path", F.col("size").alias("size_bytes"), "similarity", "component"
     )
+
+
+def sorted_matches(members: DataFrame) -> DataFrame:
+    """Files from the most to the least similar to their representative; paths settle ties."""
+    return members.orderBy(F.desc("similarity"), "path")
+
+
+def sorted_fuzzy_groups(groups: DataFrame) -> DataFrame:
+    """Groups with most files first, then by key; a group's files by path."""
+    return groups.orderBy(F.desc("duplicate_count"), "match_key", "component", "path")

@@ -23,27 +23,61 @@ def having(rows: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
     return rows.join(counts, keys)
 
 
-def content_groups(files: DataFrame, least: int = 2, algorithm: str = "sha256") -> DataFrame:
-    """Files with equal content, in one pass: only digests are shuffled."""
+def digest_of(content: Column, algorithm: str = "sha256") -> Column:
     if digests.parse_algorithm(algorithm) == "blake3":
         from twinlake.functions.blake3 import blake3_hex
 
-        digest = blake3_hex(F.col("content").cast("binary"))
-    else:
-        digest = digests.full_digest(F.col("content"))
-    rows = files.select("path", F.col("size").alias("size_bytes"), digest.alias("hash"))
-    return having(rows, ["hash"], least).select(F.lit("content").alias("match_type"), F.col("hash").alias("match_key"), "hash", "duplicate_count", "path", "size_bytes")
+        return blake3_hex(content.cast("binary"))
+    return digests.full_digest(content)
+
+
+def hashed(files: DataFrame, algorithm: str = "sha256") -> DataFrame:
+    """``(path, size_bytes, hash)``, written once to the shared folder: whatever is then asked of the groups, content
+    is read and hashed once and only this narrow relation is shuffled."""
+    return cut(files.select("path", F.col("size").alias("size_bytes"), digest_of(F.col("content"), algorithm).alias("hash")))
+
+
+def groups_of(rows: DataFrame, least: int = 2) -> DataFrame:
+    """Content groups of a relation of hashed files."""
+    found = having(rows, ["hash"], least)
+    return found.select(F.lit("content").alias("match_type"), F.col("hash").alias("match_key"), "hash", "duplicate_count", "path", "size_bytes")
+
+
+def content_groups(files: DataFrame, least: int = 2, algorithm: str = "sha256") -> DataFrame:
+    """Files with equal content, in one pass over it."""
+    return groups_of(hashed(files, algorithm), least)
+
+
+#: Words of 64 bits in the marks of keys: 1 MB, however many keys there are.
+MARKS = 1 << 17
+
+
+def _bit(keys: list[str]) -> tuple[Column, Column]:
+    code = F.xxhash64(*keys)
+    return F.pmod(F.shiftright(code, 6), F.lit(MARKS)).cast("int"), F.expr("shiftleft(1L, cast(pmod(%s, 64) AS int))" % f"xxhash64({', '.join(keys)})")
+
+
+def marked_rows(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose ``keys`` may be in ``wanted``: all that are, and few others. The keys are told by a bit
+    each of ``MARKS`` words, which is all that is broadcast, so nothing of ``rows`` is shuffled."""
+    word, bit = _bit(keys)
+    marks = wanted.select(word.alias("mark_word"), bit.alias("mark_bit")).groupBy("mark_word").agg(F.bit_or("mark_bit").alias("mark_bits"))
+    joined = rows.join(F.broadcast(marks), word == F.col("mark_word"))
+    return joined.where(F.col("mark_bits").bitwiseAND(bit) != 0).drop("mark_word", "mark_bits")
 
 
 def staged_groups(files: DataFrame, least: int = 2) -> DataFrame:
     """Files with equal content by size, then by a sample, then in full: content that a cheaper test sets
-    apart is never read whole. For relations whose content is costly to read."""
+    apart is not hashed whole. Content never leaves the task that reads it; sizes, samples and digests do."""
     sizes = files.groupBy("size").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("size")
-    sampled = files.join(sizes, "size", "left_semi").withColumn("sample", digests.sample_digest(F.col("content")))
-    samples = sampled.groupBy("size", "sample").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("size", "sample")
-    whole = F.when(digests.covers_whole_file(F.col("size")), F.col("sample")).otherwise(digests.full_digest(F.col("content")))
-    rows = sampled.join(samples, ["size", "sample"], "left_semi").select("path", F.col("size").alias("size_bytes"), whole.alias("hash"))
-    return having(rows, ["hash"], least).select(F.lit("content").alias("match_type"), F.col("hash").alias("match_key"), "hash", "duplicate_count", "path", "size_bytes")
+    sample = digests.sample_digest(F.col("content")).alias("sample")
+    sampled = cut(marked_rows(files, sizes, ["size"]).select("path", "size", sample))
+    alike = sampled.groupBy("size", "sample").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("size", "sample")
+    small = sampled.where(digests.covers_whole_file(F.col("size"))).select("path", F.col("size").alias("size_bytes"), F.col("sample").alias("hash"))
+    over = ~digests.covers_whole_file(F.col("size"))
+    large = marked_rows(files.where(over).withColumn("sample", sample), alike.where(over), ["size", "sample"])
+    full = cut(large.select("path", F.col("size").alias("size_bytes"), digests.full_digest(F.col("content")).alias("hash")))
+    return groups_of(small.unionByName(full), least)
 
 
 def stage_metrics(files: DataFrame, least: int = 2) -> DataFrame:
@@ -73,29 +107,57 @@ def name_groups(files: DataFrame, least: int = 2, name: str | None = None) -> Da
     return found.select(F.lit("name").alias("match_type"), "match_key", digests.synthetic_digest("name", F.col("match_key")).alias("hash"), "duplicate_count", "path", "size_bytes")
 
 
-def same_as(files: DataFrame, path: str) -> DataFrame:
-    """Files with the content of the one at ``path``, that one first: ``path, size, is_target``. The target
-    is one row; size and sample are compared before content is hashed in full."""
-    target = files.where(F.col("path") == path).limit(1).select(
-        F.col("size").alias("t_size"), digests.sample_digest(F.col("content")).alias("t_sample"), digests.full_digest(F.col("content")).alias("t_full")
-    )
-    alike = (F.col("size") == F.col("t_size")) & (digests.sample_digest(F.col("content")) == F.col("t_sample")) & (digests.full_digest(F.col("content")) == F.col("t_full"))
-    found = files.join(F.broadcast(target), alike, "left_semi").select("path", "size", (F.col("path") == path).alias("is_target"))
+def name_metrics(files: DataFrame, name: str | None = None) -> DataFrame:
+    """One row: files scanned, and those that another name than the one looked for left out."""
+    other = F.lit(False) if name is None else base_name(F.col("path")) != F.lit(name.rstrip("/").rsplit("/", 1)[-1])
+    return files.agg(F.count("*").alias("scanned"), F.count_if(other).alias("skipped_by_name"))
+
+
+def same_as(files: DataFrame, path: str, target: DataFrame | None = None) -> DataFrame:
+    """Files with the content of the one at ``path``, that one first: ``path, size, is_target``. ``target`` is a
+    relation that holds the file where ``files`` does not (it lies outside the roots). The target's size, sample
+    and digest are one row; a file's sample is taken where the size agrees, and its digest where both do."""
+    full, sample = digests.full_digest(F.col("content")), digests.sample_digest(F.col("content"))
+    own = (files if target is None else target).where(F.col("path") == path).select("path", "size", "content")
+    first = own.select("path", "size", sample.alias("sample"), full.alias("full")).first()
+    if first is None:
+        return files.select("path", "size", F.lit(False).alias("is_target")).limit(0)
+    agrees = F.when(F.col("size") == first["size"], F.when(sample == first["sample"], full == first["full"]))
+    found = files.where((F.col("size") == first["size"]) & F.coalesce(agrees, F.lit(False))).select("path", "size", (F.col("path") == path).alias("is_target"))
+    if target is not None:
+        found = found.where(~F.col("is_target")).unionByName(own.select("path", "size", F.lit(True).alias("is_target")))
     return found.orderBy(F.desc("is_target"), "path")
 
 
+def title_of(summary: DataFrame, compact: bool = False) -> Column:
+    """What a group is called: the start of its digest, or its name or key, with its files and their total."""
+    named = F.when(F.col("match_type") == "name", "Name: ").otherwise("Similar: ")
+    label = F.when(F.col("match_type") == "content", F.substring("hash", 1, 16 if compact else 32)).otherwise(F.concat(named, F.col("match_key")))
+    shown, count = display_size(F.col("total_bytes")), F.col("duplicate_count").cast("string")
+    if compact:
+        return F.concat(label, F.lit(" - "), count, F.lit(" files - approx. "), shown)
+    whole = F.concat(label, F.lit(" - "), count, F.lit(" files - (approx. size "), shown, F.lit(")"))
+    return F.when(F.col("duplicate_count") == 0, "Empty group").otherwise(whole)
+
+
 def group_summary(groups: DataFrame) -> DataFrame:
     """A row per group: count, total and reclaimable bytes, first path, title."""
     out = groups.groupBy("match_type", "match_key", "hash").agg(
         F.count("*").alias("duplicate_count"), F.sum("size_bytes").alias("total_bytes"), (F.sum("size_bytes") - F.max("size_bytes")).alias("reclaimable_bytes"), F.min("path").alias("first_path")
     )
-    label = F.when(F.col("match_type") == "content", F.substring("hash", 1, 32)).otherwise(F.concat(F.when(F.col("match_type") == "name", "Name: ").otherwise("Similar: "), F.col("match_key")))
-    title = F.concat(label, F.lit(" - "), F.col("duplicate_count").cast("string"), F.lit(" files - (approx. size "), display_size(F.col("total_bytes")), F.lit(")"))
-    return out.withColumn("title", title)
+    return out.withColumns({"title": title_of(out), "compact_title": title_of(out, compact=True)})
+
+
+SORT_MODES = ["size", "count"]
+
+
+def next_mode(by: str) -> str:
+    """The sort mode after ``by``; of an unknown one, the first."""
+    return SORT_MODES[(SORT_MODES.index(by) + 1) % len(SORT_MODES)] if by in SORT_MODES else SORT_MODES[0]
 
 
 def sorted_groups(summary: DataFrame, by: str = "size") -> DataFrame:
-    """Largest total first, or most files first; digests settle ties."""
+    """Largest total first, or most files first; digests settle ties. An unknown mode is that of sizes."""
     keys = ["duplicate_count", "total_bytes"] if by == "count" else ["total_bytes", "duplicate_count"]
     return summary.orderBy(*(F.desc(k) for k in keys), "hash")
 
@@ -110,25 +172,27 @@ def average_size(files: DataFrame) -> DataFrame:
     return files.agg(F.coalesce(F.avg("size"), F.lit(0.0)).alias("avg_size"), F.count("*").alias("files"))
 
 
-def first_rows(groups: DataFrame, n: int) -> DataFrame:
-    """``(hash, path, ordinal)`` of the first ``n`` paths of each group: first of every salt, then of all, so
-    no task sorts a whole large group."""
+def first_rows(groups: DataFrame, n: int, target: str | None = None) -> DataFrame:
+    """``(hash, path, ordinal)`` of the first ``n`` paths of each group, a ``target`` before all others: first of
+    every salt, then of all, so no task sorts a whole large group."""
+    order = [F.col("path") != F.lit(target), F.col("path")] if target is not None else [F.col("path")]
     salted = groups.select("hash", "path", F.pmod(F.xxhash64("path"), F.lit(SALTS)).alias("salt"))
-    some = salted.withColumn("ordinal", F.row_number().over(Window.partitionBy("hash", "salt").orderBy("path"))).where(F.col("ordinal") <= n)
-    return some.withColumn("ordinal", F.row_number().over(Window.partitionBy("hash").orderBy("path"))).where(F.col("ordinal") <= n).select("hash", "path", "ordinal")
+    some = salted.withColumn("ordinal", F.row_number().over(Window.partitionBy("hash", "salt").orderBy(*order))).where(F.col("ordinal") <= n)
+    return some.withColumn("ordinal", F.row_number().over(Window.partitionBy("hash").orderBy(*order))).where(F.col("ordinal") <= n).select("hash", "path", "ordinal")
 
 
-def keep_plan(groups: DataFrame, keep: int = 1, action: str = "delete") -> DataFrame:
-    """``(hash, path, action, target)``: the first ``keep`` paths stay, the rest are deleted, or replaced by a
-    link or clone of the first. Nothing is done to any file here."""
+def keep_plan(groups: DataFrame, keep: int = 1, action: str = "delete", target: str | None = None) -> DataFrame:
+    """``(hash, path, action, target)``: the first ``keep`` paths stay, a ``target`` first of all, the rest are
+    deleted, or replaced by a link or clone of the first. Nothing is done to any file here."""
     if keep < 1:
         raise ValueError("one file at least is kept")
     if action not in ("delete", "link", "reflink"):
         raise ValueError(f"unknown action: {action!r}")
-    kept = first_rows(groups, keep).groupBy("hash").agg(F.min("path").alias("target"), F.max("path").alias("last"))
-    rest = F.col("path") > F.col("last")
+    place = F.struct((F.col("path") != F.lit(target) if target is not None else F.lit(False)).alias("later"), "path")
+    kept = first_rows(groups, keep, target).groupBy("hash").agg(F.min(place).alias("top"), F.max(place).alias("last"))
+    rest = place > F.col("last")
     return groups.join(kept, "hash").select(
-        "hash", "path", F.when(rest, action).otherwise("keep").alias("action"), F.when(rest & F.lit(action != "delete"), F.col("target")).alias("target")
+        "hash", "path", F.when(rest, action).otherwise("keep").alias("action"), F.when(rest & F.lit(action != "delete"), F.col("top.path")).alias("target")
     )
 
 
@@ -138,11 +202,44 @@ def auto_mark(groups: DataFrame) -> DataFrame:
     return groups.join(first, "hash").select(*LONG, ((F.col("path") != F.col("first_path")) & (F.col("match_type") != "fuzzy")).alias("marked"))
 
 
+def mark_all(marked: DataFrame, on: bool = True) -> DataFrame:
+    """Every file marked, but for those that are ``deleted`` where the relation tells, or none."""
+    gone = F.coalesce(F.col("status") == "deleted", F.lit(False)) if "status" in marked.columns else F.lit(False)
+    return marked.withColumn("marked", F.lit(on) & ~gone)
+
+
+def toggled(marked: DataFrame, path: str) -> DataFrame:
+    """The mark of one file turned over, in groups of any kind."""
+    return marked.withColumn("marked", F.col("marked") != (F.col("path") == path))
+
+
+def marked_files(marked: DataFrame) -> DataFrame:
+    return marked.where("marked").select("hash", "path", "size_bytes").orderBy("hash", "path")
+
+
+def marked_count(marked: DataFrame) -> DataFrame:
+    """One row: marked files and their bytes."""
+    return marked.agg(F.count_if("marked").alias("marked"), F.coalesce(F.sum(F.when(F.col("marked"), F.col("size_bytes"))), F.lit(0)).alias("marked_bytes"))
+
+
+def review(groups: DataFrame, by: str = "size") -> DataFrame:
+    """What a reviewer sees, a row a file: titles, totals and marks, groups in order."""
+    summary = group_summary(groups).select("hash", "match_type", "total_bytes", "title")
+    keys = ["duplicate_count", "total_bytes"] if by == "count" else ["total_bytes", "duplicate_count"]
+    return auto_mark(groups).join(summary, ["hash", "match_type"]).select(*LONG, "total_bytes", "title", "marked").orderBy(*(F.desc(k) for k in keys), "hash", "path")
+
+
+def survivors(marked: DataFrame) -> DataFrame:
+    """``(hash, target)`` of groups with marked files: the first path that is neither marked nor deleted, or null."""
+    gone = F.coalesce(F.col("status") == "deleted", F.lit(False)) if "status" in marked.columns else F.lit(False)
+    left = F.when(~F.col("marked") & ~gone, F.col("path"))
+    return marked.groupBy("hash").agg(F.min(left).alias("target"), F.max("marked").alias("any")).where("any").select("hash", "target")
+
+
 def mark_plan(marked: DataFrame, action: str = "delete") -> DataFrame:
     """``(hash, path, action, target, error)`` for marked files: the target is the group's first unmarked file;
     links and clones without one are errors."""
-    target = marked.groupBy("hash").agg(F.min(F.when(~F.col("marked"), F.col("path"))).alias("target"))
-    out = marked.where("marked").join(target, "hash")
+    out = marked.where("marked").join(survivors(marked), "hash")
     error = F.when(F.col("target").isNull() & F.lit(action != "delete"), F.lit("no unmarked file is left in the group"))
     return out.select("hash", "path", F.lit(action).alias("action"), "target", error.alias("error"))
 

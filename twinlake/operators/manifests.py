@@ -5,21 +5,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinlake.operators.groups import numbered
+from twinlake.operators.groups import numbered, survivors
 from twinlake.plans.config import RestoreConfig
 
 SCHEMA = "version int, group_id long, hash_algo string, hash string, size long, canonical string, restore_path string, mode long, mtime_unix long, mtime_nsec long, dev long, ino long"
 
 
-def manifest_entries(groups: DataFrame) -> DataFrame:
+#: What a restore gives back to a file.
+FACTS = ["mode", "mtime_unix", "mtime_nsec", "dev", "ino"]
+
+
+def with_facts(entries: DataFrame, meta: DataFrame) -> DataFrame:
+    """Entries with the permissions, times and identity that ``meta`` (a scan: ``path`` and ``FACTS``) has of the
+    file to be restored; null where it has none."""
+    facts = meta.select(F.col("path").alias("restore_path"), F.col("mode").bitwiseAND(F.lit(0o777)).cast("long").alias("mode"), *FACTS[1:])
+    return entries.join(facts, "restore_path", "left").select(*entries.columns, *FACTS)
+
+
+def manifest_entries(groups: DataFrame, meta: DataFrame | None = None) -> DataFrame:
     """An entry per file but the smallest path of its group, which is the canonical one; groups are
-    numbered by digest."""
+    numbered by digest. With ``meta``, a scan of the files, also what a restore needs of each."""
     heads = groups.groupBy("hash").agg(F.min("path").alias("canonical"))
     ranked = numbered(heads, "hash", "group_id")
     rows = groups.join(ranked, "hash").where("path <> canonical")
-    return rows.select(
+    out = rows.select(
         F.lit(1).alias("version"), "group_id", F.lit("sha256").alias("hash_algo"), "hash", F.col("size_bytes").alias("size"), "canonical", F.col("path").alias("restore_path")
     ).distinct()
+    return out if meta is None else with_facts(out, meta)
+
+
+def backup_plan(marked: DataFrame, meta: DataFrame, action: str = "delete") -> DataFrame:
+    """The manifest entry of each marked file, its ``action`` and an ``error`` or null. ``meta`` is a scan of what is
+    there now. An error in any row means that nothing may be done: a group without a surviving file, a survivor
+    that is missing or not a regular file, or a marked file that is neither that nor a link."""
+    kept = survivors(marked)
+    ranked = numbered(kept.select("hash").distinct(), "hash", "group_id")
+    kind = lambda c: F.col(c).bitwiseAND(F.lit(0o170000))
+    heads = meta.select(F.col("path").alias("canonical"), F.col("mode").alias("c_mode"), F.col("size").alias("size"))
+    own = meta.select(F.col("path").alias("restore_path"), F.col("mode").alias("r_mode"), *FACTS[1:])
+    rows = marked.where("marked").select("hash", F.col("path").alias("restore_path")).join(kept.withColumnRenamed("target", "canonical"), "hash").join(ranked, "hash")
+    rows = rows.join(heads, "canonical", "left").join(own, "restore_path", "left")
+    error = (
+        F.when(F.col("canonical").isNull(), "no file of the group would survive")
+        .when(F.col("c_mode").isNull() | (kind("c_mode") != 0o100000), "the surviving file is missing or not regular")
+        .when(F.col("r_mode").isNull() | ~kind("r_mode").isin(0o100000, 0o120000), "a marked file is missing, or neither a file nor a link")
+    )
+    mode = F.col("r_mode").bitwiseAND(F.lit(0o777)).cast("long").alias("mode")
+    head = [F.lit(1).alias("version"), F.col("group_id"), F.lit("sha256").alias("hash_algo"), F.col("hash")]
+    return rows.select(*head, "size", "canonical", "restore_path", mode, *FACTS[1:], F.lit(action).alias("action"), error.alias("error"))
 
 
 def merge_manifests(existing: DataFrame, incoming: DataFrame) -> DataFrame:
@@ -52,7 +85,7 @@ def restore_decisions(entries: DataFrame, state: DataFrame, config: RestoreConfi
         (F.col("r_kind") == "symlink", "replace", "a link is in its place"),
         (F.col("r_kind") == "other", "error", "something else is in its place"),
         ((F.col("r_kind") == "file") & same("r_size", "r_hash"), "skip", "already there"),
-        ((F.col("r_kind") == "file") & F.lit(not config.overwrite), "error", "overwrite is disabled"),
+        ((F.col("r_kind") == "file") & F.lit(not config.overwrite), "error", "another file is there and may not be overwritten"),
         (F.col("r_kind") == "file", "replace", "differs"),
     ]
     decision, reason = F.lit("copy"), F.lit("missing")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 from dataclasses import dataclass, field
 
 from twinlake.functions.digests import parse_algorithm
@@ -71,11 +72,18 @@ class FuzzyConfig:
 
 @dataclass(frozen=True)
 class RestoreConfig:
+    """What a restore may overwrite, checks and gives back; a dry run changes nothing even if confirmed."""
+
     overwrite: bool = False
     verify_hash: bool = True
     restore_mode: bool = True
     restore_mtime: bool = True
-    dry_run: bool = True
+    dry_run: bool = False
+
+
+def looks_at_hidden(hidden: bool = False, name: str = "", single_file: str = "") -> bool:
+    """Hidden files take part if asked for, or if the name or the single file that is looked for is one."""
+    return hidden or name.startswith(".") or posixpath.basename(single_file).startswith(".")
 
 
 def check_modes(name_only: bool = False, single_file: bool = False, fuzzy: bool = False, restore: bool = False, backup: bool = False, keep: bool = False, link: bool = False, reflink: bool = False) -> None:

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinlake.functions.digests import synthetic_digest
-from twinlake.functions.paths import base_name
+from twinlake.functions.paths import base_name, extension
 from twinlake.functions.simhash import hamming, max_distance, similarity, simhash
 from twinlake.functions.sizes import display_size
 from twinlake.operators import filters, fuzzy, groups, manifests
+from twinlake.operators.components import connected_components
 from twinlake.plans.config import FuzzyConfig, ScanConfig
 from twinlake.sources import tables
 
@@ -132,7 +133,7 @@ def single_file_matches(spark, sf_dir):
     return groups.same_as(files, first or "")
 
 
-TOTALS = f"WITH {GROUPS}, s AS (SELECT match_type, match_key, hash, count(*) AS duplicate_count, cast(sum(size_bytes) AS BIGINT) AS total_bytes, cast(sum(size_bytes) - max(size_bytes) AS BIGINT) AS reclaimable_bytes, min(path) AS first_path FROM d GROUP BY ALL) SELECT *, hash[1:32] || ' - ' || duplicate_count || ' files - (approx. size ' || {SHOWN.format('total_bytes')} || ')' AS title FROM s"
+TOTALS = f"WITH {GROUPS}, s AS (SELECT match_type, match_key, hash, count(*) AS duplicate_count, cast(sum(size_bytes) AS BIGINT) AS total_bytes, cast(sum(size_bytes) - max(size_bytes) AS BIGINT) AS reclaimable_bytes, min(path) AS first_path FROM d GROUP BY ALL) SELECT *, hash[1:32] || ' - ' || duplicate_count || ' files - (approx. size ' || {SHOWN.format('total_bytes')} || ')' AS title, hash[1:16] || ' - ' || duplicate_count || ' files - approx. ' || {SHOWN.format('total_bytes')} AS compact_title FROM s"
 
 
 @query(TOTALS + " ORDER BY total_bytes DESC, duplicate_count DESC, hash")
@@ -221,17 +222,226 @@ def near_a_signature(spark, sf_dir):
     return rows.where(distance <= max_distance(60)).select("id", distance.alias("distance"), similarity(distance).alias("similarity"))
 
 
-@query()
+def _simhash_sql() -> str:
+    """Signatures of texts of four bytes or more; the hash of a shingle is taken in 128 bits and cut to 64."""
+    step = "((xor({0}, s[{1}]::HUGEINT) * 1099511628211) & 18446744073709551615)"
+    code = "14695981039346656037::HUGEINT"
+    for k in range(1, 5):
+        code = step.format(code, k)
+    bits = ", ".join(f"sum((h >> {k}) & 1) AS b{k}" for k in range(64))
+    word = " + ".join(f"CASE WHEN 2 * b{k} > n THEN {1 << k}::HUGEINT ELSE 0 END" for k in range(64))
+    return (
+        f"{FILES}, y AS (SELECT path, list_transform(regexp_extract_all(hex(encode(content)), '..'), lambda x: ('0x' || x)::INT) AS b FROM f WHERE strlen(content) >= 4), "
+        "t AS (SELECT path, unnest(list_zip(b[1:len(b) - 3], b[2:len(b) - 2], b[3:len(b) - 1], b[4:])) AS s FROM y), "
+        f"c AS (SELECT path, {code} AS h FROM t), a AS (SELECT path, count(*) AS n, {bits} FROM c GROUP BY path), w AS (SELECT path, {word} AS u FROM a), "
+        "g AS (SELECT path, CASE WHEN u >= 9223372036854775808 THEN (u - 18446744073709551616)::BIGINT ELSE u::BIGINT END AS sig FROM w)"
+    )
+
+
+def _fuzzy_sql(threshold: int, least: int) -> str:
+    """Components of all pairs of signatures within the distance and the size ratio, by closure."""
+    near = "bit_count(xor(p.sig, q.sig)) <= {0} AND greatest(p.size, q.size) <= 2 * least(p.size, q.size)".format((100 - threshold) * 64 // 100)
+    return (
+        f"WITH RECURSIVE {_simhash_sql()}, v AS (SELECT g.path, sig, size FROM g JOIN f ON f.path = g.path WHERE size >= {least}), "
+        f"e AS (SELECT p.path AS a, q.path AS b FROM v p JOIN v q ON p.path <> q.path AND {near}), "
+        "r AS (SELECT path AS n, path AS c FROM v UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.n WHERE r.c < e.b), "
+        "k AS (SELECT n AS path, min(c) AS component FROM r GROUP BY n), m AS (SELECT *, count(*) OVER (PARTITION BY component) AS x FROM k), "
+        "h AS (SELECT m.path, m.component, v.size, v.sig, o.sig AS head FROM m JOIN v ON v.path = m.path JOIN v o ON o.path = m.component WHERE x >= 2), "
+        f"z AS (SELECT *, 'near-content >={threshold}% (sig ' || lower(printf('%016x', head)) || ')' AS match_key FROM h) "
+        "SELECT 'fuzzy' AS match_type, match_key, sha256('twinlake:fuzzy:' || match_key) AS hash, count(*) OVER (PARTITION BY match_key) AS duplicate_count, path, size AS size_bytes, "
+        "cast(floor((64 - bit_count(xor(sig, head))::BIGINT) * 100 / 64) AS INT) AS similarity, component FROM z"
+    )
+
+
+@query(f"WITH {_simhash_sql()} SELECT f.path, sig FROM f LEFT JOIN g ON g.path = f.path")
 def fuzzy_signature(spark, sf_dir):
     return files_of(spark, sf_dir).select("path", simhash(F.col("content"), -1).alias("sig"))
 
 
-@query()
+#: Whole texts and no cap on candidates, as these are queries over whole tables.
+CLOSE = FuzzyConfig(threshold=95, max_candidates=-1, min_size=0, read_limit=-1)
+USUAL = FuzzyConfig(max_candidates=-1, read_limit=-1)
+
+
+@query(_fuzzy_sql(95, 0))
 def fuzzy_groups(spark, sf_dir):
-    return fuzzy.fuzzy_groups(files_of(spark, sf_dir), FuzzyConfig(threshold=95, max_candidates=-1, min_size=0, read_limit=-1))
+    return fuzzy.sorted_fuzzy_groups(fuzzy.fuzzy_groups(files_of(spark, sf_dir), CLOSE))
+
+
+@query(_fuzzy_sql(75, 4000))
+def fuzzy_groups_usual(spark, sf_dir):
+    return fuzzy.fuzzy_groups(files_of(spark, sf_dir), USUAL)
+
+
+@query(f"SELECT component, path, similarity FROM ({_fuzzy_sql(95, 0)}) ORDER BY similarity DESC, path")
+def fuzzy_matches(spark, sf_dir):
+    return fuzzy.sorted_matches(fuzzy.fuzzy_members(files_of(spark, sf_dir), CLOSE)).select("component", "path", "similarity")
+
+
+@query(
+    f"WITH {FILES} SELECT count(*) AS scanned, count(*) FILTER (size > 0 AND size < 4000) AS too_small, count(*) FILTER (size = 0) AS skipped, "
+    "least(count(*) FILTER (size >= 4000), 100) AS processed, greatest(count(*) FILTER (size >= 4000) - 100, 0) AS truncated FROM f"
+)
+def fuzzy_metrics(spark, sf_dir):
+    return fuzzy.fuzzy_metrics(files_of(spark, sf_dir), FuzzyConfig(max_candidates=100))
 
 
 @query("SELECT DISTINCT string_split(rtrim(url, '/'), '/')[-1] AS name, sha256('twinlake:name:' || string_split(rtrim(url, '/'), '/')[-1]) AS hash FROM pages")
 def name_digests(spark, sf_dir):
     name = base_name(F.col("url"))
     return table(spark, sf_dir, "pages").select(name.alias("name"), synthetic_digest("name", name).alias("hash")).distinct()
+
+
+#: Documents as a scanned tree: hidden and deep files, two devices, pairs of hard links, modes and times.
+TREE = (
+    "t AS (SELECT '/r' AS root, '/r/' || lang || '/' || CASE WHEN doc_id % 13 = 0 THEN 'deep/down/' ELSE '' END || CASE WHEN doc_id % 11 = 0 THEN '.' ELSE '' END || doc_id AS path, strlen(coalesce(text, '')) AS size, "
+    "CASE WHEN doc_id % 17 = 0 THEN 2 ELSE 1 END AS dev, doc_id // 2 AS ino, 1 AS root_dev FROM documents)"
+)
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("doc_id")
+    path = F.concat(F.lit("/r/"), "lang", F.lit("/"), F.when(k % 13 == 0, "deep/down/").otherwise(""), F.when(k % 11 == 0, ".").otherwise(""), k.cast("string"))
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    dev = F.when(k % 17 == 0, 2).otherwise(1)
+    return table(spark, sf_dir, "documents").select(F.lit("/r").alias("root"), path.alias("path"), size.alias("size"), dev.alias("dev"), F.floor(k / 2).cast("long").alias("ino"), F.lit(1).alias("root_dev"))
+
+
+@query(
+    f"WITH {TREE}, x AS (SELECT * FROM t WHERE size BETWEEN 300 AND 50000 AND path NOT LIKE '%/.%' AND len(string_split(path, '/')) - 3 <= 1 AND path NOT LIKE '/r/de/%' AND dev = root_dev) "
+    "SELECT min(path) AS path, dev, ino FROM x GROUP BY dev, ino"
+)
+def filter_chain(spark, sf_dir):
+    config = ScanConfig.of("300", "50K", max_depth=1, exclude=["/r/de"], one_file_system=True)
+    return filters.apply_filters(_tree(spark, sf_dir), config).select("path", "dev", "ino")
+
+
+@query(
+    f"WITH {GROUPS}, t AS (SELECT max(path) AS target FROM d), r AS (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY path <> target, path) AS k, first_value(path) OVER (PARTITION BY hash ORDER BY path <> target, path) AS first FROM d, t) "
+    "SELECT hash, path, CASE WHEN k > 1 THEN 'link' ELSE 'keep' END AS action, CASE WHEN k > 1 THEN first END AS target FROM r"
+)
+def keep_target_plan(spark, sf_dir):
+    found = groups.content_groups(files_of(spark, sf_dir))
+    return groups.keep_plan(found, 1, "link", target=found.agg(F.max("path")).first()[0])
+
+
+@query(f"WITH {GROUPS}, t AS (SELECT max(path) AS path FROM d), k AS (SELECT hash FROM h WHERE path = (SELECT path FROM t)) SELECT path, size, path = (SELECT path FROM t) AS is_target FROM h WHERE hash IN (SELECT hash FROM k)")
+def outside_file_matches(spark, sf_dir):
+    """The target is not in the relation that is searched."""
+    files = files_of(spark, sf_dir)
+    target = groups.content_groups(files).agg(F.max("path")).first()[0]
+    return groups.same_as(files.where(F.col("path") != F.lit(target)), target or "", target=files)
+
+
+@query(
+    f"WITH {GROUPS}, s AS (SELECT *, cast(sum(size_bytes) OVER (PARTITION BY hash) AS BIGINT) AS total_bytes, path <> min(path) OVER (PARTITION BY hash) AS marked FROM d) "
+    f"SELECT match_type, match_key, hash, duplicate_count, path, size_bytes, total_bytes, hash[1:32] || ' - ' || duplicate_count || ' files - (approx. size ' || {SHOWN.format('total_bytes')} || ')' AS title, marked FROM s"
+)
+def review_model(spark, sf_dir):
+    return groups.review(groups.content_groups(files_of(spark, sf_dir)))
+
+
+MARKS = GROUPS + ", m AS (SELECT *, CASE WHEN size_bytes % 5 = 0 THEN 'deleted' ELSE 'there' END AS status, path <> min(path) OVER (PARTITION BY hash) AS marked FROM d)"
+
+
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = groups.auto_mark(groups.content_groups(files_of(spark, sf_dir)))
+    return found.withColumn("status", F.when(F.col("size_bytes") % 5 == 0, "deleted").otherwise("there"))
+
+
+@query(f"WITH {MARKS} SELECT hash, path, size_bytes FROM m WHERE status <> 'deleted'")
+def mark_everything(spark, sf_dir):
+    return groups.marked_files(groups.mark_all(_marked(spark, sf_dir)))
+
+
+@query(f"WITH {MARKS} SELECT count(*) FILTER (marked) AS marked, cast(coalesce(sum(size_bytes) FILTER (marked), 0) AS BIGINT) AS marked_bytes FROM m")
+def marked_totals(spark, sf_dir):
+    return groups.marked_count(_marked(spark, sf_dir))
+
+
+@query(f"WITH {MARKS}, o AS (SELECT min(path) AS path FROM m) SELECT m.path, CASE WHEN m.path = o.path THEN NOT marked ELSE marked END AS marked FROM m, o")
+def toggle_mark(spark, sf_dir):
+    marked = _marked(spark, sf_dir)
+    return groups.toggled(marked, marked.agg(F.min("path")).first()[0] or "").select("path", "marked")
+
+
+@query(f"WITH {MARKS}, y AS (SELECT *, (marked OR size_bytes % 3 = 0) AS touched FROM m) SELECT hash, min(path) FILTER (NOT touched AND status <> 'deleted') AS target FROM y GROUP BY hash HAVING bool_or(touched)")
+def surviving_targets(spark, sf_dir):
+    marked = _marked(spark, sf_dir)
+    return groups.survivors(marked.withColumn("marked", F.col("marked") | (F.col("size_bytes") % 3 == 0)))
+
+
+FACTS = "u AS (SELECT path, size, CASE WHEN size % 7 = 0 THEN 41471 WHEN size % 7 = 1 THEN 16877 ELSE 33188 END AS mode, 1600000000 + size AS mtime_unix, size % 1000 AS mtime_nsec, 1 AS dev, size * 3 AS ino FROM f WHERE size % 11 <> 0)"
+
+
+def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a scan might find: files, links and folders, and some missing."""
+    size = F.col("size")
+    mode = F.when(size % 7 == 0, 0o120777).when(size % 7 == 1, 0o40755).otherwise(0o100644)
+    out = files_of(spark, sf_dir).where(size % 11 != 0)
+    return out.select("path", "size", mode.alias("mode"), (size + 1_600_000_000).alias("mtime_unix"), (size % 1000).alias("mtime_nsec"), F.lit(1).cast("long").alias("dev"), (size * 3).alias("ino"))
+
+
+@query(f"WITH {MANIFEST}, {FACTS} SELECT e.*, (u.mode & 511)::BIGINT AS mode, mtime_unix, mtime_nsec, dev, ino FROM e LEFT JOIN u ON u.path = restore_path WHERE restore_path <> canonical")
+def manifest_with_facts(spark, sf_dir):
+    return manifests.manifest_entries(groups.content_groups(files_of(spark, sf_dir)), _facts(spark, sf_dir))
+
+
+@query(
+    f"WITH {GROUPS}, {FACTS}, m AS (SELECT *, (path <> min(path) OVER (PARTITION BY hash) OR size_bytes % 3 = 0) AS marked FROM d), k AS (SELECT hash, min(path) FILTER (NOT marked) AS canonical, bool_or(marked) AS touched FROM m GROUP BY hash), "
+    "n AS (SELECT hash, canonical, dense_rank() OVER (ORDER BY hash) AS group_id FROM k WHERE touched), "
+    "x AS (SELECT n.*, m.path AS restore_path, c.mode AS cm, c.size, o.mode AS om, o.mtime_unix, o.mtime_nsec, o.dev, o.ino FROM m JOIN n ON n.hash = m.hash LEFT JOIN u c ON c.path = canonical LEFT JOIN u o ON o.path = m.path WHERE marked) "
+    "SELECT 1 AS version, group_id, 'sha256' AS hash_algo, hash, size, canonical, restore_path, (om & 511)::BIGINT AS mode, mtime_unix, mtime_nsec, dev, ino, 'delete' AS action, "
+    "CASE WHEN canonical IS NULL THEN 'no file of the group would survive' WHEN cm IS NULL OR cm & 61440 <> 32768 THEN 'the surviving file is missing or not regular' "
+    "WHEN om IS NULL OR om & 61440 NOT IN (32768, 40960) THEN 'a marked file is missing, or neither a file nor a link' END AS error FROM x"
+)
+def backup_plan(spark, sf_dir):
+    marked = groups.auto_mark(groups.content_groups(files_of(spark, sf_dir)))
+    marked = marked.withColumn("marked", F.col("marked") | (F.col("size_bytes") % 3 == 0))
+    return manifests.backup_plan(marked, _facts(spark, sf_dir))
+
+
+RULES = [
+    ("error", "unknown version"), ("error", "a path is missing"), ("error", "unknown hash algorithm"), ("error", "the canonical file is missing or not regular"), ("error", "the canonical file has changed"),
+    ("replace", "a link is in its place"), ("error", "something else is in its place"), ("skip", "already there"), ("error", "another file is there and may not be overwritten"), ("copy", "missing"),
+]
+
+
+@query(
+    "SELECT '/r/' || p_partkey AS restore_path, " + ", ".join("CASE p_partkey % 10 " + " ".join(f"WHEN {k} THEN '{rule[n]}'" for k, rule in enumerate(RULES)) + f" END AS {name}" for n, name in enumerate(["decision", "reason"])) + " FROM part"
+)
+def restore_rules(spark, sf_dir):
+    """A case of every rule, by the last digit of a key."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), (F.col("p_partkey") % 10).alias("x"))
+    text, x = F.col("k").cast("string"), F.col("x")
+    canonical, path, digest = F.concat(F.lit("/c/"), text), F.concat(F.lit("/r/"), text), F.sha2(text, 256)
+    entries = parts.select(
+        F.when(x == 0, 9).otherwise(1).alias("version"), F.col("k").cast("long").alias("group_id"), F.when(x == 2, "md5").otherwise("sha256").alias("hash_algo"), digest.alias("hash"),
+        F.lit(4).cast("long").alias("size"), F.when(x == 1, "").otherwise(canonical).alias("canonical"), path.alias("restore_path"),
+    )
+    heads = parts.where(x != 3).select(canonical.alias("path"), F.lit("file").alias("kind"), F.lit(4).cast("long").alias("size"), F.when(x == 4, "00").otherwise(digest).alias("hash"))
+    kind = F.when(x == 5, "symlink").when(x == 6, "other").otherwise("file")
+    there = parts.where(x.between(5, 8)).select(path.alias("path"), kind.alias("kind"), F.lit(4).cast("long").alias("size"), F.when(x == 8, "11").otherwise(digest).alias("hash"))
+    return manifests.restore_decisions(entries, heads.unionByName(there))
+
+
+@query(
+    "WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey + 7 AS b FROM part WHERE p_partkey % 5 <> 0 AND p_partkey + 7 <= (SELECT max(p_partkey) FROM part)), "
+    "s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT a AS n, a AS c FROM s UNION SELECT s.b, r.c FROM r JOIN s ON s.a = r.n) SELECT n AS node, min(c) AS component FROM r GROUP BY n"
+)
+def components(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("src"))
+    top = parts.agg(F.max("src")).first()[0]
+    edges = parts.where((F.col("src") % 5 != 0) & (F.col("src") + 7 <= F.lit(top))).withColumn("dst", F.col("src") + 7)
+    return connected_components(edges)
+
+
+@query("WITH n AS (SELECT p_type, p_type = (SELECT min(p_type) FROM part) AS same FROM part) SELECT count(*) AS scanned, count(*) FILTER (NOT same) AS skipped_by_name FROM n")
+def name_metrics(spark, sf_dir):
+    name = table(spark, sf_dir, "part").agg(F.min("p_type")).first()[0]
+    return groups.name_metrics(_named(spark, sf_dir), name)
+
+
+@query("SELECT lower(regexp_extract(string_split(rtrim(url, '/'), '/')[-1], '(\\.[^.]*)$', 1)) AS ext, count(*) AS pages FROM pages GROUP BY ALL")
+def extensions(spark, sf_dir):
+    return table(spark, sf_dir, "pages").groupBy(extension(F.col("url")).alias("ext")).agg(F.count("*").alias("pages"))

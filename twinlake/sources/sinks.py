@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import json
 import os
+import uuid
 from collections.abc import Iterator
 from itertools import groupby
 from typing import IO
@@ -12,7 +13,7 @@ from typing import IO
 from pyspark.sql import DataFrame, SparkSession
 
 from twinlake.operators.groups import LONG
-from twinlake.operators.manifests import SCHEMA
+from twinlake.operators.manifests import SCHEMA, merge_manifests
 
 
 def _ordered(groups: DataFrame) -> Iterator:
@@ -62,6 +63,40 @@ def text_lines(groups: DataFrame, bullets: bool = False) -> Iterator[str]:
             yield f"  - {r.path}" if bullets else f" {k}: {r.path}"
 
 
+def write_csv_parts(groups: DataFrame, folder: str) -> None:
+    """The report as a folder of CSV files in order, a task a file: nothing goes through the driver."""
+    groups.select(LONG).orderBy("match_type", "match_key", "hash", "path").write.mode("errorifexists").option("header", True).csv(folder)
+
+
+def elapsed_line(seconds: float) -> str:
+    return f"Scanned in {seconds:.2f} s"
+
+
+def summary_line(metrics: dict[str, int], seconds: float, mode: str = "content") -> str:
+    """What a scan of a mode (content, fuzzy, name) did, from its one row of metrics."""
+    head = f"Scanned {metrics['scanned']} files"
+    if mode == "fuzzy":
+        return f"{head}, fuzzy-signatured {metrics['processed']} (skipped {metrics['skipped']}) in {seconds:.2f} s"
+    if mode == "name":
+        return f"{head} by name in {seconds:.2f} s"
+    return f"{head}, sampled {metrics['sampled']} candidates, fully hashed {metrics['fully_hashed']} in {seconds:.2f} s"
+
+
+def append_manifest(entries: DataFrame, folder: str) -> None:
+    """Add entries to a manifest, which may not exist yet; files that it already has keep their entries. What is
+    there is replaced as a whole, by renames, once the new one is written."""
+    spark = entries.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path(folder)):
+        return write_manifest(entries, folder)
+    new, old = (f"{folder.rstrip('/')}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
+    write_manifest(merge_manifests(read_manifest(spark, folder), entries), new)
+    if not system.rename(path(folder), path(old)) or not system.rename(path(new), path(folder)):
+        raise OSError(f"the manifest could not be replaced: {folder}")
+    system.delete(path(old), True)
+
+
 def write_manifest(entries: DataFrame, folder: str) -> None:
     """JSON lines; Spark's commit makes the folder appear whole or not at all."""
     entries.orderBy("group_id", "restore_path").write.mode("errorifexists").json(folder)
