@@ -173,3 +173,118 @@ def test_components_over_many_tasks(spark, monkeypatch):
         name = (lambda x: f"{x:05}") if kind == "string" else int
         frame = spark.createDataFrame([(name(x), name(y)) for x, y in pairs], f"src {kind}, dst {kind}").repartition(7)
         assert {(r.node, r.component) for r in connected_components(frame).collect()} == {(name(x), name(find(x))) for x in parent}
+
+
+def scanned(spark, folder):
+    """What a scan finds now, as rows that stay when files change."""
+    files = tree.with_content(tree.scan(spark, [str(folder)]))
+    return spark.createDataFrame(files.collect(), files.schema)
+
+
+def test_backup_is_written_before_anything_is_changed(spark, tmp_path):
+    make(tmp_path / "d", {"a": b"same", "b": b"same", "c": b"same", "x": b"two", "y": b"two"})
+    os.chmod(tmp_path / "d/b", 0o640)
+    os.utime(tmp_path / "d/b", ns=(5_000_000_007, 5_000_000_007))
+    files = scanned(spark, tmp_path / "d")
+    marked = groups.auto_mark(groups.content_groups(files))
+    plan, manifest = manifests.backup_plan(marked, files), str(tmp_path / "m")
+    assert {x[2] for x in execute.apply_with_backup(plan, manifest)} == {"planned"} and not os.path.exists(manifest)
+    first = plan.where(F.col("restore_path").endswith("/b"))
+    outcomes = execute.apply_with_backup(first, manifest, confirm=True)
+    assert execute.sentence("delete", outcomes) == "Deleted 1 file(s)." and not (tmp_path / "d/b").exists()
+    (tmp_path / "d/b").write_bytes(b"")
+    execute.apply_with_backup(plan, manifest, confirm=True)
+    back = sinks.read_manifest(spark, manifest)
+    assert sorted(os.path.basename(r.restore_path) for r in back.collect()) == ["b", "c", "y"] and sorted(os.listdir(tmp_path / "d")) == ["a", "x"]
+    assert [(r.mode, r.mtime_unix, r.mtime_nsec) for r in back.where(F.col("restore_path").endswith("/b")).collect()] == [(0o640, 5, 7)]
+    now = scanned(spark, tmp_path / "d")
+    state = now.select("path", F.lit("file").alias("kind"), "size", F.sha2("content", 256).alias("hash"))
+    decisions = manifests.restore_decisions(back, state)
+    assert {x[2] for x in execute.restore(back, decisions, confirm=True, config=RestoreConfig(dry_run=True))} == {"planned"}
+    assert {x[2] for x in execute.restore(back, decisions, confirm=True)} == {"done"}
+    s = os.stat(tmp_path / "d/b")
+    assert (tmp_path / "d/b").read_bytes() == b"same" and s.st_mode & 0o777 == 0o640 and s.st_mtime_ns == 5_000_000_007
+
+
+def test_backup_aborts_before_any_change(spark, tmp_path):
+    make(tmp_path / "d", {"a": b"same", "b": b"same", "x": b"two", "y": b"two"})
+    files = scanned(spark, tmp_path / "d")
+    marked = groups.auto_mark(groups.content_groups(files))
+    everything = groups.mark_all(marked)
+    with pytest.raises(ValueError, match="survive"):
+        execute.apply_with_backup(manifests.backup_plan(everything, files), str(tmp_path / "m"), confirm=True)
+    with pytest.raises(ValueError, match="missing"):
+        execute.apply_with_backup(manifests.backup_plan(marked, files.where(~F.col("path").endswith("/y"))), str(tmp_path / "m"), confirm=True)
+    with pytest.raises(ValueError, match="surviving"):
+        execute.apply_with_backup(manifests.backup_plan(marked, files.where(~F.col("path").endswith("/x"))), str(tmp_path / "m"), confirm=True)
+    (tmp_path / "taken").write_bytes(b"not a folder")
+    with pytest.raises(Exception):
+        execute.apply_with_backup(manifests.backup_plan(marked, files), str(tmp_path / "taken/m"), confirm=True)
+    assert sorted(os.listdir(tmp_path / "d")) == ["a", "b", "x", "y"] and not (tmp_path / "m").exists()
+
+
+def test_links_are_carried_out(spark, tmp_path):
+    make(tmp_path / "d", {"a": b"same", "b": b"same", "c": b"same"})
+    found = groups.content_groups(scanned(spark, tmp_path / "d"))
+    outcomes = execute.apply_plan(groups.keep_plan(found, 1, "link", target=str(tmp_path / "d/b")), confirm=True)
+    assert execute.sentence("link", outcomes) == "Converted 2 file(s) to symlinks."
+    assert [os.path.islink(tmp_path / "d" / n) for n in "abc"] == [True, False, True] and os.readlink(tmp_path / "d/a") == str(tmp_path / "d/b")
+    assert execute.sentence("reflink", [("x", "reflink", "error: no"), ("y", "reflink", "done")]) == "Converted 1 file(s); 1 error(s) occurred."
+    assert execute.sentence("delete", [("x", "delete", "error: no")]) == "Failed to delete 1 file(s)." and execute.sentence("link", []) == "No files were converted."
+
+
+def test_near_content_counters_and_cap(spark):
+    files = files_of(spark, [(f"/{k}", bytes([65 + k]) * 50) for k in range(5)] + [("", b"x" * 50), ("/e", b""), ("/s", b"x")])
+    config = FuzzyConfig(max_candidates=3, min_size=10)
+    assert fuzzy.fuzzy_metrics(files, config).first().asDict() == {"scanned": 8, "too_small": 1, "skipped": 2, "processed": 3, "truncated": 2}
+    assert [r.path for r in fuzzy.signatures(files, config).orderBy("path").collect()] == ["/0", "/1", "/2"]
+
+
+def test_same_extension_and_least_size_of_near_content(spark):
+    text = b"alpha beta gamma delta " * 20
+    files = files_of(spark, [("/a.txt", text), ("/b.TXT", text + b"x"), ("/c.md", text), ("/d.txt", text[:90])])
+    config = FuzzyConfig(threshold=85, min_size=100, same_extension=True)
+    assert {r.path for r in fuzzy.fuzzy_members(files, config).collect()} == {"/a.txt", "/b.TXT"}
+
+
+def test_virtual_folders_and_devices(spark):
+    rows = [("/proc/a", 1, 1), ("/r/b", 1, 1), ("/r/c", 2, 1), ("/run", 1, 1)]
+    files = spark.createDataFrame([(p, 5, d, r) for p, d, r in rows], "path string, size long, dev long, root_dev long")
+    got = lambda config: sorted(r.path for r in filters.apply_filters(files, config).collect())
+    assert got(ScanConfig()) == ["/r/b", "/r/c"] and got(ScanConfig(virtual=True)) == ["/proc/a", "/r/b", "/r/c", "/run"]
+    assert got(ScanConfig(one_file_system=True)) == ["/r/b"]
+
+
+def test_reports_in_parts_and_lines(spark, tmp_path):
+    found = groups.content_groups(files_of(spark, [("/a", b"1"), ("/b", b"1"), ("/c", b"2"), ("/d", b"2")]))
+    sinks.write_csv_parts(found, str(tmp_path / "parts"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "parts"))
+    assert back.columns == groups.LONG and back.count() == 4
+    assert sinks.summary_line(groups.stage_metrics(files_of(spark, [("/a", b"1"), ("/b", b"1")])).first().asDict(), 1.5) == "Scanned 2 files, sampled 2 candidates, fully hashed 0 in 1.50 s"
+    assert sinks.summary_line({"scanned": 3, "processed": 2, "skipped": 1}, 0, "fuzzy") == "Scanned 3 files, fuzzy-signatured 2 (skipped 1) in 0.00 s"
+    assert list(sinks.text_lines(found, bullets=True))[1:3] == ["  - /a", "  - /b"] or list(sinks.text_lines(found, bullets=True))[1:3] == ["  - /c", "  - /d"]
+
+
+def test_overlapping_roots_count_a_file_once(spark, tmp_path):
+    make(tmp_path, {"a": b"1", "d/b": b"1"})
+    seen = tree.scan(spark, [str(tmp_path), str(tmp_path / "d")])
+    assert seen.where(F.col("path").endswith("/b")).count() == 2
+    assert sorted(os.path.basename(r.path) for r in filters.apply_filters(seen, ScanConfig()).collect()) == ["a", "b"]
+
+
+def test_same_as_hashes_only_what_agrees(spark):
+    big = b"x" * 5000
+    files = files_of(spark, [("/t", big + b"1"), ("/u", big + b"1"), ("/v", big + b"2"), ("/w", b"1")])
+    assert [(r.path, r.is_target) for r in groups.same_as(files, "/t").collect()] == [("/t", True), ("/u", False)]
+    assert groups.same_as(files, "/none").count() == 0
+    outside = files_of(spark, [("/o", big + b"2")])
+    assert [(r.path, r.is_target) for r in groups.same_as(files, "/o", target=outside).collect()] == [("/o", True), ("/v", False)]
+
+
+def test_two_components_with_one_key(spark):
+    """Representatives of one signature that are too far apart in size: two components, one group."""
+    one, two = b"abcd" * 30, b"abcd" * 90
+    files = files_of(spark, [("/a", one), ("/b", one), ("/x", two), ("/y", two)])
+    found = fuzzy.fuzzy_groups(files, FuzzyConfig(min_size=0, threshold=100)).collect()
+    assert {(r.path, r.component, r.duplicate_count) for r in found} == {("/a", "/a", 4), ("/b", "/a", 4), ("/x", "/x", 4), ("/y", "/x", 4)}
+    assert len({r.hash for r in found}) == 1

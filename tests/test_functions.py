@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from twinlake.functions import digests, paths, simhash, sizes
 from twinlake.functions.blake3 import blake3, blake3_many
-from twinlake.plans.config import FuzzyConfig, ScanConfig, check_modes
+from twinlake.operators import groups
+from twinlake.plans.config import FuzzyConfig, ScanConfig, check_modes, looks_at_hidden
 
 
 def test_blake3_published_vectors():
@@ -13,7 +14,7 @@ def test_blake3_published_vectors():
     assert blake3_many([data, b"", data[:7]]) == [blake3(data), blake3(b""), blake3(data[:7])]
 
 
-@pytest.mark.parametrize("text, size", [("1K", 1000), ("1KiB", 1024), ("1.5G", 1_500_000_000), ("2Gi", 2147483648), ("1e3", 1000), ("2 GiB", 2147483648), ("0", 0), ("1_000", 1000)])
+@pytest.mark.parametrize("text, size", [("1K", 1000), ("1KiB", 1024), ("1.5G", 1_500_000_000), ("2Gi", 2147483648), ("1e3", 1000), ("2 GiB", 2147483648), ("0", 0), ("1_000", 1000), ("1tibibyte", 1 << 40), ("2 tebibytes", 2 << 40), ("1mebibyte", 1 << 20), ("1mibibytes", 1 << 20), ("1pibi", 1 << 50), ("1EiBi", 1 << 60), ("1exbibyte", 1 << 60)])
 def test_parse_size(text, size):
     assert sizes.parse_size(text) == size
 
@@ -72,3 +73,19 @@ def test_config():
         check_modes(fuzzy=True, keep=True)
     with pytest.raises(ValueError):
         digests.parse_digest("12")
+
+
+def test_hidden_targets_switch_hidden_files_on():
+    assert [looks_at_hidden(), looks_at_hidden(True), looks_at_hidden(name=".x"), looks_at_hidden(single_file="/a/.x"), looks_at_hidden(single_file="/.a/x")] == [False, True, True, True, False]
+
+
+def test_sort_modes():
+    assert [groups.next_mode(m) for m in ("size", "count", "other")] == ["count", "size", "size"]
+
+
+def test_titles(spark):
+    rows = [("content", "k", "ab" * 32, 2, 2048), ("name", "n.txt", "cd" * 32, 3, 10), ("fuzzy", "sig", "ef" * 32, 2, 0), ("content", "k", "ab" * 32, 0, 0)]
+    frame = spark.createDataFrame(rows, "match_type string, match_key string, hash string, duplicate_count long, total_bytes long")
+    got = frame.select(groups.title_of(frame).alias("t"), groups.title_of(frame, True).alias("c")).collect()
+    assert [r.t for r in got] == ["ab" * 16 + " - 2 files - (approx. size 2.00 KiB)", "Name: n.txt - 3 files - (approx. size 10 B)", "Similar: sig - 2 files - (approx. size 0 B)", "Empty group"]
+    assert [r.c for r in got][:2] == ["ab" * 8 + " - 2 files - approx. 2.00 KiB", "Name: n.txt - 3 files - approx. 10 B"]

@@ -42,11 +42,11 @@ def same_device(dev: Column, root_dev: Column) -> Column:
 
 
 def first_links(files: DataFrame) -> DataFrame:
-    """Of paths with one ``(dev, ino)`` the smallest; files without an identity all stay. An aggregation
-    with map-side combine, so a much-linked file is no skew."""
+    """Of paths with one ``(dev, ino)`` the smallest, once, even if overlapping roots found it twice; files without
+    an identity all stay. An aggregation with map-side combine, so a much-linked file is no skew."""
     identified = files.where("dev is not null and ino is not null")
     first = identified.groupBy("dev", "ino").agg(F.min("path").alias("path"))
-    return identified.join(first, ["dev", "ino", "path"], "left_semi").select(files.columns).unionByName(files.where("dev is null or ino is null"))
+    return identified.join(first, ["dev", "ino", "path"], "left_semi").dropDuplicates(["dev", "ino", "path"]).select(files.columns).unionByName(files.where("dev is null or ino is null"))
 
 
 def apply_filters(files: DataFrame, config: ScanConfig, root: str = "/") -> DataFrame:
