@@ -341,9 +341,10 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, mark: Column) -> DataF
         parts = merged(parts, cut(dealt.mapInArrow(_verified, "src binary, dst binary")))
 
     ids = classes.select("class", F.col("first.doc_id").alias("first_id"))
-    placed = ids.join(parts, "class", "left")
-    least = placed.where("component is not null").groupBy("component").agg(F.min("first_id").alias("least_id"))
-    names = placed.join(least, "component", "left").select("class", F.coalesce("least_id", "first_id").alias("component_id"))
+    placed = parts.join(ids, "class")
+    least = placed.groupBy("component").agg(F.min("first_id").alias("least_id"))
+    placed = placed.join(least, "component").select("class", "least_id")
+    names = ids.join(placed, "class", "left").select("class", F.coalesce("least_id", "first_id").alias("component_id"))
     linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     out = described.select("doc_id", "mark", "n_shingles", "class")
     some = out.where(linked).join(names, "class").select("doc_id", "mark", "n_shingles", "component_id")
