@@ -8,6 +8,7 @@ cosine in that latent space, which passes nothing over unless a caller gives a l
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -37,8 +38,10 @@ SHORT = 8
 #: How much more often than in the corpus a common word stands in texts of its language. It decides which words
 #: are left out of a first bound, and with that the time a search takes, but not what it finds.
 LOCAL = 4
-#: Benchmark passages that go over the documents at once, and that are compared with a piece of them at once.
+#: Benchmark passages in a block, and that are compared with a piece of the documents at once.
 AT_ONCE, GROUP = 4096, 256
+#: Blocks of passages that one scan of the documents looks for, and the bytes of their words that a block waits for.
+SCAN, AHEAD = 16, 16 << 20
 
 
 def _scan(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -329,6 +332,35 @@ class Matcher:
         return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def _searched(batches: Iterator[pa.RecordBatch], text: str, name: str | None, latent: Latent, blocks: list[Passages], cosine: float | None) -> Iterator[tuple]:
+    """``(ids, rows, (block, sizes of its passages, row, passage, words in common, cosine))`` for pieces of batches
+    and, for each piece, all blocks of passages in turn. Where there are several, a block is made ready for
+    ``AHEAD`` bytes of texts at once."""
+    ready = {0: Matcher(latent, blocks[0], cosine)} if len(blocks) == 1 else {}
+    held, size = [], 0
+
+    def search() -> Iterator[tuple]:
+        found: list[list] = [[] for _ in held]
+        for k, block in enumerate(blocks):
+            matcher = ready.get(k) or Matcher(latent, block, cosine)
+            for mine, (_, hashes, at) in zip(found, held):
+                mine.append((block, matcher.size, *matcher.find(hashes, at)))
+        for mine, (part, _, _) in zip(found, held):
+            ids = part.column(name) if name else None
+            for one in mine:
+                yield ids, part, one
+
+    for batch in batches:
+        for a, b, hashes, at in _scan(batch.column(text)):
+            held.append((batch.slice(a, b - a), hashes, at))
+            size += 8 * len(hashes)
+            if ready or size >= AHEAD:
+                yield from search()
+                held, size = [], 0
+    if held:
+        yield from search()
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, latent: Latent | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", cosine: float | None = None) -> DataFrame:
     """``(doc_id, item_id, words_in_common, share, cosine)``: the benchmark items that a document holds.
 
@@ -338,47 +370,50 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, latent: Latent | None = No
     counts. No window is passed over, unless ``cosine`` is given, which leaks then have at least. Null texts are empty and hold nothing; empty tables give no rows; rows that repeat an id are
     one document; a null id is an id. Other columns are not read.
     """
+    bound_batches(docs.sparkSession)
     latent = latent or fit(docs, text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind, item_kind = rows.schema["doc_id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {item_kind}, words_in_common long, share double, cosine double"
 
-    def scan(block: Passages) -> Callable:
-        item_type = pa.array(block.items).type
+    def scan(blocks: list[Passages]) -> Callable:
+        item_type = pa.array([x for block in blocks for x in block.items]).type
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(latent, block, cosine)
-            for batch in batches:
-                for a, b, hashes, at in _scan(batch.column("text")):
-                    row, passage, length, score = matcher.find(hashes, at)
-                    ids = batch.column("doc_id").slice(a, b - a).take(pa.array(row))
-                    items = pa.array([block.items[k] for k in passage.tolist()], item_type)
-                    yield pa.RecordBatch.from_arrays([ids, items, pa.array(length), pa.array(length / matcher.size[passage]), pa.array(score.astype(np.float64))], names=["doc_id", "item_id", "words_in_common", "share", "cosine"])
+            for ids, _, (block, size, row, passage, length, score) in _searched(batches, "text", "doc_id", latent, blocks, cosine):
+                items = pa.array([block.items[k] for k in passage.tolist()], item_type)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), items, pa.array(length), pa.array(length / size[passage]), pa.array(score.astype(np.float64))], names=["doc_id", "item_id", "words_in_common", "share", "cosine"])
+            give_back()
 
         return run
 
     out = docs.sparkSession.createDataFrame([], schema)
-    for block in benchmark_passages(benchmark, item_col, item_text_col):
-        out = out.unionByName(rows.mapInArrow(scan(block), schema))
+    for blocks in itertools.batched(benchmark_passages(benchmark, item_col, item_text_col), SCAN):
+        out = out.unionByName(rows.mapInArrow(scan(list(blocks)), schema))
     return out.groupBy("doc_id", "item_id").agg(F.max("words_in_common").alias("words_in_common"), F.max("share").alias("share"), F.max("cosine").alias("cosine"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, latent: Latent | None = None, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns; see ``find_leaks``."""
+    bound_batches(docs.sparkSession)
     latent = latent or fit(docs, text_col)
 
-    def scan(block: Passages) -> Callable:
+    def scan(blocks: list[Passages]) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(latent, block)
-            for batch in batches:
-                for a, b, hashes, at in _scan(batch.column(text_col)):
-                    clean = np.ones(b - a, bool)
-                    clean[matcher.find(hashes, at)[0]] = False
-                    yield batch.slice(a, b - a).filter(pa.array(clean))
+            held: pa.RecordBatch | None = None
+            for _, part, (_, _, row, *_) in _searched(batches, text_col, None, latent, blocks, None):
+                if part is not held:
+                    if held is not None:
+                        yield held.filter(pa.array(clean))
+                    held, clean = part, np.ones(part.num_rows, bool)
+                clean[row] = False
+            if held is not None:
+                yield held.filter(pa.array(clean))
+            give_back()
 
         return run
 
     out = docs
-    for block in benchmark_passages(benchmark, item_col, item_text_col):
-        out = out.mapInArrow(scan(block), docs.schema)
+    for blocks in itertools.batched(benchmark_passages(benchmark, item_col, item_text_col), SCAN):
+        out = out.mapInArrow(scan(list(blocks)), docs.schema)
     return out
