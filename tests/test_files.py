@@ -288,3 +288,19 @@ def test_two_components_with_one_key(spark):
     found = fuzzy.fuzzy_groups(files, FuzzyConfig(min_size=0, threshold=100)).collect()
     assert {(r.path, r.component, r.duplicate_count) for r in found} == {("/a", "/a", 4), ("/b", "/a", 4), ("/x", "/x", 4), ("/y", "/x", 4)}
     assert len({r.hash for r in found}) == 1
+
+
+def test_walk_in_rounds_and_links_in_place_of_folders(spark, tmp_path):
+    names = {f"d{k % 5}/e{k % 3}/f{k}": bytes([k]) for k in range(30)} | {"top": b"t", "d0/.h/x": b"h"}
+    make(tmp_path / "r", names)
+    found = tree.scan(spark, [str(tmp_path / "r"), str(tmp_path / "r/top"), str(tmp_path / "none"), str(tmp_path / "r")], most=2)
+    assert sorted(r.path for r in found.collect()) == sorted(str(tmp_path / "r" / n) for n in names)
+    assert tree.scan(spark, [str(tmp_path / "r")], hidden=False).count() == 31 and tree.scan(spark, [str(tmp_path / "r")], 0).count() == 1
+    (tmp_path / "other").mkdir()
+    (tmp_path / "other/f0").write_bytes(b"not this one")
+    import shutil
+
+    shutil.rmtree(tmp_path / "r/d0/e0")
+    os.symlink(tmp_path / "other", tmp_path / "r/d0/e0")
+    content = {r.path: r.content for r in tree.with_content(found).collect()}
+    assert content[str(tmp_path / "r/d0/e0/f0")] is None and bytes(content[str(tmp_path / "r/top")]) == b"t"

@@ -89,3 +89,11 @@ def test_titles(spark):
     got = frame.select(groups.title_of(frame).alias("t"), groups.title_of(frame, True).alias("c")).collect()
     assert [r.t for r in got] == ["ab" * 16 + " - 2 files - (approx. size 2.00 KiB)", "Name: n.txt - 3 files - (approx. size 10 B)", "Similar: sig - 2 files - (approx. size 0 B)", "Empty group"]
     assert [r.c for r in got][:2] == ["ab" * 8 + " - 2 files - approx. 2.00 KiB", "Name: n.txt - 3 files - approx. 10 B"]
+
+
+def test_signatures_of_many(monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 50)
+    monkeypatch.setattr(simhash, "ROWS", 3)
+    texts = [b"a", None, b"", b"abc", b"abcd", b"alpha beta " * 30, b"x" * 49, b"yz" * 25, b"yz" * 26, b"\x00" * 3, b"gamma"]
+    got = simhash.signatures_of(texts)
+    assert [None if x is None else x % 2**64 for x in got] == [brute_signature(t) if t else None for t in texts]

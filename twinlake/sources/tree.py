@@ -1,29 +1,23 @@
-"""Directory trees as a data source: ``spark.read.format("filetree").option("paths", json_list).load()``.
-
-Folders are listed breadth-first on the driver until there are enough of them, then each task walks its
-share. Names that begin with ``.`` or ``_`` are files like any other. Trees must be visible to all executors."""
+"""Directory trees, walked by tasks. Names that begin with ``.`` or ``_`` are files like any other. Trees must be
+visible to all executors."""
 
 from __future__ import annotations
 
-import json
 import os
 import stat
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import BinaryType
 
-SCHEMA = "path string, root string, size long, mode int, dev long, ino long, root_dev long, mtime_unix long, mtime_nsec long"
-#: As many folders are listed before the walk is dealt out.
-FOLDERS = 256
-
+from twinlake.checkpoints import cut
 
-class Folder(InputPartition):
-    def __init__(self, work: list[tuple[str, str, int, int]], files: list[tuple]) -> None:
-        self.work, self.files = work, files
+COLUMNS = "path string, root string, size long, mode int, dev long, ino long, root_dev long, mtime_unix long, mtime_nsec long"
+#: Folders that a task lists before it hands on those that are still open, and rows that it sends out at once.
+FOLDERS, ROWS = 1000, 10_000
 
 
 def _signed(x: int) -> int:
@@ -38,16 +32,21 @@ def _listing(folder: str) -> list[str]:
         return []
 
 
-class TreeReader(DataSourceReader):
-    def __init__(self, options: dict[str, str]) -> None:
-        self.roots = list(dict.fromkeys(os.path.abspath(p) for p in json.loads(options.get("paths", '["."]'))))
-        self.depth = int(options.get("maxdepth", "-1"))
-        self.hidden = options.get("hidden", "true") == "true"
-
-    def _step(self, root: str, folder: str, depth: int, root_dev: int) -> tuple[list[tuple[str, str, int, int]], list[tuple]]:
-        folders, files = [], []
+def _walk(batches: Iterator[pd.DataFrame], max_depth: int, hidden: bool, most: int) -> Iterator[pd.DataFrame]:
+    """``depth`` is null for files; a row with a depth is a folder that is still to be listed."""
+    names = [x.split()[0] for x in COLUMNS.split(", ")] + ["depth"]
+    work = deque(r for pdf in batches for r in pdf[["path", "root", "root_dev", "depth"]].itertuples(index=False))
+    rows: list[tuple] = []
+    for _ in range(most):
+        if not work:
+            break
+        folder, root, root_dev, depth = work.popleft()
+        if pd.isna(root_dev):
+            if not os.path.isdir(folder):  # a root that is a file has no listing
+                continue
+            root_dev = _signed(os.lstat(folder).st_dev)
         for name in _listing(folder):
-            if name.startswith(".") and not self.hidden:
+            if name.startswith(".") and not hidden:
                 continue
             path = os.path.join(folder, name)
             try:
@@ -55,65 +54,67 @@ class TreeReader(DataSourceReader):
             except OSError:
                 continue
             if stat.S_ISDIR(s.st_mode):
-                if self.depth < 0 or depth < self.depth:
-                    folders.append((root, path, depth + 1, root_dev))
+                if max_depth < 0 or depth < max_depth:
+                    work.append((path, root, root_dev, depth + 1))
             elif stat.S_ISREG(s.st_mode):
-                files.append((path, root, s.st_size, s.st_mode, _signed(s.st_dev), _signed(s.st_ino), root_dev, s.st_mtime_ns // 10**9, s.st_mtime_ns % 10**9))
-        return folders, files
-
-    def partitions(self) -> list[InputPartition]:
-        work, files = [], []
-        for root in self.roots:
-            if os.path.isdir(root):
-                work.append((root, root, 0, _signed(os.lstat(root).st_dev)))
-        at = 0
-        while at < len(work) and len(work) - at < FOLDERS:
-            folders, found = self._step(*work[at])
-            work += folders
-            files += found
-            at += 1
-        return [Folder([], files), *(Folder([w], []) for w in work[at:])]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        yield from partition.files
-        work = list(partition.work)
-        while work:
-            folders, files = self._step(*work.pop())
-            work += folders
-            yield from files
-
-
-class FileTree(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "filetree"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema) -> DataSourceReader:
-        return TreeReader(dict(self.options))
-
-
-def scan(spark: SparkSession, paths: list[str], max_depth: int = -1, hidden: bool = True):
-    """The relation of regular files below ``paths``; links are not followed, what cannot be read is left out."""
-    spark.dataSource.register(FileTree)
-    options = {"paths": json.dumps(paths), "maxdepth": str(max_depth), "hidden": str(hidden).lower()}
-    return spark.read.format("filetree").options(**options).load()
-
-
-def with_content(files, most: int | None = None):
+                rows.append((path, root, s.st_size, s.st_mode, _signed(s.st_dev), _signed(s.st_ino), int(root_dev), s.st_mtime_ns // 10**9, s.st_mtime_ns % 10**9, None))
+            if len(rows) == ROWS:
+                yield pd.DataFrame(rows, columns=names)
+                rows = []
+    rows += [(path, root, None, None, None, None, int(dev), None, None, int(depth)) for path, root, dev, depth in work]
+    for a in range(0, len(rows), ROWS):
+        yield pd.DataFrame(rows[a : a + ROWS], columns=names).astype({c: "Int64" for c in names[2:]})
+
+
+def scan(spark: SparkSession, paths: list[str], max_depth: int = -1, hidden: bool = True, most: int = FOLDERS) -> DataFrame:
+    """The relation of regular files below ``paths``; links are not followed, what cannot be read is left out. A
+    root that is named twice is walked once; a file below two roots is found twice (see ``first_links``).
+
+    Tasks list folders in rounds, up to ``most`` each, and what they leave open is dealt out anew for the next;
+    no listing goes through the driver."""
+    roots = [(p, p, None, 0) for p in dict.fromkeys(os.path.abspath(p) for p in paths)]
+    work, found = spark.createDataFrame(roots, "path string, root string, root_dev long, depth int"), []
+    while True:
+        out = cut(work.repartition("path").mapInPandas(lambda b: _walk(b, max_depth, hidden, most), COLUMNS + ", depth int"))
+        found.append(out.where("depth is null").drop("depth"))
+        work = out.where("depth is not null")
+        if work.isEmpty():
+            break
+    files = found[0]
+    for more in found[1:]:
+        files = files.unionByName(more)
+    return files
+
+
+def _open_below(root: str, path: str) -> int:
+    """Open a file without following a link in its place or in that of any folder below the root."""
+    flags = os.O_RDONLY | os.O_NOFOLLOW
+    at = os.open(root, os.O_RDONLY | os.O_DIRECTORY)
+    try:
+        *folders, name = os.path.relpath(path, root).split(os.sep)
+        for folder in folders:
+            below = os.open(folder, flags | os.O_DIRECTORY, dir_fd=at)
+            os.close(at)
+            at = below
+        return os.open(name, flags, dir_fd=at)
+    finally:
+        os.close(at)
+
+
+def with_content(files: DataFrame, most: int | None = None) -> DataFrame:
     """``content``: the bytes of each file, of its first ``most`` bytes if given; null where it cannot be read
-    or a link stands in its place."""
+    or a link stands in its place or, where the relation has a ``root``, in that of a folder below it."""
+
     @F.pandas_udf(BinaryType())
-    def content(paths: pd.Series) -> pd.Series:
-        def one(path: str) -> bytes | None:
+    def content(roots: pd.Series, paths: pd.Series) -> pd.Series:
+        def one(root: str | None, path: str) -> bytes | None:
             try:
-                with open(os.open(path, os.O_RDONLY | os.O_NOFOLLOW), "rb") as f:
+                with open(_open_below(root or os.path.dirname(path), path), "rb") as f:
                     return f.read(-1 if most is None else most)
             except OSError:
                 return None
 
-        return paths.map(one)
+        return pd.Series([one(r, p) for r, p in zip(roots, paths)])
 
-    return files.withColumn("content", content("path"))
+    root = F.col("root") if "root" in files.columns else F.lit(None).cast("string")
+    return files.withColumn("content", content(root, F.col("path")))
