@@ -59,9 +59,9 @@ def _walk(batches: Iterator[pd.DataFrame], max_depth: int, hidden: bool, most: i
             elif stat.S_ISREG(s.st_mode):
                 rows.append((path, root, s.st_size, s.st_mode, _signed(s.st_dev), _signed(s.st_ino), int(root_dev), s.st_mtime_ns // 10**9, s.st_mtime_ns % 10**9, None))
             if len(rows) == ROWS:
-                yield pd.DataFrame(rows, columns=names)
+                yield pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in names[2:]})
                 rows = []
-    rows += [(path, root, None, None, None, None, int(dev), None, None, int(depth)) for path, root, dev, depth in work]
+    rows += [(path, root, None, None, None, None, None if pd.isna(dev) else int(dev), None, None, int(depth)) for path, root, dev, depth in work]
     for a in range(0, len(rows), ROWS):
         yield pd.DataFrame(rows[a : a + ROWS], columns=names).astype({c: "Int64" for c in names[2:]})
 
