@@ -80,12 +80,14 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from twinlake.checkpoints import cut, shared_folder
+    from twinlake.checkpoints import cut, drop_folder, shared_folder
     from twinlake.llm import warc
 
     folder = shared_folder(spark, "warc")
     warc.write_records(warc.page_payloads(table(spark, sf_dir, "pages"))).write.option("compression", "zstd").parquet(folder)
-    return warc.with_revisits(cut(warc.read_records(spark.read.parquet(folder))))
+    records = cut(warc.read_records(spark.read.parquet(folder)))
+    drop_folder(spark, folder)
+    return warc.with_revisits(records)
 
 
 def _oracles() -> None:

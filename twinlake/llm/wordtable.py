@@ -249,7 +249,8 @@ def join_by_word(
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
     tasks = min(blocks, MOST_TASKS)
-    buckets = 4 * min(max(blocks, 12), 2048)
+    # a block's payloads hold about a hundred pre-tokens or more; beyond 2048 buckets only their tasks grow longer
+    buckets = 4 * min(max(blocks, 12), 512)
     keyed = rows.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
     dealt = keyed.mapInArrow(functools.partial(packets, blocks=blocks), "block int, payload binary").repartition(tasks, "block")
 
@@ -320,5 +321,5 @@ def join_by_word(
     payload = "block int, bucket int, payload binary"
     # both readings take the same columns, so they share one exchange of the texts
     sent = dealt.sortWithinPartitions("block").mapInArrow(words_out, payload)
-    back = sent.repartition(min(buckets // 4, MOST_TASKS), "bucket").mapInArrow(values_back, payload)
+    back = sent.repartition(min(buckets, max(blocks, 12)), "bucket").mapInArrow(values_back, payload)
     return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(join, schema)
