@@ -57,13 +57,18 @@ def _bit(keys: list[str]) -> tuple[Column, Column]:
     return F.pmod(F.shiftright(code, 6), F.lit(MARKS)).cast("int"), F.expr("shiftleft(1L, cast(pmod(%s, 64) AS int))" % f"xxhash64({', '.join(keys)})")
 
 
-def marked_rows(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose ``keys`` may be in ``wanted``: all that are, and few others. The keys are told by a bit
-    each of ``MARKS`` words, which is all that is broadcast, so nothing of ``rows`` is shuffled."""
+def flagged(rows: DataFrame, wanted: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``rows`` and whether their ``keys`` may be in ``wanted``: true for all that are, and for few others. The keys
+    are told by a bit each of ``MARKS`` words, which is all that is broadcast, so nothing of ``rows`` is shuffled."""
     word, bit = _bit(keys)
     marks = wanted.select(word.alias("mark_word"), bit.alias("mark_bit")).groupBy("mark_word").agg(F.bit_or("mark_bit").alias("mark_bits"))
-    joined = rows.join(F.broadcast(marks), word == F.col("mark_word"))
-    return joined.where(F.col("mark_bits").bitwiseAND(bit) != 0).drop("mark_word", "mark_bits")
+    joined = rows.join(F.broadcast(marks), word == F.col("mark_word"), "left")
+    return joined.withColumn(name, F.coalesce(F.col("mark_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("mark_word", "mark_bits")
+
+
+def marked_rows(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows that ``flagged`` tells to be in ``wanted``."""
+    return flagged(rows, wanted, keys, "mark_flag").where("mark_flag").drop("mark_flag")
 
 
 def staged_groups(files: DataFrame, least: int = 2) -> DataFrame:
