@@ -11,6 +11,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinlake.checkpoints import cut
+from twinlake.operators.groups import flagged
+
 CHUNK = 64 << 10
 LEAST_REVISIT = 1000
 CHUNKS = "record string, chunk int, chunks int, data binary, sha1 string"
@@ -21,7 +24,8 @@ def page_payloads(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     """``(page_id, url, payload, refers_to)``: the id of the record that a page's record revisits, or null.
 
     Of pages with equal payloads (SHA-1, length and a second hash) of at least ``least`` bytes, the one
-    with the largest id holds the payload. Pages without an id refer to none and are referred to by none.
+    with the largest id holds the payload. Pages without an id refer to none and are referred to by none. Null
+    html is empty; repeated ids and rows are records of their own; no pages give no records.
     """
     key = ["page_id", "sha1", "n", "check"]
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
@@ -30,8 +34,11 @@ def page_payloads(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     )
     large = rows.where((F.col("n") >= least) & F.col("page_id").isNotNull()).select(*key)
     kept = large.groupBy("sha1", "n", "check").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("c")).where("c > 1").drop("c")
-    again = large.distinct().join(kept, ["sha1", "n", "check"]).where("page_id <> refers_to")
-    return rows.join(again, key, "left").select("page_id", "url", "payload", "refers_to")
+    again = cut(large.distinct().join(kept, ["sha1", "n", "check"]).where("page_id <> refers_to"))
+    # only payloads that may be there more than once are brought to what is known of them
+    told = flagged(rows, again, key, "told")
+    some = told.where("told").join(again, key, "left").select("page_id", "url", "payload", "refers_to")
+    return some.unionByName(told.where("not told").select("page_id", "url", "payload", F.lit(None).cast(again.schema["refers_to"].dataType).alias("refers_to")))
 
 
 def _header(fields: list[tuple[str, str]]) -> bytes:
