@@ -105,3 +105,27 @@ def write_manifest(entries: DataFrame, folder: str) -> None:
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Blank lines are passed over; a malformed line is an error."""
     return spark.read.schema(SCHEMA).option("mode", "FAILFAST").json(path)
+
+
+#: The longest line of a manifest file, in bytes.
+LINE = 4 << 20
+
+
+def manifest_lines(path: str) -> Iterator[dict]:
+    """The entries of one manifest file on this machine, a line at a time; blank lines are passed over, and a line
+    that is no entry, or too long, is an error that tells its number."""
+    with open(path, "rb") as f:
+        number = 0
+        while line := f.readline(LINE + 1):
+            number += 1
+            if len(line) > LINE:
+                raise ValueError(f"line {number} is longer than {LINE} bytes")
+            if not line.strip():
+                continue
+            try:
+                entry = json.loads(line)
+            except ValueError as e:
+                raise ValueError(f"line {number} is not JSON: {e}") from None
+            if not isinstance(entry, dict):
+                raise ValueError(f"line {number} is not an object")
+            yield entry

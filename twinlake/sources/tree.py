@@ -20,6 +20,23 @@ COLUMNS = "path string, root string, size long, mode int, dev long, ino long, ro
 FOLDERS, ROWS = 1000, 10_000
 
 
+def file_system(path: str, table: str = "/proc/self/mountinfo") -> str:
+    """The kind of file system that holds a path, from the mount that its folders lead to; ``unknown`` where the
+    machine does not tell."""
+    path, best, kind = os.path.realpath(path), "", "unknown"
+    try:
+        with open(table, encoding="utf-8", errors="surrogateescape") as f:
+            mounts = [line.split() for line in f]
+    except OSError:
+        return kind
+    for fields in mounts:
+        place = fields[4].replace("\\040", " ")
+        inside = path == place or path.startswith(place.rstrip("/") + "/")
+        if inside and len(place) >= len(best) and "-" in fields:
+            best, kind = place, fields[fields.index("-") + 1]
+    return kind
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
