@@ -3,6 +3,8 @@ size_bytes``, and what is reported of them."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,6 +73,18 @@ def marked_rows(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFram
     return flagged(rows, wanted, keys, "mark_flag").where("mark_flag").drop("mark_flag")
 
 
+def without(rows: DataFrame, gone: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """The rows, with all their columns, whose ``keys`` are not a row of ``gone``, which has columns of those names;
+    null agrees with null. Only rows that a bitmap tells to be in ``gone`` are shuffled, with what they hold."""
+    gone = cut(gone.select(*keys).distinct())
+    held = rows.select(F.struct("*").alias("row"), *(c.alias(k) for k, c in keys.items()))
+    told = flagged(held, gone, list(keys), "told")
+    some, other = told.where("told"), gone.select(*(F.col(k).alias(f"gone_{k}") for k in keys))
+    same = [F.col(k).eqNullSafe(F.col(f"gone_{k}")) for k in keys]
+    left = some.join(other, functools.reduce(lambda a, b: a & b, same), "left_anti")
+    return left.select("row.*").unionByName(told.where("not told").select("row.*"))
+
+
 def staged_groups(files: DataFrame, least: int = 2) -> DataFrame:
     """Files with equal content by size, then by a sample, then in full: content that a cheaper test sets
     apart is not hashed whole. Content never leaves the task that reads it; sizes, samples and digests do."""
