@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinlake.checkpoints import cut
+from twinlake.operators.groups import without
 
 #: The characters that do not count, [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
@@ -59,9 +60,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. Of rows that share an id, null too, those go
     whose texts go."""
-    gone = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_text")).distinct()
-    digest = F.sha2(F.translate(F.coalesce(docs[text_col], F.lit("")), BLANKS, ""), 256)
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["gone_id"]) & (digest == gone["gone_text"]), "left_anti")
+    gone = exact_dedup(docs, id_col, text_col).where(~F.col("kept"))
+    digest = F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), BLANKS, ""), 256)
+    return without(docs, gone, {"doc_id": F.col(id_col), "text_sha256": digest})
 
 
 ORACLE = r"""

@@ -15,6 +15,7 @@ from twinlake.checkpoints import cut
 from twinlake.llm import textscan
 from twinlake.llm.wordtable import give_back
 from twinlake.operators.components import connected_components
+from twinlake.operators.groups import without
 from twinlake.session import bound_batches
 
 WORDS = 5
@@ -355,6 +356,6 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, mark: Column) -> DataF
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one document of each group, with all their columns. Of rows that share
     an id, those go whose texts go."""
-    digest = F.sha2(F.coalesce(docs[text_col], F.lit("")), 256)
-    gone = _grouped(docs, id_col, text_col, digest).where(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_text")).distinct()
-    return docs.join(gone, (docs[id_col] == gone["gone_id"]) & (digest == gone["gone_text"]), "left_anti")
+    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+    gone = _grouped(docs, id_col, text_col, digest).where(~F.col("kept"))
+    return without(docs, gone, {"doc_id": F.col(id_col), "mark": digest})
