@@ -185,3 +185,39 @@ def scan_licenses(
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(scan, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+
+
+def oracle() -> str:
+    """All runs of neighbouring blocks against all templates, and all places of the phrases."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    lower = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+    templates = ", ".join(f"({k}, {quoted(label)}, {quoted(text)})" for k, (label, text) in enumerate(TEMPLATES))
+    phrases = " UNION ALL ".join(
+        f"SELECT doc_id, i AS place, {quoted(label)} AS label FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) WHERE "
+        + " AND ".join(f"w[i + {k}] = {quoted(x)}" for k, x in enumerate(phrase.split()))
+        for phrase, label in PHRASES.items()
+    )
+    return rf"""
+WITH d AS (SELECT doc_id, {lower.format("coalesce(text, '')")} AS text, regexp_extract_all({lower.format("coalesce(text, '')")}, {word}) AS w FROM documents),
+v AS (SELECT * FROM (VALUES {templates}) AS x(tid, label, text)),
+t AS (SELECT tid, label, regexp_extract_all({lower.format("text")}, {word}) AS w FROM v),
+z AS (SELECT tid, label, len(w) AS width, len(list_distinct(w)) AS size, unnest(list_distinct(w)) AS token FROM t),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d),
+b AS (SELECT doc_id, regexp_extract_all(line, {word}) AS w, sum(CASE WHEN regexp_full_match(line, '[ 	-]*') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS block FROM l),
+g AS (SELECT doc_id, block, sum(len(w)) AS n FROM b GROUP BY ALL HAVING sum(len(w)) > 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block) AS i, sum(n) OVER (PARTITION BY doc_id ORDER BY block) AS upto FROM g),
+u AS (SELECT DISTINCT doc_id, block, unnest(w) AS token FROM b),
+h AS (SELECT u.doc_id, n.i, n.n, n.upto, z.tid, z.label, z.width, z.size, z.token FROM u JOIN z ON z.token = u.token JOIN n ON n.doc_id = u.doc_id AND n.block = u.block),
+s AS (SELECT DISTINCT doc_id, tid, i, n, upto, width FROM h),
+r AS (SELECT p.doc_id, p.tid, p.i, q.i AS j FROM s p JOIN s q ON p.doc_id = q.doc_id AND p.tid = q.tid AND q.i >= p.i AND (q.i = p.i OR q.upto - q.n - p.upto <= p.width)),
+c AS (SELECT r.doc_id, r.tid, r.i, r.j, h.label, h.size, count(DISTINCT h.token) AS c FROM r JOIN h ON h.doc_id = r.doc_id AND h.tid = r.tid AND h.i BETWEEN r.i AND r.j GROUP BY ALL),
+m AS (SELECT doc_id, label, max(c / size) AS share FROM c WHERE c >= greatest(1, ceil({CONTAINMENT} * size - 1e-9)) GROUP BY ALL),
+p AS ({phrases}),
+e AS (SELECT doc_id, count(*) AS n_base, min(place) - 1 AS first_word, max(place) - 1 AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM p GROUP BY doc_id),
+a AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM m UNION SELECT doc_id, label FROM p) GROUP BY doc_id),
+o AS (SELECT doc_id, max(share) AS share FROM m GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0) END AS score
+FROM d LEFT JOIN e ON e.doc_id = d.doc_id LEFT JOIN a ON a.doc_id = d.doc_id LEFT JOIN o ON o.doc_id = d.doc_id
+"""

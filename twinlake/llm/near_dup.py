@@ -359,3 +359,18 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
     gone = _grouped(docs, id_col, text_col, digest).where(~F.col("kept"))
     return without(docs, gone, {"doc_id": F.col(id_col), "mark": digest})
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS x FROM d),
+n AS (SELECT doc_id, len(x) AS n FROM s),
+f AS (SELECT doc_id, unnest(x) AS t FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM f a JOIN f b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS k, doc_id AS c FROM n UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.k WHERE r.c < u.b),
+m AS (SELECT k, min(c) AS component_id FROM r GROUP BY k)
+SELECT doc_id, n AS n_shingles, component_id, component_id = doc_id AS kept FROM n JOIN m ON m.k = doc_id
+"""

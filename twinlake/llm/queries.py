@@ -91,10 +91,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracles() -> None:
-    from twinlake.llm import chat, exact_dedup, warc
+    from twinlake.llm import chat, exact_dedup, licenses, near_dup, warc
 
     ORACLES["op4_chat_format"] = chat.ORACLE
+    ORACLES["op6_minhash"] = near_dup.ORACLE
     ORACLES["op7_exact_dedup"] = exact_dedup.ORACLE
+    ORACLES["op9_licenses"] = licenses.oracle()
     ORACLES["op10_warc"] = warc.ORACLE
 
 
