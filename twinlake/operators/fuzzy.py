@@ -75,14 +75,16 @@ def links(sigs: DataFrame, config: FuzzyConfig = FuzzyConfig()) -> DataFrame:
     rows = placed.join(counts, keys).join(above, keys, "left").join(below, keys, "left")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int"))
 
-    def work(start: str, kind: int, n: str, side: int) -> DataFrame:
-        spread = rows.where(F.col(n).isNotNull() & (F.col("several") | F.lit(kind == 1))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
-        a, b = ("mine", "other") if side == 0 else ("other", "mine")
-        if kind == 0:
-            spread = spread.withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")})
-        else:
-            spread = spread.withColumns({"i": F.col(a), "j": F.col(b)})
-        return spread.select("ext", "band", "value", F.expr(start).alias("low"), F.lit(kind).alias("kind"), "i", "j", "node", "size", "sig")
+    unit = lambda low, kind, i, j: F.struct(low.cast("int").alias("low"), F.lit(kind).alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    mine, low = F.col("mine"), F.col("bucket")
+
+    def with_pieces(n: str, there, make):
+        return F.when(there, F.transform(F.sequence(F.lit(0), F.col(n) - 1), make)).otherwise(F.array().cast("array<struct<low:int,kind:int,i:int,j:int>>"))
+
+    own = with_pieces("pieces", F.col("several"), lambda x: unit(low, 0, F.least(mine, x), F.greatest(mine, x)))
+    up = with_pieces("pieces_above", F.col("pieces_above").isNotNull(), lambda x: unit(low, 1, mine, x))
+    down = with_pieces("pieces_below", F.col("pieces_below").isNotNull(), lambda x: unit(low - 1, 1, x, mine))
+    units = rows.withColumn("unit", F.explode(F.concat(own, up, down))).select("ext", "band", "value", "unit.*", "node", "size", "sig")
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         sig, size, node = pdf["sig"].to_numpy(np.int64).view(np.uint64), pdf["size"].to_numpy(np.float64), pdf["node"].to_numpy()
@@ -92,7 +94,6 @@ def links(sigs: DataFrame, config: FuzzyConfig = FuzzyConfig()) -> DataFrame:
         own = label != np.arange(len(label))
         return pd.DataFrame({"src": node[own], "dst": node[label[own]]})
 
-    units = work("bucket", 0, "pieces", 0).unionByName(work("bucket", 1, "pieces_above", 0)).unionByName(work("bucket - 1", 1, "pieces_below", 1))
     found = units.groupBy("ext", "band", "value", "low", "kind", "i", "j").applyInPandas(meet, "src string, dst string")
     same = sigs.join(nodes, ["sig", "size", "ext"]).where("path <> node").select(F.col("path").alias("src"), F.col("node").alias("dst"))
     return found.unionByName(same)
