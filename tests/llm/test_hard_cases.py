@@ -297,3 +297,15 @@ def test_texts_of_bytes_that_are_no_characters(spark):
     cut = next(k for k in range(len(table[2])) if table[0][table[1][k] : table[1][k] + table[2][k]].tobytes() == "é".encode()[:1])
     texts = bpe.decoded_texts(np.array([*ids, cut]), np.array([0, len(ids), len(ids) + 1]), table)
     assert texts.to_pylist() == ["é", "�"] and texts.type == pa.string()
+
+
+def test_common_words_alone_are_no_leak(spark):
+    """An item of which half, its answer among it, are words that stand in most texts."""
+    rng = random.Random(3)
+    common = ["the", "of", "and", "to", "in", "was", "is", "that"]
+    prose = lambda n: " ".join(rng.choice(common) if rng.random() < 0.6 else f"p{rng.randrange(3000)}" for _ in range(n))
+    item = "the q1 q2 to to the q3 q4 q5 q6 q7 q8 of. Is the was that of."
+    rows = [(k, prose(400)) for k in range(200)] + [(1000, f"{prose(100)} {item} {prose(100)}"), (1001, f"{prose(100)} the q1 q2 to q3 q4 of is the was that of {prose(100)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in decontaminate.find_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {1000, 1001}

@@ -295,7 +295,9 @@ def test_windows_are_those_of_all_spans(monkeypatch):
             for c in cells:
                 span = row[max(0, c - decontaminate.BLOCK) : c + (m + 1) * decontaminate.BLOCK].tolist()
                 length = lcs(passage.tolist(), span)
-                if length >= need or length >= part and lcs(tail, span) >= 0.75 * len(tail):
+                idf = [float(latent.idf[b]) for b in decontaminate._buckets(passage)]
+                held = sum(x for x, w in zip(idf, passage.tolist()) if w in span)
+                if length >= need or length >= part and lcs(tail, span) >= 0.75 * len(tail) and held >= decontaminate.WEIGHT * sum(idf):
                     want.add((r, p, length))
     monkeypatch.setattr(decontaminate, "GROUP", 3)
     got = decontaminate.Matcher(latent, block, -2.0).find(np.concatenate(rows), np.append(0, np.cumsum([len(x) for x in rows])))

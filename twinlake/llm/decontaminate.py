@@ -31,8 +31,9 @@ BLOCK = 16
 BUCKETS, COLUMNS, RANK = 1 << 12, 64, 48
 #: Passages whose TF-IDF rows are held as a dense matrix at once.
 DENSE = 512
-#: A leak has this share of a passage in order, or the lesser share and as much of its answer.
-SHARE, PART, ANSWER = 0.75, 0.5, 0.75
+#: A leak has this share of a passage in order, or the lesser share, as much of its answer, and words of it that
+#: hold this share of its IDF: half of a passage can be words that stand in any text.
+SHARE, PART, ANSWER, WEIGHT = 0.75, 0.5, 0.75, 0.4
 #: Benchmark passages with fewer words are only leaks when whole.
 SHORT = 8
 #: How much more often than in the corpus a common word stands in texts of its language. It decides which words
@@ -234,6 +235,10 @@ class Group:
         self.need = np.where(sizes < SHORT, sizes, np.ceil(SHARE * sizes)).astype(np.int64)
         self.part = np.where(sizes < SHORT, sizes, np.ceil(PART * sizes)).astype(np.int64)
         self.told = np.ceil(ANSWER * np.bitwise_count(self.answers)).astype(np.int64)
+        #: the IDF of each place, as shares of the passage's
+        self.weight = np.zeros((len(sizes), PASSAGE))
+        self.weight[owner, place] = latent.idf[_buckets(hashes)]
+        self.weight /= np.maximum(self.weight.sum(axis=1), 1e-12)[:, None]
         #: Any words of a passage may be left out of a count of those that a window has, if the passage's places
         #: of them are taken off what the count must reach. Those are left out that windows are likely to have
         #: more often than the passage.
@@ -263,7 +268,11 @@ class Group:
         masks = self.masks[self.number[own, passage[:, None]]]
         length, answer = common_length(masks), self.answers[passage]
         told = common_length(masks & answer[:, None]) >= self.told[passage]
-        leak = (length >= self.need[passage]) | ((length >= self.part[passage]) & told)
+        reworded = np.flatnonzero((length < self.need[passage]) & (length >= self.part[passage]) & told)
+        present = np.bitwise_or.reduce(masks[reworded], axis=1)
+        held = np.unpackbits(present.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") * self.weight[passage[reworded]]
+        leak = length >= self.need[passage]
+        leak[reworded[held.sum(axis=1) >= WEIGHT]] = True
         return np.flatnonzero(leak), length[leak]
 
 
@@ -366,8 +375,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, latent: Latent | None = No
 
     Words are runs of letters, digits and characters beyond ASCII, A-Z lower-cased. A document holds an
     item if a window of it has 3/4 of the words of one of the item's passages (64 words at most) in order,
-    or half of them and 3/4 of the passage's answer; passages under 8 words must be whole. The best window
-    counts. No window is passed over, unless ``cosine`` is given, which leaks then have at least. Null texts are empty and hold nothing; empty tables give no rows; rows that repeat an id are
+    or half of them, 3/4 of the passage's answer, and words that hold 2/5 of the passage's IDF; passages under 8 words
+    must be whole. The best window counts. No window is passed over, unless ``cosine`` is given, which leaks then have at least. Null texts are empty and hold nothing; empty tables give no rows; rows that repeat an id are
     one document; a null id is an id. Other columns are not read.
     """
     bound_batches(docs.sparkSession)
