@@ -3,8 +3,6 @@ size_bytes``, and what is reported of them."""
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +10,7 @@ from twinlake.checkpoints import cut
 from twinlake.functions import digests
 from twinlake.functions.paths import base_name
 from twinlake.functions.sizes import display_size
+from twinlake.operators.keyfilter import flagged, marked_rows, without  # noqa: F401
 
 LONG = ["match_type", "match_key", "hash", "duplicate_count", "path", "size_bytes"]
 #: Salts of a group whose first rows are wanted.
@@ -50,41 +49,6 @@ def content_groups(files: DataFrame, least: int = 2, algorithm: str = "sha256")
     return groups_of(hashed(files, algorithm), least)
 
 
-#: Words of 64 bits in the marks of keys: 1 MB, however many keys there are.
-MARKS = 1 << 17
-
-
-def _bit(keys: list[str]) -> tuple[Column, Column]:
-    code = F.xxhash64(*keys)
-    return F.pmod(F.shiftright(code, 6), F.lit(MARKS)).cast("int"), F.expr("shiftleft(1L, cast(pmod(%s, 64) AS int))" % f"xxhash64({', '.join(keys)})")
-
-
-def flagged(rows: DataFrame, wanted: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """``rows`` and whether their ``keys`` may be in ``wanted``: true for all that are, and for few others. The keys
-    are told by a bit each of ``MARKS`` words, which is all that is broadcast, so nothing of ``rows`` is shuffled."""
-    word, bit = _bit(keys)
-    marks = wanted.select(word.alias("mark_word"), bit.alias("mark_bit")).groupBy("mark_word").agg(F.bit_or("mark_bit").alias("mark_bits"))
-    joined = rows.join(F.broadcast(marks), word == F.col("mark_word"), "left")
-    return joined.withColumn(name, F.coalesce(F.col("mark_bits").bitwiseAND(bit) != 0, F.lit(False))).drop("mark_word", "mark_bits")
-
-
-def marked_rows(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows that ``flagged`` tells to be in ``wanted``."""
-    return flagged(rows, wanted, keys, "mark_flag").where("mark_flag").drop("mark_flag")
-
-
-def without(rows: DataFrame, gone: DataFrame, keys: dict[str, Column]) -> DataFrame:
-    """The rows, with all their columns, whose ``keys`` are not a row of ``gone``, which has columns of those names;
-    null agrees with null. Only rows that a bitmap tells to be in ``gone`` are shuffled, with what they hold."""
-    gone = cut(gone.select(*keys).distinct())
-    held = rows.select(F.struct("*").alias("row"), *(c.alias(k) for k, c in keys.items()))
-    told = flagged(held, gone, list(keys), "told")
-    some, other = told.where("told"), gone.select(*(F.col(k).alias(f"gone_{k}") for k in keys))
-    same = [F.col(k).eqNullSafe(F.col(f"gone_{k}")) for k in keys]
-    left = some.join(other, functools.reduce(lambda a, b: a & b, same), "left_anti")
-    return left.select("row.*").unionByName(told.where("not told").select("row.*"))
-
-
 def staged_groups(files: DataFrame, least: int = 2) -> DataFrame:
     """Files with equal content by size, then by a sample, then in full: content that a cheaper test sets
     apart is not hashed whole. Content never leaves the task that reads it; sizes, samples and digests do."""
