@@ -91,13 +91,16 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracles() -> None:
-    from twinlake.llm import chat, exact_dedup, licenses, near_dup, warc
+    from twinlake.llm import chat, exact_dedup, hard_negatives, licenses, near_dup, url_filter, vector_codes, warc
 
     ORACLES["op4_chat_format"] = chat.ORACLE
     ORACLES["op6_minhash"] = near_dup.ORACLE
     ORACLES["op7_exact_dedup"] = exact_dedup.ORACLE
     ORACLES["op9_licenses"] = licenses.oracle()
     ORACLES["op10_warc"] = warc.ORACLE
+    ORACLES["op11_url_filter"] = url_filter.ORACLE
+    ORACLES["op12_hard_negatives"] = hard_negatives.ORACLE
+    ORACLES["op13_vector_codes"] = vector_codes.oracle()
 
 
 _oracles()
@@ -137,3 +140,27 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from twinlake.llm.decontaminate import find_leaks
 
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from twinlake.llm import url_filter
+
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge_urls(pages, spark.createDataFrame(url_filter.QUERY_RULES, url_filter.RULES), url_filter.junk_list(pages))
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from twinlake.llm import hard_negatives
+
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from twinlake.llm import vector_codes
+
+    return vector_codes.encode(table(spark, sf_dir, "embeddings"))
