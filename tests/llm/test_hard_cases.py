@@ -309,3 +309,67 @@ def test_common_words_alone_are_no_leak(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id for r in decontaminate.find_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
     assert got == {1000, 1001}
+
+
+#: Words of equal length that share the unkeyed hash: pre-tokens by code points, and ASCII words.
+CLASHES = [("蹜溣一一", "翅槓剝曃"), ("ygehfugxaaaaaaaa", "pncjjfkyuwonzycb")]
+
+
+def test_words_that_are_written_to_share_a_hash_stay_apart(spark, library):
+    wide = np.frombuffer("".join(CLASHES[0]).encode("utf-32-le"), np.uint8)
+    narrow = np.frombuffer("".join(CLASHES[1]).encode(), np.uint8)
+    for data in (wide, narrow):
+        a, b = textscan.span_hashes(data, np.array([0, 16]), np.array([16, 32]))
+        assert a == b  # so the cases below would go wrong by the unkeyed hash alone
+        a, b = textscan.span_hashes(data, np.array([0, 16]), np.array([16, 32]), textscan.secret_key())
+        assert a != b
+    rows = [(k, text) for k, text in enumerate(x for a, b in CLASHES for x in (a, b, f"{a} {b}", f"x {b} {a}"))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    big, small = library("byte_bpe_50k.json"), library("word_bpe_49k.json")
+    got = {r.doc_id: r for r in queries.bpe_digests(frame).collect()}
+    counts = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(frame, queries.tokenizer_file("word_bpe_49k.json")).collect()}
+    for k, text in rows:
+        ids = big.encode(text, add_special_tokens=False).ids
+        assert (got[k].ids_sha256, got[k].decoded_sha256) == (sha(",".join(map(str, ids))), sha(text))
+        assert counts[k] == len(small.encode(text, add_special_tokens=False).ids)
+
+
+def test_documents_of_clashing_words_are_no_near_duplicates(spark):
+    x, y = CLASHES[1]
+    rows = [(1, f"one two three {x} four five"), (2, f"one two three {y} four five"), (3, x), (4, y)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(frame).collect()} == {1: 1, 2: 2, 3: 3, 4: 4}
+    assert near_dup.drop_near_duplicates(frame).count() == 4
+
+
+def test_blocks_tell_words_that_share_a_hash_apart(monkeypatch):
+    monkeypatch.setattr(textscan, "span_hashes", lambda data, starts, ends, key=0: np.full(len(starts), 7, np.uint64))
+    vocabulary = wordtable.Vocabulary("", True, ())
+    texts = ["one two three", "two three four", "four", ""]
+    orders = []
+    for order in (texts, texts[::-1]):
+        block = wordtable.Block(vocabulary)
+        block.add(order, True)
+        block.close(3)
+        orders.append(block.words.to_pylist())
+        words = [block.words.to_pylist()[k] for own, places, _ in block.chunks for k in own[places].tolist()]
+        assert "".join(words) == "".join(order)
+    assert orders[0] == orders[1] and len(orders[0]) == 6
+
+
+def test_near_duplicates_leave_texts_where_they_are_read(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    seen = []
+    cut, near_dup.cut = near_dup.cut, lambda df: (seen.append(df._jdf.queryExecution().executedPlan().toString()), cut(df))[1]
+    try:
+        near_dup.near_duplicates(docs).count()
+    finally:
+        near_dup.cut = cut
+    read = [plan for plan in seen if "text#" in plan]
+    assert len(read) == 2  # the signatures, and the sets
+    for plan in read:
+        lines = [x.lstrip(" +-:*()0123456789") for x in plan.splitlines()]
+        moved = [k for k, x in enumerate(lines) if x.startswith("Exchange")]
+        scan = next(k for k, x in enumerate(lines) if "text#" in x and x.startswith(("FileScan", "Scan")))
+        above = [lines[k] for k in moved if k < scan]
+        assert all("text#" not in x for x in above) and all("MapInArrow" in "".join(lines[k:scan]) for k in moved if k < scan)

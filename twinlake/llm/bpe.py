@@ -49,8 +49,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         table = piece_arrays(items) if decoded else None
         lengths, starts, flat = values.lengths >> shift, values.starts >> shift, values.flat.view(kind_of_id)
         names, out, row = rows.column("doc_id").combine_chunks(), [], 0
-        for distinct, places, bounds in block.chunks:
-            at = values.of(distinct)[places]
+        for own, places, bounds in block.chunks:
+            at = own[places]
             size = lengths[at]
             ids = gather(flat, starts[at], size).astype(np.int32)
             offsets = np.append(0, np.cumsum(size))[bounds]

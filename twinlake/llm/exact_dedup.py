@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinlake.checkpoints import cut
-from twinlake.operators.groups import without
+from twinlake.operators.keyfilter import without
 
 #: The characters that do not count, [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"

@@ -30,9 +30,9 @@ TEMPLATES = [
 ]
 
 
-def template_sets(templates: list[tuple[str, str]]) -> tuple[np.ndarray, list[np.ndarray]]:
+def template_sets(templates: list[tuple[str, str]], key: int = 0) -> tuple[np.ndarray, list[np.ndarray]]:
     """All tokens of the templates (sorted hashes) and each template as places in them."""
-    sets = [np.unique(textscan.hash_words(text, "alnum")) for _, text in templates]
+    sets = [np.unique(textscan.hash_words(text, "alnum", key)) for _, text in templates]
     tokens = np.unique(np.concatenate(sets))
     return tokens, [np.searchsorted(tokens, s) for s in sets]
 
@@ -47,12 +47,12 @@ def _blocks(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([offsets[:-1], lines[1:][gap] + 1]))
 
 
-def _scan(column: pa.Array, tokens: np.ndarray):
+def _scan(column: pa.Array, tokens: np.ndarray, key: int = 0):
     """Per chunk: first row, end row, words' hashes and bounds, the distinct (block, token) pairs, and the
     row and the number of words of each block. Only blocks with words are numbered."""
     for a, b, values, offsets in textscan.byte_chunks(column):
         starts, ends, at = textscan.words(values, offsets, "alnum")
-        hashes = textscan.lower_hashes(values, starts, ends)
+        hashes = textscan.lower_hashes(values, starts, ends, key)
         begins = _blocks(values, offsets)
         block = np.searchsorted(begins, starts, "right") - 1
         some, block = np.unique(block, return_inverse=True)
@@ -74,13 +74,13 @@ def _runs(rows: np.ndarray, sizes: np.ndarray, width: int) -> tuple[np.ndarray,
     return np.flatnonzero(longest), ends[longest]
 
 
-def token_frequencies(docs: DataFrame, text_col: str, tokens: np.ndarray) -> np.ndarray:
+def token_frequencies(docs: DataFrame, text_col: str, tokens: np.ndarray, key: int = 0) -> np.ndarray:
     """In how many text blocks of ``docs`` each template token stands; a row a token comes to the driver."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(tokens), np.int64)
         for batch in batches:
-            for *_, token, _, _ in _scan(batch.column("text"), tokens):
+            for *_, token, _, _ in _scan(batch.column("text"), tokens, key):
                 total += np.bincount(token, minlength=len(tokens))
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], names=["token", "n"])
@@ -108,8 +108,9 @@ def scan_licenses(
     Null and empty texts have no words, empty labels and score 0. Null and repeated ids and repeated
     rows are kept; other columns are not read; no rows give no rows. The templates are a fixed list.
     """
-    tokens, sets = template_sets(templates)
-    frequency = token_frequencies(docs, text_col, tokens)
+    key = textscan.secret_key()
+    tokens, sets = template_sets(templates, key)
+    frequency = token_frequencies(docs, text_col, tokens, key)
     order = np.lexsort((tokens, frequency))
     rank = np.empty(len(tokens), np.int64)
     rank[order] = np.arange(len(tokens))
@@ -119,9 +120,9 @@ def scan_licenses(
     for k, (s, need) in enumerate(zip(ordered, needs)):
         prefixes[k, s[: len(s) - need + 1]] = True
         members[k, s] = True
-    widths = [len(textscan.hash_words(text, "alnum")) for _, text in templates]
+    widths = [len(textscan.hash_words(text, "alnum", key)) for _, text in templates]
     labels = [label for label, _ in templates]
-    phrases = [(textscan.hash_words(p, "alnum"), label) for p, label in PHRASES.items()]
+    phrases = [(textscan.hash_words(p, "alnum", key), label) for p, label in PHRASES.items()]
 
     def share_of(held: np.ndarray, k: int) -> float:
         """The share of template ``k`` in a block's distinct ranks, sorted; 0 where that is too little."""
@@ -138,7 +139,7 @@ def scan_licenses(
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, hashes, at, block, token, rows, sizes in _scan(batch.column("text"), tokens):
+            for a, b, hashes, at, block, token, rows, sizes in _scan(batch.column("text"), tokens, key):
                 n = b - a
                 found: list[set[str]] = [set() for _ in range(n)]
                 base: list[set[str]] = [set() for _ in range(n)]
@@ -204,7 +205,8 @@ v AS (SELECT * FROM (VALUES {templates}) AS x(tid, label, text)),
 t AS (SELECT tid, label, regexp_extract_all({lower.format("text")}, {word}) AS w FROM v),
 z AS (SELECT tid, label, len(w) AS width, len(list_distinct(w)) AS size, unnest(list_distinct(w)) AS token FROM t),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d),
-b AS (SELECT doc_id, regexp_extract_all(line, {word}) AS w, sum(CASE WHEN regexp_full_match(line, '[ 	-]*') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS block FROM l),
+b AS (SELECT doc_id, regexp_extract_all(line, {word}) AS w, sum(CASE WHEN regexp_full_match(line, '[ 	-
+]*') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY k) AS block FROM l),
 g AS (SELECT doc_id, block, sum(len(w)) AS n FROM b GROUP BY ALL HAVING sum(len(w)) > 0),
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block) AS i, sum(n) OVER (PARTITION BY doc_id ORDER BY block) AS upto FROM g),
 u AS (SELECT DISTINCT doc_id, block, unnest(w) AS token FROM b),

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +15,7 @@ from twinlake.checkpoints import cut
 from twinlake.llm import textscan
 from twinlake.llm.wordtable import give_back
 from twinlake.operators.components import connected_components
-from twinlake.operators.groups import without
+from twinlake.operators.keyfilter import marked_rows, without
 from twinlake.session import bound_batches
 
 WORDS = 5
@@ -32,10 +32,10 @@ PIECE = 512
 u64 = np.uint64
 
 
-def shingle_sets(values: np.ndarray, offsets: np.ndarray, width: int = WORDS) -> list[np.ndarray]:
+def shingle_sets(values: np.ndarray, offsets: np.ndarray, width: int = WORDS, key: int = 0) -> list[np.ndarray]:
     """Per row the sorted distinct hashes of its ``width``-word shingles; a shorter row is one shingle."""
     starts, ends, at = textscan.words(values, offsets, "blank")
-    hashes = textscan.lower_hashes(values, starts, ends)
+    hashes = textscan.lower_hashes(values, starts, ends, key)
     chain = np.zeros(max(0, len(hashes) - width + 1), u64)
     for k in range(width):
         chain = textscan.mix(chain + hashes[k : k + len(chain)])
@@ -124,10 +124,10 @@ def set_keys(sets: list[np.ndarray]) -> pa.Array:
     return pa.array([np.array(x, u64).tobytes() for x in sums], pa.binary())
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _describe(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, values, offsets in textscan.byte_chunks(batch.column("text")):
-            sets = shingle_sets(values, offsets)
+            sets = shingle_sets(values, offsets, key=key)
             words = band_words(superminhash(sets, SLOTS * BANDS))
             same = [batch.column(c).slice(a, b - a) for c in ("doc_id", "mark", "print")]
             yield pa.RecordBatch.from_arrays(
@@ -137,13 +137,11 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     give_back()
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b, values, offsets in textscan.byte_chunks(batch.column("text")):
-            sets = shingle_sets(values, offsets)
-            keys = set_keys(sets)
-            ok = pc.equal(keys, batch.column("class").slice(a, b - a))
-            yield pa.RecordBatch.from_arrays([keys, pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "items"]).filter(ok)
+        for _, _, values, offsets in textscan.byte_chunks(batch.column("text")):
+            sets = shingle_sets(values, offsets, key=key)
+            yield pa.RecordBatch.from_arrays([set_keys(sets), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "items"])
     give_back()
 
 
@@ -263,9 +261,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one shingle) have 100 * intersection >= 85 * union. ``component_id`` is the smallest id reachable over
     links, ``kept`` whether that is the row's own. Null and wordless texts have no shingles and are
     linked with nothing. A row without an id is linked with nothing and stays, with a null component.
-    Rows that repeat an id are separate rows. Other columns are not read; no rows give no rows.
+    Rows that repeat an id are separate rows. Texts of any length are read whole, a large set's signature part by part.
+    Other columns are not read; no rows give no rows.
 
-    Rows with equal sets (by 128 bits of their shingles' hashes, and their size) are one class from the start.
+    Words are hashed under a key that is drawn for the run, so no text can be written to share shingles with another
+    by its hashes. Rows with equal sets (by 128 bits of their shingles' hashes, and their size) are one class from the
+    start.
     Classes that share a band of their SuperMinHash signatures are candidates. In three rounds, each followed
     by the components of all links so far: each class and the one that is first in most of its buckets; each
     class outside the largest component of a bucket and its most similar partner there; then, in buckets that
@@ -305,7 +306,8 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, mark: Column) -> DataF
     bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), mark.alias("mark")).withColumn("print", F.xxhash64("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    described = cut(rows.mapInArrow(_describe, f"doc_id {kind}, mark string, print long, n_shingles long, class binary, words binary"))
+    key = textscan.secret_key()
+    described = cut(rows.mapInArrow(functools.partial(_describe, key=key), f"doc_id {kind}, mark string, print long, n_shingles long, class binary, words binary"))
     filled = described.where("n_shingles > 0 and doc_id is not null")
     classes = cut(filled.groupBy("class", "n_shingles").agg(F.min(F.struct("doc_id", "print")).alias("first"), F.min("words").alias("words")))
     banded = classes.select("class", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.substring("words", k * 8 + 1, F.lit(8)))).alias("band", "word"))
@@ -314,9 +316,11 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, mark: Column) -> DataF
     found = cut(banded.join(buckets, ["band", "word"]))
     members, nodes = found.drop("head"), found.select("class").distinct()
 
-    wanted = nodes.join(classes, "class").select("class", "first.doc_id", "first.print")
-    texts = rows.select("doc_id", "print", "text").join(wanted, ["doc_id", "print"])
-    sets = cut(texts.select("text", "class").mapInArrow(_sets, "class binary, items binary").dropDuplicates(["class"]))
+    # texts stay where they are read: those of a class's first row are told by a filter, and give out its set
+    wanted = nodes.join(classes, "class").select("first.doc_id", "first.print")
+    some = marked_rows(rows.select("doc_id", "print", "text"), wanted, ["doc_id", "print"])
+    sets = some.select("text").mapInArrow(functools.partial(_sets, key=key), "class binary, items binary")
+    sets = cut(sets.join(nodes, "class", "left_semi").groupBy("class").agg(F.first("items").alias("items")))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         a, b = (sets.select(F.col("class").alias(k), F.col("items").alias(f"{n}_items")) for k, n in (("src", "a"), ("dst", "b")))

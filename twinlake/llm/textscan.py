@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import secrets
 import unicodedata
 from collections.abc import Iterator
 
@@ -24,29 +25,39 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 #: Longer spans are hashed one by one.
 LONG_SPAN = 512
+_ALL = (1 << 64) - 1
 _LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = 0) -> np.ndarray:
     """A 64-bit hash of the bytes ``data[start:end]`` of each span: equal spans have equal hashes wherever they
-    stand. Eight bytes a step go through a bijective scrambling, so no pattern of letters cancels out."""
+    stand. Eight bytes a step go through a bijective scrambling.
+
+    Spans that share a hash can be constructed by whoever knows the ``key``. Where equal hashes count as equal words,
+    a caller draws a ``secret_key`` for each run, or compares the bytes."""
     sizes = ends - starts
-    out = mix((sizes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    out = mix((sizes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(key & _ALL))
+    factor = np.uint64(key >> 64 | 1)  # odd, so this is a bijection as well
     padded = np.zeros(len(data) + 8, np.uint8)
     padded[: len(data)] = data
     lanes = np.ndarray((len(data) + 1,), np.uint64, padded, 0, (1,))
     long = sizes > LONG_SPAN
     for k in np.flatnonzero(long).tolist():
-        out[k] = int.from_bytes(hashlib.blake2b(padded[starts[k] : ends[k]], digest_size=8).digest(), "little")
+        out[k] = int.from_bytes(hashlib.blake2b(padded[starts[k] : ends[k]], digest_size=8, key=key.to_bytes(16, "little") if key else b"").digest(), "little")
     some = np.flatnonzero((sizes > 0) & ~long)
     at, left = starts[some], sizes[some]
     while len(some):
-        out[some] = mix(out[some] ^ (lanes[at] & _LOW_BYTES[np.minimum(left, 8)])) + np.uint64(0x632BE59BD9B4E019)
+        out[some] = mix(out[some] ^ (lanes[at] & _LOW_BYTES[np.minimum(left, 8)])) * factor + np.uint64(0x632BE59BD9B4E019)
         more = left > 8
         some, at, left = some[more], at[more] + 8, left[more] - 8
     return out
 
 
+def secret_key() -> int:
+    """A key of 128 bits for one run, drawn by the driver and known to its tasks alone."""
+    return secrets.randbits(128)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the row offsets into them; null rows are empty."""
     column = column.cast(pa.large_string())
@@ -97,16 +108,16 @@ def words(values: np.ndarray, offsets: np.ndarray, kind: str) -> tuple[np.ndarra
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
 
 
-def lower_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def lower_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = 0) -> np.ndarray:
     """Hashes of spans with A-Z taken as a-z."""
-    return span_hashes(_LOWER[values], starts, ends)
+    return span_hashes(_LOWER[values], starts, ends, key)
 
 
-def hash_words(text: str, kind: str) -> np.ndarray:
+def hash_words(text: str, kind: str, key: int = 0) -> np.ndarray:
     """The word hashes of one text, as ``words`` and ``lower_hashes`` give them for columns."""
     values = np.frombuffer(text.encode(), np.uint8)
     starts, ends, _ = words(values, np.array([0, len(values)]), kind)
-    return lower_hashes(values, starts, ends)
+    return lower_hashes(values, starts, ends, key)
 
 
 # ---------------------------------------------------------------- pre-tokens, by code point
@@ -131,8 +142,8 @@ def _classes() -> np.ndarray:
     return table
 
 
-def pretokens(sections: list[str], whole: np.ndarray, attach_space: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, str]:
-    """``(starts, ends, section bounds, hashes, joined text)`` of the pre-tokens of each section.
+def pretokens(sections: list[str], whole: np.ndarray, attach_space: bool) -> tuple[pa.Array, np.ndarray]:
+    """The pre-tokens of all sections, and where each section's begin in them (one more entry than sections).
 
     ``attach_space``: the byte-level pattern, in which a space joins what follows and white space makes
     tokens; otherwise the word pattern, in which white space is dropped and each number character stands
@@ -180,9 +191,13 @@ def pretokens(sections: list[str], whole: np.ndarray, attach_space: bool) -> tup
             # what follows begins anew, unless a space before it already holds it
             fresh[after] = True
     starts = np.flatnonzero(fresh)
-    ends = np.append(starts[1:], n)
+    width = np.ones(n + 1, np.int64)
+    for least in (0x80, 0x800, 0x10000):
+        width[1:] += points >= least
+    width[0] = 0
+    offsets = np.cumsum(width)[np.append(starts, n)]
+    words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(joined.encode())])
     if not attach_space:
         keep = kinds[starts] != SPACE
-        starts, ends = starts[keep], ends[keep]
-    hashes = span_hashes(points.view(np.uint8), 4 * starts, 4 * ends)
-    return starts, ends, np.searchsorted(starts, bounds), hashes, joined
+        starts, words = starts[keep], words.filter(pa.array(keep))
+    return words, np.searchsorted(starts, bounds)

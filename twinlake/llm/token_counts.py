@@ -33,8 +33,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
     def finish(rows: pa.Table, block: Block, values: Values) -> list[pa.RecordBatch]:
         counts = values.flat.view(np.uint32).astype(np.int64)[values.starts >> 2]
         out = []
-        for distinct, places, bounds in block.chunks:
-            ends = np.append(0, np.cumsum(counts[values.of(distinct)][places]))
+        for own, places, bounds in block.chunks:
+            ends = np.append(0, np.cumsum(counts[own][places]))
             out.append(np.diff(ends[bounds]))
         n = np.concatenate(out) if out else np.zeros(0, np.int64)
         return pa.table({"doc_id": rows.column("doc_id"), "n_bytes": rows.column("n_bytes"), "n_tokens": n, "over_limit": n > limit}).to_batches(10_000)

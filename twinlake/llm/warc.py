@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinlake.checkpoints import cut
-from twinlake.operators.groups import flagged
+from twinlake.operators.keyfilter import flagged
 
 CHUNK = 64 << 10
 LEAST_REVISIT = 1000

@@ -5,16 +5,17 @@ blocks; they travel as compressed packets of the rows that a task has for a bloc
 pre-tokens go out as one packed payload per bucket of the pre-token hash; a bucket's task sees a pre-token from
 all blocks and encodes it once; the results travel back to the blocks and are joined with the texts there, by
 pre-token. What is shuffled is the texts once and each block's distinct pre-tokens twice. A task holds a block's
-packets and pre-tokens, one packet's texts at a time, and ``CACHE`` pre-tokens in a bucket's task; a single text
-that is longer than a block is a block of its own.
+packets and pre-tokens, one packet's texts at a time, and ``CACHE`` pre-tokens in a bucket's task; a text that is longer
+than a block makes its block longer.
 
-Within a block pre-tokens are told apart by 64-bit hashes, across blocks by their bytes.
+Pre-tokens are told apart by their bytes, within a block and across blocks; hashes only deal them out.
 """
 
 from __future__ import annotations
 
 import ctypes
 import functools
+import itertools
 import math
 import unicodedata
 from collections.abc import Callable, Iterator
@@ -91,14 +92,21 @@ def folded(text: str) -> str:
     return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
+#: Words of a block's dictionaries before they are merged.
+MERGE = 200_000
+
+
 class Block:
-    """The pre-tokens of the texts of one block, text by text in chunks."""
+    """The distinct pre-tokens of the texts of one block, told apart by their bytes, and where they stand."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.hashes = np.zeros(0, np.uint64)
-        self.chunks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # distinct hashes, places, row bounds
-        self.known: dict[int, str] = {}
+        self.dictionaries: list[pa.Array] = []
+        self.held = 0
+        #: For each chunk of texts: the place in ``words`` of each of its distinct pre-tokens (once closed), which of
+        #: those stands where, and row bounds.
+        self.chunks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.words, self.buckets = pa.array([], pa.large_string()), np.zeros(0, np.int32)
 
     def add(self, texts: list[str], keep_places: bool) -> None:
         start, size = 0, 0
@@ -112,38 +120,55 @@ class Block:
         cut = [self.vocabulary.sections(t) for t in texts]
         flat = [s for x in cut for s, _ in x]
         whole = np.array([w for x in cut for _, w in x], bool)
-        starts, ends, bounds, hashes, joined = textscan.pretokens(flat, whole, self.vocabulary.attach_space)
+        words, bounds = textscan.pretokens(flat, whole, self.vocabulary.attach_space)
+        coded = words.dictionary_encode()
+        self.dictionaries.append(coded.dictionary)
         if keep_places:
-            distinct, places = np.unique(hashes, return_inverse=True)
             rows = np.zeros(len(texts) + 1, np.int64)
             np.cumsum([len(x) for x in cut], out=rows[1:])
-            self.chunks.append((distinct, places.astype(np.int32), bounds[rows]))
-        else:
-            distinct, first = np.unique(hashes, return_index=True)
-            at = np.searchsorted(self.hashes, distinct)
-            new = np.ones(len(distinct), bool)
-            if len(self.hashes):
-                new = self.hashes[np.minimum(at, len(self.hashes) - 1)] != distinct
-            first = first[new]
-            self.known.update(zip(distinct[new].tolist(), [joined[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())]))
-            self.hashes = np.sort(np.concatenate([self.hashes, distinct[new]]))
-
-    def distinct(self) -> np.ndarray:
-        if self.chunks:
-            self.hashes = np.unique(np.concatenate([x[0] for x in self.chunks]))
-        return self.hashes
-
-
-def by_bucket(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order (bucket, hash) of sorted hashes, and the buckets in it."""
-    bucket = ((hashes >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    return order, bucket[order]
+            self.chunks.append((np.zeros(len(coded.dictionary), np.int64), coded.indices.to_numpy(), bounds[rows]))
+            return
+        self.held += len(coded.dictionary)
+        if self.held > MERGE:
+            self.dictionaries = [pa.concat_arrays(self.dictionaries).unique()]
+            self.held = len(self.dictionaries[0]) // 2  # so that merging stays rare, whatever the number of words
+
+    def close(self, buckets: int) -> None:
+        """Put the distinct pre-tokens in the order of bucket, hash and bytes, whatever the order of the texts."""
+        merged = pa.concat_arrays(self.dictionaries).dictionary_encode() if self.dictionaries else self.words.dictionary_encode()
+        words = merged.dictionary
+        offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+        data = np.frombuffer(words.buffers()[2], np.uint8) if len(words) else np.zeros(0, np.uint8)
+        hashes = textscan.span_hashes(data, offsets[:-1], offsets[1:])
+        bucket = ((hashes >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
+        order = np.lexsort((hashes, bucket))
+        if len(order) and (hashes[order][1:] == hashes[order][:-1]).any():  # words that share a hash
+            texts = words.to_pylist()
+            order = np.array(sorted(range(len(texts)), key=lambda k: (bucket[k], hashes[k], texts[k].encode())))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        at, start = place[merged.indices.to_numpy()], 0
+        for k, (own, places, bounds) in enumerate(self.chunks):
+            self.chunks[k] = (at[start : start + len(own)], places, bounds)
+            start += len(own)
+        self.words, self.buckets, self.dictionaries = words.take(pa.array(order)), bucket[order], []
+
+    def payloads(self) -> Iterator[tuple[int, bytes]]:
+        """``(bucket, packed words)`` in order."""
+        offsets = np.frombuffer(self.words.buffers()[1], np.int64)[: len(self.words) + 1] if len(self.words) else np.zeros(1, np.int64)
+        data = self.words.buffers()[2]
+        edges = [0, *(np.flatnonzero(self.buckets[1:] != self.buckets[:-1]) + 1).tolist(), len(self.buckets)] if len(self.buckets) else [0]
+        for a, b in zip(edges, edges[1:]):
+            yield int(self.buckets[a]), packed(np.diff(offsets[a : b + 1]), data[offsets[a] : offsets[b]])
+
+
+def packed(lengths: np.ndarray, data) -> bytes:
+    """Items of these lengths, whose bytes stand one after another in ``data``."""
+    return zstandard.ZstdCompressor(level=1).compress(np.uint32(len(lengths)).tobytes() + lengths.astype(np.uint32).tobytes() + bytes(data))
 
 
 def pack(items: list[bytes]) -> bytes:
-    lengths = np.array([len(x) for x in items], np.uint32).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(np.uint32(len(items)).tobytes() + lengths + b"".join(items))
+    return packed(np.array([len(x) for x in items], np.uint32), b"".join(items))
 
 
 def unpack(payload: bytes) -> list[bytes]:
@@ -224,17 +249,12 @@ def _segments(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int
 
 @dataclass
 class Values:
-    """A value for each distinct pre-token of a block, as bytes one after another."""
+    """A value for each distinct pre-token of a block, in their order, as bytes one after another."""
 
-    hashes: np.ndarray
     starts: np.ndarray
     lengths: np.ndarray
     flat: np.ndarray
 
-    def of(self, distinct: np.ndarray) -> np.ndarray:
-        """The places of sorted hashes in the values."""
-        return np.searchsorted(self.hashes, distinct)
-
 
 def join_by_word(
     docs: DataFrame, id_col: str, text_col: str, vocabulary: Vocabulary, encode: Callable[[list[list[int]]], list[bytes]],
@@ -258,14 +278,11 @@ def join_by_word(
         block, name = None, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            order, bucket = by_bucket(block.distinct(), buckets)
-            hashes = block.hashes[order].tolist()
-            edges = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)] if len(bucket) else [0]
-            spans = list(zip(edges, edges[1:]))
-            for k in range(0, len(spans), 64):
-                parts = [(int(bucket[a]), pack([block.known[h].encode() for h in hashes[a:b]])) for a, b in spans[k : k + 64]]
+            block.close(buckets)
+            parts = block.payloads()
+            while some := list(itertools.islice(parts, 64)):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(parts), pa.int32()), pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], names=["block", "bucket", "payload"]
+                    [pa.array([name] * len(some), pa.int32()), pa.array([p[0] for p in some], pa.int32()), pa.array([p[1] for p in some], pa.binary())], names=["block", "bucket", "payload"]
                 )
 
         for key, piece, first in _segments(batches, "block"):
@@ -304,16 +321,14 @@ def join_by_word(
             part = opened(payload.as_buffer())
             block.add(part.column("text").to_pylist(), True)
             held.append(part.select(["doc_id"]).append_column("n_bytes", pc.binary_length(part.column("text")).cast(pa.int64())))
-        order, _ = by_bucket(block.distinct(), buckets)
+        block.close(buckets)
         column = payloads.column("payload")
         parts = [unpack_arrays(column[k].as_buffer()) for k in np.argsort(payloads.column("bucket").to_numpy(), kind="stable").tolist()]
         lengths = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.int64)
         flat = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.uint8)
-        if len(lengths) != len(order):
+        if len(lengths) != len(block.words):
             raise RuntimeError("the distinct pre-tokens of a block differ between its two readings")
-        starts = np.cumsum(lengths) - lengths
-        by_hash = np.argsort(order)
-        out = pa.Table.from_batches(finish(pa.concat_tables(held), block, Values(block.hashes, starts[by_hash], lengths[by_hash], flat)))
+        out = pa.Table.from_batches(finish(pa.concat_tables(held), block, Values(np.cumsum(lengths) - lengths, lengths, flat)))
         del block, held, parts, lengths, flat, sent, payloads, column
         give_back()
         return out
