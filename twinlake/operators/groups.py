@@ -3,6 +3,9 @@ size_bytes``, and what is reported of them."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +13,7 @@ from twinlake.checkpoints import cut
 from twinlake.functions import digests
 from twinlake.functions.paths import base_name
 from twinlake.functions.sizes import display_size
-from twinlake.operators.keyfilter import flagged, marked_rows, without  # noqa: F401
+from twinlake.operators.keyfilter import marked_rows
 
 LONG = ["match_type", "match_key", "hash", "duplicate_count", "path", "size_bytes"]
 #: Salts of a group whose first rows are wanted.
@@ -49,33 +52,72 @@ def content_groups(files: DataFrame, least: int = 2, algorithm: str = "sha256")
     return groups_of(hashed(files, algorithm), least)
 
 
-def staged_groups(files: DataFrame, least: int = 2) -> DataFrame:
-    """Files with equal content by size, then by a sample, then in full: content that a cheaper test sets
-    apart is not hashed whole. Content never leaves the task that reads it; sizes, samples and digests do."""
-    sizes = files.groupBy("size").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("size")
-    sample = digests.sample_digest(F.col("content")).alias("sample")
-    sampled = cut(marked_rows(files, sizes, ["size"]).select("path", "size", sample))
-    alike = sampled.groupBy("size", "sample").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("size", "sample")
-    small = sampled.where(digests.covers_whole_file(F.col("size"))).select("path", F.col("size").alias("size_bytes"), F.col("sample").alias("hash"))
+@dataclass
+class Staged:
+    """A staged run: its groups, and one row of counters that come out of the same stages."""
+
+    groups: DataFrame
+    metrics: DataFrame
+
+
+Reader = Callable[[DataFrame], DataFrame]
+
+
+def staged(files: DataFrame, sample: Reader, full: Reader, least: int = 2) -> Staged:
+    """Files with equal content by size, then by a sample, then in full: content that a cheaper test sets apart is not
+    read whole. ``sample`` and ``full`` add a column of that name resp. ``hash`` to rows of ``files``; a null digest is
+    that of a file that cannot be read. Content never leaves the task that reads it; sizes, samples and digests do.
+
+    Counters are files scanned, sampled, hashed in full, and skipped by size and by sample: sums of the counts that
+    the stages group by, so nothing is scanned or read again for them."""
+    counts = cut(files.groupBy("size").agg(F.count("*").alias("n")))
+    sizes = counts.where(F.col("n") >= least).select("size")
+    sampled = cut(sample(marked_rows(files, sizes, ["size"])).select("path", "size", "sample").where("sample is not null"))
+    pairs = cut(sampled.groupBy("size", "sample").agg(F.count("*").alias("n")).where(F.col("n") >= least))
     over = ~digests.covers_whole_file(F.col("size"))
-    large = marked_rows(files.where(over).withColumn("sample", sample), alike.where(over), ["size", "sample"])
-    full = cut(large.select("path", F.col("size").alias("size_bytes"), digests.full_digest(F.col("content")).alias("hash")))
-    return groups_of(small.unionByName(full), least)
+    small = sampled.where(~over).select("path", F.col("size").alias("size_bytes"), F.col("sample").alias("hash"))
+    wanted = sampled.where(over).join(pairs.where(over).select("size", "sample"), ["size", "sample"], "left_semi").select("path", "size")
+    large = marked_rows(files.where(over), wanted, ["path", "size"])
+    whole = cut(full(large).select("path", F.col("size").alias("size_bytes"), "hash").where("hash is not null"))
+    zero = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    many = F.col("n") >= least
+    by_size = counts.agg(F.sum("n").alias("scanned"), F.sum(F.when(many, F.col("n"))).alias("sampled"), F.sum(F.when(~many, F.col("n"))).alias("skipped_by_size"))
+    by_sample = pairs.agg(F.sum(F.when(over, F.col("n"))).alias("fully_hashed"), (-F.sum("n")).alias("skipped_by_sample"))
+    both = by_size.withColumn("skipped_by_sample", F.col("sampled")).unionByName(by_sample, allowMissingColumns=True)
+    metrics = both.agg(*(zero(c).alias(c) for c in ("scanned", "sampled", "fully_hashed", "skipped_by_size", "skipped_by_sample")))
+    return Staged(groups_of(small.unionByName(whole), least), metrics)
+
+
+def staged_content(files: DataFrame, least: int = 2, algorithm: str = "sha256") -> Staged:
+    """``staged`` over a relation with a ``content`` column."""
+    sample = digests.sample_digest(F.col("content")) if digests.parse_algorithm(algorithm) == "sha256" else digest_of(F.substring(F.col("content").cast("binary"), 1, digests.SAMPLE_BYTES), algorithm)
+    return staged(files, lambda rows: rows.withColumn("sample", sample), lambda rows: rows.withColumn("hash", digest_of(F.col("content"), algorithm)), least)
+
+
+def staged_groups(files: DataFrame, least: int = 2) -> DataFrame:
+    return staged_content(files, least).groups
+
+
+def staged_tree(files: DataFrame, least: int = 2, algorithm: str = "sha256") -> Staged:
+    """``staged`` over a scan of directories: files are read by the tasks in pieces, the first 4 KiB of those that share
+    a size, and all of those that share these too. Files that cannot be read are in no group."""
+    from twinlake.sources.content import with_facts
+
+    named = files.select([c for c in ("path", "root", "size") if c in files.columns])
+    # a small file's sample is all of it, so it is made by the algorithm of the groups
+    short, long = digests.covers_whole_file(F.col("size")), ~digests.covers_whole_file(F.col("size"))
+
+    def sample(rows: DataFrame) -> DataFrame:
+        if digests.parse_algorithm(algorithm) == "sha256":
+            return with_facts(rows, ("sample",))
+        return with_facts(rows.where(long), ("sample",)).unionByName(with_facts(rows.where(short), ("hash",), algorithm).withColumnRenamed("hash", "sample"))
+
+    return staged(named, sample, lambda rows: with_facts(rows, ("hash",), algorithm), least)
 
 
 def stage_metrics(files: DataFrame, least: int = 2) -> DataFrame:
-    """One row: files scanned, sampled, hashed in full, and skipped by size and by sample."""
-    rows = files.select("size", digests.sample_digest(F.col("content")).alias("sample"))
-    pairs = rows.groupBy("size", "sample").agg(F.count("*").alias("n"))
-    sizes = pairs.groupBy("size").agg(F.sum("n").alias("of_size"), F.sum(F.when(F.col("n") >= least, F.col("n")).otherwise(0)).alias("alike"))
-    sampled = F.col("of_size") >= least
-    return sizes.agg(
-        F.coalesce(F.sum("of_size"), F.lit(0)).alias("scanned"),
-        F.coalesce(F.sum(F.when(sampled, F.col("of_size"))), F.lit(0)).alias("sampled"),
-        F.coalesce(F.sum(F.when(sampled & ~digests.covers_whole_file(F.col("size")), F.col("alike"))), F.lit(0)).alias("fully_hashed"),
-        F.coalesce(F.sum(F.when(~sampled, F.col("of_size"))), F.lit(0)).alias("skipped_by_size"),
-        F.coalesce(F.sum(F.when(sampled, F.col("of_size") - F.col("alike"))), F.lit(0)).alias("skipped_by_sample"),
-    )
+    """The counters of a staged run over a relation with a ``content`` column."""
+    return staged_content(files, least).metrics
 
 
 def name_groups(files: DataFrame, least: int = 2, name: str | None = None) -> DataFrame:

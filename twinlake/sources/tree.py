@@ -9,9 +9,8 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
 
 from twinlake.checkpoints import cut
 
@@ -103,7 +102,7 @@ def scan(spark: SparkSession, paths: list[str], max_depth: int = -1, hidden: boo
     return files
 
 
-def _open_below(root: str, path: str) -> int:
+def open_below(root: str, path: str) -> int:
     """Open a file without following a link in its place or in that of any folder below the root."""
     flags = os.O_RDONLY | os.O_NOFOLLOW
     at = os.open(root, os.O_RDONLY | os.O_DIRECTORY)
@@ -118,20 +117,36 @@ def _open_below(root: str, path: str) -> int:
         os.close(at)
 
 
-def with_content(files: DataFrame, most: int | None = None) -> DataFrame:
-    """``content``: the bytes of each file, of its first ``most`` bytes if given; null where it cannot be read
-    or a link stands in its place or, where the relation has a ``root``, in that of a folder below it."""
+#: Largest content that ``with_content`` makes a column of, and bytes of a batch of rows with content.
+MOST, BATCH = 64 << 20, 8 << 20
 
-    @F.pandas_udf(BinaryType())
-    def content(roots: pd.Series, paths: pd.Series) -> pd.Series:
-        def one(root: str | None, path: str) -> bytes | None:
-            try:
-                with open(_open_below(root or os.path.dirname(path), path), "rb") as f:
-                    return f.read(-1 if most is None else most)
-            except OSError:
-                return None
 
-        return pd.Series([one(r, p) for r, p in zip(roots, paths)])
-
-    root = F.col("root") if "root" in files.columns else F.lit(None).cast("string")
-    return files.withColumn("content", content(root, F.col("path")))
+def with_content(files: DataFrame, most: int | None = None) -> DataFrame:
+    """``content``: the bytes of each file, of its first ``most`` bytes if given; null where it cannot be read
+    or a link stands in its place or, where the relation has a ``root``, in that of a folder below it.
+
+    For trees of small files, whose content other operators need as a column. Rows are sent on a few MB at a time; a
+    file of more than ``MOST`` bytes is an error: ``content.with_facts`` reads files of any size in pieces."""
+    names = [c for c in files.columns if c != "content"]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, start, size = [], 0, 0
+            roots = batch.column("root").to_pylist() if "root" in names else [None] * batch.num_rows
+            for k, (root, path) in enumerate(zip(roots, batch.column("path").to_pylist())):
+                data = None
+                try:
+                    with open(open_below(root or os.path.dirname(path), path), "rb") as f:
+                        data = f.read(MOST + 1 if most is None else most)
+                except OSError:
+                    pass
+                if data is not None and len(data) > MOST:
+                    raise ValueError(f"too long for a column, read it in pieces: {path}")
+                held.append(data)
+                size += len(data or b"")
+                if size >= BATCH or k + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(start, len(held)).columns, pa.array(held, pa.binary())], names=[*names, "content"])
+                    held, start, size = [], k + 1, 0
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields if f.name != "content")
+    return files.select(names).mapInArrow(read, schema + ", content binary")
