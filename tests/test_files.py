@@ -114,13 +114,16 @@ def test_fuzzy_queries_sign_whole_texts(spark, monkeypatch):
     assert queries.fuzzy_groups(spark, "").count() == 0 and FuzzyConfig(read_limit=-1).read_limit == -1 and FuzzyConfig(read_limit=0).read_limit == 256 * 1024
 
 
-def test_fuzzy_groups_match_all_pairs(spark):
+@pytest.mark.parametrize("threshold, piece, large", [(85, 1024, 32), (85, 3, 2), (95, 2, 2), (75, 1024, 2), (75, 3, 2), (60, 2, 3)])
+def test_fuzzy_groups_match_all_pairs(spark, monkeypatch, threshold, piece, large):
     import random
 
+    monkeypatch.setattr(fuzzy, "PIECE", piece)
+    monkeypatch.setattr(fuzzy, "LARGE", large)
     rng = random.Random(1)
     base = [" ".join(rng.choice("alpha beta gamma delta epsilon zeta eta theta".split()) + str(rng.randrange(50)) for _ in range(rng.choice([30, 60, 200]))) for _ in range(12)]
     rows = [(f"/{k}/{j}.txt", (text + " x" * j).encode()) for k, text in enumerate(base) for j in range(4)] + [("/empty", b"")]
-    files, config = files_of(spark, rows), FuzzyConfig(threshold=85, min_size=0)
+    files, config = files_of(spark, rows), FuzzyConfig(threshold=threshold, min_size=0)
     sigs = {r.path: (r.sig, r.size) for r in fuzzy.signatures(files, config).collect()}
     parent = {p: p for p in sigs}
 
@@ -132,7 +135,7 @@ def test_fuzzy_groups_match_all_pairs(spark):
     for a in sigs:
         for b in sigs:
             (s, n), (t, m) = sigs[a], sigs[b]
-            if ((s ^ t) % 2**64).bit_count() <= 9 and max(n, m) <= 2 * min(n, m):
+            if ((s ^ t) % 2**64).bit_count() <= (100 - threshold) * 64 // 100 and max(n, m) <= 2 * min(n, m):
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
     want = {p: find(p) for p in sigs}
@@ -140,6 +143,9 @@ def test_fuzzy_groups_match_all_pairs(spark):
     got = {r.path: r.component for r in fuzzy.fuzzy_members(files, config).collect()}
     assert got == {p: c for p, c in want.items() if sizes.count(c) > 1} and got
     assert fuzzy.fuzzy_groups(files.limit(0), config).count() == 0
+    told = fuzzy.candidates(fuzzy.signatures(files, config), config).first()
+    assert told.nodes == len(set(sigs.values())) and told.all_pairs == told.nodes * (told.nodes - 1) // 2
+    assert 0 < told.pairs_met < told.all_pairs or threshold == 95
 
 
 def test_components(spark):
