@@ -197,7 +197,7 @@ def test_backup_is_written_before_anything_is_changed(spark, tmp_path):
     assert {x[2] for x in execute.apply_with_backup(plan, manifest)} == {"planned"} and not os.path.exists(manifest)
     first = plan.where(F.col("restore_path").endswith("/b"))
     outcomes = execute.apply_with_backup(first, manifest, confirm=True)
-    assert execute.sentence("delete", outcomes) == "Deleted 1 file(s)." and not (tmp_path / "d/b").exists()
+    assert execute.sentence("delete", outcomes) == "1 file removed" and not (tmp_path / "d/b").exists()
     (tmp_path / "d/b").write_bytes(b"")
     execute.apply_with_backup(plan, manifest, confirm=True)
     back = sinks.read_manifest(spark, manifest)
@@ -233,10 +233,10 @@ def test_links_are_carried_out(spark, tmp_path):
     make(tmp_path / "d", {"a": b"same", "b": b"same", "c": b"same"})
     found = groups.content_groups(scanned(spark, tmp_path / "d"))
     outcomes = execute.apply_plan(groups.keep_plan(found, 1, "link", target=str(tmp_path / "d/b")), confirm=True)
-    assert execute.sentence("link", outcomes) == "Converted 2 file(s) to symlinks."
+    assert execute.sentence("link", outcomes) == "2 files turned into a link"
     assert [os.path.islink(tmp_path / "d" / n) for n in "abc"] == [True, False, True] and os.readlink(tmp_path / "d/a") == str(tmp_path / "d/b")
-    assert execute.sentence("reflink", [("x", "reflink", "error: no"), ("y", "reflink", "done")]) == "Converted 1 file(s); 1 error(s) occurred."
-    assert execute.sentence("delete", [("x", "delete", "error: no")]) == "Failed to delete 1 file(s)." and execute.sentence("link", []) == "No files were converted."
+    assert execute.sentence("reflink", [("x", "reflink", "error: no"), ("y", "reflink", "done")]) == "1 file turned into a clone, 1 file left as before after errors"
+    assert execute.sentence("delete", [("x", "delete", "error: no")]) == "0 files removed, 1 file left as before after errors" and execute.sentence("link", []) == "Nothing to do: no file was turned into a link"
 
 
 def test_near_content_counters_and_cap(spark):
@@ -266,8 +266,8 @@ def test_reports_in_parts_and_lines(spark, tmp_path):
     sinks.write_csv_parts(found, str(tmp_path / "parts"))
     back = spark.read.option("header", True).csv(str(tmp_path / "parts"))
     assert back.columns == groups.LONG and back.count() == 4
-    assert sinks.summary_line(groups.stage_metrics(files_of(spark, [("/a", b"1"), ("/b", b"1")])).first().asDict(), 1.5) == "Scanned 2 files, sampled 2 candidates, fully hashed 0 in 1.50 s"
-    assert sinks.summary_line({"scanned": 3, "processed": 2, "skipped": 1}, 0, "fuzzy") == "Scanned 3 files, fuzzy-signatured 2 (skipped 1) in 0.00 s"
+    assert sinks.summary_line(groups.stage_metrics(files_of(spark, [("/a", b"1"), ("/b", b"1")])).first().asDict(), 1.5) == "content run, scanned 2, sampled 2, fully hashed 0, skipped by size 0, skipped by sample 0; done after 1.50 s"
+    assert sinks.summary_line({"scanned": 3, "processed": 2, "skipped": 1}, 0, "fuzzy") == "fuzzy run, scanned 3, processed 2, skipped 1; done after 0.00 s"
     assert list(sinks.text_lines(found, bullets=True))[1:3] == ["  - /a", "  - /b"] or list(sinks.text_lines(found, bullets=True))[1:3] == ["  - /c", "  - /d"]
 
 

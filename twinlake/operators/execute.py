@@ -57,22 +57,18 @@ def apply_plan(plan: DataFrame, confirm: bool = False) -> list[tuple[str, str, s
     return out
 
 
-#: What was done and in what form it failed, by action.
-DONE = {"delete": ("deleted", "Deleted {0} file(s)", "delete {1} file(s)"), "link": ("converted", "Converted {0} file(s) to symlinks", "convert {1} file(s) to symlinks")}
-DONE["reflink"] = ("converted", "Converted {0} file(s) to reflinks", "convert {1} file(s) to reflinks")
+#: What an action makes of a file, in words.
+RESULT = {"delete": "removed", "link": "turned into a link", "reflink": "turned into a clone"}
 
 
 def sentence(action: str, outcomes: list[tuple[str, str, str]]) -> str:
-    """One line that says how many files were changed and how many could not be."""
+    """One line that says how many files an action changed, and how many it could not change."""
     done, failed = (sum(x[2].startswith(w) for x in outcomes) for w in ("done", "error"))
-    participle, success, failure = DONE[action]
+    files = lambda n: f"{n} file" if n == 1 else f"{n} files"
     if not done and not failed:
-        return f"No files were {participle}."
-    if not failed:
-        return success.format(done, failed) + "."
-    if not done:
-        return "Failed to " + failure.format(done, failed) + "."
-    return f"{success.format(done).split(' to ')[0]}; {failed} error(s) occurred."
+        return f"Nothing to do: no file was {RESULT[action]}"
+    text = f"{files(done)} {RESULT[action]}"
+    return f"{text}, {files(failed)} left as before after errors" if failed else text
 
 
 def apply_with_backup(plan: DataFrame, folder: str, confirm: bool = False) -> list[tuple[str, str, str]]:

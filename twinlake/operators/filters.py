@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinlake.checkpoints import cut
 from twinlake.functions.paths import is_at_or_below, parts_below
+from twinlake.operators.keyfilter import marked_rows, without
 from twinlake.plans.config import VIRTUAL, ScanConfig
 
+#: Excluded folders that are terms of a predicate; more are a relation.
+TERMS = 32
+
 
 def size_filter(size: Column, config: ScanConfig) -> Column:
     """Bounds are inclusive; empty files only if asked for."""
@@ -36,6 +41,24 @@ def not_excluded(path: Column, folders: list[str]) -> Column:
     return ok
 
 
+def exclude_folders(files: DataFrame, folders: DataFrame) -> DataFrame:
+    """The files that lie neither at nor below one of ``folders`` (column ``path``), of which there may be any number.
+
+    A file gives out those of its folders that are as deep as some excluded one; a filter of keys passes few that are
+    not excluded, a join by the path decides, and files leave their tasks only if they may be below one."""
+    bare = lambda c: F.when(F.rtrim(c, F.lit("/")) == "", "/").otherwise(F.rtrim(c, F.lit("/")))
+    gone = cut(folders.where("path <> ''").select(bare(F.col("path")).alias("folder")).distinct())
+    depth = F.when(F.col("folder") == "/", 0).otherwise(F.size(F.split("folder", "/")) - 1)
+    depths = sorted(r[0] for r in gone.select(depth).distinct().collect())
+    if not depths:
+        return files
+    parts = F.split("path", "/")
+    above = [F.when(F.size(parts) > n, F.concat(F.lit("/") if n == 0 else F.lit(""), F.array_join(F.slice(parts, 1, n + 1), "/")) if n else F.lit("/")) for n in depths]
+    own = files.select("path", F.explode(F.array_compact(F.array(*above))).alias("folder"))
+    below = marked_rows(own, gone, ["folder"]).join(gone, "folder", "left_semi").select("path")
+    return without(files, below, {"path": F.col("path")})
+
+
 def same_device(dev: Column, root_dev: Column) -> Column:
     """Unknown devices count as the same."""
     return F.coalesce(dev == root_dev, F.lit(True))
@@ -53,10 +76,13 @@ def apply_filters(files: DataFrame, config: ScanConfig, root: str = "/") -> Data
     """All filters in order; the links' claim comes last, where the relation has ``dev`` and ``ino``."""
     path, top = F.col("path"), F.col("root") if "root" in files.columns else F.lit(root)
     ok = size_filter(F.col("size"), config) & within_depth(path, top, config.max_depth)
-    ok = ok & not_excluded(path, config.exclude + ([] if config.virtual else VIRTUAL))
+    few = len(config.exclude) <= TERMS
+    ok = ok & not_excluded(path, (config.exclude if few else []) + ([] if config.virtual else VIRTUAL))
     if not config.hidden:
         ok = ok & visible(path, top)
     if config.one_file_system and {"dev", "root_dev"} <= set(files.columns):
         ok = ok & same_device(F.col("dev"), F.col("root_dev"))
     out = files.where(ok)
+    if not few:
+        out = exclude_folders(out, files.sparkSession.createDataFrame([(x,) for x in config.exclude], "path string"))
     return first_links(out) if {"dev", "ino"} <= set(files.columns) else out

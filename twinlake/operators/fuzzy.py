@@ -223,7 +223,12 @@ def candidates(sigs: DataFrame, config: FuzzyConfig = FuzzyConfig()) -> DataFram
 def fuzzy_members(files: DataFrame, config: FuzzyConfig = FuzzyConfig()) -> DataFrame:
     """``(component, path, size, sig, similarity)``: the component is its smallest path, the similarity that to
     the component's representative, which chains may take below the threshold."""
-    sigs = cut(signatures(files, config))
+    return members_of_signed(signatures(files, config), config)
+
+
+def members_of_signed(sigs: DataFrame, config: FuzzyConfig = FuzzyConfig()) -> DataFrame:
+    """``fuzzy_members`` of ``(path, size, ext, sig)`` rows."""
+    sigs = cut(sigs)
     parts = connected_components(links(sigs, config)).select(F.col("node").alias("path"), "component")
     named = sigs.select("path", "size", "sig").join(parts, "path")
     heads = sigs.select(F.col("path").alias("component"), F.col("sig").alias("head_sig"))
@@ -234,7 +239,18 @@ def fuzzy_members(files: DataFrame, config: FuzzyConfig = FuzzyConfig()) -> Data
 def fuzzy_groups(files: DataFrame, config: FuzzyConfig = FuzzyConfig()) -> DataFrame:
     """Groups in long form. Components whose representatives have one signature share a key and are
     reported together; ``component`` tells them apart."""
-    members = fuzzy_members(files, config).withColumn("match_key", near_key(config.threshold, F.col("head_sig")))
+    return _in_groups(fuzzy_members(files, config), config)
+
+
+def groups_of_signed(signed: DataFrame, config: FuzzyConfig = FuzzyConfig()) -> DataFrame:
+    """``fuzzy_groups`` of ``(path, size, sig)`` rows, as a scan with signatures gives them."""
+    ext = extension(F.col("path")) if config.same_extension else F.lit("")
+    rows = signed.where("sig is not null").select("path", "size", ext.alias("ext"), "sig")
+    return _in_groups(members_of_signed(rows if config.max_candidates < 0 else rows.orderBy("path").limit(config.max_candidates), config), config)
+
+
+def _in_groups(members: DataFrame, config: FuzzyConfig) -> DataFrame:
+    members = members.withColumn("match_key", near_key(config.threshold, F.col("head_sig")))
     found = having(members, ["match_key"], config.min_group)
     return found.select(
         F.lit("fuzzy").alias("match_type"), "match_key", synthetic_digest("fuzzy", F.col("match_key")).alias("hash"), "duplicate_count", "path", F.col("size").alias("size_bytes"), "similarity", "component"

@@ -15,6 +15,7 @@ from twinlake.functions.paths import base_name
 from twinlake.functions.sizes import display_size
 from twinlake.operators.keyfilter import marked_rows
 
+#: The columns of exported reports.
 LONG = ["match_type", "match_key", "hash", "duplicate_count", "path", "size_bytes"]
 #: Salts of a group whose first rows are wanted.
 SALTS = 64
@@ -54,10 +55,22 @@ def content_groups(files: DataFrame, least: int = 2, algorithm: str = "sha256")
 
 @dataclass
 class Staged:
-    """A staged run: its groups, and one row of counters that come out of the same stages."""
+    """A staged run: its groups, one row of counters that come out of the same stages, and all files whose digests it
+    holds (``path, size_bytes, hash``), those in smaller groups than are shown too."""
 
     groups: DataFrame
     metrics: DataFrame
+    held: DataFrame
+
+    def reducible(self) -> DataFrame:
+        """The groups that a plan may reduce if it is not to respect the least size of a shown group: two files or
+        more of one digest, though fewer than that size, where a size and sample had as many as that."""
+        return groups_of(self.held, 2)
+
+    def counts(self) -> DataFrame:
+        """One row: groups that are shown, and digests that are held, single files too."""
+        both = self.groups.select(F.col("hash").alias("shown"), F.lit(None).cast("string").alias("all")).unionByName(self.held.select(F.lit(None).cast("string").alias("shown"), F.col("hash").alias("all")))
+        return both.agg(F.countDistinct("shown").alias("shown_groups"), F.countDistinct("all").alias("held_groups"))
 
 
 Reader = Callable[[DataFrame], DataFrame]
@@ -75,7 +88,7 @@ def staged(files: DataFrame, sample: Reader, full: Reader, least: int = 2) -> St
     sampled = cut(sample(marked_rows(files, sizes, ["size"])).select("path", "size", "sample").where("sample is not null"))
     pairs = cut(sampled.groupBy("size", "sample").agg(F.count("*").alias("n")).where(F.col("n") >= least))
     over = ~digests.covers_whole_file(F.col("size"))
-    small = sampled.where(~over).select("path", F.col("size").alias("size_bytes"), F.col("sample").alias("hash"))
+    small = sampled.where(~over).join(pairs.where(~over).select("size", "sample"), ["size", "sample"], "left_semi").select("path", F.col("size").alias("size_bytes"), F.col("sample").alias("hash"))
     wanted = sampled.where(over).join(pairs.where(over).select("size", "sample"), ["size", "sample"], "left_semi").select("path", "size")
     large = marked_rows(files.where(over), wanted, ["path", "size"])
     whole = cut(full(large).select("path", F.col("size").alias("size_bytes"), "hash").where("hash is not null"))
@@ -85,13 +98,34 @@ def staged(files: DataFrame, sample: Reader, full: Reader, least: int = 2) -> St
     by_sample = pairs.agg(F.sum(F.when(over, F.col("n"))).alias("fully_hashed"), (-F.sum("n")).alias("skipped_by_sample"))
     both = by_size.withColumn("skipped_by_sample", F.col("sampled")).unionByName(by_sample, allowMissingColumns=True)
     metrics = both.agg(*(zero(c).alias(c) for c in ("scanned", "sampled", "fully_hashed", "skipped_by_size", "skipped_by_sample")))
-    return Staged(groups_of(small.unionByName(whole), least), metrics)
+    rows = small.unionByName(whole)
+    return Staged(groups_of(rows, least), metrics, rows)
+
+
+def column_readers(algorithm: str = "sha256") -> tuple[Reader, Reader]:
+    """``sample`` and ``full`` of relations with a ``content`` column."""
+    sample = digests.sample_digest(F.col("content")) if digests.parse_algorithm(algorithm) == "sha256" else digest_of(F.substring(F.col("content").cast("binary"), 1, digests.SAMPLE_BYTES), algorithm)
+    return lambda rows: rows.withColumn("sample", sample), lambda rows: rows.withColumn("hash", digest_of(F.col("content"), algorithm))
+
+
+def tree_readers(algorithm: str = "sha256") -> tuple[Reader, Reader]:
+    """``sample`` and ``full`` of scans of directories, whose files the tasks read in pieces. A small file's sample is
+    all of it, so it is made by the algorithm of the groups."""
+    from twinlake.sources.content import with_facts
+
+    short = digests.covers_whole_file(F.col("size"))
+
+    def sample(rows: DataFrame) -> DataFrame:
+        if digests.parse_algorithm(algorithm) == "sha256":
+            return with_facts(rows, ("sample",))
+        return with_facts(rows.where(~short), ("sample",)).unionByName(with_facts(rows.where(short), ("hash",), algorithm).withColumnRenamed("hash", "sample"))
+
+    return sample, lambda rows: with_facts(rows, ("hash",), algorithm)
 
 
 def staged_content(files: DataFrame, least: int = 2, algorithm: str = "sha256") -> Staged:
     """``staged`` over a relation with a ``content`` column."""
-    sample = digests.sample_digest(F.col("content")) if digests.parse_algorithm(algorithm) == "sha256" else digest_of(F.substring(F.col("content").cast("binary"), 1, digests.SAMPLE_BYTES), algorithm)
-    return staged(files, lambda rows: rows.withColumn("sample", sample), lambda rows: rows.withColumn("hash", digest_of(F.col("content"), algorithm)), least)
+    return staged(files, *column_readers(algorithm), least)
 
 
 def staged_groups(files: DataFrame, least: int = 2) -> DataFrame:
@@ -101,18 +135,19 @@ def staged_groups(files: DataFrame, least: int = 2) -> DataFrame:
 def staged_tree(files: DataFrame, least: int = 2, algorithm: str = "sha256") -> Staged:
     """``staged`` over a scan of directories: files are read by the tasks in pieces, the first 4 KiB of those that share
     a size, and all of those that share these too. Files that cannot be read are in no group."""
-    from twinlake.sources.content import with_facts
-
-    named = files.select([c for c in ("path", "root", "size") if c in files.columns])
-    # a small file's sample is all of it, so it is made by the algorithm of the groups
-    short, long = digests.covers_whole_file(F.col("size")), ~digests.covers_whole_file(F.col("size"))
+    return staged(files.select([c for c in ("path", "root", "size") if c in files.columns]), *tree_readers(algorithm), least)
 
-    def sample(rows: DataFrame) -> DataFrame:
-        if digests.parse_algorithm(algorithm) == "sha256":
-            return with_facts(rows, ("sample",))
-        return with_facts(rows.where(long), ("sample",)).unionByName(with_facts(rows.where(short), ("hash",), algorithm).withColumnRenamed("hash", "sample"))
 
-    return staged(named, sample, lambda rows: with_facts(rows, ("hash",), algorithm), least)
+def same_content(files: DataFrame, target: DataFrame, sample: Reader, full: Reader) -> DataFrame:
+    """The group, in long form, of the one file of ``target``, which need not be among ``files``: files of its size are
+    sampled, and those of its sample are read whole. Without another file of its content there is no group."""
+    one = full(sample(target)).select("path", F.col("size").alias("size_bytes"), "sample", "hash").first()
+    if one is None or one["hash"] is None:
+        return groups_of(files.select("path", F.col("size").alias("size_bytes"), F.lit("").alias("hash")).limit(0))
+    rows = files.where((F.col("size") == one["size_bytes"]) & (F.col("path") != one["path"]))
+    rows = full(sample(rows).where(F.col("sample") == one["sample"])).where(F.col("hash") == one["hash"]).select("path", F.col("size").alias("size_bytes"), "hash")
+    own = files.sparkSession.createDataFrame([(one["path"], one["size_bytes"], one["hash"])], "path string, size_bytes long, hash string")
+    return groups_of(cut(rows.unionByName(own)))
 
 
 def stage_metrics(files: DataFrame, least: int = 2) -> DataFrame:
@@ -156,6 +191,7 @@ def same_as(files: DataFrame, path: str, target: DataFrame | None = None) -> Dat
 
 def title_of(summary: DataFrame, compact: bool = False) -> Column:
     """What a group is called: the start of its digest, or its name or key, with its files and their total."""
+    # fixed values: the formats of titles
     named = F.when(F.col("match_type") == "name", "Name: ").otherwise("Similar: ")
     label = F.when(F.col("match_type") == "content", F.substring("hash", 1, 16 if compact else 32)).otherwise(F.concat(named, F.col("match_key")))
     shown, count = display_size(F.col("total_bytes")), F.col("duplicate_count").cast("string")

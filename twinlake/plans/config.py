@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import posixpath
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from twinlake.functions.digests import parse_algorithm
 from twinlake.functions.sizes import parse_size
@@ -86,14 +86,56 @@ def looks_at_hidden(hidden: bool = False, name: str = "", single_file: str = "")
     return hidden or name.startswith(".") or posixpath.basename(single_file).startswith(".")
 
 
-def check_modes(name_only: bool = False, single_file: bool = False, fuzzy: bool = False, restore: bool = False, backup: bool = False, keep: bool = False, link: bool = False, reflink: bool = False) -> None:
-    """Which modes exclude each other."""
+def check_modes(name_only: bool = False, file_name: bool = False, single_file: bool = False, fuzzy: bool = False, restore: bool = False, backup: bool = False, keep: bool = False, link: bool = False, reflink: bool = False) -> None:
+    """Which modes exclude each other. A single file goes with name groups: its name is then what is looked for."""
+    names = name_only or file_name
     clashes = [
-        (name_only and (single_file or backup), "name groups go with neither a single file nor a backup"),
+        (file_name and single_file, "a file name and a single file exclude each other"),
+        (names and backup, "name groups cannot be backed up"),
         (link and reflink, "links and clones exclude each other"),
-        (fuzzy and (name_only or single_file or backup or restore or keep or link or reflink), "near-content groups are only reported"),
-        (restore and (name_only or single_file or fuzzy or backup or keep or link or reflink), "a restore stands alone"),
+        (fuzzy and (names or single_file or backup or restore or keep or link or reflink), "near-content groups are only reported"),
+        (restore and (names or single_file or fuzzy or backup or keep or link or reflink), "a restore stands alone"),
     ]
     for bad, why in clashes:
         if bad:
             raise ValueError(why)
+
+
+@dataclass(frozen=True)
+class RunConfig:
+    """A whole run: which files, which kind of groups, and what is to become of them. ``fuzzy`` asks for near-content
+    groups, ``name_only`` or ``file_name`` for name groups (of that name), ``single_file`` for what has that file's
+    content, or its name if name groups are asked for; else all content groups. ``keep`` files of each group stay
+    and the rest are deleted, linked or cloned by ``action``; 0 makes no plan. ``keep_below_minimum``: a plan also
+    reduces groups that are too small to be shown, as long as they have more than ``keep`` files."""
+
+    scan: ScanConfig = field(default_factory=ScanConfig)
+    fuzzy: FuzzyConfig | None = None
+    name_only: bool = False
+    file_name: str = ""
+    single_file: str = ""
+    keep: int = 0
+    action: str = "delete"
+    backup: bool = False
+    keep_below_minimum: bool = False
+
+    def __post_init__(self) -> None:
+        if self.keep < 0 or self.action not in ("delete", "link", "reflink"):
+            raise ValueError("how many files to keep, or what to do with the others, is not known")
+        check_modes(self.name_only, bool(self.file_name), bool(self.single_file), self.fuzzy is not None, False, self.backup, self.keep > 0, self.action == "link", self.action == "reflink")
+        if self.mode == "name" and (self.file_name or self.single_file) and self.name in ("", "."):
+            raise ValueError("a folder has no file name")
+
+    @property
+    def mode(self) -> str:
+        return "fuzzy" if self.fuzzy else "name" if self.name_only or self.file_name else "single" if self.single_file else "content"
+
+    @property
+    def name(self) -> str:
+        """The base name that is looked for, if any."""
+        return posixpath.basename((self.file_name or self.single_file).rstrip("/")) if self.mode == "name" else ""
+
+    @property
+    def files(self) -> ScanConfig:
+        """What to scan: hidden files too, if the name or the single file that is looked for is one."""
+        return replace(self.scan, hidden=looks_at_hidden(self.scan.hidden, self.name, self.single_file))

@@ -13,7 +13,8 @@ from twinlake.functions.simhash import hamming, max_distance, similarity, simhas
 from twinlake.functions.sizes import display_size
 from twinlake.operators import filters, fuzzy, groups, manifests
 from twinlake.operators.components import connected_components
-from twinlake.plans.config import FuzzyConfig, ScanConfig
+from twinlake.plans.config import FuzzyConfig, RunConfig, ScanConfig
+from twinlake.plans.run import run
 from twinlake.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -295,7 +296,7 @@ def name_digests(spark, sf_dir):
 #: Documents as a scanned tree: hidden and deep files, two devices, pairs of hard links, modes and times.
 TREE = (
     "t AS (SELECT '/r' AS root, '/r/' || lang || '/' || CASE WHEN doc_id % 13 = 0 THEN 'deep/down/' ELSE '' END || CASE WHEN doc_id % 11 = 0 THEN '.' ELSE '' END || doc_id AS path, strlen(coalesce(text, '')) AS size, "
-    "CASE WHEN doc_id % 17 = 0 THEN 2 ELSE 1 END AS dev, doc_id // 2 AS ino, 1 AS root_dev FROM documents)"
+    "CASE WHEN doc_id % 17 = 0 THEN 2 ELSE 1 END AS dev, doc_id // 2 AS ino, 1 AS root_dev, coalesce(text, '') AS content FROM documents)"
 )
 
 
@@ -304,7 +305,7 @@ def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("/r/"), "lang", F.lit("/"), F.when(k % 13 == 0, "deep/down/").otherwise(""), F.when(k % 11 == 0, ".").otherwise(""), k.cast("string"))
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
     dev = F.when(k % 17 == 0, 2).otherwise(1)
-    return table(spark, sf_dir, "documents").select(F.lit("/r").alias("root"), path.alias("path"), size.alias("size"), dev.alias("dev"), F.floor(k / 2).cast("long").alias("ino"), F.lit(1).alias("root_dev"))
+    return table(spark, sf_dir, "documents").select(F.lit("/r").alias("root"), path.alias("path"), size.alias("size"), dev.alias("dev"), F.floor(k / 2).cast("long").alias("ino"), F.lit(1).alias("root_dev"), F.coalesce("text", F.lit("")).alias("content"))
 
 
 @query(
@@ -445,3 +446,55 @@ def name_metrics(spark, sf_dir):
 @query("SELECT lower(regexp_extract(string_split(rtrim(url, '/'), '/')[-1], '(\\.[^.]*)$', 1)) AS ext, count(*) AS pages FROM pages GROUP BY ALL")
 def extensions(spark, sf_dir):
     return table(spark, sf_dir, "pages").groupBy(extension(F.col("url")).alias("ext")).agg(F.count("*").alias("pages"))
+
+
+KEPT = "x AS (SELECT * FROM t WHERE size BETWEEN 100 AND 50000 AND path NOT LIKE '%/.%' AND path NOT LIKE '/r/de/deep/%'), y AS (SELECT min(path) AS path, dev, ino FROM x GROUP BY dev, ino), v AS (SELECT x.* FROM x JOIN y USING (path, dev, ino))"
+
+
+@query(
+    f"WITH {TREE}, {KEPT}, g AS (SELECT path, sha256(content) AS hash, count(*) OVER (PARTITION BY content) AS n, row_number() OVER (PARTITION BY content ORDER BY path) AS k, first_value(path) OVER (PARTITION BY content ORDER BY path) AS first FROM v) "
+    "SELECT hash, path, CASE WHEN k > 1 THEN 'link' ELSE 'keep' END AS action, CASE WHEN k > 1 THEN first END AS target FROM g WHERE n >= 2"
+)
+def configured_scan(spark, sf_dir):
+    """From settings as users write them to a plan: filters, the claim of hard links, staged groups, what is kept."""
+    config = RunConfig(scan=ScanConfig.of("100", "50K", exclude=["/r/de/deep"]), keep=1, action="link")
+    return run(_tree(spark, sf_dir), config).plan
+
+
+#: Files by which ``THIRDS`` groups them: the length in tens, so that sizes and samples agree where contents do not.
+THIRDS = (
+    f"WITH {FILES}, y AS (SELECT path, size, CASE WHEN size > 4096 THEN substr(content, 1, 10) || repeat('x', 5000) || substr(content, 11, 1) ELSE substr(content, 1, 3) END AS content FROM f), "
+    "h AS (SELECT path, content, sha256(content) AS hash, strlen(content) AS n, sha256(encode(content)[1:4096]) AS sample FROM y), "
+    "s AS (SELECT *, count(*) OVER (PARTITION BY n) AS sized, count(*) OVER (PARTITION BY n, sample) AS alike FROM h), "
+    "r AS (SELECT *, count(*) OVER (PARTITION BY hash) AS files, row_number() OVER (PARTITION BY hash ORDER BY path) AS k FROM s WHERE sized >= 3 AND alike >= 3) "
+)
+
+
+def _thirds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Derived files of two kinds: long ones that share a sample and differ after it, and short ones."""
+    text = F.col("content")
+    long = F.concat(F.substring(text, 1, 10), F.lit("x" * 5000), F.substring(text, 11, 1))
+    rows = files_of(spark, sf_dir).select("path", F.when(F.col("size") > 4096, long).otherwise(F.substring(text, 1, 3)).alias("content"))
+    return rows.select("path", F.octet_length("content").cast("long").alias("size"), "content")
+
+
+@query(THIRDS + "SELECT hash, path, CASE WHEN k > 1 THEN 'delete' ELSE 'keep' END AS action, NULL::VARCHAR AS target FROM r WHERE files > 1")
+def keep_below_minimum(spark, sf_dir):
+    """A plan that also reduces pairs, which are not shown where a group has three files at least."""
+    config = RunConfig(scan=ScanConfig(empty=True, hidden=True, max_size=0, min_group=3), keep=1, keep_below_minimum=True)
+    return run(_thirds(spark, sf_dir), config).plan
+
+
+@query(f"WITH {FILES}, x AS (SELECT path, source, doc_id FROM f WHERE doc_id % 3 = 0) SELECT f.path FROM f WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.path = f.path) AND '/' || f.source <> (SELECT '/' || min(source) FROM f)")
+def excluded_folders(spark, sf_dir):
+    """As many excluded paths as a third of the files, and one whole folder."""
+    files = files_of(spark, sf_dir)
+    third = table(spark, sf_dir, "documents").where(F.col("doc_id") % 3 == 0).select(F.concat(F.lit("/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"))
+    whole = table(spark, sf_dir, "documents").agg(F.concat(F.lit("/"), F.min("source")).alias("path"))
+    return filters.exclude_folders(files.select("path"), third.unionByName(whole))
+
+
+@query(THIRDS + "SELECT count(DISTINCT CASE WHEN files >= 3 THEN hash END) AS shown_groups, count(DISTINCT hash) AS held_groups FROM r")
+def held_counts(spark, sf_dir):
+    """Groups that are shown, and digests that a run holds, those of smaller groups and single files too."""
+    return groups.staged_content(_thirds(spark, sf_dir), 3).counts()

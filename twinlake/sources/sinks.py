@@ -69,17 +69,13 @@ def write_csv_parts(groups: DataFrame, folder: str) -> None:
 
 
 def elapsed_line(seconds: float) -> str:
-    return f"Scanned in {seconds:.2f} s"
+    return f"done after {seconds:.2f} s"
 
 
 def summary_line(metrics: dict[str, int], seconds: float, mode: str = "content") -> str:
-    """What a scan of a mode (content, fuzzy, name) did, from its one row of metrics."""
-    head = f"Scanned {metrics['scanned']} files"
-    if mode == "fuzzy":
-        return f"{head}, fuzzy-signatured {metrics['processed']} (skipped {metrics['skipped']}) in {seconds:.2f} s"
-    if mode == "name":
-        return f"{head} by name in {seconds:.2f} s"
-    return f"{head}, sampled {metrics['sampled']} candidates, fully hashed {metrics['fully_hashed']} in {seconds:.2f} s"
+    """What a run of a mode (content, single, fuzzy, name) did, from its one row of metrics: each counter by its name."""
+    told = ", ".join(f"{k.replace('_', ' ')} {v}" for k, v in metrics.items())
+    return f"{mode} run, {told}; {elapsed_line(seconds)}"
 
 
 def append_manifest(entries: DataFrame, folder: str) -> None:

@@ -7,12 +7,14 @@ import os
 import stat
 from collections import deque
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from twinlake.checkpoints import cut
+from twinlake.plans.config import VIRTUAL, ScanConfig
 
 COLUMNS = "path string, root string, size long, mode int, dev long, ino long, root_dev long, mtime_unix long, mtime_nsec long"
 #: Folders that a task lists before it hands on those that are still open, and rows that it sends out at once.
@@ -48,8 +50,32 @@ def _listing(folder: str) -> list[str]:
         return []
 
 
-def _walk(batches: Iterator[pd.DataFrame], max_depth: int, hidden: bool, most: int) -> Iterator[pd.DataFrame]:
+@dataclass(frozen=True)
+class Pruned:
+    """Which folders a walk does not enter: those below ``max_depth`` (-1: none), hidden ones, those of ``folders``,
+    and those on another device than the root."""
+
+    max_depth: int = -1
+    hidden: bool = True
+    folders: frozenset[str] = frozenset()
+    one_device: bool = False
+
+    @classmethod
+    def by(cls, config: ScanConfig) -> Pruned:
+        return cls(config.max_depth, config.hidden, frozenset(f.rstrip("/") or "/" for f in [*config.exclude, *([] if config.virtual else VIRTUAL)]), config.one_file_system)
+
+    def root(self, path: str) -> bool:
+        """Whether a root itself lies at or below an excluded folder."""
+        while path not in self.folders:
+            if path in ("/", ""):
+                return False
+            path = os.path.dirname(path)
+        return True
+
+
+def _walk(batches: Iterator[pd.DataFrame], pruned: Pruned, most: int) -> Iterator[pd.DataFrame]:
     """``depth`` is null for files; a row with a depth is a folder that is still to be listed."""
+    max_depth, hidden = pruned.max_depth, pruned.hidden
     names = [x.split()[0] for x in COLUMNS.split(", ")] + ["depth"]
     work = deque(r for pdf in batches for r in pdf[["path", "root", "root_dev", "depth"]].itertuples(index=False))
     rows: list[tuple] = []
@@ -58,7 +84,7 @@ def _walk(batches: Iterator[pd.DataFrame], max_depth: int, hidden: bool, most: i
             break
         folder, root, root_dev, depth = work.popleft()
         if pd.isna(root_dev):
-            if not os.path.isdir(folder):  # a root that is a file has no listing
+            if pruned.root(folder) or not os.path.isdir(folder):  # a root that is a file has no listing
                 continue
             root_dev = _signed(os.lstat(folder).st_dev)
         for name in _listing(folder):
@@ -70,7 +96,7 @@ def _walk(batches: Iterator[pd.DataFrame], max_depth: int, hidden: bool, most: i
             except OSError:
                 continue
             if stat.S_ISDIR(s.st_mode):
-                if max_depth < 0 or depth < max_depth:
+                if (max_depth < 0 or depth < max_depth) and path not in pruned.folders and not (pruned.one_device and _signed(s.st_dev) != root_dev):
                     work.append((path, root, root_dev, depth + 1))
             elif stat.S_ISREG(s.st_mode):
                 rows.append((path, root, s.st_size, s.st_mode, _signed(s.st_dev), _signed(s.st_ino), int(root_dev), s.st_mtime_ns // 10**9, s.st_mtime_ns % 10**9, None))
@@ -82,16 +108,20 @@ def _walk(batches: Iterator[pd.DataFrame], max_depth: int, hidden: bool, most: i
         yield pd.DataFrame(rows[a : a + ROWS], columns=names).astype({c: "Int64" for c in names[2:]})
 
 
-def scan(spark: SparkSession, paths: list[str], max_depth: int = -1, hidden: bool = True, most: int = FOLDERS) -> DataFrame:
+def scan(spark: SparkSession, paths: list[str], max_depth: int = -1, hidden: bool = True, most: int = FOLDERS, config: ScanConfig | None = None) -> DataFrame:
     """The relation of regular files below ``paths``; links are not followed, what cannot be read is left out. A
     root that is named twice is walked once; a file below two roots is found twice (see ``first_links``).
 
+    With a ``config``, folders that it leaves out (too deep, hidden, excluded, virtual, on another device) are not listed,
+    however many files they hold, and neither are hidden files found; other filters are those of ``apply_filters``.
+
     Tasks list folders in rounds, up to ``most`` each, and what they leave open is dealt out anew for the next;
     no listing goes through the driver."""
     roots = [(p, p, None, 0) for p in dict.fromkeys(os.path.abspath(p) for p in paths)]
+    pruned = Pruned(max_depth, hidden) if config is None else Pruned.by(config)
     work, found = spark.createDataFrame(roots, "path string, root string, root_dev long, depth int"), []
     while True:
-        out = cut(work.repartition("path").mapInPandas(lambda b: _walk(b, max_depth, hidden, most), COLUMNS + ", depth int"))
+        out = cut(work.repartition("path").mapInPandas(lambda b: _walk(b, pruned, most), COLUMNS + ", depth int"))
         found.append(out.where("depth is null").drop("depth"))
         work = out.where("depth is not null")
         if work.isEmpty():
@@ -102,6 +132,26 @@ def scan(spark: SparkSession, paths: list[str], max_depth: int = -1, hidden: boo
     return files
 
 
+def files_at(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``(path, root, size)`` of single files, wherever they are; what is no regular file is left out. A few paths,
+    looked at by one task each."""
+    rows = spark.createDataFrame([(os.path.abspath(p),) for p in paths], "path string")
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for path in pdf["path"]:
+                try:
+                    s = os.lstat(path)
+                except OSError:
+                    continue
+                if stat.S_ISREG(s.st_mode):
+                    out.append((path, os.path.dirname(path), s.st_size))
+            yield pd.DataFrame(out, columns=["path", "root", "size"])
+
+    return rows.mapInPandas(look, "path string, root string, size long")
+
+
 def open_below(root: str, path: str) -> int:
     """Open a file without following a link in its place or in that of any folder below the root."""
     flags = os.O_RDONLY | os.O_NOFOLLOW
