@@ -81,10 +81,11 @@ def _sums(table: np.ndarray, words: np.ndarray, begin: np.ndarray, end: np.ndarr
 
 @dataclass
 class Latent:
-    """Word weights and the map from buckets to the latent space, each direction scaled to unit variance."""
+    """Word weights and the map from buckets to the latent space, each direction scaled to unit variance; without a
+    basis, word weights only."""
 
     idf: np.ndarray
-    basis: np.ndarray
+    basis: np.ndarray | None
 
     @cached_property
     def weighted(self) -> np.ndarray:
@@ -101,6 +102,33 @@ class Latent:
         return out / np.maximum(np.linalg.norm(out, axis=1), 1e-12)[:, None]
 
 
+def weights(docs: DataFrame, text_col: str = "text") -> Latent:
+    """The IDF of all buckets over all passages of all texts, without a latent space: what tells leaks needs no more."""
+    bound_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(BUCKETS + 1, np.int64)
+        for batch in batches:
+            for _, _, hashes, at in _scan(batch.column("text")):
+                cells = _cells(at, PASSAGE)
+                found[BUCKETS] += len(cells) - 1
+                owner = np.repeat(np.arange(len(cells) - 1), np.diff(cells))
+                found[:BUCKETS] += np.bincount(np.unique(owner * BUCKETS + _buckets(hashes)) % BUCKETS, minlength=BUCKETS)
+        some = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(found[some])], names=["bucket", "n"])
+        give_back()
+
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    found = np.zeros(BUCKETS + 1, np.int64)
+    for bucket, n in texts.mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n")).collect():
+        found[bucket] = n
+    return Latent(_idf(found), None)
+
+
+def _idf(found: np.ndarray) -> np.ndarray:
+    return (np.log((1 + found[BUCKETS]) / (1 + found[:BUCKETS])) + 0.1).astype(np.float32)
+
+
 def fit(docs: DataFrame, text_col: str = "text", seed: int = 0) -> Latent:
     """Randomised SVD (one pass, Nystroem form; Halko et al., 2011) of the TF-IDF matrix of all passages of
     all texts: counts, each passage's scaled to length one, times the IDF. As the IDF scales whole columns, it
@@ -214,7 +242,7 @@ def common_length(masks: np.ndarray) -> np.ndarray:
 class Group:
     """Some passages of the benchmark, with what finding them in pieces of the documents needs."""
 
-    def __init__(self, latent: Latent, vectors: np.ndarray, hashes: np.ndarray, at: np.ndarray, answer: np.ndarray):
+    def __init__(self, latent: Latent, vectors: np.ndarray | None, hashes: np.ndarray, at: np.ndarray, answer: np.ndarray):
         sizes = np.diff(at)
         self.vectors = vectors
         #: a window of so many blocks holds a passage wherever it begins
@@ -282,12 +310,12 @@ class Matcher:
     def __init__(self, latent: Latent, block: Passages, cosine: float | None = None):
         self.latent, self.cosine = latent, cosine
         self.size = np.diff(block.at)
-        vectors = latent.spans(block.hashes, block.at[:-1], block.at[1:])
+        vectors = None if latent.basis is None else latent.spans(block.hashes, block.at[:-1], block.at[1:])
         self.groups = []
         for a in range(0, len(self.size), GROUP):
             at = block.at[a : a + GROUP + 1]
             own = slice(at[0], at[-1])
-            self.groups.append((a, Group(latent, vectors[a : a + GROUP], block.hashes[own], at - at[0], block.answer[own])))
+            self.groups.append((a, Group(latent, None if vectors is None else vectors[a : a + GROUP], block.hashes[own], at - at[0], block.answer[own])))
 
     def find(self, hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """``(row, passage, words in common, cosine)`` of the leaks in rows of words."""
@@ -334,8 +362,9 @@ class Matcher:
                         x, y = p[k : k + (1 << 14)], q[k : k + (1 << 14)]
                         some, length = group.leaks(word, cells[low[x]], cells[high[x]], mine[y])
                         x, y = i[x[some]], mine[y[some]]
-                        window = self.latent.spans(hashes, cells[x], cells[np.minimum(x + m, end[x])])
-                        score = (window * group.vectors[y]).sum(axis=1)
+                        score = np.zeros(len(x))
+                        if group.vectors is not None:
+                            score = (self.latent.spans(hashes, cells[x], cells[np.minimum(x + m, end[x])]) * group.vectors[y]).sum(axis=1)
                         ok = slice(None) if self.cosine is None else score >= self.cosine
                         found.append((row[x[ok]], offset + y[ok], length[ok], score[ok]))
         return tuple(np.concatenate(x) for x in zip(*found))
@@ -403,9 +432,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, latent: Latent | None = No
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, latent: Latent | None = None, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with all their columns; see ``find_leaks``."""
+    """The rows of ``docs`` that hold no benchmark item, with all their columns; see ``find_leaks``. No cosine is told
+    here, so only word weights are taken from the corpus."""
     bound_batches(docs.sparkSession)
-    latent = latent or fit(docs, text_col)
+    latent = latent or weights(docs, text_col)
 
     def scan(blocks: list[Passages]) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

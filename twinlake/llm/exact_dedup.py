@@ -1,8 +1,8 @@
-"""Exact duplicates by a tree of merges of digest runs, each merge an aggregation, in DataFrame operations only."""
+"""Exact duplicates by a tree of merges of sorted digest runs, in DataFrame operations only."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinlake.checkpoints import cut
@@ -15,14 +15,27 @@ ROUNDS = 3
 KEY = ["digest", "n_bytes", "check"]
 
 
+def first_runs(rows: DataFrame, best: Column) -> DataFrame:
+    """A sorted run a partition of ``rows``: each digest once, with its best row and the number of rows."""
+    own = rows.select(F.spark_partition_id().alias("run"), part_of(F.col("digest")).alias("range"), *KEY, best.alias("best"), F.lit(1).cast("long").alias("group_size"))
+    return _merged(own.sortWithinPartitions("run", "range", *KEY))
+
+
+def part_of(digest: Column) -> Column:
+    """The range of digests that a digest lies in."""
+    return F.conv(F.hex(F.substring(digest, 1, 2)), 16, 10).cast("int")
+
+
 def merge(runs: DataFrame, shift: int) -> DataFrame:
-    """Merge runs whose numbers agree but for the last ``shift`` bits: equal entries (digest, length and a
-    second hash) become one, with the best row and the number of rows."""
-    return (
-        runs.withColumn("run", F.shiftright("run", shift))
-        .groupBy("run", *KEY)
-        .agg(F.min("best").alias("best"), F.sum("group_size").alias("group_size"))
-    )
+    """Merge runs whose numbers agree but for the last ``shift`` bits. Each run is cut into ranges of digests; what the
+    runs have of a range comes together in order, and neighbours that are equal (digest, length and a second hash)
+    become one, with the best row and the number of rows. A task holds ranges of a merge, never a whole run."""
+    moved = runs.withColumn("run", F.shiftright("run", shift)).repartition("run", "range")
+    return _merged(moved.sortWithinPartitions("run", "range", *KEY))
+
+
+def _merged(ordered: DataFrame) -> DataFrame:
+    return ordered.groupBy("run", "range", *KEY).agg(F.min("best").alias("best"), F.sum("group_size").alias("group_size"))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -33,10 +46,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     null id comes last. Rows that repeat the staying id are all kept, as the id is all that tells rows
     apart. Other columns are not read; an empty table gives an empty result.
 
-    Every partition starts a run: its digests with their best row and count, grouped by the partition's
-    number. Rounds then merge 8 runs into one until one run, spread over all tasks by digest,
-    is left. A digest has at most one entry per run, so a group of copies of any size is a handful of rows
-    in any task; only the final join meets all rows of a group, and that join can be split.
+    Every partition sorts its digests into a run, each once with its best row and count. Rounds then merge 8 runs into
+    one, range of digests by range, until one run is left. A digest has at most one entry per run, so a group of copies
+    of any size is a handful of rows in any task; only the final join meets all rows of a group, and that join can be
+    split.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     bare = F.translate(text, BLANKS, "")
@@ -46,7 +59,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         )
     )
     best = F.struct((-F.col("n_chars")).alias("order"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("keep_id"))
-    runs = merge(rows.select(F.spark_partition_id().alias("run"), *KEY, best.alias("best"), F.lit(1).cast("long").alias("group_size")), 0)
+    runs = first_runs(rows, best)
     count = 1 + (rows.select(F.spark_partition_id().alias("run")).agg(F.max("run")).first()[0] or 0)
     while count > 1:
         runs = merge(runs, ROUNDS)

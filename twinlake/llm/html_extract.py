@@ -31,11 +31,30 @@ _ENDS = {tag: set(group) for group in ENDS for tag in group}
 _SCOPE = {"table", "ul", "ol", "dl", "div", "article", "section", "main", "body", "nav", "aside", "footer", "header", "form", "select", "blockquote"}
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>|<(/?)([A-Za-z][^\s/<>]*+)((?:"[^"]*+"|'[^']*+'|[^<>"']++)*+)>|[^<]+|<""", re.S)
 _RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
+#: Of these an element may stand within another of its name.
+_NESTED = {tag: re.compile(rf"<(/?){tag}\b((?:\"[^\"]*\"|'[^']*'|[^<>\"'])*)>", re.I) for tag in ("svg", "math", "template")}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 BUCKETS = 1 << 12
 
+
+def _raw_end(name: str, page: str, at: int) -> int:
+    """Where what follows an opening tag without markup ends; the page's end if it is not closed."""
+    if name not in _NESTED:
+        end = _RAW_END[name].search(page, at)
+        return end.end() if end else len(page)
+    depth = 1
+    for tag in _NESTED[name].finditer(page, at):
+        if tag[1]:
+            depth -= 1
+        elif not tag[2].rstrip().endswith("/"):
+            depth += 1
+        if not depth:
+            return tag.end()
+    return len(page)
+
+
 @dataclass
 class Leaf:
     """A run of text between block boundaries, the features of the elements it stands in, and the share of it in
@@ -121,8 +140,7 @@ def leaf_blocks(page: str) -> list[Leaf]:
         if name in ("svg", "math") and token[3].rstrip().endswith("/"):
             continue
         if name in _RAW:
-            end = _RAW_END[name].search(page, at)
-            at = end.end() if end else n
+            at = _raw_end(name, page, at)
             if name not in ("svg", "math", "template"):
                 flush()
             continue
@@ -240,6 +258,10 @@ def train(pages: list[tuple[list[list[int]], list[int]]], steps: int = 120, rate
 MAIN_OPENINGS = ["article", "main", "main id=content", "div class=content", "div class=post", "div id=main-content", "section class=story", "div class=entry-content", "div class=article-body", "div itemprop=articleBody class=text", "article class=post", "div role=main"]
 NOISE_OPENINGS = ["div class=ad", "div class=advert", "div class=banner-ad", "div class=promo", "aside", "aside class=sidebar", "div class=sidebar", "div id=sidebar", "div class=cookie-notice", "div class=notice", "div role=alert class=notice", "div class=newsletter", "section class=related", "div class=share", "div class=social", "div class=breadcrumbs", "div class=widget", "div class=popup", "ins class=adsbygoogle", "div class=sponsored", "div id=cookie-banner"]
 COMMENT_OPENINGS = ["section class=comments", "div id=comments", "section id=comments", "div class=comment-list", "ol class=commentlist", "div class=reader-comments"]
+#: Words that names of adverts and of reader comments are put together from.
+AD_WORDS = "ad ads adslot adunit advert advertisement adsense banner dfp gpt slot sponsor sponsored promo promoted promotion outbrain taboola teads".split()
+COMMENT_WORDS = "comment comments commentary reply replies respond response responses discussion disqus thread feedback remarks".split()
+FILL_WORDS = "box block wrap wrapper container area item list unit inner section".split()
 SYLLABLES = "the an in er re th on at en nd or le la de un que ie ung sch ver con do ra".split()
 
 
@@ -261,6 +283,13 @@ def labelled_page(rng: random.Random) -> list[tuple[str, int]]:
         if rng.random() < 0.97:
             add(f"</{tag}>")
 
+    def opening(known: list[str], parts: list[str]) -> str:
+        """One of the known ones, or an element with a name that is put together."""
+        if rng.random() < 0.6:
+            return rng.choice(known)
+        name = [rng.choice(parts), *rng.sample([*parts, *FILL_WORDS], rng.randint(0, 2))]
+        return f"{rng.choice(['div', 'div', 'section', 'aside', 'ul'])} {rng.choice(['class', 'class', 'id'])}={rng.choice('-_').join(name)}"
+
     def paragraph(label: int, low: int = 1, high: int = 80) -> None:
         tag = rng.choice(["p"] * 8 + ["div", "blockquote", "li", "pre"])
         add(f"<{tag}>")
@@ -312,7 +341,7 @@ def labelled_page(rng: random.Random) -> list[tuple[str, int]]:
         add(words(1, 2), 0)
         add("</h2>")
         for _ in range(rng.randint(1, 5)):
-            around(rng.choice(["div class=comment", "li class=comment", "article class=comment"]), lambda: paragraph(0, 2, 50))
+            around(opening(["div class=comment", "li class=comment", "article class=comment"], COMMENT_WORDS), lambda: paragraph(0, 2, 50))
 
     def article() -> None:
         wrapped = rng.random() < 0.25
@@ -345,9 +374,9 @@ def labelled_page(rng: random.Random) -> list[tuple[str, int]]:
                 add(words(1, 5), 1)
                 add("</td></tr></table>")
             else:
-                around(rng.choice(NOISE_OPENINGS), noise)
+                around(opening(NOISE_OPENINGS, AD_WORDS), noise)
         if rng.random() < 0.15:
-            around(rng.choice(COMMENT_OPENINGS), comments)
+            around(opening(COMMENT_OPENINGS, COMMENT_WORDS), comments)
         if rng.random() < 0.1:
             around("footer", lambda: add(words(2, 12), 0))
 
@@ -357,12 +386,12 @@ def labelled_page(rng: random.Random) -> list[tuple[str, int]]:
     if rng.random() < 0.85:
         around(rng.choice(["nav", "nav class=menu", "div class=menu", "div class=navbar", "ul class=nav"]), lambda: links(rng.randint(2, 8)))
     for _ in range(rng.choice([0, 1, 1, 2])):
-        around(rng.choice(NOISE_OPENINGS), noise)
+        around(opening(NOISE_OPENINGS, AD_WORDS), noise)
     around(rng.choice(MAIN_OPENINGS), article)
     for _ in range(rng.choice([0, 0, 1, 2])):
-        around(rng.choice(NOISE_OPENINGS), noise)
+        around(opening(NOISE_OPENINGS, AD_WORDS), noise)
     if rng.random() < 0.3:
-        around(rng.choice(COMMENT_OPENINGS), comments)
+        around(opening(COMMENT_OPENINGS, COMMENT_WORDS), comments)
     if rng.random() < 0.3:
         around(rng.choice(["form", "form class=search", "div class=form"]), form)
     if rng.random() < 0.9:

@@ -17,8 +17,6 @@ from twinlake.session import bound_batches
 PASSAGE = 64
 #: The classifier is fitted on at most this many labelled documents, those with the smallest hashes.
 TRAIN_DOCS = 3000
-#: A longer document teaches by this many of its passages, spread evenly over the whole text.
-TRAIN_PASSAGES = 512
 FOLDS = 5
 LEAST_SCORE = 0.3
 HIDDEN, GATE, STEPS, RATE = 16, 8, 300, 0.02
@@ -133,7 +131,7 @@ def is_held_out(id_col: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fit on at most ``TRAIN_DOCS`` labelled documents outside the held-out fifth, ``TRAIN_PASSAGES`` of each.
+    """Fit on at most ``TRAIN_DOCS`` labelled documents outside the held-out fifth, all passages of each.
 
     Rows without an id, a label of 0 or 1, or with an id that is labelled both ways teach nothing. Of rows that
     repeat an id, the one with the smallest hash of its text teaches. With no labelled rows at all, empty tables
@@ -151,8 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 x, bounds = passages(values, offsets)
                 rows = []
                 for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                    some = np.linspace(i, j - 1, min(j - i, TRAIN_PASSAGES)).astype(np.int64)
-                    rows.append(x[some].astype(np.float32).tobytes())
+                    rows.append(x[i:j].astype(np.float32).tobytes())
                 same = [batch.column(c).slice(a, b - a) for c in ("label_id", "y", "print")]
                 yield pa.RecordBatch.from_arrays([*same, pa.array(rows, pa.binary())], names=["label_id", "y", "print", "x"])
         give_back()

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from twinlake.checkpoints import cut
 from twinlake.operators.keyfilter import flagged
+from twinlake.session import bound_batches
 
 CHUNK = 64 << 10
 LEAST_REVISIT = 1000
@@ -52,11 +53,13 @@ def _clean(url: str) -> str:
 def write_records(pages: DataFrame, date: str = "2000-01-01T00:00:00Z", chunk: int = CHUNK) -> DataFrame:
     """The chunk table of one record per row of ``page_payloads``: ``(record, chunk, chunks, data, sha1)``.
 
-    The ``data`` of a record's chunks in order are the bytes of the record: chunk 0 is the header with the
+    Ids are integers; a null id gives a record without one. The ``data`` of a record's chunks in order are the bytes of the record: chunk 0 is the header with the
     first bytes of the payload, the last ends with the record's blank lines. ``sha1`` is the digest of the payload up to the chunk's end, carried on from chunk to chunk.
     Payloads over ``chunk`` bytes are never copied whole: views of them go out one by one.
     """
 
+    bound_batches(pages.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, row = TaskContext.get().partitionId(), 0
         rows: list[tuple] = []
