@@ -37,7 +37,7 @@ MOST_TASKS = 20_000
 #: Bytes of a packet before it is compressed, at most, but for a longer text.
 PACKET = 1 << 20
 #: Characters that are cut into pre-tokens at once.
-PIECE = textscan.CHUNK // 2
+PIECE = textscan.CHUNK // 4
 
 
 def give_back() -> None:
