@@ -1,71 +1,44 @@
-"""Reports of groups. Files are written on the driver, row by row: memory does not grow with the report."""
+"""Reports of groups, and manifests."""
 
 from __future__ import annotations
 
-import csv
 import json
-import os
 import uuid
 from collections.abc import Iterator
-from itertools import groupby
-from typing import IO
 
 from pyspark.sql import DataFrame, SparkSession
 
 from twinlake.operators.groups import LONG
 from twinlake.operators.manifests import SCHEMA, merge_manifests
-
-
-def _ordered(groups: DataFrame) -> Iterator:
-    return groups.select(LONG).orderBy("match_type", "match_key", "hash", "path").toLocalIterator()
-
-
-def _open(path: str) -> IO[str]:
-    if not path or os.path.isdir(path):
-        raise ValueError(f"not a file to write: {path!r}")
-    return open(os.open(path, os.O_WRONLY | os.O_CREAT | os.O_TRUNC, 0o600), "w", encoding="utf-8", newline="")
+from twinlake.sources.document import ORDER, bullet_row, csv_row, json_row, numbered_row, rendered, write_document
 
 
 def write_csv(groups: DataFrame, path: str) -> None:
-    with _open(path) as f:
-        out = csv.writer(f, lineterminator="\n")
-        out.writerow(LONG)
-        out.writerows(tuple(r) for r in _ordered(groups))
-
-
-def _escape(text: str) -> str:
-    for c in "<>&":
-        text = text.replace(c, f"\\u{ord(c):04x}")
-    return text
+    write_document(groups, path, csv_row, lambda n: ",".join(LONG) + "\n", lambda n: "")
 
 
 def write_json(groups: DataFrame, path: str) -> None:
     """``{group_count, groups: [{match_type, match_key, hash, duplicate_count, files: [{path, size}]}]}``,
     indented by two, with ``<>&`` escaped and no line end at the end."""
-    count = groups.select("hash").distinct().count()
-    say = lambda x: _escape(json.dumps(x, ensure_ascii=False))
-    with _open(path) as f:
-        f.write(f'{{\n  "group_count": {count},\n  "groups": [')
-        for n, (key, rows) in enumerate(groupby(_ordered(groups), key=lambda r: tuple(r[:4]))):
-            f.write(("," if n else "") + "\n    {\n" + "".join(f'      "{name}": {say(value)},\n' for name, value in zip(LONG, key)) + '      "files": [')
-            for k, r in enumerate(rows):
-                f.write(("," if k else "") + f'\n        {{\n          "path": {say(r.path)},\n          "size": {r.size_bytes}\n        }}')
-            f.write("\n      ]\n    }")
-        f.write("\n  ]\n}" if count else "]\n}")
+    head = lambda n: f'{{\n  "group_count": {n},\n  "groups": ['
+    write_document(groups, path, json_row, head, lambda n: "\n      ]\n    }\n  ]\n}" if n else "]\n}")
 
 
-def text_lines(groups: DataFrame, bullets: bool = False) -> Iterator[str]:
+def write_text(groups: DataFrame, path: str, bullets: bool = False) -> None:
     """A header a group, then its numbered paths or bullets."""
-    labels = {"content": "Hash", "name": "Name", "fuzzy": "Similar"}
-    for key, rows in groupby(_ordered(groups), key=lambda r: tuple(r[:4])):
-        yield f"{labels[key[0]]}: {key[1]}"
-        for k, r in enumerate(rows, 1):
-            yield f"  - {r.path}" if bullets else f" {k}: {r.path}"
+    write_document(groups, path, bullet_row if bullets else numbered_row, lambda n: "", lambda n: "")
+
+
+def text_lines(groups: DataFrame, bullets: bool = False) -> Iterator[str]:
+    """The lines of ``write_text`` one after the other, for a terminal: they pass through the driver, a partition at a time."""
+    rows = (tuple(r) for r in groups.select(LONG).orderBy(*ORDER).toLocalIterator())
+    for text in rendered(rows, bullet_row if bullets else numbered_row):
+        yield from text.splitlines()
 
 
 def write_csv_parts(groups: DataFrame, folder: str) -> None:
     """The report as a folder of CSV files in order, a task a file: nothing goes through the driver."""
-    groups.select(LONG).orderBy("match_type", "match_key", "hash", "path").write.mode("errorifexists").option("header", True).csv(folder)
+    groups.select(LONG).orderBy(*ORDER).write.mode("errorifexists").option("header", True).csv(folder)
 
 
 def elapsed_line(seconds: float) -> str:
