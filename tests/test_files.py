@@ -312,17 +312,6 @@ def test_walk_in_rounds_and_links_in_place_of_folders(spark, tmp_path):
     assert content[str(tmp_path / "r/d0/e0/f0")] is None and bytes(content[str(tmp_path / "r/top")]) == b"t"
 
 
-def test_manifest_lines_and_their_errors(tmp_path, monkeypatch):
-    file = tmp_path / "m.jsonl"
-    file.write_text('{"a": 1}\n\n  \n{"a": 2}\n')
-    assert list(sinks.manifest_lines(str(file))) == [{"a": 1}, {"a": 2}]
-    for text, what in (('{"a": 1}\n\n{"a": ', "line 3"), ("[1]\n", "line 1 is not an object"), ('{"a": 1}\n{"b": "' + "x" * 90 + '"}', "line 2 is longer")):
-        monkeypatch.setattr(sinks, "LINE", 60)
-        file.write_text(text)
-        with pytest.raises(ValueError, match=what):
-            list(sinks.manifest_lines(str(file)))
-
-
 def test_file_system_of_the_nearest_mount(tmp_path):
     table = tmp_path / "mounts"
     table.write_text(f"1 0 8:1 / / rw - ext4 /dev/a rw\n2 1 8:2 / {tmp_path} rw shared:1 - xfs /dev/b rw\n3 1 8:3 / {tmp_path}x rw - btrfs /dev/c rw\n")

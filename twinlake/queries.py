@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinlake.checkpoints import cut, shared_folder
 from twinlake.functions.digests import synthetic_digest
 from twinlake.functions.paths import base_name, extension
 from twinlake.functions.simhash import hamming, max_distance, similarity, simhash
@@ -15,7 +16,8 @@ from twinlake.operators import filters, fuzzy, groups, manifests
 from twinlake.operators.components import connected_components
 from twinlake.plans.config import FuzzyConfig, RunConfig, ScanConfig
 from twinlake.plans.run import run
-from twinlake.sources import tables
+from twinlake.sources import sinks, tables
+from twinlake.sources.lines import numbered_lines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -498,3 +500,30 @@ def excluded_folders(spark, sf_dir):
 def held_counts(spark, sf_dir):
     """Groups that are shown, and digests that a run holds, those of smaller groups and single files too."""
     return groups.staged_content(_thirds(spark, sf_dir), 3).counts()
+
+
+@query(f"WITH {GROUPS} SELECT * FROM d")
+def report_document(spark, sf_dir):
+    """The report as one CSV file that the tasks write in place, read back."""
+    place = shared_folder(spark, "report").removeprefix("file:")
+    sinks.write_csv(groups.content_groups(files_of(spark, sf_dir)), place)
+    return spark.read.schema("match_type string, match_key string, hash string, duplicate_count long, path string, size_bytes long").option("header", True).csv(f"file:{place}")
+
+
+@query(f"WITH {MANIFEST} SELECT version, CASE WHEN size % 2 = 0 THEN group_id ELSE group_id + 1000 END AS group_id, hash_algo, hash, size, canonical, restore_path FROM e WHERE restore_path <> canonical")
+def manifest_versions(spark, sf_dir):
+    """A manifest of two versions, the second offered all files under other numbers, as its readers see it."""
+    place = shared_folder(spark, "manifest")
+    entries = cut(manifests.manifest_entries(groups.content_groups(files_of(spark, sf_dir))))
+    sinks.append_manifest(entries.where("size % 2 = 0"), place)
+    sinks.append_manifest(entries.withColumn("group_id", F.col("group_id") + 1000), place)
+    return sinks.read_manifest(spark, place).select(entries.columns)
+
+
+@query(f"WITH {GROUPS} SELECT 1 + row_number() OVER (ORDER BY match_type, match_key, hash, path) AS line, hash, path FROM d UNION ALL SELECT 1, 'hash', 'path'")
+def report_lines(spark, sf_dir):
+    """Each line of the report with its number in the file, its header too."""
+    place = shared_folder(spark, "report").removeprefix("file:")
+    sinks.write_csv(groups.content_groups(files_of(spark, sf_dir)), place)
+    fields = F.split("value", ",")
+    return numbered_lines(spark, f"file:{place}").select("line", fields[2].alias("hash"), fields[4].alias("path"))

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import json
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from twinlake.operators.groups import LONG
 from twinlake.operators.manifests import SCHEMA, merge_manifests
+from twinlake.sources import versions
 from twinlake.sources.document import ORDER, bullet_row, csv_row, json_row, numbered_row, rendered, write_document
+from twinlake.sources.lines import numbered_lines
 
 
 def write_csv(groups: DataFrame, path: str) -> None:
@@ -51,50 +52,48 @@ def summary_line(metrics: dict[str, int], seconds: float, mode: str = "content")
     return f"{mode} run, {told}; {elapsed_line(seconds)}"
 
 
-def append_manifest(entries: DataFrame, folder: str) -> None:
-    """Add entries to a manifest, which may not exist yet; files that it already has keep their entries. What is
-    there is replaced as a whole, by renames, once the new one is written."""
-    spark = entries.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    if not system.exists(path(folder)):
-        return write_manifest(entries, folder)
-    new, old = (f"{folder.rstrip('/')}.{kind}-{uuid.uuid4().hex}" for kind in ("new", "old"))
-    write_manifest(merge_manifests(read_manifest(spark, folder), entries), new)
-    if not system.rename(path(folder), path(old)) or not system.rename(path(new), path(folder)):
-        raise OSError(f"the manifest could not be replaced: {folder}")
-    system.delete(path(old), True)
+#: The longest line of a manifest, in bytes.
+LINE = 4 << 20
 
 
-def write_manifest(entries: DataFrame, folder: str) -> None:
-    """JSON lines; Spark's commit makes the folder appear whole or not at all."""
-    entries.orderBy("group_id", "restore_path").write.mode("errorifexists").json(folder)
+def append_manifest(entries: DataFrame, folder: str) -> int:
+    """Add entries to a manifest, which may not exist yet, as a version of it (``versions.append``): those of files that it
+    does not have, one a file. Returns the version's number, or 0 where nothing is new. What is there is not written again."""
+    spark = entries.sparkSession
 
+    def new_rows(folders: list[str]) -> DataFrame:
+        rows = merge_manifests(entries.limit(0), entries)
+        if folders:
+            rows = rows.join(_entries(spark, folders).select("restore_path"), "restore_path", "left_anti")
+        return rows.select(entries.columns).orderBy("group_id", "restore_path")
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Blank lines are passed over; a malformed line is an error."""
-    return spark.read.schema(SCHEMA).option("mode", "FAILFAST").json(path)
+    return versions.append(spark, folder, new_rows)
 
 
-#: The longest line of a manifest file, in bytes.
-LINE = 4 << 20
+def write_manifest(entries: DataFrame, folder: str) -> None:
+    """JSON lines; Spark's commit makes the folder appear whole or not at all."""
+    entries.orderBy("group_id", "restore_path").write.mode("errorifexists").json(folder)
 
 
-def manifest_lines(path: str) -> Iterator[dict]:
-    """The entries of one manifest file on this machine, a line at a time; blank lines are passed over, and a line
-    that is no entry, or too long, is an error that tells its number."""
-    with open(path, "rb") as f:
-        number = 0
-        while line := f.readline(LINE + 1):
-            number += 1
-            if len(line) > LINE:
-                raise ValueError(f"line {number} is longer than {LINE} bytes")
-            if not line.strip():
-                continue
-            try:
-                entry = json.loads(line)
-            except ValueError as e:
-                raise ValueError(f"line {number} is not JSON: {e}") from None
-            if not isinstance(entry, dict):
-                raise ValueError(f"line {number} is not an object")
-            yield entry
+def _entries(spark: SparkSession, paths: list[str], longest: int | None = None) -> DataFrame:
+    most = LINE if longest is None else longest
+    names = SCHEMA + ", _bad string"
+    lines = numbered_lines(spark, paths).where("trim(value) <> ''").withColumn("entry", F.from_json("value", names, {"columnNameOfCorruptRecord": "_bad"}))
+    wrong = (
+        F.when(F.octet_length("value") > most, f"is longer than {most} bytes")
+        .when(~F.ltrim("value").startswith("{"), "is not an object")
+        .when(F.col("entry._bad").isNotNull() | F.col("entry").isNull(), "is not an entry")
+    )
+    error = F.concat(F.lit("line "), "line", F.lit(" "), wrong, F.lit(": "), "file")
+    # In the filter for readers of no column, in the column for filters of readers that are moved before it.
+    right = F.when(wrong.isNull(), True).otherwise(F.raise_error(error).cast("boolean"))
+    checked = F.when(wrong.isNull(), F.col("entry")).otherwise(F.raise_error(error))
+    return lines.where(right).select(checked.alias("entry")).select("entry.*").drop("_bad")
+
+
+def read_manifest(spark: SparkSession, path: str, longest: int | None = None) -> DataFrame:
+    """The entries of a manifest: a file, or a folder with its versions. Blank lines are passed over; a line that is no JSON
+    object of an entry's types, or longer than ``longest`` bytes (``LINE``), is an error that tells its number and file,
+    whatever is read of the result. Fields that an entry lacks are null; others are left out."""
+    folders = versions.committed(spark, path).folders
+    return _entries(spark, folders, longest) if folders else spark.createDataFrame([], SCHEMA)
