@@ -1,40 +1,16 @@
-"""Carries plans out on the driver, never in tasks: those may be repeated. Nothing happens without ``confirm``."""
+"""Carries small plans out on the driver, one file after the other; ``carry`` has the same in tasks. Nothing happens without
+``confirm``."""
 
 from __future__ import annotations
 
-import os
-import shutil
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinlake.checkpoints import cut
+from twinlake.operators.carry import change, put_back
 from twinlake.plans.config import RestoreConfig
 from twinlake.sources import sinks
 
-#: Fixed value: the Linux request number that clones a file's extents.
-FICLONE = 0x40049409
-
-
-def _replace(path: str, make) -> None:
-    """Make the new file under another name in the same folder, then rename: a failure leaves the old one."""
-    spare = os.path.join(os.path.dirname(path), f".twinlake-{uuid.uuid4().hex}")
-    try:
-        make(spare)
-        os.replace(spare, path)
-    finally:
-        if os.path.lexists(spare):
-            os.remove(spare)
-
-
-def _clone(source: str, spare: str) -> None:
-    import fcntl
-
-    with open(source, "rb") as a, open(spare, "xb") as b:
-        fcntl.ioctl(b.fileno(), FICLONE, a.fileno())
-    shutil.copystat(source, spare)
-
 
 def apply_plan(plan: DataFrame, confirm: bool = False) -> list[tuple[str, str, str]]:
     """``(path, action, outcome)`` of each row of a plan but those that are kept; outcomes are ``planned``,
@@ -44,12 +20,7 @@ def apply_plan(plan: DataFrame, confirm: bool = False) -> list[tuple[str, str, s
         outcome = "planned"
         if confirm:
             try:
-                if r.action == "delete":
-                    os.remove(r.path)
-                elif r.action == "link":
-                    _replace(r.path, lambda spare, target=r.target: os.symlink(target, spare))
-                else:
-                    _replace(r.path, lambda spare, target=r.target: _clone(target, spare))
+                change(r.path, r.action, r.target)
                 outcome = "done"
             except OSError as e:
                 outcome = f"error: {e}"
@@ -90,20 +61,7 @@ def restore(entries: DataFrame, decisions: DataFrame, confirm: bool = False, con
         outcome = r.reason if r.decision in ("error", "skip") else "planned"
         if confirm and not config.dry_run and outcome == "planned":
             try:
-                os.makedirs(os.path.dirname(r.restore_path), 0o750, exist_ok=True)
-
-                def make(spare: str, r=r) -> None:
-                    with open(r.canonical, "rb") as a, open(spare, "xb") as b:
-                        shutil.copyfileobj(a, b)
-                        b.flush()
-                        os.fsync(b.fileno())
-                    own = r.mode if config.restore_mode else None
-                    os.chmod(spare, (own or os.stat(r.canonical).st_mode) & 0o777)
-                    if r.mtime_unix and config.restore_mtime:
-                        t = r.mtime_unix * 10**9 + (r.mtime_nsec or 0)
-                        os.utime(spare, ns=(t, t))
-
-                _replace(r.restore_path, make)
+                put_back(r.restore_path, r.canonical, r.mode, r.mtime_unix, r.mtime_nsec, config)
                 outcome = "done"
             except OSError as e:
                 outcome = f"error: {e}"
