@@ -1,0 +1,44 @@
+"""What settings are by default, and orders and outcomes that no query reaches."""
+
+from pyspark.sql import functions as F
+
+from tests.test_files import files_of
+from twinlake.functions.paths import is_symlink
+from twinlake.functions.simhash import READ_LIMIT, signature
+from twinlake.operators import filters, fuzzy, groups, manifests
+from twinlake.plans.config import FuzzyConfig, RestoreConfig, ScanConfig
+from twinlake.sources import sinks
+
+
+def test_signatures_read_the_first_256_kib(spark):
+    head = b"alpha beta gamma " * (READ_LIMIT // 17 + 1)
+    one, two = head[:READ_LIMIT] + b"x" * 400_000, head[:READ_LIMIT] + b"y" * 300_000
+    files = files_of(spark, [("/a", one), ("/b", two)])
+    by = lambda **k: {r.path: r.sig for r in fuzzy.signatures(files, FuzzyConfig(min_size=0, **k)).collect()}
+    assert READ_LIMIT == 256 * 1024 and set(by().values()) == {signature(head[:READ_LIMIT])}
+    assert by(read_limit=-1) == {"/a": signature(one), "/b": signature(two)} and signature(one) != signature(two)
+
+
+def test_reports_order_names_and_files(spark):
+    files = spark.createDataFrame([("/z/b", 1), ("/a/b", 1), ("/z/a", 1), ("/b/a", 1)], "path string, size long")
+    lines = list(sinks.text_lines(groups.name_groups(files)))
+    assert lines == ["Name: a", " 1: /b/a", " 2: /z/a", "Name: b", " 1: /a/b", " 2: /z/b"]
+
+
+def test_folders_that_are_excluded_twice(spark):
+    files = spark.createDataFrame([("/a/x", 5), ("/ab", 5), ("/b/c/d", 5)], "path string, size long")
+    config = ScanConfig(exclude=["/a", "/a", "/b/c", "/b"])
+    assert [r.path for r in filters.apply_filters(files, config).collect()] == ["/ab"]
+
+
+def test_links_are_told_by_their_mode(spark):
+    rows = spark.createDataFrame([(0o120777,), (0o100644,), (0o40755,), (None,)], "mode long")
+    assert [r[0] for r in rows.select(F.coalesce(is_symlink(F.col("mode")), F.lit(False))).collect()] == [True, False, False, False]
+
+
+def test_a_file_that_differs_is_replaced_where_it_may_be(spark):
+    entries = spark.createDataFrame([(1, 1, "sha256", "AA", 4, "/c", "/r", None, None, None, None, None)], manifests.SCHEMA)
+    state = spark.createDataFrame([("/c", "file", 4, "aa"), ("/r", "file", 4, "bb")], "path string, kind string, size long, hash string")
+    told = lambda config: tuple(manifests.restore_decisions(entries, state, config).first())[1:]
+    assert told(RestoreConfig(overwrite=True)) == ("replace", "differs")
+    assert told(RestoreConfig()) == ("error", "another file is there and may not be overwritten")
