@@ -342,6 +342,15 @@ def test_documents_of_clashing_words_are_no_near_duplicates(spark):
     assert near_dup.drop_near_duplicates(frame).count() == 4
 
 
+def test_documents_of_clashing_words_hold_no_benchmark_item(spark):
+    one, other = CLASHES[1]
+    assert textscan.hash_words(one, "alnum")[0] == textscan.hash_words(other, "alnum")[0]
+    docs = spark.createDataFrame([(1, f"{one} " * 12), (2, f"{other} " * 12), (3, f"{one.upper()}, " * 12)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(7, f"{one} " * 12)], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.find_leaks(docs, benchmark).collect()) == [1, 3]
+    assert [r.doc_id for r in decontaminate.drop_leaks(docs, benchmark).collect()] == [2]
+
+
 def test_blocks_tell_words_that_share_a_hash_apart(monkeypatch):
     monkeypatch.setattr(textscan, "span_hashes", lambda data, starts, ends, key=0: np.full(len(starts), 7, np.uint64))
     vocabulary = wordtable.Vocabulary("", True, ())

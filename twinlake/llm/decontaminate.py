@@ -45,15 +45,28 @@ AT_ONCE, GROUP = 4096, 256
 SCAN, AHEAD = 16, 16 << 20
 
 
-def _scan(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+#: The bits of a word's hash below those of its bucket.
+LOW = u64(64 - BUCKETS.bit_length() + 1)
+
+
+def _word_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int) -> np.ndarray:
+    """Hashes of words whose upper bits, the bucket, are alike in every run, as the weights hang on them; the others
+    hang on the ``key``, so that no words can be written to share a hash with those of a passage. 0: no key."""
+    plain = textscan.lower_hashes(values, starts, ends)
+    if not key:
+        return plain
+    return plain >> LOW << LOW | textscan.lower_hashes(values, starts, ends, key) >> u64(64) - LOW
+
+
+def _scan(column: pa.Array, key: int = 0) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first row, end row, word hashes, bounds of rows)`` of pieces of a text column."""
     for a, b, values, offsets in textscan.byte_chunks(column):
         starts, ends, at = textscan.words(values, offsets, "alnum")
-        yield a, b, textscan.lower_hashes(values, starts, ends), at
+        yield a, b, _word_hashes(values, starts, ends, key), at
 
 
 def _buckets(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> u64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+    return (hashes >> LOW).astype(np.int64)
 
 
 def _cells(at: np.ndarray, width: int) -> np.ndarray:
@@ -185,17 +198,17 @@ class Passages:
     answer: np.ndarray
 
 
-def benchmark_passages(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Passages]:
+def benchmark_passages(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", key: int = 0) -> Iterator[Passages]:
     """The benchmark in blocks of ``AT_ONCE`` passages of up to ``PASSAGE`` words; a longer item is several,
     of which the last is its last ``PASSAGE`` words where fewer than ``SHORT`` would be left for it.
     The answer of a passage is its last sentence, or its last quarter where that is one sentence.
-    Null and empty texts have no passages."""
+    Null and empty texts have no passages. Documents that are searched for them are hashed under the same ``key``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, values, offsets in textscan.byte_chunks(batch.column("text")):
                 starts, ends, at = textscan.words(values, offsets, "alnum")
-                hashes, cells = textscan.lower_hashes(values, starts, ends), _cells(at, PASSAGE)
+                hashes, cells = _word_hashes(values, starts, ends, key), _cells(at, PASSAGE)
                 stops = np.append(0, np.cumsum(np.isin(values, np.frombuffer(b".!?\n", np.uint8))))
                 sentence = stops[starts]
                 rows = np.searchsorted(at, cells[:-1], "right") - 1
@@ -370,7 +383,7 @@ class Matcher:
         return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _searched(batches: Iterator[pa.RecordBatch], text: str, name: str | None, latent: Latent, blocks: list[Passages], cosine: float | None) -> Iterator[tuple]:
+def _searched(batches: Iterator[pa.RecordBatch], text: str, name: str | None, latent: Latent, blocks: list[Passages], cosine: float | None, key: int) -> Iterator[tuple]:
     """``(ids, rows, (block, sizes of its passages, row, passage, words in common, cosine))`` for pieces of batches
     and, for each piece, all blocks of passages in turn. Where there are several, a block is made ready for
     ``AHEAD`` bytes of texts at once."""
@@ -389,7 +402,7 @@ def _searched(batches: Iterator[pa.RecordBatch], text: str, name: str | None, la
                 yield ids, part, one
 
     for batch in batches:
-        for a, b, hashes, at in _scan(batch.column(text)):
+        for a, b, hashes, at in _scan(batch.column(text), key):
             held.append((batch.slice(a, b - a), hashes, at))
             size += 8 * len(hashes)
             if ready or size >= AHEAD:
@@ -409,7 +422,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, latent: Latent | None = No
     one document; a null id is an id. Other columns are not read.
     """
     bound_batches(docs.sparkSession)
-    latent = latent or fit(docs, text_col)
+    latent, key = latent or fit(docs, text_col), textscan.secret_key()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind, item_kind = rows.schema["doc_id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {item_kind}, words_in_common long, share double, cosine double"
@@ -418,7 +431,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, latent: Latent | None = No
         item_type = pa.array([x for block in blocks for x in block.items]).type
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for ids, _, (block, size, row, passage, length, score) in _searched(batches, "text", "doc_id", latent, blocks, cosine):
+            for ids, _, (block, size, row, passage, length, score) in _searched(batches, "text", "doc_id", latent, blocks, cosine, key):
                 items = pa.array([block.items[k] for k in passage.tolist()], item_type)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), items, pa.array(length), pa.array(length / size[passage]), pa.array(score.astype(np.float64))], names=["doc_id", "item_id", "words_in_common", "share", "cosine"])
             give_back()
@@ -426,7 +439,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, latent: Latent | None = No
         return run
 
     out = docs.sparkSession.createDataFrame([], schema)
-    for blocks in itertools.batched(benchmark_passages(benchmark, item_col, item_text_col), SCAN):
+    for blocks in itertools.batched(benchmark_passages(benchmark, item_col, item_text_col, key), SCAN):
         out = out.unionByName(rows.mapInArrow(scan(list(blocks)), schema))
     return out.groupBy("doc_id", "item_id").agg(F.max("words_in_common").alias("words_in_common"), F.max("share").alias("share"), F.max("cosine").alias("cosine"))
 
@@ -435,12 +448,12 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, latent: Latent | None = No
     """The rows of ``docs`` that hold no benchmark item, with all their columns; see ``find_leaks``. No cosine is told
     here, so only word weights are taken from the corpus."""
     bound_batches(docs.sparkSession)
-    latent = latent or weights(docs, text_col)
+    latent, key = latent or weights(docs, text_col), textscan.secret_key()
 
     def scan(blocks: list[Passages]) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: pa.RecordBatch | None = None
-            for _, part, (_, _, row, *_) in _searched(batches, text_col, None, latent, blocks, None):
+            for _, part, (_, _, row, *_) in _searched(batches, text_col, None, latent, blocks, None, key):
                 if part is not held:
                     if held is not None:
                         yield held.filter(pa.array(clean))
@@ -453,6 +466,6 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, latent: Latent | None = No
         return run
 
     out = docs
-    for blocks in itertools.batched(benchmark_passages(benchmark, item_col, item_text_col), SCAN):
+    for blocks in itertools.batched(benchmark_passages(benchmark, item_col, item_text_col, key), SCAN):
         out = out.mapInArrow(scan(list(blocks)), docs.schema)
     return out
