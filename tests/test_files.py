@@ -154,6 +154,26 @@ def test_components(spark):
     assert connected_components(edges.limit(0)).count() == 0
 
 
+def test_roots_of_numbered_nodes_are_those_of_single_steps():
+    import numpy as np
+
+    from twinlake.operators.components import roots
+
+    rng = np.random.default_rng(4)
+    for n, m in [(1, 0), (3, 1), (30, 20), (30, 60), (400, 380), (400, 300)] * 10:
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        least = list(range(n))
+        for _ in range(n):
+            before = list(least)
+            for x, y in zip(a.tolist(), b.tolist()):
+                least[x] = least[y] = min(least[x], least[y])
+            if least == before:
+                break
+        assert roots(a, b, n).tolist() == least
+    path = rng.permutation(50_000)
+    assert not roots(path[:-1], path[1:], len(path)).any()
+
+
 def test_components_over_many_tasks(spark, monkeypatch):
     """Chains, stars and cycles that no single task sees whole."""
     import random

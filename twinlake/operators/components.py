@@ -5,39 +5,47 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinlake.checkpoints import cut
 
 #: Edges that a task contracts by itself, about.
-EDGES = 50_000
+EDGES = 200_000
 
 
-def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over a task's edges ``(u, v)``: an edge from every node to the smallest one that it reaches."""
-    parent: dict = {}
-    kind = None
+def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node that each of ``n`` numbered nodes reaches over edges ``(a, b)``. All edges between roots are
+    taken at once: the larger root of each goes below the smallest that it is tied to, and every node then points at its root."""
+    parent = np.arange(n)
+    while True:
+        a, b = parent[a], parent[b]
+        apart = a != b
+        if not apart.any():
+            return parent
+        a, b = a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := parent[parent], parent):
+            parent = up
 
-    def find(x):
-        root = x
-        while (up := parent.setdefault(root, root)) != root:
-            root = up
-        while parent[x] != root:
-            parent[x], x = root, parent[x]
-        return root
 
-    for batch in batches:
-        kind = batch.column("u").type
-        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist()):
-            a, b = find(u), find(v)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    nodes = [x for x in parent if find(x) != x]
-    for k in range(0, len(nodes), 10_000):
-        some = nodes[k : k + 10_000]
-        yield pa.RecordBatch.from_arrays([pa.array(some, kind), pa.array([find(x) for x in some], kind)], names=["u", "v"])
+def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over a task's edges ``(u, v)``: an edge from every node to the smallest one that it reaches.
+    Nodes are numbered in their order, so the smallest number is the smallest node."""
+    parts = list(batches)
+    if not parts:
+        return
+    u, v = (pa.chunked_array([p.column(k) for p in parts]).combine_chunks() for k in "uv")
+    nodes = pc.unique(pa.chunked_array([u, v]))
+    nodes = nodes.take(pc.sort_indices(nodes))
+    root = roots(*(pc.index_in(x, nodes).to_numpy() for x in (u, v)), len(nodes))
+    below = np.flatnonzero(root != np.arange(len(root)))
+    for k in range(0, len(below), 10_000):
+        some = below[k : k + 10_000]
+        yield pa.RecordBatch.from_arrays([nodes.take(pa.array(some)), nodes.take(pa.array(root[some]))], names=["u", "v"])
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -53,7 +61,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     rows = cut(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")))
     kind = rows.schema["u"].dataType.simpleString()
     tasks = max(1, math.ceil(rows.count() / EDGES))
-    pairs = cut(rows.coalesce(tasks).mapInArrow(contracted, f"u {kind}, v {kind}"))
+    pairs = cut(rows.repartition(tasks).mapInArrow(contracted, f"u {kind}, v {kind}"))
     before = None
     while tasks > 1:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -66,5 +74,5 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         if now == before:
             break
         before = now
-    roots = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+    tops = pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops)
