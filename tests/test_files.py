@@ -96,6 +96,15 @@ def test_backup_delete_restore(spark, tmp_path):
     assert (tmp_path / "d/b").read_bytes() == (tmp_path / "d/c").read_bytes() == b"same"
 
 
+def test_staged_runs_hold_no_files_that_the_filter_lets_pass(spark, monkeypatch):
+    alike = [(f"/a{k}", b"x" * 5000 + str(k % 2).encode()) for k in range(4)]
+    alone = [("/b", b"y" * 5001), ("/c", b"z" * 6000)]
+    monkeypatch.setattr(groups, "marked_rows", lambda rows, wanted, keys: rows)  # a filter may let any other row pass
+    run = groups.staged_content(files_of(spark, alike + alone), 3)
+    assert sorted(r.path for r in run.held.collect()) == [p for p, _ in alike]
+    assert tuple(run.counts().first()) == (0, 2)
+
+
 def test_merge_keeps_what_exists(spark):
     row = lambda g, h, p: (1, g, "sha256", h, 4, "/x", p, None, None, None, None, None)
     old = spark.createDataFrame([row(1, "aa", "/p"), row(3, "cc", "")], manifests.SCHEMA)

@@ -91,7 +91,10 @@ def staged(files: DataFrame, sample: Reader, full: Reader, least: int = 2) -> St
     small = sampled.where(~over).join(pairs.where(~over).select("size", "sample"), ["size", "sample"], "left_semi").select("path", F.col("size").alias("size_bytes"), F.col("sample").alias("hash"))
     wanted = sampled.where(over).join(pairs.where(over).select("size", "sample"), ["size", "sample"], "left_semi").select("path", "size")
     large = marked_rows(files.where(over), wanted, ["path", "size"])
-    whole = cut(full(large).select("path", F.col("size").alias("size_bytes"), "hash").where("hash is not null"))
+    read = full(large).select("path", F.col("size").alias("size_bytes"), "hash").where("hash is not null")
+    # the filter lets some other files pass, which agree with too few to be held
+    asked = wanted.select(F.col("path").alias("asked_path"), F.col("size").alias("asked_size"))
+    whole = cut(read.join(asked, F.col("path").eqNullSafe(F.col("asked_path")) & (F.col("size_bytes") == F.col("asked_size")), "left_semi"))
     zero = lambda x: F.coalesce(F.sum(x), F.lit(0))
     many = F.col("n") >= least
     by_size = counts.agg(F.sum("n").alias("scanned"), F.sum(F.when(many, F.col("n"))).alias("sampled"), F.sum(F.when(~many, F.col("n"))).alias("skipped_by_size"))
