@@ -123,6 +123,26 @@ def test_fuzzy_queries_sign_whole_texts(spark, monkeypatch):
     assert queries.fuzzy_groups(spark, "").count() == 0 and FuzzyConfig(read_limit=-1).read_limit == -1 and FuzzyConfig(read_limit=0).read_limit == 256 * 1024
 
 
+def test_workers_of_near_content_get_small_batches_and_give_memory_back(spark, monkeypatch):
+    import pandas as pd
+    import pyarrow as pa
+
+    from twinlake.functions import simhash
+    from twinlake.operators import components
+    from twinlake.session import BATCH_BYTES
+
+    own = spark.newSession()
+    fuzzy.signatures(files_of(own, [("/a", b"abcd")]))
+    assert own.conf.get(BATCH_BYTES) == "4m"
+    told = []
+    for module in (fuzzy, simhash, components):
+        monkeypatch.setattr(module, "give_back", lambda name=module.__name__: told.append(name))
+    list(fuzzy._meet(iter([]), 3, 2.0))
+    assert [len(x) for x in simhash._signatures.func(iter([pd.Series([b"abcd", None])] * 2))] == [2, 2]
+    assert [x.num_rows for x in components.contracted(iter([pa.RecordBatch.from_pydict({"u": ["b"], "v": ["a"]})]))] == [1]
+    assert told == [m.__name__ for m in (fuzzy, simhash, components)]
+
+
 @pytest.mark.parametrize("threshold, piece, large", [(85, 1024, 32), (85, 3, 2), (95, 2, 2), (75, 1024, 2), (75, 3, 2), (60, 2, 3)])
 def test_fuzzy_groups_match_all_pairs(spark, monkeypatch, threshold, piece, large):
     import random

@@ -13,7 +13,6 @@ Pre-tokens are told apart by their bytes, within a block and across blocks; hash
 
 from __future__ import annotations
 
-import ctypes
 import functools
 import itertools
 import math
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinlake.llm import textscan
-from twinlake.session import bound_batches
+from twinlake.session import bound_batches, give_back
 
 BLOCK = 8 << 20
 CACHE = 500_000
@@ -40,14 +39,6 @@ PACKET = 1 << 20
 PIECE = textscan.CHUNK // 4
 
 
-def give_back() -> None:
-    """Return free memory to the system: Python workers outlive their tasks, and what they hold adds up."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU library has it
-    if trim is not None:
-        trim(0)
-
-
 @dataclass(frozen=True)
 class Vocabulary:
     """A tokenizer file and how its texts fall into pre-tokens."""

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinlake.checkpoints import cut
+from twinlake.session import give_back
 
 #: Edges that a task contracts by itself, about.
 EDGES = 200_000
@@ -46,6 +47,8 @@ def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for k in range(0, len(below), 10_000):
         some = below[k : k + 10_000]
         yield pa.RecordBatch.from_arrays([nodes.take(pa.array(some)), nodes.take(pa.array(root[some]))], names=["u", "v"])
+    del parts, u, v, nodes, root, below
+    give_back()
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:

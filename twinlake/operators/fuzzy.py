@@ -18,6 +18,7 @@ from twinlake.functions.simhash import hamming, max_distance, near_key, similari
 from twinlake.operators.components import connected_components
 from twinlake.operators.groups import having
 from twinlake.plans.config import FuzzyConfig
+from twinlake.session import bound_batches, give_back
 
 #: Distinct signatures that meet in one piece of work, a side.
 PIECE = 1024
@@ -31,6 +32,7 @@ FIRST_BITS = 16
 def signatures(files: DataFrame, config: FuzzyConfig = FuzzyConfig()) -> DataFrame:
     """``(path, size, ext, sig)``. Files under the least size and empty content have none; of more than
     ``max_candidates``, those with the smallest paths take part (that cap is the operator's, -1 lifts it)."""
+    bound_batches(files.sparkSession)
     rows = files.where((F.col("path") != "") & (F.col("size") >= config.min_size))
     ext = extension(F.col("path")) if config.same_extension else F.lit("")
     out = rows.select("path", "size", ext.alias("ext"), simhash(F.col("content"), config.read_limit).alias("sig")).where("sig is not null")
@@ -115,6 +117,7 @@ def _meet(batches: Iterator[pa.RecordBatch], distance: int, ratio: float) -> Ite
         linked = np.flatnonzero(label != np.arange(len(label)))
         node = table.column("node").combine_chunks()
         yield pa.RecordBatch.from_arrays([node.take(pa.array(linked)), node.take(pa.array(label[linked]))], names=["src", "dst"])
+    give_back()
 
 
 def _bands(distance: int, least: int) -> list[tuple[int, int]]:
@@ -228,6 +231,7 @@ def fuzzy_members(files: DataFrame, config: FuzzyConfig = FuzzyConfig()) -> Data
 
 def members_of_signed(sigs: DataFrame, config: FuzzyConfig = FuzzyConfig()) -> DataFrame:
     """``fuzzy_members`` of ``(path, size, ext, sig)`` rows."""
+    bound_batches(sigs.sparkSession)
     sigs = cut(sigs)
     parts = connected_components(links(sigs, config)).select(F.col("node").alias("path"), "component")
     named = sigs.select("path", "size", "sig").join(parts, "path")
