@@ -45,6 +45,23 @@ def test_weights_are_those_of_the_latent_space(spark):
     assert np.allclose(none.idf, decontaminate.fit(docs.limit(0)).idf) and none.basis is None
 
 
+def test_the_latent_space_decides_on_leaks_that_are_not_whole(spark, monkeypatch):
+    item = " ".join(f"word{k}" for k in range(40))
+    partly = " ".join(f"word{k}" if k % 8 else "other" for k in range(40))
+    rows = [(1, item), (2, partly), (3, PROSE), (4, MORE)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    kept = lambda **how: sorted(r.doc_id for r in decontaminate.drop_leaks(docs, benchmark, **how).collect())
+    assert kept() == [3, 4] == sorted({1, 2, 3, 4} - {r.doc_id for r in decontaminate.find_leaks(docs, benchmark).collect()})
+    real = decontaminate.fit(docs)
+    # a latent space in which the words that the second document lacks stand for all the others' opposite
+    lacks = np.unique(decontaminate._buckets(decontaminate.textscan.hash_words(" ".join(f"word{k}" for k in range(0, 40, 8)), "alnum")))
+    basis = np.zeros_like(real.basis)
+    basis[:, 0], basis[lacks, 0] = -1, 100
+    assert kept(latent=decontaminate.Latent(real.idf, basis)) == [2, 3, 4]
+    assert kept(latent=decontaminate.Latent(real.idf, None)) == [3, 4]
+
+
 def test_merges_keep_runs_sorted_by_range(spark):
     rows = spark.range(3000, numPartitions=9).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), (F.col("id") % 700).cast("string")).alias("text"))
     got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(rows).collect()}

@@ -2,8 +2,9 @@
 
 Windows of every text that hold enough of a benchmark passage's words, by exact bounds, are candidates; a
 candidate is a leak by its longest common subsequence with the passage and, if reworded, by the passage's
-answer. Hashed TF-IDF of all passages is reduced by a distributed randomised SVD; leaks are told with their
-cosine in that latent space, which passes nothing over unless a caller gives a least cosine.
+answer. Hashed TF-IDF of all passages is reduced by a distributed randomised SVD; what a leak has of a passage, if
+not all of it, must be near the passage in that latent space. Windows are told with their cosines there, which pass
+nothing over unless a caller gives a least cosine.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ DENSE = 512
 #: A leak has this share of a passage in order, or the lesser share, as much of its answer, and words of it that
 #: hold this share of its IDF: half of a passage can be words that stand in any text.
 SHARE, PART, ANSWER, WEIGHT = 0.75, 0.5, 0.75, 0.4
+#: The words that a leak has of a passage have this cosine with the whole passage in the latent space, at least.
+LATENT = 0.3
 #: Benchmark passages with fewer words are only leaks when whole.
 SHORT = 8
 #: How much more often than in the corpus a common word stands in texts of its language. It decides which words
@@ -104,6 +107,11 @@ class Latent:
     def weighted(self) -> np.ndarray:
         return _padded(self.basis * self.idf[:, None])
 
+    @cached_property
+    def plain(self) -> np.ndarray:
+        """As ``weighted``, with directions of length one: rare directions do not outweigh what most words say."""
+        return _padded(self.basis / np.maximum(np.linalg.norm(self.basis, axis=0), 1e-12) * self.idf[:, None])
+
     def rates(self, hashes: np.ndarray) -> np.ndarray:
         """About how often words stand in the corpus, a word: from the share of passages that hold their buckets."""
         share = np.minimum(np.exp(0.1 - self.idf[_buckets(hashes)].astype(np.float64)), 0.999)
@@ -116,7 +124,7 @@ class Latent:
 
 
 def weights(docs: DataFrame, text_col: str = "text") -> Latent:
-    """The IDF of all buckets over all passages of all texts, without a latent space: what tells leaks needs no more."""
+    """The IDF of all buckets over all passages of all texts, without a latent space, for callers who want none."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +265,7 @@ class Group:
 
     def __init__(self, latent: Latent, vectors: np.ndarray | None, hashes: np.ndarray, at: np.ndarray, answer: np.ndarray):
         sizes = np.diff(at)
-        self.vectors = vectors
+        self.vectors, self.latent, self.at, self.sizes, self.bucket = vectors, latent, at, sizes, _buckets(hashes)
         #: a window of so many blocks holds a passage wherever it begins
         self.blocks = -(-(sizes + BLOCK - 1) // BLOCK)
         owner = np.repeat(np.arange(len(sizes)), sizes)
@@ -302,6 +310,22 @@ class Group:
         place = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
         return np.where(self.words[place] == hashes, place, len(self.words))
 
+    def kinship(self, passage: np.ndarray, present: np.ndarray) -> np.ndarray:
+        """Latent cosines of some places of passages, bits of ``present``, with all of them; other words of a window do not
+        count. 1 for passages that have no direction in the latent space."""
+        out = np.ones(len(passage))
+        for a in range(0, len(out), 256):
+            mine, bits = passage[a : a + 256], np.ascontiguousarray(present[a : a + 256])
+            place = self.at[mine][:, None] + np.arange(PASSAGE)
+            bucket = np.where(place < self.at[mine + 1][:, None], self.bucket[np.minimum(place, len(self.bucket) - 1)], BUCKETS)
+            vectors = self.latent.plain[bucket].astype(np.float64)
+            whole = vectors.sum(axis=1)
+            some = np.einsum("ij,ijk->ik", np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float64), vectors)
+            size = np.linalg.norm(whole, axis=1)
+            cosine = np.einsum("ij,ij->i", some, whole) / np.maximum(size * np.linalg.norm(some, axis=1), 1e-12)
+            out[a : a + 256] = np.where(size > 1e-9, cosine, 1)
+        return out
+
     def leaks(self, word: np.ndarray, begin: np.ndarray, stop: np.ndarray, passage: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which candidates, passages and spans of words, are leaks, and their words in common."""
         place = begin[:, None] + np.arange(int((stop - begin).max()))
@@ -314,6 +338,9 @@ class Group:
         held = np.unpackbits(present.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") * self.weight[passage[reworded]]
         leak = length >= self.need[passage]
         leak[reworded[held.sum(axis=1) >= WEIGHT]] = True
+        if self.latent.basis is not None:
+            partly = np.flatnonzero(leak & (length < self.sizes[passage]))
+            leak[partly] = self.kinship(passage[partly], np.bitwise_or.reduce(masks[partly], axis=1)) >= LATENT
         return np.flatnonzero(leak), length[leak]
 
 
@@ -417,8 +444,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, latent: Latent | None = No
 
     Words are runs of letters, digits and characters beyond ASCII, A-Z lower-cased. A document holds an
     item if a window of it has 3/4 of the words of one of the item's passages (64 words at most) in order,
-    or half of them, 3/4 of the passage's answer, and words that hold 2/5 of the passage's IDF; passages under 8 words
-    must be whole. The best window counts. No window is passed over, unless ``cosine`` is given, which leaks then have at least. Null texts are empty and hold nothing; empty tables give no rows; rows that repeat an id are
+    or half of them, 3/4 of the passage's answer, and words that hold 2/5 of the passage's IDF, and if, where the passage
+    is not whole, those of its words have a latent cosine of 0.3 with it; passages under 8 words must be whole. The best window counts. No window is passed over, unless ``cosine`` is given, which leaks then have at least. Null texts are empty and hold nothing; empty tables give no rows; rows that repeat an id are
     one document; a null id is an id. Other columns are not read.
     """
     bound_batches(docs.sparkSession)
@@ -445,10 +472,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, latent: Latent | None = No
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, latent: Latent | None = None, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with all their columns; see ``find_leaks``. No cosine is told
-    here, so only word weights are taken from the corpus."""
+    """The rows of ``docs`` that hold no benchmark item, with all their columns; see ``find_leaks``, which goes by the
+    same latent space. One that is given without a basis (``weights``) leaves that step out."""
     bound_batches(docs.sparkSession)
-    latent, key = latent or weights(docs, text_col), textscan.secret_key()
+    latent, key = latent or fit(docs, text_col), textscan.secret_key()
 
     def scan(blocks: list[Passages]) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
