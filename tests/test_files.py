@@ -1,9 +1,13 @@
+import functools
+import itertools
 import json
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from twinlake.functions.simhash import max_distance
 from twinlake.operators import execute, filters, fuzzy, groups, manifests
 from twinlake.operators.components import connected_components
 from twinlake.plans.config import FuzzyConfig, RestoreConfig, ScanConfig
@@ -143,6 +147,39 @@ def test_workers_of_near_content_get_small_batches_and_give_memory_back(spark, m
     assert told == [m.__name__ for m in (fuzzy, simhash, components)]
 
 
+@pytest.mark.parametrize("threshold", [89, 95, 96, 97])
+def test_crowded_bands_are_told_apart_and_lose_no_pair(spark, monkeypatch, threshold):
+    rng, distance = np.random.default_rng(threshold), max_distance(threshold)
+    sigs = [int(x) for x in rng.integers(0, 1 << 63, 150)]
+    sigs = [x >> 20 << 20 | 0xABCDE if k % 2 else x & ((1 << 40) - 1) | 0x5A5A << 48 for k, x in enumerate(sigs)]
+    for k in range(450):  # near copies, at the distance and one beyond
+        sigs.append(functools.reduce(lambda a, b: a ^ 1 << int(b), rng.choice(63, distance + k % 2, replace=False), sigs[int(rng.integers(len(sigs)))]))
+    rows = [(f"/{k:03}", int(rng.choice([90, 100, 210])), "", x) for k, x in enumerate(sigs)]
+    table, config = spark.createDataFrame(rows, "path string, size long, ext string, sig long"), FuzzyConfig(threshold=threshold, max_candidates=-1, min_size=0)
+    parent = {r[0]: r[0] for r in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (p, n, _, x), (q, m, _, y) in itertools.combinations(rows, 2):
+        if (x ^ y).bit_count() <= distance and max(n, m) <= config.max_ratio * min(n, m):
+            a, b = sorted((root(p), root(q)))
+            parent[b] = a
+    want = {p: root(p) for p in parent}
+    want = {p: c for p, c in want.items() if sum(x == c for x in want.values()) > 1}
+    monkeypatch.setattr(fuzzy, "CROWD", 6)
+    monkeypatch.setattr(fuzzy, "PIECE", 5)
+    assert {r.path: r.component for r in fuzzy.members_of_signed(table, config).collect()} == want
+
+
+def test_signatures_that_share_a_band_do_not_all_meet(spark):
+    rows = spark.range(20_000).select(F.format_string("/%d", "id").alias("path"), F.lit(100).cast("long").alias("size"), F.lit("").alias("ext"), F.xxhash64("id").bitwiseAND(F.lit(~0xFFFF)).alias("sig"))
+    told = fuzzy.candidates(rows, FuzzyConfig(threshold=95, max_candidates=-1, min_size=0)).first()
+    assert told.nodes == 20_000 and told.pairs_met < told.all_pairs / 50 and told.copies < 40 * 20_000
+
+
 @pytest.mark.parametrize("threshold, piece, large", [(85, 1024, 32), (85, 3, 2), (95, 2, 2), (75, 1024, 2), (75, 3, 2), (60, 2, 3)])
 def test_fuzzy_groups_match_all_pairs(spark, monkeypatch, threshold, piece, large):
     import random

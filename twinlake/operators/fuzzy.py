@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from twinlake.checkpoints import cut
@@ -21,12 +21,16 @@ from twinlake.plans.config import FuzzyConfig
 from twinlake.session import bound_batches, give_back
 
 #: Distinct signatures that meet in one piece of work, a side.
-PIECE = 1024
+PIECE = 8192
 #: Members of a component, in a bucket, from which on they do not meet each other.
 LARGE = 32
 LEAST_BITS = 8
 #: Bits of a band in which nodes meet first, at wider distances.
 FIRST_BITS = 16
+#: Nodes that share a band, from which on they must agree in a further block of bits to meet.
+CROWD = 16384
+#: Copies of a node that bands and their further blocks make, at most, and the least bits of a further block.
+MOST_SPOTS, LEAST_FURTHER = 64, 4
 
 
 def signatures(files: DataFrame, config: FuzzyConfig = FuzzyConfig()) -> DataFrame:
@@ -133,6 +137,37 @@ def _spots(nodes: DataFrame, bands: list[tuple[int, int]]) -> DataFrame:
     return nodes.withColumn("spot", spot).select(*nodes.columns, "spot.band", "spot.value")
 
 
+def _further(nodes: DataFrame, distance: int) -> DataFrame:
+    """``_spots`` of bands, where what shares a crowded band is told apart by further bits. Signatures that agree in a band
+    and differ in d bits agree in one of d + 1 blocks of their other bits, so no pair is lost; a node has a row for each block
+    in place of that of the band. Blocks that are still crowded are cut again, as far as ``MOST_SPOTS`` and the bits go."""
+    parts, bands = distance + 1, _bands(distance, 1)
+    bits = bands[0][1]
+    rows, left = _spots(nodes, bands), 64 - bits
+    low = lambda n: F.lit((1 << n) - 1).cast("long")
+    right = lambda x, n: F.call_function("shiftrightunsigned", x, F.lit(n))
+    up = lambda x, n: F.call_function("shiftleft", x, F.lit(n))
+    if left // parts < LEAST_FURTHER:
+        return rows
+    # the bits outside the band, side by side
+    rest = F.coalesce(*(F.when(F.col("band") == k, (right(F.col("sig"), a + bits) if a + bits < 64 else F.lit(0).cast("long")).bitwiseOR(up(F.col("sig").bitwiseAND(low(a)), 64 - a - bits))) for k, (a, _) in enumerate(bands)))
+    rows, done, spots, keys = rows.withColumn("rest", rest), [], parts * parts, ["ext", "band", "value"]
+    while spots <= MOST_SPOTS and (width := left // parts) >= LEAST_FURTHER:
+        crowds = cut(rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select(*keys, F.lit(True).alias("crowd")))
+        if crowds.isEmpty():
+            break
+        # at most a row in CROWD is broadcast
+        told = rows.join(F.broadcast(crowds), keys, "left").select(*nodes.columns, "band", "value", "rest", "crowd")
+        done.append(told.where("crowd is null").drop("crowd", "rest"))
+        held, cuts = F.col("rest"), []
+        for k in range(parts):
+            own, other = right(held, k * width).bitwiseAND(low(width)), up(right(held, (k + 1) * width), k * width).bitwiseOR(held.bitwiseAND(low(k * width)))
+            cuts.append(F.struct((parts * (F.col("band") + 1) + k).alias("band"), up(F.col("value"), width).bitwiseOR(own).alias("value"), other.alias("rest")))
+        rows = cut(told.where("crowd").withColumn("cut", F.explode(F.array(*cuts))).select(*nodes.columns, "cut.*"))
+        left, spots = left - width, spots * parts
+    return functools.reduce(DataFrame.unionByName, [*done, rows.drop("rest")])
+
+
 def _near(distance: int, ratio: float) -> Column:
     low, high = F.least("size", "head_size"), F.greatest("size", "head_size")
     return (hamming(F.col("sig"), F.col("head_sig")) <= distance) & F.when(low > 0, high <= F.lit(float(ratio)) * low).otherwise(high == low)
@@ -157,23 +192,28 @@ def _units(sigs: DataFrame, config: FuzzyConfig) -> tuple[DataFrame, DataFrame,
     banded = 64 // (distance + 1) >= LEAST_BITS
     if banded:
         known = nodes.select(F.col("node").alias("src"), F.col("node").alias("dst")).where(F.lit(False))
-        placed = _spots(nodes, _bands(distance, 1)).withColumn("component", F.col("node"))
+        placed = _further(nodes, distance).withColumn("component", F.col("node"))
     else:
         known = cut(_first_links(nodes, distance, ratio))
         parts = connected_components(known).select("node", "component")
         placed = nodes.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).withColumns({"band": F.lit(0), "value": F.lit(0).cast("long")})
     keys = ["ext", "band", "value", "bucket"]
     # members of a bucket's largest component do not meet each other
-    of_parts = placed.groupBy(*keys, "component").agg(F.count("*").alias("n"))
-    top = of_parts.groupBy(*keys).agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
+    if banded:  # each node is a component
+        top = placed.groupBy(*keys).agg(F.count("*").alias("all")).withColumn("top", F.struct(F.lit(1).cast("long").alias("n"), F.lit(None).cast("string").alias("component")))
+    else:
+        of_parts = placed.groupBy(*keys, "component").agg(F.count("*").alias("n"))
+        top = of_parts.groupBy(*keys).agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
     pieces = lambda n: F.ceil(n / PIECE).cast("int")
     large = F.col("top.n") > LARGE
     counts = top.select(*keys, F.when(large, F.col("top.component")).alias("major"), pieces(F.when(large, F.col("top.n")).otherwise(0)).alias("majors"), pieces(F.col("all") - F.when(large, F.col("top.n")).otherwise(0)).alias("minors"), (F.col("all") > 1).alias("several"))
 
-    def beside(step: int, name: str) -> DataFrame:
-        return counts.select("ext", "band", "value", (F.col("bucket") - step).alias("bucket"), *(F.col(c).alias(f"{c}_{name}") for c in ("major", "majors", "minors")))
-
-    rows = placed.join(counts, keys).join(beside(1, "above"), keys, "left").join(beside(-1, "below"), keys, "left")
+    # what the buckets above and below have; members that meet nothing stay out
+    order = Window.partitionBy("ext", "band", "value").orderBy("bucket")
+    for name, beside, step in (("above", F.lead, 1), ("below", F.lag, -1)):
+        there = beside("bucket").over(order) == F.col("bucket") + step
+        counts = counts.withColumns({f"{c}_{name}": F.when(there, beside(c).over(order)) for c in ("major", "majors", "minors")})
+    rows = placed.join(counts.where("several or majors_above is not null or majors_below is not null"), keys)
     is_major = F.coalesce(F.col("component") == F.col("major"), F.lit(False))
     rows = rows.withColumn("mine", F.when(is_major, F.pmod(F.xxhash64("node"), F.col("majors"))).otherwise(F.col("majors") + F.pmod(F.xxhash64("node"), F.col("minors"))).cast("int"))
     kind = "array<struct<low:int,kind:int,i:int,j:int,side:int>>"
