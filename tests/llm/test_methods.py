@@ -1,6 +1,7 @@
 """Pages written by hand, word weights, sorted runs and long texts."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
@@ -91,3 +92,20 @@ def test_long_turns_are_formatted_whole(spark):
     rows = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
     r = chat.format_chats(rows).first()
     assert [t.text for t in r.turns] == [text, text]
+
+
+@pytest.mark.parametrize("texts", [["word"], ["two words", "one"], ["", "one", " "], ["one", "one", "one one one"], ["a b a b", "a"]])
+def test_a_text_of_one_word_may_end_a_piece(spark, texts):
+    """A text has the passages that it has alone, wherever it stands in a piece."""
+
+    def described(*some):
+        coded = [t.encode() for t in some]
+        return quality.passages(np.frombuffer(b"".join(coded), np.uint8), np.append(0, np.cumsum([len(b) for b in coded])))
+
+    x, bounds = described(*texts)
+    for k, text in enumerate(texts):
+        np.testing.assert_allclose(x[bounds[k] : bounds[k + 1]], described(text, "some more words")[0][:-1], atol=1e-12)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    model = quality.train(docs, spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int"))
+    assert quality.score_quality(docs, model).count() == len(texts)
+    assert quality.keep_good(docs, model).count() <= len(texts)

@@ -59,7 +59,7 @@ def passages(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     for k, lag in enumerate((1, 2)):
         same = np.zeros(len(hashes))
         same[lag:] = hashes[lag:] == hashes[:-lag]
-        same[np.concatenate([at[:-1][words > 0] + j for j in range(lag)])[:] if len(at) > 1 and (words > 0).any() else []] = 0
+        same[np.concatenate([at[:-1][words > j] + j for j in range(lag)])] = 0  # a text's first words follow no word of it
         out[:, KINDS + 1 + k] = mean(same)
     tail = _TABLE[values[ends - 1]] >= 3 if len(ends) else np.zeros(0)
     out[:, KINDS + 3] = mean(tail)
