@@ -15,6 +15,7 @@ from twinlake.checkpoints import cut
 from twinlake.functions.digests import synthetic_digest
 from twinlake.functions.paths import extension
 from twinlake.functions.simhash import hamming, max_distance, near_key, similarity, simhash
+from twinlake.operators.close import WIDEST, close_members, close_pairs
 from twinlake.operators.components import connected_components
 from twinlake.operators.groups import having
 from twinlake.plans.config import FuzzyConfig
@@ -253,6 +254,10 @@ def links(sigs: DataFrame, config: FuzzyConfig = FuzzyConfig()) -> DataFrame:
 def candidates(sigs: DataFrame, config: FuzzyConfig = FuzzyConfig()) -> DataFrame:
     """One row: the nodes, all their pairs, the pairs of nodes that meet in units, and the copies of nodes that are
     moved there."""
+    if max_distance(config.threshold) <= WIDEST:
+        count = sigs.select("ext", "sig", "size").distinct().agg(F.count("*").alias("nodes"))
+        told = count.crossJoin(close_pairs(sigs, config))
+        return told.select("nodes", F.expr("nodes * (nodes - 1) div 2").alias("all_pairs"), "pairs_met", "copies")
     nodes, _, units = _units(sigs, config)
     n = units.groupBy(*UNIT).agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"), F.first("kind").alias("k"))
     own = (F.col("kind") == 0) & (F.col("i") == F.col("j"))
@@ -273,6 +278,9 @@ def members_of_signed(sigs: DataFrame, config: FuzzyConfig = FuzzyConfig()) -> D
     """``fuzzy_members`` of ``(path, size, ext, sig)`` rows."""
     bound_batches(sigs.sparkSession)
     sigs = cut(sigs)
+    if max_distance(config.threshold) <= WIDEST:
+        near = close_members(sigs, config, CROWD)
+        return near.withColumn("similarity", similarity(hamming(F.col("sig"), F.col("head_sig"))))
     parts = connected_components(links(sigs, config)).select(F.col("node").alias("path"), "component")
     named = sigs.select("path", "size", "sig").join(parts, "path")
     heads = sigs.select(F.col("path").alias("component"), F.col("sig").alias("head_sig"))
